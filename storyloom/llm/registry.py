@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, sharding
+from . import chat, flac, quality, sharding
 
 QUERIES = {
+    "op2_media_columns": flac.op2_media_columns,
     "op4_chat_formatting": chat.op4_chat_formatting,
+    "op6_quality_classifier": quality.op6_quality_classifier,
     "op8_sharding": sharding.op8_sharding,
 }
 

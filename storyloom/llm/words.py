@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 
 U = np.uint64
 P = U(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
