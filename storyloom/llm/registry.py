@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, flac, quality, sharding
+from . import chat, decontaminate, flac, pieces, quality, sharding
 
 QUERIES = {
     "op2_media_columns": flac.op2_media_columns,
     "op4_chat_formatting": chat.op4_chat_formatting,
+    "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_quality_classifier": quality.op6_quality_classifier,
+    "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_sharding": sharding.op8_sharding,
 }
 

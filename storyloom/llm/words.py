@@ -35,10 +35,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+_BYTES = np.arange(256, dtype=np.uint8)
+LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + np.uint8(32), _BYTES).astype(np.uint8)
+#: Also turns ASCII punctuation and control bytes into spaces.
+PLAIN = np.where((LOWER >= 128) | ((LOWER >= 97) & (LOWER <= 122)) | ((LOWER >= 48) & (LOWER <= 57)), LOWER, np.uint8(32)).astype(np.uint8)
+
+
 class Words:
     """buf: the batch's bytes; doc: start of each document's words in start/end/hash (one more at the end)."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False, hashes: bool = True):
+    def __init__(self, texts: pa.Array, translate: np.ndarray | None = None, hashes: bool = True):
+        """translate: 256 bytes that replace the text's bytes first."""
         texts = texts.cast(pa.large_binary()) if not pa.types.is_large_binary(texts.type) else texts
         texts = pa.compute.fill_null(texts, b"")
         n = len(texts)
@@ -46,8 +53,8 @@ class Words:
         raw = texts.buffers()[2]
         self.buf = buf = np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]] if raw is not None and raw.size else np.zeros(0, np.uint8)
         self.doc_bytes = ends - ends[0]
-        if lower:
-            self.buf = buf = np.where((buf >= 65) & (buf <= 90), buf + np.uint8(32), buf)
+        if translate is not None:
+            self.buf = buf = translate[buf]
         inside = np.zeros(len(buf) + 1, np.int8)
         inside[:-1] = ~((buf == 32) | ((buf >= 9) & (buf <= 13)))
         cut = np.zeros(len(buf) + 1, np.int8)
