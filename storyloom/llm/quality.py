@@ -22,6 +22,7 @@ from .words import U, Words, mix
 WORD_ROWS, SHAPE_ROWS, WIDTH, NONZERO, REACH = 1 << 13, 1 << 10, 64, 4, 2
 ROWS = WORD_ROWS + SHAPE_ROWS
 BLOCK_ROWS = 256
+DOCS_AT_ONCE = 128  # of which word counts stand in memory as a dense table
 SAMPLE = 20_000  # labelled rows that the network is fitted on, at most: the smallest hashes of doc_id
 THRESHOLD = 0.7
 
@@ -98,17 +99,18 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """Features of each text: mean vector of its words, mean vector of their shapes, share of each kind of shape."""
+    """Features of each text: mean vector of its words and mean vector of their shapes."""
     w = Words(texts)
     a, b = rows_of(w)
-    n = np.maximum(w.n, 1)[:, None]
-    out = []
-    for rows in (a, b):
-        v = np.concatenate([vectors[rows], np.zeros((1, WIDTH), np.float32)]) if len(rows) else np.zeros((1, WIDTH), np.float32)
-        sums = np.add.reduceat(v, np.minimum(w.doc[:-1], len(v) - 1), axis=0)
-        sums[w.n == 0] = 0
-        out.append(sums / n)
-    return np.concatenate(out, 1).astype(np.float32)
+    of = w.of()
+    out = np.zeros((len(w.n), 2 * WIDTH), np.float32)
+    for d in range(0, len(w.n), DOCS_AT_ONCE):
+        low, high = w.doc[d], w.doc[min(d + DOCS_AT_ONCE, len(w.n))]
+        here, docs = of[low:high] - d, min(DOCS_AT_ONCE, len(w.n) - d)
+        for k, (rows, first, size) in enumerate(((a, 0, WORD_ROWS), (b, WORD_ROWS, SHAPE_ROWS))):
+            counts = np.bincount(here * size + rows[low:high] - first, minlength=docs * size).reshape(docs, size)
+            out[d : d + docs, k * WIDTH : (k + 1) * WIDTH] = counts.astype(np.float32) @ vectors[first : first + size]
+    return out / np.maximum(w.n, 1).astype(np.float32)[:, None]
 
 
 @dataclass
