@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, flac, pieces, quality, sharding
+from . import chat, decontaminate, flac, pieces, quality, sharding, substrings
 
 QUERIES = {
+    "op1_substring_dedup": substrings.op1_substring_dedup,
     "op2_media_columns": flac.op2_media_columns,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_substring_dedup": substrings.ORACLE_SQL,
     "op4_chat_formatting": chat.ORACLE_SQL,
     "op8_sharding": sharding.ORACLE_SQL,
 }
