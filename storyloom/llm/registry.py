@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, flac, pieces, quality, sharding, substrings
+from . import chat, decontaminate, flac, jaccard, pieces, quality, sharding, substrings
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -12,10 +12,12 @@ QUERIES = {
     "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_sharding": sharding.op8_sharding,
+    "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
 }
 
 ORACLES = {
     "op1_substring_dedup": substrings.ORACLE_SQL,
     "op4_chat_formatting": chat.ORACLE_SQL,
     "op8_sharding": sharding.ORACLE_SQL,
+    "op9_ngram_jaccard_join": jaccard.ORACLE_SQL,
 }
