@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, flac, jaccard, pieces, quality, sharding, substrings
+from . import chat, decontaminate, flac, jaccard, lm_scoring, pieces, quality, sharding, substrings
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
     "op2_media_columns": flac.op2_media_columns,
+    "op3_lm_scoring": lm_scoring.op3_lm_scoring,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_quality_classifier": quality.op6_quality_classifier,
@@ -17,6 +18,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_substring_dedup": substrings.ORACLE_SQL,
+    "op3_lm_scoring": lm_scoring.ORACLE_SQL,
     "op4_chat_formatting": chat.ORACLE_SQL,
     "op8_sharding": sharding.ORACLE_SQL,
     "op9_ngram_jaccard_join": jaccard.ORACLE_SQL,
