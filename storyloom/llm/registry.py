@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, flac, jaccard, lm_scoring, pieces, quality, sharding, substrings
+from . import chat, decontaminate, flac, jaccard, licenses, lm_scoring, pieces, quality, sharding, substrings
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -14,8 +14,14 @@ QUERIES = {
     "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_sharding": sharding.op8_sharding,
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
+    "op10_license_scans": licenses.op10_license_scans,
 }
 
+
+def oracles() -> dict[str, str]:
+    return ORACLES | {"op10_license_scans": licenses.oracle_sql()}
+
+
 ORACLES = {
     "op1_substring_dedup": substrings.ORACLE_SQL,
     "op3_lm_scoring": lm_scoring.ORACLE_SQL,
