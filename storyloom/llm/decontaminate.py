@@ -203,6 +203,7 @@ def matches(texts: pa.Array, items: Items) -> tuple[np.ndarray, ...]:
             once[:, 1:] = slots[:, 1:] != slots[:, :-1]
             at = at[np.logical_or.reduce([(_among(slots, own) & once).sum(1) + n - 1 - len(own) >= least for own in items.own[n]])]
         begins.append(at)
+    begins.append(np.zeros(0, np.int64))
     part, window_class = np.concatenate(begins), np.repeat(np.arange(len(begins)), [len(x) for x in begins])
     if len(part):
         width = items.lengths[-1]

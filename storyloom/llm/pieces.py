@@ -14,14 +14,16 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import arrow_map, id_and_text, table
-from .words import U, mix
+from .words import U
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -39,28 +41,41 @@ class Vocabulary:
     longest: int
     unknown: float
     _tables: tuple | None = field(default=None, repr=False)
+    _surfaces: np.ndarray | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"_tables": None}
+        return self.__dict__ | {"_tables": None, "_surfaces": None}
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted hashes of the pieces, their ids and scores; a 2**20 map of slots that hold one."""
+    def surfaces(self) -> np.ndarray:
+        if self._surfaces is None:
+            self._surfaces = np.array(self.surface, object)
+        return self._surfaces
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+        """Sorted hashes of all beginnings of pieces, the ids (-1: no piece by itself) and scores, a map from the
+        first 20 bits to the first such entry, and the most entries that share these bits."""
         if self._tables is None:
-            items = sorted((int(_hash_text(p)), i, s) for p, (i, s) in self.pieces.items())
+            begun = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
+            items = sorted((_hash_text(p), *self.pieces.get(p, (-1, -np.inf))) for p in begun)
             h = np.array([x[0] for x in items], U)
             if len(np.unique(h)) != len(h):
                 raise ValueError("two pieces share a hash")
+            top = (h >> U(44)).astype(np.int64)
             slots = np.full(1 << 20, -1, np.int32)
-            slots[(h >> U(44)).astype(np.int64)] = np.arange(len(h))
-            self._tables = h, np.array([x[1] for x in items], np.int32), np.array([x[2] for x in items]), slots
+            slots[top[::-1]] = np.arange(len(h))[::-1]
+            self._tables = h, np.array([x[1] for x in items], np.int32), np.array([x[2] for x in items]), slots, int(np.bincount(top).max())
         return self._tables
 
 
-def _hash_text(s: str) -> np.uint64:
+def _finished(x: np.ndarray) -> np.ndarray:
+    return (x ^ (x >> U(32))) * U(0xBF58476D1CE4E5B9)
+
+
+def _hash_text(s: str) -> int:
     x = np.zeros(1, U)
     for c in s:
         x = x * U(0x9E3779B97F4A7C15) + U(ord(c) + 1)
-    return mix(x)[0]
+    return int(_finished(x)[0])
 
 
 def load_vocabulary(path: str = MODEL) -> Vocabulary:
@@ -153,7 +168,7 @@ def nbest(v: Vocabulary, text: str, n: int = N_BEST) -> list[tuple[float, list[i
 
 
 def decode_ids(v: Vocabulary, ids) -> str:
-    raw = b"".join(map(v.surface.__getitem__, ids))
+    raw = b"".join(v.surfaces()[np.asarray(ids, np.int64)].tolist())
     return raw.decode("utf-8", "replace")[1:]
 
 
@@ -200,56 +215,61 @@ def _best_alone(v: Vocabulary, s: str) -> tuple[np.ndarray, float, float]:
 
 def _best_group(v: Vocabulary, segments: list[str], group: np.ndarray, ids: list, score: np.ndarray, loss: np.ndarray) -> None:
     """Segments of one length in lock step."""
-    hashes, piece_ids, piece_scores, slots = v.tables()
+    hashes, piece_ids, piece_scores, slots, most = v.tables()
     rows, size = len(segments), len(segments[0])
-    codes = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(rows, size).astype(U)
-    inner_mark = codes[:, 1:] == ord(MARK)
-    edge: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-    for start in range(size):
-        x = np.zeros(rows, U)
-        for end in range(start + 1, min(size, start + v.longest) + 1):
-            x = x * U(0x9E3779B97F4A7C15) + (codes[:, end - 1] + U(1))
-            h = mix(x)
-            at = slots[(h >> U(44)).astype(np.int64)]
-            near = np.flatnonzero(at >= 0)
-            # slots shared by several pieces: look on among the sorted hashes
-            place = np.minimum(np.searchsorted(hashes, h[near]), len(hashes) - 1)
-            ok = hashes[place] == h[near]
-            near, place = near[ok], place[ok]
-            gain, which = np.full(rows, -np.inf), np.full(rows, -1, np.int32)
-            gain[near], which[near] = piece_scores[place], piece_ids[place]
-            if (start or end > 1) and inner_mark.any():
-                bad = inner_mark[:, max(start, 1) - 1 : end - 1].any(1)
-                gain[bad], which[bad] = -np.inf, -1
-            if end == start + 1:
-                lone = which < 0
-                gain[lone] = v.unknown
-                which[lone] = np.where(codes[lone, start] < 128, np.array(v.byte_ids, np.int32)[np.minimum(codes[lone, start], U(255)).astype(np.int64)], -1)
-            edge[start, end] = gain, which
+    codes = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(rows, size).T.astype(U)
+    single = np.array(v.byte_ids, np.int32)
     alpha = np.full((size + 1, rows), -np.inf)
     alpha[0] = 0
     back, piece = np.zeros((size + 1, rows), np.int64), np.zeros((size + 1, rows), np.int32)
-    for end in range(1, size + 1):
-        for start in range(max(0, end - v.longest), end):
-            gain, which = edge[start, end]
-            total = alpha[start] + gain
-            better = total > alpha[end]
-            alpha[end][better], back[end][better], piece[end][better] = total[better], start, which[better]
+    edges: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # start, end, rows that have it, scores
+
+    def reach(start: int, end: int, some: np.ndarray, gain: np.ndarray, which: np.ndarray) -> None:
+        edges.append((start, end, some, gain))
+        total = alpha[start, some] + gain
+        better = total > alpha[end, some]
+        to = some[better]
+        alpha[end, to], back[end, to], piece[end, to] = total[better], start, which[better]
+
+    for start in range(size):
+        live = np.arange(rows) if start == 0 else np.flatnonzero(codes[start] != ord(MARK))
+        x = np.zeros(len(live), U)
+        covered = np.zeros(rows, bool)
+        for end in range(start + 1, min(size, start + v.longest) + 1):
+            x = x * U(0x9E3779B97F4A7C15) + (codes[end - 1][live] + U(1))
+            h = _finished(x)
+            first = slots[(h >> U(44)).astype(np.int64)]
+            at = np.full(len(h), -1, np.int32)
+            for k in range(most):
+                place = np.minimum(first + k, len(hashes) - 1)
+                np.copyto(at, place, where=(first >= 0) & (hashes[place] == h))
+            begun = np.flatnonzero(at >= 0)
+            live, x, at = live[begun], x[begun], at[begun]
+            whole = piece_ids[at] >= 0
+            if whole.any():
+                reach(start, end, live[whole], piece_scores[at[whole]], piece_ids[at[whole]])
+                if end == start + 1:
+                    covered[live[whole]] = True
+            if end == start + 1 and not covered.all():
+                lone = np.flatnonzero(~covered)
+                c = codes[start][lone]
+                reach(start, end, lone, np.full(len(lone), v.unknown), np.where(c < 128, single[np.minimum(c, U(255)).astype(np.int64)], -1))
+            if not len(live):
+                break
     beta = np.full((size + 1, rows), -np.inf)
     beta[size] = 0
-    for end in range(size, 0, -1):
-        for start in range(max(0, end - v.longest), end):
-            np.maximum(beta[start], beta[end] + edge[start, end][0], out=beta[start])
+    for start, end, some, gain in reversed(edges):  # all edges from `end` on stand behind
+        beta[start, some] = np.maximum(beta[start, some], beta[end, some] + gain)
     on = np.zeros((size + 1, rows), bool)
     on[size] = True
     for end in range(size, 0, -1):
         m = np.flatnonzero(on[end])
         on[back[end][m], m] = True
     other = np.full(rows, -np.inf)
-    for (start, end), (gain, _) in edge.items():
-        total = alpha[start] + gain + beta[end]
-        total[on[end] & (back[end] == start)] = -np.inf
-        np.maximum(other, total, out=other)
+    for start, end, some, gain in edges:
+        off = ~(on[end, some] & (back[end, some] == start))
+        k = some[off]
+        other[k] = np.maximum(other[k], alpha[start, k] + gain[off] + beta[end, k])
     score[group], loss[group] = alpha[size], alpha[size] - other
     on[0] = False
     flat = piece.T[on.T]
@@ -344,36 +364,45 @@ def encode_texts(docs: DataFrame, model: str = MODEL, n: int = N_BEST) -> DataFr
         ids = pa.ListArray.from_arrays(pa.array(e.starts.astype(np.int32)), pa.array(e.ids, pa.int32()))
         return pa.RecordBatch.from_arrays([b.column("doc_id"), ids, pa.array(e.score), pa.array(e.nbest, pa.list_(pa.float64())), pa.array(second, pa.string())], ["doc_id", "ids", "score", "nbest_scores", "second_ids_sha256"])
 
-    return id_and_text(docs).mapInArrow(arrow_map(one), "doc_id long, ids array<int>, score double, nbest_scores array<double>, second_ids_sha256 string")
+    return id_and_text(docs).mapInArrow(arrow_map(one, most=6 << 20), "doc_id long, ids array<int>, score double, nbest_scores array<double>, second_ids_sha256 string")
 
 
-def decode_texts(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """Adds text, decoded from ids; null ids give null."""
-    v = load_vocabulary(model)
-    return _with_decoded(encoded, v, "text string", lambda x: x)
+def _id_lists(b: pa.RecordBatch) -> Iterator[np.ndarray | None]:
+    lists = b.column("ids")
+    ids, cut, none = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy(), np.array(lists.is_null())
+    cut = cut - cut[0] if len(cut) else cut
+    for d in range(b.num_rows):
+        yield None if none[d] else ids[cut[d] : cut[d + 1]]
 
 
-def _with_decoded(encoded: DataFrame, v: Vocabulary, column: str, f) -> DataFrame:
-    name, kind = column.split()
-    encoded = encoded.drop(name)
+def decode_texts(encoded: DataFrame, model: str = MODEL) -> DataFrame:
+    """Adds text, decoded from ids; null ids give null. A column text of the input is replaced."""
+    v = load_vocabulary(model)
+    encoded = encoded.drop("text")
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 2000):
                 p = b.slice(k, 2000)
-                texts = pa.array([None if x is None else f(decode_ids(v, x)) for x in (y if y is None else y for y in p.column("ids").to_pylist())], pa.string())
-                yield pa.RecordBatch.from_arrays([*p.columns, texts], [*p.schema.names, name])
+                texts = pa.array([None if x is None else decode_ids(v, x) for x in _id_lists(p)], pa.string())
+                yield pa.RecordBatch.from_arrays([*p.columns, texts], [*p.schema.names, "text"])
 
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField(name, StringType())]))
+    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("text", StringType())]))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encode every whole text, decode the ids again and digest both."""
-    from pyspark.sql import functions as F
-
+    """Encode every whole text; count, digest and decode the ids that come back, and digest the decoded text."""
     v = load_vocabulary()
-    back = _with_decoded(encode_texts(table(spark, sf_dir, "documents")), v, "decoded_sha256 string", lambda x: hashlib.sha256(x.encode()).hexdigest())
-    ids = F.array_join(F.col("ids"), " ")
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "score", "nbest_scores", F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), "second_ids_sha256", "decoded_sha256")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, ids_sha, text_sha = [], [], []
+            for ids in _id_lists(b):
+                size.append(len(ids))
+                ids_sha.append(hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest())
+                text_sha.append(hashlib.sha256(decode_ids(v, ids).encode()).hexdigest())
+            columns = [b.column("doc_id"), pa.array(size, pa.int64()), b.column("score"), b.column("nbest_scores"), pa.array(ids_sha), b.column("second_ids_sha256"), pa.array(text_sha)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_pieces", "score", "nbest_scores", "ids_sha256", "second_ids_sha256", "decoded_sha256"])
+
+    schema = "doc_id long, n_pieces long, score double, nbest_scores array<double>, ids_sha256 string, second_ids_sha256 string, decoded_sha256 string"
+    return encode_texts(table(spark, sf_dir, "documents")).mapInArrow(run, schema)
