@@ -119,9 +119,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
                 settled[k] = True
                 drop[k] = ids[e] == ids[k] and place[e] == place[k]  # the same row once more
         kept = np.flatnonzero(~drop)
-        prefix = np.where(settled, mix(ids.astype(U) + U(1)), h).view(np.int64)
-        content = pa.array([None if settled[k] else contents[k] for k in kept.tolist()], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(prefix[kept]), pa.array(ids[kept]), pa.array(place[kept], pa.int32()), pa.array((last - first + 1)[kept], pa.int32()), content], SEGMENT.fieldNames())
+        settled, ids, place, windows, h = settled[kept], ids[kept], place[kept], (last - first + 1)[kept], h[kept]
+        joined = np.zeros(len(kept), bool)  # settled runs that follow one another are one row
+        joined[1:] = settled[1:] & settled[:-1] & (ids[1:] == ids[:-1]) & (place[1:] == place[:-1] + windows[:-1])
+        head = np.flatnonzero(~joined)
+        windows = np.add.reduceat(windows, head) if len(head) else windows
+        prefix = np.where(settled, mix(ids.astype(U) + U(1)), h).view(np.int64)[head]
+        content = pa.array([None if settled[k] else contents[kept[k]] for k in head.tolist()], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(prefix), pa.array(ids[head]), pa.array(place[head], pa.int32()), pa.array(windows, pa.int32()), content], SEGMENT.fieldNames())
 
     sent = rows.join(of_doc, "doc_id").mapInArrow(arrow_map(segments), SEGMENT)
     grouped = sent.repartition("prefix").sortWithinPartitions("prefix")
