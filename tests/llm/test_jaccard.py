@@ -6,10 +6,11 @@ from storyloom.llm.components import connected_components
 
 
 def brute(rows, n, percent):
-    sets = {}
-    for i, t in rows:
+    def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
-        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
+        return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
+
+    sets = {i: shingles(t) for i, t in rows}
     least = {i: i for i in sets}
 
     def find(x):
@@ -25,7 +26,7 @@ def brute(rows, n, percent):
                 if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                     x, y = find(a), find(b)
                     least[max(x, y)] = min(x, y)
-    return sorted([(i, len(sets[i]), None if i is None else find(i)) for i, _ in rows], key=repr)
+    return sorted([(i, len(sets[i] if i is not None else shingles(t)), None if i is None else find(i)) for i, t in rows], key=repr)
 
 
 def run(df, n, percent):
