@@ -6,11 +6,14 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .words import mix
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -76,3 +79,59 @@ def arrow_map(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str
                 yield out
 
     return run
+
+
+def release(spark: SparkSession) -> None:
+    """Ask the driver's JVM to collect garbage, upon which Spark removes the shuffle files that nothing refers to."""
+    spark.sparkContext._jvm.System.gc()
+
+
+FILTER_BITS = 1 << 29  # at most 64 MB; beyond about 50 million ids it passes more rows than it must, never fewer
+FILTER_BLOCK = 1 << 17
+
+
+def only_ids(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """rows whose `column` may be among the one long column of ids: a Bloom filter of bounded size that drops most
+    other rows before they are shuffled. ids should be a saved table; null ids never pass."""
+    name = ids.columns[0]
+    bits = 1 << max(17, min(FILTER_BITS.bit_length() - 1, (16 * ids.count()).bit_length()))
+
+    def places(x: np.ndarray) -> np.ndarray:
+        h = mix(x.astype(np.int64).view(np.uint64) + np.uint64(11))
+        return np.stack([h & np.uint64(bits - 1), (h >> np.uint64(32)) & np.uint64(bits - 1), mix(h) & np.uint64(bits - 1)]).astype(np.int64)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            at = np.unique(places(b.column(0).drop_null().to_numpy(zero_copy_only=False)))
+            cut = np.flatnonzero(np.diff(at // FILTER_BLOCK)) + 1
+            for part in np.split(at, cut) if len(at) else []:
+                held.setdefault(int(part[0] // FILTER_BLOCK), np.zeros(FILTER_BLOCK, bool))[part % FILTER_BLOCK] = True
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(x).tobytes() for x in held.values()], pa.binary())], ["block", "bits"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(x, np.uint8)
+                held[k] = held[k] | x if k in held else x
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["block", "bits"])
+
+    marked = ids.select(name).mapInArrow(mark, "block int, bits binary").repartition(max(1, min(64, bits // FILTER_BLOCK)), "block")
+    table_ = np.zeros((bits // FILTER_BLOCK, FILTER_BLOCK // 8), np.uint8)
+    for r in marked.mapInArrow(join, "block int, bits binary").collect():  # at most bits / 8 bytes
+        table_[r.block] |= np.frombuffer(r.bits, np.uint8)
+    flat = table_.ravel()
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column(column)
+            ok = ~np.array(x.is_null())
+            for at in places(pa.compute.fill_null(x, 0).to_numpy(zero_copy_only=False)):
+                ok &= (flat[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+            if ok.any():
+                yield b.filter(pa.array(ok))
+
+    return rows.mapInArrow(keep, rows.schema)

@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, by_megabytes, id_and_text, saved, table
+from .common import arrow_map, by_megabytes, id_and_text, only_ids, release, saved, table
 from .components import connected_components
 from .words import LOWER, U, Words, mix, ngram_hashes, starts_with_room
 
 COUNTERS, BLOCKS = 1 << 19, 64
-PIVOTS = 2  # rounds of comparing with one pivot for each bucket
+RANKS = 1 << 12  # steps of the log count in the order
 POSITION, SIZE = 25, 26  # bits of a packed place
 
 
@@ -49,7 +49,8 @@ def _cells(h: np.ndarray) -> np.ndarray:
 
 
 def count_sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """COUNTERS counters of n-gram hashes over all documents (2 MB for any input); they never under-count."""
+    """Ranks (log counts in RANKS steps) of COUNTERS counters of n-gram hashes over all documents: 1 MB for any
+    input. The counters never under-count."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
@@ -67,18 +68,26 @@ def count_sketch(docs: DataFrame, n: int) -> np.ndarray:
                 x = np.frombuffer(x, "<u2" if len(x) == COUNTERS // BLOCKS * 2 else "<i8").astype(np.int64)
                 held[i] = held[i] + x if i in held else x
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.log2(1.0 + x).astype("<f4").tobytes() for x in held.values()], pa.binary())], ["block", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.minimum(np.log2(1.0 + x) * 64, RANKS - 1).astype("<u2").tobytes() for x in held.values()], pa.binary())], ["block", "sums"])
 
-    out = np.zeros((BLOCKS, COUNTERS // BLOCKS), np.float32)
+    out = np.zeros((BLOCKS, COUNTERS // BLOCKS), np.uint16)
     for r in docs.select("text").mapInArrow(gather, "block int, sums binary").repartition(BLOCKS, "block").mapInArrow(add, "block int, sums binary").collect():  # a fixed 64 blocks
-        out[r.block] = np.frombuffer(r.sums, "<f4")
+        out[r.block] = np.frombuffer(r.sums, "<u2")
     return out.ravel()
 
 
 def _distinct(h: np.ndarray, of: np.ndarray, docs: int, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes of each text in order of (rank, hash), and where each text begins; the ranks too."""
-    r = rank[_cells(h)] if rank is not None else np.zeros(len(h), np.float32)
-    order = np.lexsort((h, r, of)) if rank is not None else np.lexsort((h, of))
+    r = rank[_cells(h)] if rank is not None else np.zeros(len(h), np.uint16)
+    order = None
+    if docs <= 1 << 12:  # text, rank and the first bits of the hash in one number
+        key = (of.astype(U) << U(52)) | (r.astype(U) << U(40)) | (h >> U(24)) if rank is not None else (of.astype(U) << U(52)) | (h >> U(12))
+        order = np.argsort(key)
+        key = key[order]
+        if ((key[1:] == key[:-1]) & (h[order][1:] != h[order][:-1])).any():
+            order = None
+    if order is None:
+        order = np.lexsort((h, r, of))
     h, of, r = h[order], of[order], r[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
@@ -110,7 +119,7 @@ def _need(size: np.ndarray, percent: int) -> np.ndarray:
 
 
 def prefix_rows(docs: DataFrame, n: int, percent: int, rank: np.ndarray) -> DataFrame:
-    """h, doc_id and place: depth (mean log count, 12 bits), size and position, packed so that the deepest is greatest.
+    """h, doc_id and place: depth (mean rank, 12 bits), size and position, packed so that the deepest is greatest.
     Equal sets within a batch are sent once, under their least doc_id."""
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -126,7 +135,7 @@ def prefix_rows(docs: DataFrame, n: int, percent: int, rank: np.ndarray) -> Data
         doc = np.repeat(np.arange(len(ids)), take)
         position = np.arange(len(doc)) - np.repeat(np.cumsum(take) - take, take)
         at = start[doc] + position
-        depth = np.minimum(_sums(r.astype(np.float64), start) / np.maximum(size, 1) * 128, 4095).astype(np.int64)
+        depth = (_sums(r.astype(np.int64), start) // np.maximum(size, 1))
         place = (depth[doc] << (SIZE + POSITION)) | (size[doc] << POSITION) | position
         return pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(ids[doc]), pa.array(place)], ["h", "doc_id", "place"])
 
@@ -156,7 +165,8 @@ def verified_links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, p
         x, y = part("bins_a"), part("bins_b")
         bound = bound + F.when((x == 255) | (y == 255), F.least("size_a", "size_b")).otherwise(F.least(x, y))
     rows = rows.where((F.col("f1_a") != F.col("f1_b")) & ((100 + percent) * bound >= percent * (F.col("size_a") + F.col("size_b")))).select("a", "b")
-    text = lambda x: docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+    rows = saved(rows)
+    text = lambda x: only_ids(docs, rows.select(x)).select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     rows = rows.join(text("a"), "a").join(text("b"), "b")
 
     def check(p: pa.RecordBatch) -> pa.RecordBatch:
@@ -189,18 +199,12 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     least = filled.groupBy("size", "f1", "f2").agg(F.min("doc_id").alias("b"), F.count("*").alias("copies")).where("copies > 1")
     equal = saved(filled.select("size", "f1", "f2", F.col("doc_id").alias("a")).join(least, ["size", "f1", "f2"]).where("a <> b").select("a", "b"))
     places = prefix_rows(known, n, percent, count_sketch(rows, n))
-    pivots = places.groupBy("h").agg(F.max(F.struct("place", "doc_id")).alias("pivot"), F.count("*").alias("members")).where("members > 1")
-    shared = saved(places.join(pivots.select("h", F.col("pivot.place").alias("pivot_place"), F.col("pivot.doc_id").alias("pivot")), "h"))
-    links = equal
-    for step in range(PIVOTS):
-        if step:
-            open_rows = _still_open(shared, links)
-            pivots = open_rows.groupBy("h").agg(F.max(F.struct(F.xxhash64("component"), "place", "doc_id", "component")).alias("p"))
-            star = open_rows.drop("pivot", "pivot_place").join(pivots.select("h", F.col("p.place").alias("pivot_place"), F.col("p.doc_id").alias("pivot"), F.col("p.component").alias("c")), "h").where("component <> c")
-        else:
-            star = shared
-        star = star.where((F.col("doc_id") != F.col("pivot")) & _may_match("place", "pivot_place", percent)).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
-        links = saved(links.unionByName(verified_links(star, known, filled, n, percent)))
+    pivots = places.groupBy("h").agg(F.max("place").alias("pivot_place"), F.max_by("doc_id", "place").alias("pivot"), F.count("*").alias("members")).where("members > 1").drop("members")
+    shared = saved(places.join(pivots, "h"))
+    release(docs.sparkSession)
+    star = shared.where((F.col("doc_id") != F.col("pivot")) & _may_match("place", "pivot_place", percent)).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
+    links = saved(equal.unionByName(verified_links(star, known, filled, n, percent)))
+    release(docs.sparkSession)
     rest = _still_open(shared, links).select("h", "doc_id", "place", "component")
     other = rest.select("h", F.col("doc_id").alias("b"), F.col("place").alias("place_b"), F.col("component").alias("component_b"))
     crossing = rest.join(other, "h").where((F.col("component") < F.col("component_b")) & _may_match("place", "place_b", percent)).select(F.col("doc_id").alias("a"), "b")
