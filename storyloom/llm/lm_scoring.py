@@ -23,6 +23,7 @@ from .common import arrow_map, by_megabytes, id_and_text, saved, table
 from .words import U, Words, mix
 
 ALPHA, VOCABULARY = 0.4, (1 << 16) - 1
+LEAST_PARTITIONS = 64
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def lm_scores(docs: DataFrame, unigrams: Unigrams | None = None, alpha: float =
     """
     model = unigrams or fit_unigrams(docs)
     rows = id_and_text(docs)
-    parts = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions or max(LEAST_PARTITIONS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def deal(b: pa.RecordBatch) -> pa.RecordBatch:
         w = Words(b.column("text"))
