@@ -174,18 +174,17 @@ def scan_licenses(docs: DataFrame, model: LicenseModel | None = None, paragraph:
     """
     model = model or train_licenses()
     spark = docs.sparkSession
-    names = [f"w{c}" for c in range(len(model.classes))]
     number = lambda v: f"{v!r}D"
-    weights = _table(spark, [f"('{g}', {', '.join(map(number, v))}, {str(g in CUES).lower()})" for g, v in model.weights], ", ".join(["gram", *names, "cue"]))
+    weights = _table(spark, [f"('{g}', array({', '.join(map(number, v))}), {str(g in CUES).lower()})" for g, v in model.weights], "gram, v, cue")
     own = _table(spark, [f"('{g}', {t}, {model.classes.index(f)}, {n})" for t, f, n, grams in model.templates for g in grams], "gram, template, class, size")
     lines = id_and_text(docs).select("doc_id", F.posexplode(F.split("text", paragraph)).alias("paragraph", "line"))
     words = F.filter(F.split(F.translate("line", UPPER, LOWER), "[^a-z0-9]+"), lambda x: x != "")
     pairs = F.when(F.size("words") > 1, F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
     grams = lines.select("doc_id", "paragraph", words.alias("words")).select("doc_id", "paragraph", F.explode(F.array_distinct(F.concat("words", pairs))).alias("gram"))
     met = grams.join(F.broadcast(weights), "gram")  # rows fixed by the notices
-    summed = met.groupBy("doc_id", "paragraph").agg(*(F.sum(n).alias(n) for n in names), F.max("cue").alias("cue"), F.collect_set("gram").alias("grams"))
-    logits = [F.col(n) + F.lit(b) for n, b in zip(names, model.bias, strict=True)]
-    summed = summed.select("doc_id", "paragraph", "cue", "grams", F.array(*logits).alias("z")).withColumn("top", F.array_max("z"))
+    summed = met.groupBy("doc_id", "paragraph").agg(F.sort_array(F.collect_set(F.struct("gram", "v", "cue"))).alias("met"))
+    logit = lambda b, c: F.aggregate("met", b, lambda s, m: s + F.get(m["v"], c))
+    summed = summed.select("doc_id", "paragraph", F.array_contains(F.col("met.cue"), True).alias("cue"), F.col("met.gram").alias("grams"), F.transform(F.array(*map(F.lit, model.bias)), logit).alias("z")).withColumn("top", F.array_max("z"))
     total = F.aggregate("z", F.lit(0.0), lambda s, z: s + F.exp(z - F.col("top")))
     judged = summed.select("doc_id", "paragraph", "cue", "grams", (F.array_position("z", F.col("top")) - 1).cast("int").alias("class"), (1 / total).alias("probability"))
     unknown = len(model.classes) - 1
