@@ -70,7 +70,7 @@ def by_megabytes(batches: Iterator[pa.RecordBatch], column: str = "text", most:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def arrow_map(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str = "text", most: int = 4 << 20):
+def arrow_map(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str = "text", most: int = 3 << 20):
     """A mapInArrow function that calls f on batches of about `most` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,24 +6,15 @@ code-point class ``[^\\x20\\x09-\\x0D]+``, for those bytes occur in no longer se
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
 
 U = np.uint64
-P = U(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
-P_INVERSE = U(pow(int(P), -1, 1 << 64))
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept for reuse."""
-    have = _POWERS.get(inverse)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), P_INVERSE if inverse else P, U)
-        have[0] = U(1)
-        _POWERS[inverse] = have = np.multiply.accumulate(have)
-    return have[:n]
+P = U(0x9E3779B97F4A7C15)
+LONG = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -69,13 +60,24 @@ class Words:
         self.hash = self._hashes() if hashes else None
 
     def _hashes(self) -> np.ndarray:
-        """mix of a polynomial of the word's bytes, its length added."""
-        if not len(self.start):
-            return np.zeros(0, U)
-        total = np.zeros(len(self.buf) + 1, U)
-        np.cumsum((self.buf.astype(U) + U(1)) * powers(len(self.buf)), out=total[1:])
-        value = (total[self.end] - total[self.start]) * powers(len(self.buf) + 1, True)[self.start]
-        return mix(value + (self.end - self.start).astype(U) * U(0xD1B54A32D192ED03))
+        """mix of a polynomial of the word's bytes, its length added; words over LONG bytes by a digest of theirs."""
+        size = self.end - self.start
+        order = np.argsort(-np.minimum(size, LONG + 1).astype(np.int8), kind="stable")  # the longest first: step k takes a slice
+        start, sizes = self.start[order], size[order]
+        value = np.zeros(len(order), U)
+        left = np.cumsum(np.bincount(np.minimum(size, LONG), minlength=LONG + 1)[::-1])[::-1]  # words of k bytes or more
+        for k in range(LONG):
+            n = int(left[k + 1])
+            if not n:
+                break
+            value[:n] *= P
+            value[:n] += self.buf[start[:n] + k]
+        value = mix(value + sizes.astype(U) * U(0xD1B54A32D192ED03))
+        for k in range(int((sizes > LONG).sum())):
+            value[k] = int.from_bytes(blake2b(self.buf[start[k] : start[k] + sizes[k]].tobytes(), digest_size=8).digest())
+        out = np.empty_like(value)
+        out[order] = value
+        return out
 
     def of(self) -> np.ndarray:
         """The document of each word."""
