@@ -1,7 +1,7 @@
 """Stupid-backoff scores of documents, from bigram and unigram counts of the whole corpus.
 
-The model's vocabulary is its `vocabulary` most frequent words (a model parameter, ties in byte order); every
-other word is one more symbol, the unknown word. So a bigram is 32 bits, and unigram counts have a fixed size.
+The model's vocabulary is its most frequent words, at most `vocabulary` (a model parameter; words of one count
+are all in or all out); every other word is one more symbol, the unknown word. So a bigram is 32 bits, and unigram counts have a fixed size.
 Bigrams are dealt by hash: a task packs what its documents send to one partition into blocks of (document, its
 bigrams), the partition's blocks together are both its count table and the exploded bigrams that are joined to
 it, and each document's partial sums are added up last. A document's own bigrams are no evidence for it:
@@ -65,9 +65,17 @@ class Unigrams:
 
 
 def fit_unigrams(docs: DataFrame, vocabulary: int = VOCABULARY) -> Unigrams:
-    """Count all words; only the vocabulary (at most 65,535 rows) and the total come to the driver."""
+    """Count all words. The vocabulary is every word that occurs as often as the least count that at most
+    `vocabulary` words reach; only these words, the counts that occur and the total come to the driver."""
+    most = min(vocabulary, VOCABULARY)
     counts = saved(word_counts(docs))
-    top = counts.orderBy(F.desc("n"), "word").limit(min(vocabulary, VOCABULARY)).collect()
+    least, words = None, 0
+    for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(most + 1).collect():
+        words += r.words
+        if words > most:
+            break
+        least = r.n
+    top = counts.where(F.col("n") >= least).collect() if least is not None else []
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return Unigrams([(r.word, r.n) for r in top], int(total))
 
@@ -162,7 +170,8 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 t AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM w),
-u AS (SELECT x, count(*) AS n FROM t GROUP BY x ORDER BY n DESC, x LIMIT 65535),
+a AS (SELECT x, count(*) AS n FROM t GROUP BY x),
+u AS (SELECT x, n FROM a WHERE n >= (SELECT min(n) FROM (SELECT n, sum(count(*)) OVER (ORDER BY n DESC) AS c FROM a GROUP BY n) WHERE c <= 65535)),
 z AS (SELECT (SELECT count(*) FROM t) AS total),
 k AS (SELECT t.doc_id, t.i, CASE WHEN u.x IS NULL THEN '' ELSE u.x END AS x FROM t LEFT JOIN u ON t.x = u.x),
 c AS (SELECT x, count(*) AS n FROM k GROUP BY x),

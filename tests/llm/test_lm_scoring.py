@@ -10,7 +10,7 @@ def brute(rows, vocabulary):
     for i, t in rows:
         words.setdefault(i, []).append(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     uni = Counter(x for v in words.values() for w in v for x in w)
-    known = {w for w, _ in sorted(uni.items(), key=lambda x: (-x[1], x[0].encode()))[:vocabulary]}
+    known = {w for w, n in uni.items() if sum(m >= n for m in uni.values()) <= vocabulary}
     words = {i: [[x if x in known else "" for x in w] for w in v] for i, v in words.items()}
     uni = Counter(x for v in words.values() for w in v for x in w)
     total = sum(uni.values())
