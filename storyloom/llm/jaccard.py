@@ -3,7 +3,7 @@
 All sets are ordered by one total order: the count of an n-gram in a sketch over the whole corpus (a fixed
 table of counters that never under-counts), then its hash. Two sets of Jaccard similarity t share an n-gram
 within their first n - ceil(t n) + 1 places of that order; those places are joined. Candidates pass a length
-filter, a positional filter and a suffix filter (sizes of eight hash classes of the two sets bound their
+filter, a positional filter and a suffix filter (the sizes of 256 hash classes of the two sets bound their
 overlap) and are verified once per pair on the whole texts.
 
 Equal sets meet by fingerprint. The members of a bucket (one n-gram) are first compared with one pivot, the set
@@ -26,6 +26,7 @@ from .components import connected_components
 from .words import LOWER, U, Words, mix, ngram_hashes, starts_with_room
 
 COUNTERS, BLOCKS = 1 << 19, 64
+CLASSES = 256  # hash classes whose sizes bound an overlap
 RANKS = 1 << 12  # steps of the log count in the order
 POSITION, SIZE = 25, 26  # bits of a packed place
 
@@ -101,17 +102,17 @@ def _sums(x: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 def set_table(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, size, a 128-bit fingerprint (f1, f2) and bins, the sizes (255 at most) of eight hash classes."""
+    """doc_id, size, a 128-bit fingerprint (f1, f2) and bins, the sizes (255 at most) of CLASSES hash classes."""
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         h, start, _ = _distinct(*sets_of(b.column("text"), n), b.num_rows)
-        bins = np.zeros(b.num_rows, U)
-        for k in range(8):
-            bins |= np.minimum(_sums(((h & U(7)) == U(k)).astype(U), start), U(255)) << U(8 * k)
+        of = np.repeat(np.arange(b.num_rows), np.diff(start))
+        counts = np.bincount(of * CLASSES + (h % U(CLASSES)).astype(np.int64), minlength=b.num_rows * CLASSES)
+        bins = np.minimum(counts, 255).astype(np.uint8).reshape(b.num_rows, CLASSES)
         f1, f2 = _sums(mix(h), start), _sums(mix(h ^ U(0x5851F42D4C957F2D)), start)
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(start), pa.int64()), *(pa.array(x.view(np.int64)) for x in (f1, f2, bins))], ["doc_id", "size", "f1", "f2", "bins"])
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(start), pa.int64()), *(pa.array(x.view(np.int64)) for x in (f1, f2)), pa.array([x.tobytes() for x in bins], pa.binary())], ["doc_id", "size", "f1", "f2", "bins"])
 
-    return docs.mapInArrow(arrow_map(one), "doc_id long, size long, f1 long, f2 long, bins long")
+    return docs.mapInArrow(arrow_map(one), "doc_id long, size long, f1 long, f2 long, bins binary")
 
 
 def _need(size: np.ndarray, percent: int) -> np.ndarray:
@@ -157,15 +158,19 @@ def _may_match(p: str, q: str, percent: int) -> F.Column:
 def verified_links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
     """Of the candidate pairs (a, b), those whose sets differ and are similar enough: the suffix filter on the set
     table first, then the exact overlap of the sets of the whole texts, once for each pair."""
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("size").alias(f"size_{x}"), F.col("f1").alias(f"f1_{x}"), F.col("bins").alias(f"bins_{x}"))
-    rows = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
-    bound = F.lit(0)
-    for k in range(8):
-        part = lambda x, k=k: F.shiftrightunsigned(F.col(x), 8 * k).bitwiseAND(F.lit(255))
-        x, y = part("bins_a"), part("bins_b")
-        bound = bound + F.when((x == 255) | (y == 255), F.least("size_a", "size_b")).otherwise(F.least(x, y))
-    rows = rows.where((F.col("f1_a") != F.col("f1_b")) & ((100 + percent) * bound >= percent * (F.col("size_a") + F.col("size_b")))).select("a", "b")
-    rows = saved(rows)
+    pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    side = lambda x: only_ids(sets, pairs.select(x)).select(F.col("doc_id").alias(x), F.col("size").alias(f"size_{x}"), F.col("f1").alias(f"f1_{x}"), F.col("bins").alias(f"bins_{x}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b")
+    rows = rows.where(F.col("f1_a") != F.col("f1_b"))
+
+    def suffix_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in batches:
+            n, m = (p.column(c).to_numpy() for c in ("size_a", "size_b"))
+            x, y = (np.frombuffer(b"".join(p.column(c).to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int32) for c in ("bins_a", "bins_b"))
+            bound = np.where((x == 255) | (y == 255), np.minimum(n, m)[:, None], np.minimum(x, y)).sum(1)
+            yield p.select(["a", "b"]).filter(pa.array((100 + percent) * bound >= percent * (n + m)))
+
+    rows = saved(rows.mapInArrow(suffix_filter, "a long, b long"))
     text = lambda x: only_ids(docs, rows.select(x)).select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     rows = rows.join(text("a"), "a").join(text("b"), "b")
 
