@@ -204,10 +204,11 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     least = filled.groupBy("size", "f1", "f2").agg(F.min("doc_id").alias("b"), F.count("*").alias("copies")).where("copies > 1")
     equal = saved(filled.select("size", "f1", "f2", F.col("doc_id").alias("a")).join(least, ["size", "f1", "f2"]).where("a <> b").select("a", "b"))
     places = prefix_rows(known, n, percent, count_sketch(rows, n))
-    pivots = places.groupBy("h").agg(F.max("place").alias("pivot_place"), F.max_by("doc_id", "place").alias("pivot"), F.count("*").alias("members")).where("members > 1").drop("members")
-    shared = saved(places.join(pivots, "h"))
+    often = places.groupBy("h").agg(F.count("*").alias("members")).where("members > 1")
+    shared = saved(places.join(often, "h", "left_semi"))
     release(docs.sparkSession)
-    star = shared.where((F.col("doc_id") != F.col("pivot")) & _may_match("place", "pivot_place", percent)).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
+    pivots = shared.groupBy("h").agg(F.max("place").alias("pivot_place"), F.max_by("doc_id", "place").alias("pivot"))
+    star = shared.join(pivots, "h").where((F.col("doc_id") != F.col("pivot")) & _may_match("place", "pivot_place", percent)).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
     links = saved(equal.unionByName(verified_links(star, known, filled, n, percent)))
     release(docs.sparkSession)
     rest = _still_open(shared, links).select("h", "doc_id", "place", "component")
