@@ -116,6 +116,12 @@ def pastel(c: Column) -> Column:
     return F.concat_ws(",", byte(0), byte(1), byte(2))
 
 
+def hue(c: Column) -> Column:
+    """0 to 359: the 31-fold hash of the code points, in 32 bits, as a browser would colour a name."""
+    points = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
+    return F.pmod(F.aggregate(points, F.lit(0).cast("long"), lambda h, x: F.pmod(h * 31 + x, F.lit(1 << 32))), F.lit(360)).cast("int")
+
+
 def scene_label(chapter: Column, scene: Column) -> Column:
     return F.coalesce(F.concat(F.lit("c"), chapter.cast("string"), F.lit(":s"), scene.cast("string")), F.concat(F.lit("s"), scene.cast("string")))
 

@@ -113,3 +113,27 @@ def motif_thresholds(points: DataFrame, config: CalibrationConfig = CalibrationC
 
 def raw_confidence(adjusted: F.Column, weight: F.Column) -> F.Column:
     return N.clamped(adjusted / F.when(weight > 0, weight).otherwise(F.lit(1.0)))
+
+
+def fit_logistic(points: DataFrame, features: list[str], by: str, l2: float = 1e-3, rate: float = 0.1, steps: int = 400, most: int = 100_000) -> DataFrame:
+    """by and weights (bias first) of a logistic regression of y for each group, by batch gradient steps.
+
+    A group is one fit in one task; groups of more than `most` rows are fitted on that many of least hash (a bound
+    on the sample of a fit, not on what the fit is used for)."""
+    w = Window.partitionBy(by).orderBy(F.xxhash64(by, *features, "y"))
+    rows = points.select(by, *(F.col(c).cast("double").alias(c) for c in features), F.col("y").cast("double").alias("y")).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+
+    def fit(group):
+        import numpy as np
+        import pandas as pd
+
+        x = np.column_stack([np.ones(len(group)), group[features].to_numpy()])
+        y, v = group["y"].to_numpy(), np.zeros(len(features) + 1)
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(x @ v, -60, 60)))
+            v -= rate * (x.T @ (p - y) / len(y) + l2 * v)
+        return pd.DataFrame({by: [group[by].iloc[0]], "weights": [v.tolist()]})
+
+    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+    return rows.groupBy(by).applyInPandas(fit, StructType([rows.schema[by], StructField("weights", ArrayType(DoubleType()))]))

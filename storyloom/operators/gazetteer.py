@@ -40,16 +40,18 @@ def admitted_aliases(motifs: DataFrame, stop: DataFrame | None = None, config: G
 def hits(chunks: DataFrame, aliases: DataFrame, variant: int = 2) -> DataFrame:
     """chunk_id, motif_id, alias, nth, start, end (in the chunk), surface, text.
 
-    A chunk is tried with an alias only if it holds the alias's first word (or that word's plural where the alias
-    is one word): an equi-join on words, which Spark may broadcast if the catalog is small, in place of every
-    chunk with every alias."""
-    first = F.lower(F.regexp_extract("alias", rf"({WORD}+)", 1))
-    plural = F.col("alias").rlike(r"^\p{L}+$")
-    forms = F.when(plural, F.array(first, F.concat(first, F.lit("s")), F.concat(first, F.lit("es")))).otherwise(F.array(first))
-    keyed = aliases.where(first != "").select("motif_id", "alias", "nth", alias_pattern(F.col("alias"), variant).alias("pattern"), F.explode(F.array_distinct(forms)).alias("word"))
+    A chunk is tried with an alias only if it holds the alias's longest word (or that word's plural where the
+    pattern allows one): an equi-join on words, which Spark may broadcast if the catalog is small, in place of
+    every chunk with every alias. The other words are looked for before the pattern runs."""
+    listed = F.regexp_extract_all(F.lower("alias"), F.lit(rf"({WORD}+)"), F.lit(1))
+    longest = F.array_max(F.transform(listed, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    forms = F.when(longest == F.element_at(listed, -1), F.array(longest, F.concat(longest, F.lit("s")), F.concat(longest, F.lit("es")))).otherwise(F.array(longest))
+    keyed = aliases.where(F.size(listed) > 0).select("motif_id", "alias", "nth", listed.alias("needs"), alias_pattern(F.col("alias"), variant).alias("pattern"), F.explode(F.array_distinct(forms)).alias("word"))
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"({WORD}+)"), F.lit(1)))
     tried = chunks.select("chunk_id", F.explode(words).alias("word")).join(keyed, "word").drop("word").dropDuplicates(["chunk_id", "motif_id", "alias"])
-    found = tried.join(chunks.select("chunk_id", "text"), "chunk_id").select("*", F.explode(matches(F.col("text"), F.col("pattern"))).alias("hit"))
+    held = F.lower("text")
+    tried = tried.join(chunks.select("chunk_id", "text"), "chunk_id").where(F.forall("needs", lambda w: F.contains(held, w)))
+    found = tried.select("*", F.explode(matches(F.col("text"), F.col("pattern"))).alias("hit"))
     return found.select("chunk_id", "motif_id", "alias", "nth", F.col("hit.start").alias("start"), (F.col("hit.start") + F.length("hit.piece")).alias("end"), F.col("hit.piece").alias("surface"), "text")
 
 

@@ -50,6 +50,18 @@ def snapped(text: Column, start: Column, end: Column, most: int = 280) -> Column
     return F.struct(F.when(long, a).otherwise(low).cast("int").alias("start"), F.when(long, F.least(n, a + most)).otherwise(high).cast("int").alias("end"))
 
 
+def snapped_to_sentences(text: Column, start: Column, end: Column) -> Column:
+    """struct<start, end>: out to the sentence cuts (variant C) around the span."""
+    cuts = F.concat(F.array(F.lit(0)), F.transform(sentences(text, "C"), lambda s: s["end"]))
+    return F.struct(F.coalesce(F.array_max(F.filter(cuts, lambda c: c <= start)), F.lit(0)).alias("start"), F.coalesce(F.array_min(F.filter(cuts, lambda c: c >= end)), F.length(text)).alias("end"))
+
+
+def adopted_edits(scored: DataFrame, gain: float = 0.05, reviewer: str = "verifier") -> DataFrame:
+    """Log rows for the snapped spans (finding_id, start, end, old_score, new_score) that are enough better."""
+    rows = scored.where(F.col("new_score") - F.col("old_score") >= gain)
+    return rows.select("finding_id", F.lit("edit").alias("decision"), F.col("start").alias("corrected_start"), F.col("end").alias("corrected_end"), F.lit(reviewer).alias("reviewer"))
+
+
 def candidate_windows(sents: Column, start: Column, end: Column, config: VerifierConfig = VerifierConfig()) -> Column:
     """Distinct array<struct<start, end>>: the span itself, and runs of up to `sentences` sentences to either side
     of the one that meets it; a run that is too long is cut to `most_chars` around the span's middle."""

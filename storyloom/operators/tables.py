@@ -41,3 +41,16 @@ def update(rows: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
 
 def delete(rows: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(gone.select(*key), key, "left_anti")
+
+
+def in_listed_order(lists: DataFrame, key: str, ids: str, rows: DataFrame, id_: str, value: str) -> DataFrame:
+    """key and `values`: for each list of ids the looked-up values in the list's order; unknown ids are left out."""
+    asked = lists.select(key, F.posexplode(ids).alias("_n", id_))
+    found = asked.join(rows.select(id_, value), id_)
+    out = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_n", value))).alias("v")).select(key, F.col(f"v.{value}").alias("values"))
+    return lists.select(key).join(out, key, "left").withColumn("values", F.coalesce("values", F.array().cast(f"array<{dict(rows.dtypes)[value]}>")))
+
+
+def sampled(rows: DataFrame, id_: str, k: int, seed: int = 0) -> DataFrame:
+    """k rows by a seeded hash of their id: the same rows on every run."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), id_), id_).limit(k)

@@ -260,8 +260,9 @@ W = r"[\p{L}\p{N}_]"
 ADMITTED_SQL = MOTIFS_SQL + ", aliases AS (SELECT motif_id, min(nth) AS nth, alias FROM (SELECT motif_id, nth, trim(regexp_replace(regexp_replace(lower(trim(raw)), '\\s+', ' ', 'g'), '^[,.;:!?\"''()\\[\\]{}]+|[,.;:!?\"''()\\[\\]{}]+$', '', 'g')) AS alias FROM (SELECT motif_id, unnest([name] || aliases) AS raw, unnest(range(len(aliases) + 1)) AS nth FROM motifs)) WHERE alias <> '' AND (nth = 0 OR length(alias) >= 5) GROUP BY motif_id, alias)"
 #: Separators doubled, so that neighbours share none; then each hit is one match.
 HITS_SQL = ADMITTED_SQL + rf""", c AS (SELECT doc_id, lower(text) AS l, regexp_replace(lower(text), '([^\p{{L}}\p{{N}}_])', '\1\1', 'g') AS t FROM documents),
-p AS (SELECT *, regexp_extract(alias, '[\p{{L}}\p{{N}}_]+') AS word, '(?:^|[^\p{{L}}\p{{N}}_])' || regexp_replace(regexp_replace(alias, '([^\p{{L}}\p{{N}}_ ])', '\\\1\\\1', 'g'), ' +', '(?:[-‐-―]+\\s*|\\s+)', 'g') || CASE WHEN regexp_matches(alias, '(^|\s)\p{{L}}+$') THEN '(?:s|es)?' ELSE '' END || '(?:$|[^\p{{L}}\p{{N}}_])' AS pattern FROM aliases),
-hits AS (SELECT doc_id, motif_id, alias, nth, len(regexp_extract_all(t, pattern)) AS n FROM c JOIN p ON contains(l, word) AND regexp_matches(t, pattern))"""
+p AS (SELECT *, regexp_extract_all(alias, '[\p{{L}}\p{{N}}_]+') AS words, '(?:^|[^\p{{L}}\p{{N}}_])' || regexp_replace(regexp_replace(alias, '([^\p{{L}}\p{{N}}_ ])', '\\\1\\\1', 'g'), ' +', '(?:[-‐-―]+\\s*|\\s+)', 'g') || CASE WHEN regexp_matches(alias, '(^|\s)\p{{L}}+$') THEN '(?:s|es)?' ELSE '' END || '(?:$|[^\p{{L}}\p{{N}}_])' AS pattern FROM aliases),
+cand AS MATERIALIZED (SELECT * FROM c JOIN p ON len(list_filter(words, lambda w: NOT contains(l, w))) = 0),
+hits AS (SELECT doc_id, motif_id, alias, nth, len(regexp_extract_all(t, pattern)) AS n FROM cand WHERE regexp_matches(t, pattern))"""
 
 
 def _hits(spark, d):
@@ -795,3 +796,26 @@ def _(spark, d):
 @query("group_names", "SELECT c_nationkey AS motif_id, min(c_mktsegment) AS group_name FROM customer GROUP BY 1")
 def _(spark, d):
     return analytics.group_of(table(spark, d, "customer").select(F.col("c_nationkey").alias("motif_id"), F.col("c_mktsegment").alias("group_name")))
+
+
+@query("hues", "SELECT DISTINCT source, (list_reduce(list_prepend(0::BIGINT, list_transform(string_split(source, ''), lambda x: ord(x)::BIGINT)), lambda h, x: (h * 31 + x) % 4294967296) % 360)::INTEGER AS hue FROM documents")
+def _(spark, d):
+    return documents(spark, d).select("source").distinct().select("source", T.hue(F.col("source")).alias("hue"))
+
+
+@query("listed_lookup", "SELECT c_custkey, array_to_string([n_name for n_name in [(SELECT n_name FROM nation WHERE n_nationkey = c_nationkey), (SELECT n_name FROM nation WHERE n_nationkey = 3)] if n_name IS NOT NULL], '|') AS names FROM customer")
+def _(spark, d):
+    lists = table(spark, d, "customer").select("c_custkey", F.array(F.col("c_nationkey").cast("long"), F.lit(3).cast("long"), F.lit(-1).cast("long")).alias("ids"))
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), "n_name")
+    return tables.in_listed_order(lists, "c_custkey", "ids", n, "id", "n_name").select("c_custkey", F.array_join("values", "|").alias("names"))
+
+
+@query("sentence_snap", r"""WITH p AS (SELECT doc_id, length(text) AS n, string_split(regexp_replace(text, '((?:[.!?]|—)+\s+)', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents), q AS (SELECT doc_id, n, unnest(p) AS s, unnest(range(len(p))) AS i FROM p), c AS (SELECT doc_id, n, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM q) SELECT doc_id, coalesce(max(c) FILTER (c <= 60), 0)::INTEGER AS s_start, coalesce(min(c) FILTER (c >= 90), n)::INTEGER AS s_end FROM c WHERE n > 100 GROUP BY doc_id, n""")
+def _(spark, d):
+    s = spans.snapped_to_sentences(F.col("text"), F.lit(60), F.lit(90))
+    return documents(spark, d).where("length(text) > 100").select("doc_id", s["start"].alias("s_start"), s["end"].alias("s_end"))
+
+
+@query("logistic_fits")
+def _(spark, d):
+    return calibrate.fit_logistic(points(spark, d), ["confidence"], "motif_id", steps=100)
