@@ -75,11 +75,11 @@ def truncated(c: Column, n: int) -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n - 1), F.lit("…"))).otherwise(c)
 
 
-def excerpt(c: Column, start: Column, end: Column, before: int = 60, after: int = 60) -> Column:
-    """White-space-collapsed surroundings of a span, with an ellipsis where text was left out."""
+def excerpt(c: Column, start: Column, end: Column, before: int = 160, after: int = 160) -> Column:
+    """The surroundings of a span on one line, with an ellipsis where text was left out."""
     a, b = F.greatest(F.lit(0), start - before), F.least(F.length(c), end + after)
-    body = F.trim(F.regexp_replace(c.substr(a + 1, b - a), r"\s+", " "))
-    return F.concat(F.when(a > 0, F.lit("…")).otherwise(F.lit("")), body, F.when(b < F.length(c), F.lit("…")).otherwise(F.lit("")))
+    left, right = (F.when(x, F.lit("…")).otherwise(F.lit("")) for x in (a > 0, b < F.length(c)))
+    return F.regexp_replace(F.regexp_replace(F.concat(left, c.substr(a + 1, b - a), right), r"^\s+|\s+$", ""), r"\s+", " ")
 
 
 def escaped_html(c: Column) -> Column:
@@ -99,21 +99,24 @@ def escaped_csv(c: Column) -> Column:
 
 
 def display_quotes(c: Column) -> Column:
-    """Letters that a wrong code page made of quotes and an ellipsis's kin."""
-    return F.translate(c, "ÒÓÕÔÊ", "“”’‘ ")
+    """Letters that a wrong code page made of quotes and dashes (fixed values)."""
+    return F.translate(c, "ÒÓÕÔÊ", "“”’——")
 
 
 def parsed_edit(expr: Column, start: Column, end: Column) -> Column:
-    """struct<start, end> of an edit: absolute `a,b`, or relative `+a,-b`; null where it is neither."""
-    part = lambda k: F.regexp_extract(expr, r"^\s*([+-]?\d+)\s*,\s*([+-]?\d+)\s*$", k)
-    one = lambda k, now: F.when(part(k).rlike("^[+-]"), now + part(k).cast("int")).otherwise(part(k).cast("int"))
+    """struct<start, end> of an edit: absolute `a,b` or `a b`, relative if either number has a sign (`+a,-b`); null
+    where it is neither."""
+    part = lambda k: F.regexp_extract(expr, r"^\s*([+-]?\d+)\s*[, ]\s*([+-]?\d+)\s*$", k)
+    signed = part(1).rlike("^[+-]") | part(2).rlike("^[+-]")
+    one = lambda k, now: F.when(signed, now + part(k).cast("int")).otherwise(part(k).cast("int"))
     return F.when(part(1) != "", F.struct(one(1, start).alias("start"), one(2, end).alias("end")))
 
 
-def pastel(c: Column) -> Column:
-    """`r,g,b` from the first bytes of the md5, each mixed with white."""
-    byte = lambda k: F.floor((F.conv(F.substring(F.md5(c.cast("binary")), 2 * k + 1, 2), 16, 10).cast("int") + 255) / 2).cast("string")
-    return F.concat_ws(",", byte(0), byte(1), byte(2))
+def pastel(c: Column, alpha: str = "0.45") -> Column:
+    """`rgba(r,g,b,alpha)` from the first 24 bits of the md5: five bits for each channel on a light base."""
+    h = F.conv(F.substring(F.md5(c.cast("binary")), 1, 6), 16, 10).cast("int")
+    channel = lambda base, shift: (F.lit(base) + F.shiftright(h, shift).bitwiseAND(F.lit(31))).cast("string")
+    return F.concat(F.lit("rgba("), F.concat_ws(",", channel(180, 0), channel(170, 5), channel(160, 10)), F.lit(f",{alpha})"))
 
 
 def hue(c: Column) -> Column:

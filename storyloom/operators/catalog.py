@@ -7,13 +7,14 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from storyloom.functions.text import normalize_alias, split_list
 
 from .tables import upsert
 
 ALIAS_CHARS, ALIASES = 40, 12
+#: Fixed values.
 BARRED = ("trope", "cliche", "stereotype")
 
 
@@ -23,6 +24,11 @@ def ascii_folded(x):
     return x.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode())
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def ascii_folded_list(x):
+    return x.map(lambda a: None if a is None else [unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode() for s in a if s is not None])
+
+
 @F.pandas_udf(StringType())
 def motif_uuid(x):
     """The name-based id of a motif: UUID version 5 of `trope:<lower-case name>` in the URL namespace."""
@@ -50,11 +56,14 @@ def groups(rows: DataFrame, column: str = "groups") -> tuple[DataFrame, DataFram
     return listed.groupBy("group_id").agg(F.min("name").alias("name")), listed.select("motif_id", "group_id").distinct()
 
 
-def cleaned_aliases(aliases: Column, name: Column) -> Column:
-    """Distinct normalized aliases of two characters or more, without the name, barred words and quotes; 12 at most."""
-    flat = F.transform(aliases, lambda a: F.rtrim(F.substring(normalize_alias(F.regexp_replace(a, "[\"“”]", "")), 1, ALIAS_CHARS)))
-    kept = F.filter(flat, lambda a: (F.length(a) >= 2) & (a != normalize_alias(name)) & ~a.isin(*BARRED))
-    return F.slice(F.array_distinct(kept), 1, ALIASES)
+def cleaned_aliases(rows: DataFrame, aliases: str = "aliases", name: str = "name", out: str = "clean") -> DataFrame:
+    """rows with `out`: distinct aliases, folded to ASCII, normalized and cut to 40 characters: those of two
+    characters or more, without the name, barred words and any with a quote inside; 12 at most."""
+    both = F.concat(F.array(F.coalesce(name, F.lit(""))), F.coalesce(aliases, F.array().cast("array<string>")))
+    folded = rows.withColumn("_folded", ascii_folded_list(both))
+    flat = F.transform("_folded", lambda a: F.rtrim(F.substring(normalize_alias(a), 1, ALIAS_CHARS)))
+    kept = F.filter(F.slice(flat, 2, F.size(flat)), lambda a: (F.length(a) >= 2) & (a != F.get(flat, F.lit(0))) & ~a.isin(*BARRED) & ~a.rlike("[\"'`]"))
+    return folded.withColumn(out, F.slice(F.array_distinct(kept), 1, ALIASES)).drop("_folded")
 
 
 def merged_aliases(old: Column, new: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from storyloom.config import VerifierConfig
 from storyloom.functions import numbers as N
-from storyloom.functions.text import DASHES, META_CUES, NEGATION, STRONG_NEGATION, WORD
+from storyloom.functions.text import DASHES, META_CUES, NEGATION, STRONG_NEGATION, WORD, matches
 
 from .gazetteer import alias_pattern
 from .segment import sentences
@@ -32,22 +32,26 @@ def first_overlapping(sents: Column, start: Column, end: Column) -> Column:
 def sentence_of(sents: Column, start: Column, end: Column) -> Column:
     """struct<start, end> of the sentence that holds the span's middle, else the one whose centre is nearest."""
     middle = F.floor((start + end) / 2)
-    ranked = F.transform(sents, lambda s, i: F.struct((~((s["start"] <= middle) & (middle < s["end"]))).cast("int").alias("out"), F.abs((s["start"] + s["end"]) / 2 - middle).alias("far"), i.alias("i"), s["start"].alias("start"), s["end"].alias("end")))
+    ranked = F.transform(sents, lambda s, i: F.struct((~((s["start"] <= middle) & (middle < s["end"]))).cast("int").alias("out"), F.abs(F.floor((s["start"] + s["end"]) / 2) - middle).cast("double").alias("far"), i.alias("i"), s["start"].alias("start"), s["end"].alias("end")))
     best = F.array_min(F.transform(ranked, lambda s: F.struct(s["out"].alias("out"), F.when(s["out"] == 0, F.lit(0.0)).otherwise(s["far"]).alias("far"), s["i"].alias("i"), s["start"].alias("start"), s["end"].alias("end"))))
     return F.struct(best["start"].alias("start"), best["end"].alias("end"))
 
 
 def snapped(text: Column, start: Column, end: Column, most: int = 280) -> Column:
-    """struct<start, end>: out to the last sentence boundary at or before the start and the first at or after the
-    end; if that is longer than `most`, a window of `most` around the middle."""
-    cuts = F.transform(sentences(text, "D"), lambda s: s["end"])
-    n = F.length(text)
-    low = F.coalesce(F.array_max(F.filter(cuts, lambda c: (c <= start) & (c < n))), F.lit(0))
-    high = F.coalesce(F.array_min(F.filter(cuts, lambda c: c >= end)), n)
-    middle = F.floor((start + end) / 2).cast("int")
-    a = F.greatest(F.lit(0), middle - most // 2)
-    long = high - low > most
-    return F.struct(F.when(long, a).otherwise(low).cast("int").alias("start"), F.when(long, F.least(n, a + most)).otherwise(high).cast("int").alias("end"))
+    """struct<start, end>: out to the end of the last boundary before the start and of the first one that begins at or
+    after the end; if that is longer than `most`, a window of `most` around the middle of the span."""
+    a, b = N.clipped(start, end, F.length(text))
+
+    def fit(v: Column) -> Column:
+        low = F.coalesce(F.array_max(F.filter(F.transform(v["m"], lambda m: m["start"] + F.length(m["piece"])), lambda c: c <= v["a"])), F.lit(0))
+        high = F.coalesce(F.array_min(F.transform(F.filter(v["m"], lambda m: m["start"] >= v["b"]), lambda m: m["start"] + F.length(m["piece"]))), v["n"])
+        size = F.least(F.lit(most), v["n"])
+        left = F.greatest(F.lit(0), F.least(F.floor((v["a"] + v["b"]) / 2) - F.floor(size / 2), v["n"] - size))
+        long = high - low > size
+        return F.struct(F.when(long, left).otherwise(low).cast("int").alias("start"), F.when(long, left + size).otherwise(high).cast("int").alias("end"))
+
+    held = F.array(F.struct(matches(text, r"[.!?]\"?\s").alias("m"), a.alias("a"), b.alias("b"), F.length(text).alias("n")))
+    return F.get(F.transform(held, fit), F.lit(0))
 
 
 def snapped_to_sentences(text: Column, start: Column, end: Column) -> Column:
@@ -62,24 +66,25 @@ def adopted_edits(scored: DataFrame, gain: float = 0.05, reviewer: str = "verifi
     return rows.select("finding_id", F.lit("edit").alias("decision"), F.col("start").alias("corrected_start"), F.col("end").alias("corrected_end"), F.lit(reviewer).alias("reviewer"))
 
 
-def candidate_windows(sents: Column, start: Column, end: Column, config: VerifierConfig = VerifierConfig()) -> Column:
-    """Distinct array<struct<start, end>>: the span itself, and runs of up to `sentences` sentences to either side
-    of the one that meets it; a run that is too long is cut to `most_chars` around the span's middle."""
-    numbers = range(config.sentences + 1)
+def candidate_windows(sents: Column, start: Column, end: Column, n: Column, config: VerifierConfig = VerifierConfig()) -> Column:
+    """Distinct array<struct<start, end>> in a text of n characters: the span itself, and from the sentence that meets
+    it up to `sentences` more to one side; what is too long is cut to `most_chars` around the span's middle."""
+    steps = range(-config.sentences, config.sentences + 1)
 
     def windows(v: Column) -> Column:
         """v: one struct that holds the sentences and what is computed from them, so that each is computed once."""
-        half = config.most_chars // 2
 
-        def run(low: Column, high: Column) -> Column:
-            a, b = F.get(v["s"], F.greatest(F.lit(0), low))["start"], F.get(v["s"], F.least(F.size(v["s"]) - 1, high))["end"]
-            from_ = F.greatest(a, F.least(v["middle"] - half, b - config.most_chars))
+        def run(k: int) -> Column:
+            here = F.get(v["s"], v["at"])
+            there = F.get(v["s"], F.greatest(F.lit(0), F.least(F.size(v["s"]) - 1, v["at"] + k)))
+            a, b = F.least(here["start"], there["start"]), F.greatest(here["end"], there["end"])
+            from_ = F.greatest(F.lit(0), F.least(v["middle"] - config.most_chars // 2, v["n"] - config.most_chars))
             long = b - a > config.most_chars
-            return F.struct(F.when(long, from_).otherwise(a).cast("int").alias("start"), F.when(long, from_ + config.most_chars).otherwise(b).cast("int").alias("end"))
+            return F.struct(F.when(long, from_).otherwise(a).cast("int").alias("start"), F.when(long, F.least(v["n"], from_ + config.most_chars)).otherwise(b).cast("int").alias("end"))
 
-        return F.array(*(run(v["at"] - i, v["at"] + j) for i in numbers for j in numbers if i == 0 or j == 0 or i == j))
+        return F.array(*map(run, steps))
 
-    held = F.transform(F.array(sents), lambda s: F.struct(s.alias("s"), first_overlapping(s, start, end).alias("at"), F.floor((start + end) / 2).cast("int").alias("middle")))
+    held = F.transform(F.array(sents), lambda s: F.struct(s.alias("s"), first_overlapping(s, start, end).alias("at"), F.floor((start + end) / 2).cast("int").alias("middle"), n.alias("n")))
     own = F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end")))
     return F.array_distinct(F.concat(own, F.flatten(F.transform(held, windows))))
 
@@ -102,8 +107,8 @@ def verified(scored: DataFrame, config: VerifierConfig = VerifierConfig()) -> Da
 def cue_flags(rows: DataFrame, alias: str | None = None, config: VerifierConfig = VerifierConfig()) -> DataFrame:
     """Adds neg, meta, anti, verifier_flag and verified_confidence from the window around [start, end) of text.
 
-    With a column `alias`, `not` within 16 characters of a hit of it counts as negation, and `anti` before one as
-    an anti form."""
+    With a column `alias`, `not` within 16 characters of a hit of it counts as negation, and only `anti` right before
+    one as an anti form."""
     w = config.window
     low = F.greatest(F.lit(0), F.col("start") - w)
     window = F.col("text").substr(low + 1, F.least(F.length("text"), F.col("end") + w) - low)
@@ -111,8 +116,9 @@ def cue_flags(rows: DataFrame, alias: str | None = None, config: VerifierConfig
     anti = window.rlike(rf"(?iu)(?<!{WORD})anti(?:[{DASHES}]|\s)+")
     if alias:
         body = F.regexp_replace(alias_pattern(F.col(alias)), r"^\(\?iu\)", "")
-        near = F.concat(F.lit(rf"(?iu)(?s)(\bnot\b.{{0,13}}{''}"), body, F.lit("|"), body, F.lit(r".{0,13}\bnot\b)"))
+        near = F.concat(F.lit(r"(?iu)(?s)(\bnot\b.{0,13}"), body, F.lit("|"), body, F.lit(r".{0,13}\bnot\b)"))
         neg = neg | F.regexp(window, near)
+        anti = F.regexp(window, F.concat(F.lit(rf"(?iu)(?<!{WORD})anti(?:[{DASHES}]\s*|\s+)"), body))
     rows = rows.withColumn("neg", neg).withColumn("meta", meta).withColumn("anti", anti)
     flag = F.when(F.col("neg") & F.col("anti"), "negation_anti").when(F.col("neg"), "negation_cue").when(F.col("anti"), "anti_alias").when(F.col("meta"), "meta_cue")
     factor = F.when(F.col("neg"), config.negation_factor).otherwise(1.0) * F.when(F.col("meta"), config.meta_factor).otherwise(1.0) * F.when(F.col("anti"), config.anti_factor).otherwise(1.0)

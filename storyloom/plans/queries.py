@@ -198,9 +198,13 @@ def _(spark, d):
     return m.select("motif_id", F.array_join(F.sort_array("a"), "|").alias("merged"))
 
 
-@query("alias_clean", f"WITH {MOTIFS_SQL} SELECT motif_id, list_filter([name] || aliases, lambda x: len(x) >= 0)[1] AS name, (len(list_distinct(list_filter(list_transform(aliases || aliases, lambda a: trim(regexp_replace(regexp_replace(lower(trim(a)), '\\s+', ' ', 'g'), '^[,.;:!?\"''()\\[\\]{{}}]+|[,.;:!?\"''()\\[\\]{{}}]+$', '', 'g'))), lambda a: length(a) >= 2 AND a <> name))))::INTEGER AS kept FROM motifs")
+ALIAS_SQL = r"trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(strip_accents(a), '[^\x00-\x7f]', '', 'g'))), '\s+', ' ', 'g'), '^[,.;:!?\"''()\[\]{}]+|[,.;:!?\"''()\[\]{}]+$', '', 'g'))".replace('\\"', '"')
+
+
+@query("alias_clean", f"WITH {MOTIFS_SQL}, c AS (SELECT motif_id, name, list_transform(aliases || aliases || [name], lambda a: {ALIAS_SQL}) AS l, list_transform([name], lambda a: {ALIAS_SQL})[1] AS n FROM motifs) SELECT motif_id, name, len(list_distinct(list_filter(l, lambda x: length(x) >= 2 AND x <> n)))::INTEGER AS kept FROM c")
 def _(spark, d):
-    return motifs(spark, d).select("motif_id", "name", F.size(catalog.cleaned_aliases(F.concat("aliases", "aliases"), F.col("name"))).alias("kept"))
+    m = motifs(spark, d)
+    return catalog.cleaned_aliases(m.withColumn("aliases", F.concat("aliases", "aliases", F.array("name")))).select("motif_id", "name", F.size("clean").alias("kept"))
 
 
 @query("motif_texts", f"WITH {MOTIFS_SQL} SELECT motif_id, name || '  — ' || trim(summary) || '  Aliases: ' || array_to_string(list_filter(aliases, lambda a: length(a) <= 40), ', ') AS entry, name || '. ' || trim(summary) AS query_text FROM motifs")
@@ -229,7 +233,7 @@ def _(spark, d):
     return e.select("event_id", T.extract_json(said, "k int")["k"].alias("k"))
 
 
-@query("excerpts", r"SELECT doc_id, CASE WHEN 100 - 20 > 0 AND length(text) > 80 THEN '…' ELSE '' END || trim(regexp_replace(substr(text, 81, greatest(0, least(length(text), 150) - 80)), '\s+', ' ', 'g')) || CASE WHEN 150 < length(text) THEN '…' ELSE '' END AS cut FROM documents WHERE length(text) > 130")
+@query("excerpts", r"SELECT doc_id, regexp_replace(regexp_replace('…' || substr(text, 81, least(length(text), 150) - 80) || CASE WHEN 150 < length(text) THEN '…' ELSE '' END, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') AS cut FROM documents WHERE length(text) > 130")
 def _(spark, d):
     return documents(spark, d).where("length(text) > 130").select("doc_id", T.excerpt(F.col("text"), F.lit(100), F.lit(130), 20, 20).alias("cut"))
 
@@ -249,7 +253,7 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", sha(T.escaped_html(h)).alias("html_sha"), sha(T.escaped_xml(h)).alias("xml_sha"), sha(T.escaped_csv(h)).alias("csv_sha"))
 
 
-@query("pastel_colours", "SELECT DISTINCT source, ((('0x' || substr(md5(source), 1, 2))::INTEGER + 255) // 2)::VARCHAR || ',' || ((('0x' || substr(md5(source), 3, 2))::INTEGER + 255) // 2)::VARCHAR || ',' || ((('0x' || substr(md5(source), 5, 2))::INTEGER + 255) // 2)::VARCHAR AS rgb FROM documents")
+@query("pastel_colours", "SELECT DISTINCT source, 'rgba(' || (180 + (h & 31)) || ',' || (170 + ((h >> 5) & 31)) || ',' || (160 + ((h >> 10) & 31)) || ',0.45)' AS rgb FROM (SELECT source, ('0x' || substr(md5(source), 1, 6))::BIGINT AS h FROM documents)")
 def _(spark, d):
     return documents(spark, d).select("source").distinct().select("source", T.pastel(F.col("source")).alias("rgb"))
 
@@ -522,13 +526,13 @@ def _(spark, d):
     return documents(spark, d).select("doc_id", spans.first_overlapping(s, F.lit(50), F.lit(90)).cast("int").alias("i"))
 
 
-@query("nearest_sentence", f"WITH {SENT_LIST_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN x <= 70 AND 70 < y THEN 0 ELSE 1 END, CASE WHEN x <= 70 AND 70 < y THEN 0 ELSE abs((x + y) / 2.0 - 70) END, i) AS n FROM sents) SELECT doc_id, x AS s_start, y AS s_end FROM r WHERE n = 1")
+@query("nearest_sentence", f"WITH {SENT_LIST_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN x <= 70 AND 70 < y THEN 0 ELSE 1 END, CASE WHEN x <= 70 AND 70 < y THEN 0 ELSE abs((x + y) // 2 - 70) END, i) AS n FROM sents) SELECT doc_id, x AS s_start, y AS s_end FROM r WHERE n = 1")
 def _(spark, d):
     s = spans.sentence_of(segment.sentences(F.col("text")), F.lit(50), F.lit(90))
     return documents(spark, d).select("doc_id", s["start"].alias("s_start"), s["end"].alias("s_end"))
 
 
-@query("span_snap", r"""WITH p AS (SELECT doc_id, length(text) AS n, string_split(regexp_replace(text, '([.!?]"?\s)', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents), q AS (SELECT doc_id, n, unnest(p) AS s, unnest(range(len(p))) AS i FROM p), c AS (SELECT doc_id, n, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM q), b AS (SELECT doc_id, n, coalesce(max(c) FILTER (c <= 150 AND c < n), 0) AS lo, coalesce(min(c) FILTER (c >= 200), n) AS hi FROM c GROUP BY doc_id, n) SELECT doc_id, (CASE WHEN hi - lo > 280 THEN 35 ELSE lo END)::INTEGER AS s_start, (CASE WHEN hi - lo > 280 THEN least(n, 315) ELSE hi END)::INTEGER AS s_end FROM b WHERE n > 220""")
+@query("span_snap", r"""WITH p AS (SELECT doc_id, length(text) AS n, string_split(regexp_replace(text, '([.!?]"?\s)', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS p FROM documents), q AS (SELECT doc_id, n, unnest(p) AS s, unnest(range(len(p))) AS i FROM p), c AS (SELECT doc_id, n, i, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i) AS c, length(s) AS l FROM q), b AS (SELECT doc_id, n, coalesce(max(c) FILTER (i % 2 = 1 AND c <= 150), 0) AS lo, coalesce(min(c) FILTER (i % 2 = 1 AND c - l >= 200), n) AS hi, least(280, n) AS size FROM c GROUP BY doc_id, n) SELECT doc_id, (CASE WHEN hi - lo > size THEN greatest(0, least(175 - size // 2, n - size)) ELSE lo END)::INTEGER AS s_start, (CASE WHEN hi - lo > size THEN greatest(0, least(175 - size // 2, n - size)) + size ELSE hi END)::INTEGER AS s_end FROM b WHERE n > 220""")
 def _(spark, d):
     s = spans.snapped(F.col("text"), F.lit(150), F.lit(200))
     return documents(spark, d).where("length(text) > 220").select("doc_id", s["start"].alias("s_start"), s["end"].alias("s_end"))
@@ -536,7 +540,7 @@ def _(spark, d):
 
 @query("candidate_windows")
 def _(spark, d):
-    w = spans.candidate_windows(segment.sentences(F.col("text")), F.lit(50), F.lit(90))
+    w = spans.candidate_windows(segment.sentences(F.col("text")), F.lit(50), F.lit(90), F.length("text"))
     rows = documents(spark, d).select("doc_id", F.explode(w).alias("w"))
     return rows.select("doc_id", F.col("w.start").alias("s_start"), F.col("w.end").alias("s_end"))
 

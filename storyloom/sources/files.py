@@ -80,8 +80,15 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
 
 
-#: Words too common to stand for a motif, next to those of a file.
-STOP_WORDS = ("power", "family", "secret", "friend", "mother", "father", "house", "night", "water", "world")
+#: Words too common to stand for a motif, next to those of a file.
+STOP_WORDS = (
+    "hero", "villain", "power", "fight", "battle", "magic", "love", "war",
+    "secret", "plan", "agent", "mystery", "weapon", "girl", "boy",
+    "night", "day", "city", "king", "queen", "man", "woman", "monster", "beast",
+    "darkness", "light", "death", "life", "friend", "enemy", "revenge", "curse",
+    "buddy", "backup", "job", "serious", "calm", "opposite", "haunted",
+    "first glance",
+)
 
 
 def read_stop_words(spark: SparkSession, path: str | None = None) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from storyloom.operators import analytics
 
-FINDING_COLUMNS = ["finding_id", "work_id", "chapter", "scene", "motif_id", "motif", "level", "confidence", "start", "end", "sentence", "rationale", "verifier_score", "verifier_flag"]
+#: The columns of the export, in order.
+FINDING_COLUMNS = ["id", "work_id", "scene_idx", "chapter_idx", "trope", "level", "confidence", "created_at", "model", "evidence_start", "evidence_end", "excerpt", "evidence_sentence", "rationale"]
 GRAPHML_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="count" for="node" attr.name="count" attr.type="int"/><key id="weight" for="edge" attr.name="weight" attr.type="int"/><graph edgedefault="undirected">'
 
 

@@ -70,9 +70,9 @@ def test_latest_ties(spark):
 
 
 def test_flags(spark):
-    rows = spark.createDataFrame([(1, "a never seen anti-x thing here", 2, 8, 1.0, "x"), (2, "it is not quite the hero yet", 20, 24, 1.0, "hero"), (3, "plain", 0, 5, 1.0, "hero"), (4, "such a CLICHÉ here", 0, 4, 1.0, "z")], "id int, text string, start int, end int, confidence double, alias string")
+    rows = spark.createDataFrame([(1, "a never seen anti-x thing here", 2, 8, 1.0, "x"), (5, "an anti-war x", 2, 8, 1.0, "x"), (2, "it is not quite the hero yet", 20, 24, 1.0, "hero"), (3, "plain", 0, 5, 1.0, "hero"), (4, "such a CLICHÉ here", 0, 4, 1.0, "z")], "id int, text string, start int, end int, confidence double, alias string")
     got = {r.id: (r.verifier_flag, round(r.verified_confidence, 3)) for r in spans.cue_flags(rows, "alias").collect()}
-    assert got == {1: ("negation_anti", 0.3), 2: ("negation_cue", 0.6), 3: (None, 1.0), 4: ("meta_cue", 0.75)}
+    assert got == {1: ("negation_anti", 0.3), 2: ("negation_cue", 0.6), 3: (None, 1.0), 4: ("meta_cue", 0.75), 5: (None, 1.0)}
 
 
 def test_calibration_edges(spark):

@@ -40,7 +40,7 @@ def test_lists_and_json(spark):
 def test_small_strings(spark):
     assert run(spark, ["abcdef", "abc", None], lambda c: T.truncated(c, 4)) == ["abc…", "abc", None]
     assert run(spark, ['  "The Fool!" ', "a  b"], T.normalize_alias) == ["the fool", "a b"]
-    assert run(spark, ["5,9", "+2,-3", "x"], lambda c: T.parsed_edit(c, F.lit(10), F.lit(20))) == [(5, 9), (12, 17), None]
+    assert run(spark, ["5 9", "+2,-3", "x"], lambda c: T.parsed_edit(c, F.lit(10), F.lit(20))) == [(5, 9), (12, 17), None]
     assert run(spark, ["a<b & 'c'"], T.escaped_html) == ["a&lt;b &amp; &#x27;c&#x27;"]
     assert run(spark, ['a"b', "a,b", "ab"], T.escaped_csv) == ['"a""b"', '"a,b"', "ab"]
     assert run(spark, ["ÒhiÓ"], T.display_quotes) == ["“hi”"]
@@ -48,8 +48,9 @@ def test_small_strings(spark):
 
 
 def test_aliases(spark):
-    got = run(spark, [["The Hero", "hero", "a", "Trope", "“Fool”", "x" * 60, "fool"]], lambda c: catalog.cleaned_aliases(c, F.lit("Hero")), "array<string>")
-    assert got == [["the hero", "fool", "x" * 40]]
+    rows = spark.createDataFrame([(["The Hero", "hero", "a", "Trope", '"Fool"', "x" * 60, "fool", "dev'il", "ﬁne"], "Hero")], "aliases array<string>, name string")
+    got = [r.clean for r in catalog.cleaned_aliases(rows).collect()]
+    assert got == [["the hero", "fool", "x" * 40, "fine"]]
     assert run(spark, ["Ünïcode ﬁ", None], lambda c: catalog.ascii_folded(c)) == ["Unicode fi", None]
     ids = run(spark, ["The Hero", " the hero "], lambda c: catalog.motif_uuid(c))
     assert ids[0] == ids[1] and re.fullmatch(r"[0-9a-f-]{14}5[0-9a-f-]{21}", ids[0])
