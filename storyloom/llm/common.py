@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from .words import mix
 
 
+#: Text in one numpy batch. A task may hold two Python workers, each with a dozen arrays over its batch.
+BATCH_BYTES = 2 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,7 +44,16 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/storyloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a saved table that nothing will read again."""
+    spark = df.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
@@ -50,7 +63,7 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text") if as_is else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def by_megabytes(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def by_megabytes(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut and join record batches so that each holds about `most` bytes of `column` (one longer row stands alone)."""
     held: list[pa.RecordBatch] = []
     size = 0
@@ -70,7 +83,7 @@ def by_megabytes(batches: Iterator[pa.RecordBatch], column: str = "text", most:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def arrow_map(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str = "text", most: int = 3 << 20):
+def arrow_map(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str = "text", most: int = BATCH_BYTES):
     """A mapInArrow function that calls f on batches of about `most` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,7 +28,8 @@ def connected_components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     for _ in range(rounds):
-        now = saved(_small_star(_large_star(now)))
+        before, now = now, saved(_small_star(_large_star(now)))
+        discard(before)
         count, total = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if (count, total) == mark:
             break

@@ -265,7 +265,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, share: float = 0.2) ->
             d, i, e, n, s = matches(b.column("text"), items)
             return pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(d)), pa.array(items.ids[i] if len(i) else i), pa.array(e, pa.int32()), pa.array(n, pa.int32()), pa.array(s, pa.int32())], ["doc_id", "item_id", "distance", "item_words", "start_word"])
 
-        part = rows.mapInArrow(arrow_map(one), MATCH_SCHEMA)
+        part = rows.mapInArrow(arrow_map(one, most=3 << 20), MATCH_SCHEMA)
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -279,7 +279,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.2)
             keep[matches(b.column("text").cast(pa.string()), items)[0]] = False
             return b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(arrow_map(one), docs.schema)
+        docs = docs.mapInArrow(arrow_map(one, most=3 << 20), docs.schema)
     return docs
 
 
