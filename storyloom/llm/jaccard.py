@@ -202,16 +202,19 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     known = rows.where("doc_id is not null")
     filled = sets.where("doc_id is not null and size > 0")
     least = filled.groupBy("size", "f1", "f2").agg(F.min("doc_id").alias("b"), F.count("*").alias("copies")).where("copies > 1")
+    least = saved(least)
     equal = saved(filled.select("size", "f1", "f2", F.col("doc_id").alias("a")).join(least, ["size", "f1", "f2"]).where("a <> b").select("a", "b"))
     places = prefix_rows(known, n, percent, count_sketch(rows, n))
-    often = places.groupBy("h").agg(F.count("*").alias("members")).where("members > 1")
+    # Sums are saved before they are joined: Spark splits a join's hot keys only where both sides come straight from a shuffle.
+    often = saved(places.groupBy("h").agg(F.count("*").alias("members")).where("members > 1").select("h"))
+    release(docs.sparkSession)
     shared = saved(places.join(often, "h", "left_semi"))
     release(docs.sparkSession)
-    pivots = shared.groupBy("h").agg(F.max("place").alias("pivot_place"), F.max_by("doc_id", "place").alias("pivot"))
+    pivots = saved(shared.groupBy("h").agg(F.max("place").alias("pivot_place"), F.max_by("doc_id", "place").alias("pivot")))
     star = shared.join(pivots, "h").where((F.col("doc_id") != F.col("pivot")) & _may_match("place", "pivot_place", percent)).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
     links = saved(equal.unionByName(verified_links(star, known, filled, n, percent)))
     release(docs.sparkSession)
-    rest = _still_open(shared, links).select("h", "doc_id", "place", "component")
+    rest = saved(_still_open(shared, links).select("h", "doc_id", "place", "component"))
     other = rest.select("h", F.col("doc_id").alias("b"), F.col("place").alias("place_b"), F.col("component").alias("component_b"))
     crossing = rest.join(other, "h").where((F.col("component") < F.col("component_b")) & _may_match("place", "place_b", percent)).select(F.col("doc_id").alias("a"), "b")
     links = links.unionByName(verified_links(crossing, known, filled, n, percent))
@@ -221,8 +224,9 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 def _still_open(shared: DataFrame, links: DataFrame) -> DataFrame:
     """Rows of the buckets whose members lie in more than one component, with the component of each."""
     of = connected_components(links).select("doc_id", "component_id")
-    rows = shared.join(of, "doc_id", "left").withColumn("component", F.coalesce("component_id", "doc_id")).drop("component_id")
+    rows = saved(shared.join(of, "doc_id", "left").withColumn("component", F.coalesce("component_id", "doc_id")).drop("component_id"))
     mixed = rows.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
+    mixed = saved(mixed)
     return rows.join(mixed, "h", "left_semi")
 
 
