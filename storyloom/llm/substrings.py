@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import arrow_map, id_and_text, table
+from .common import arrow_map, id_and_text, release, saved, table
 from .words import U, Words, mix, ngram_hashes, starts_with_room
 
 WINDOW, GRAM = 20, 8
@@ -79,7 +79,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
         return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), ids, pa.array(n, pa.int32())], ["h", "doc_id", "n"])
 
     found = rows.mapInArrow(arrow_map(count), "h long, doc_id long, n int")
-    often = found.groupBy("h").agg(F.sum("n").alias("total")).where("total > 1")
+    often = saved(found.groupBy("h").agg(F.sum("n").alias("total")).where("total > 1"))  # saved, so that Spark may split the join's hot keys
+    release(docs.sparkSession)
     heavy = F.when(F.col("total") > HEAVY, F.col("h"))
     of_doc = found.select("h", "doc_id").join(often, "h").groupBy("doc_id").agg(F.collect_list("h").alias("hs"), F.collect_list(heavy).alias("heavy"))
 
