@@ -1,5 +1,3 @@
-import datetime
-import json
 import re
 
 import pytest
