@@ -10,6 +10,14 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
 
 
+def cosine_of_common(a: Column, b: Column) -> Column:
+    """The cosine over the places that both have; 0 where a norm is 0."""
+    n = F.least(F.size(a), F.size(b))
+    x, y = F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n)
+    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(norm > 0, dot(x, y) / norm).otherwise(F.lit(0.0))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """0 where either is empty, of zero length, or the sizes differ."""
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))

@@ -115,6 +115,19 @@ def raw_confidence(adjusted: F.Column, weight: F.Column) -> F.Column:
     return N.clamped(adjusted / F.when(weight > 0, weight).otherwise(F.lit(1.0)))
 
 
+def stamped(findings: DataFrame, version: str, threshold: float, work: str | None = None, since: str | None = None, only_unstamped: bool = True) -> DataFrame:
+    """findings with calibration_version and threshold_used set where the filters hold (times compare as ISO text)."""
+    hit = F.lit(True)
+    if work is not None:
+        hit = hit & (F.col("work_id") == work)
+    if since is not None:
+        hit = hit & (F.col("created_at") >= since)
+    if only_unstamped:
+        hit = hit & F.col("calibration_version").isNull()
+    hit = F.coalesce(hit, F.lit(False))
+    return findings.withColumn("threshold_used", F.when(hit, F.lit(threshold)).otherwise(F.col("threshold_used"))).withColumn("calibration_version", F.when(hit, F.lit(version)).otherwise(F.col("calibration_version")))
+
+
 def fit_logistic(points: DataFrame, features: list[str], by: str, l2: float = 1e-3, rate: float = 0.1, steps: int = 400, most: int = 100_000) -> DataFrame:
     """by and weights (bias first) of a logistic regression of y for each group, by batch gradient steps.
 

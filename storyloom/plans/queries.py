@@ -384,6 +384,17 @@ def _(spark, d):
     return e.join(other, (F.col("vec_id") + 1) % 100 == F.col("k")).select("vec_id", F.round(N.cosine(F.col("embedding"), F.col("other")), 6).alias("similarity"))
 
 
+@query("vectors_by_id", "SELECT vec_id AS id, len(embedding)::INTEGER AS dim FROM embeddings WHERE vec_id IN (3, 5, 400)")
+def _(spark, d):
+    v = table(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
+    return vectors.by_ids(v, [3, 5, 400]).select("id", F.size("embedding").alias("dim"))
+
+
+@query("common_cosine", "SELECT vec_id, round(list_dot_product(embedding[1:32]::DOUBLE[], embedding[1:32]::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(embedding[1:32]::DOUBLE[], embedding[1:32]::DOUBLE[]))), 6) AS similarity FROM embeddings")
+def _(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.round(N.cosine_of_common(F.col("embedding"), F.slice("embedding", 1, 32)), 6).alias("similarity"))
+
+
 # ---------------------------------------------------------------- judge
 
 
@@ -501,11 +512,11 @@ def _(spark, d):
     return tables.delete(rows, c.where("k % 5 = 0"), ["k"])
 
 
-@query("stamped_calibration", f"WITH {FINDINGS_SQL} SELECT finding_id, CASE WHEN work_id = 3 AND created_at >= (SELECT median(created_at) FROM findings WHERE finding_id < 0) THEN 'v1' END AS calibration_version FROM findings WHERE work_id = 3")
+@query("stamped_calibration", f"WITH {FINDINGS_SQL}, t AS (SELECT *, strftime(created_at, '%Y-%m-%d') AS day, CASE WHEN finding_id % 6 = 0 THEN 'v0' END AS v FROM findings) SELECT finding_id, CASE WHEN work_id = 3 AND day >= '2024-01-15' AND v IS NULL THEN 'v1' ELSE v END AS calibration_version, CASE WHEN work_id = 3 AND day >= '2024-01-15' AND v IS NULL THEN 0.62 ELSE 0.25 END::DOUBLE AS threshold_used FROM t")
 def _(spark, d):
-    f = findings(spark, d).where("work_id = 3").withColumn("calibration_version", F.lit(None).cast("string"))
-    late = f.where("created_at is null").select("finding_id", F.lit("v1").alias("calibration_version"))
-    return tables.update(f.select("finding_id", "calibration_version"), late, ["finding_id"])
+    f = findings(spark, d).withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd")).withColumn("threshold_used", F.lit(0.25))
+    f = f.withColumn("calibration_version", F.when(F.col("finding_id") % 6 == 0, "v0"))
+    return calibrate.stamped(f, "v1", 0.62, 3, "2024-01-15").select("finding_id", "calibration_version", "threshold_used")
 
 
 # ---------------------------------------------------------------- spans

@@ -60,6 +60,15 @@ def write_calibration(swept: DataFrame, binned: DataFrame, best: DataFrame, path
     Path(path).write_text(json.dumps(out, indent=1), encoding="utf-8")
 
 
+def write_thresholds(thresholds: DataFrame, path: str) -> None:
+    """One row a motif, as CSV or as JSON by the name's ending (the catalog bounds them)."""
+    rows = [r.asDict() for r in thresholds.orderBy("motif_id").collect()]
+    if path.endswith(".json"):
+        Path(path).write_text(json.dumps(rows, indent=1), encoding="utf-8")
+    else:
+        write_lines([",".join(thresholds.columns), *(",".join(str(r[c]) for c in thresholds.columns) for r in rows)], path)
+
+
 def write_html(pages: DataFrame, key: str, folder: str) -> None:
     """One page a key (html column), named by what is safe in a file name."""
     Path(folder).mkdir(parents=True, exist_ok=True)
