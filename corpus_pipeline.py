@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from storyloom.llm import decontaminate, jaccard, pieces, quality, substrings
 from storyloom.llm.common import shared_dir, table
 
-#: No stage but the first three could be put in SQL, and the quality network can't.
+#: None: the scores of the trained network cannot be put in SQL; tests/llm/test_queries.py holds every stage against its operator.
 ORACLE_SQL = None
 
 
