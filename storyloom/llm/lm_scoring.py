@@ -1,13 +1,17 @@
 """Stupid-backoff scores of documents, from bigram and unigram counts of the whole corpus.
 
-The model's vocabulary is its most frequent words, at most `vocabulary` (a model parameter; words of one count
-are all in or all out); every other word is one more symbol, the unknown word. So a bigram is 32 bits, and unigram counts have a fixed size.
+Every word of the corpus is in the model. The HEAD most frequent ones (words of one count all in or all out) have
+numbers that every task knows, so a bigram of two of them is 32 bits; any other word goes by its 64-bit hash.
 Bigrams are dealt by hash: a task packs what its documents send to one partition into blocks of (document, its
 bigrams), the partition's blocks together are both its count table and the exploded bigrams that are joined to
 it, and each document's partial sums are added up last. A document's own bigrams are no evidence for it:
 
     S(w | u) = (c(u w) - c_d(u w)) / c(u)   if c(u w) > c_d(u w)
                ALPHA * c(w) / N              otherwise, and c(w) / N for a first word
+
+A word outside the head has less than 1 / HEAD of all tokens, so all that it takes part in goes to one partition,
+where its count is the number of its records. A bigram of two such words goes to both: the first word's partition
+has c(u) for the upper line, the second's c(w) for the lower one, and either can tell which line holds.
 """
 
 from __future__ import annotations
@@ -22,8 +26,9 @@ from pyspark.sql import functions as F
 from .common import arrow_map, by_megabytes, id_and_text, saved, table
 from .words import U, Words, mix
 
-ALPHA, VOCABULARY = 0.4, (1 << 16) - 1
+ALPHA, HEAD = 0.4, (1 << 16) - 1
 LEAST_PARTITIONS = 64
+NEXT, PREVIOUS, LEAD = 0, 1, 2  # records of a word outside the head: with the word after it, before it, with none before it
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -41,10 +46,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Unigrams:
-    """Counts of the vocabulary, of the unknown word (number 0) and of all; at most 65,536 entries for any corpus."""
+    """Counts of the head and of all words. Number 0: any other word; `closed` makes these one symbol, the unknown word."""
 
-    def __init__(self, top: list[tuple[str, int]], total: int):
-        self.total = total
+    def __init__(self, top: list[tuple[str, int]], total: int, closed: bool = False):
+        self.total, self.closed = total, closed
         hashes = Words(pa.array([w for w, _ in top], pa.large_string())).hash if top else np.zeros(0, U)
         order = np.argsort(hashes)
         self.hashes = hashes[order]
@@ -64,10 +69,13 @@ class Unigrams:
         return out
 
 
-def fit_unigrams(docs: DataFrame, vocabulary: int = VOCABULARY) -> Unigrams:
-    """Count all words. The vocabulary is every word that occurs as often as the least count that at most
-    `vocabulary` words reach; only these words, the counts that occur and the total come to the driver."""
-    most = min(vocabulary, VOCABULARY)
+def fit_unigrams(docs: DataFrame, vocabulary: int | None = None, head: int = HEAD) -> Unigrams:
+    """Count all words; only the head, the counts that occur and the total come to the driver. The head is every word
+    that occurs as often as the least count that at most `head` words reach. Where a model is to have a closed
+    vocabulary, `vocabulary` is its size, and all words beyond it are the unknown word."""
+    most = head if vocabulary is None else vocabulary
+    if most > HEAD:
+        raise ValueError(f"head and closed vocabulary have at most {HEAD} words; without a vocabulary every word is kept")
     counts = saved(word_counts(docs))
     least, words = None, 0
     for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(most + 1).collect():
@@ -77,7 +85,7 @@ def fit_unigrams(docs: DataFrame, vocabulary: int = VOCABULARY) -> Unigrams:
         least = r.n
     top = counts.where(F.col("n") >= least).collect() if least is not None else []
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return Unigrams([(r.word, r.n) for r in top], int(total))
+    return Unigrams([(r.word, r.n) for r in top], int(total), vocabulary is not None)
 
 
 def lm_scores(docs: DataFrame, unigrams: Unigrams | None = None, alpha: float = ALPHA, partitions: int | None = None) -> DataFrame:
@@ -93,27 +101,42 @@ def lm_scores(docs: DataFrame, unigrams: Unigrams | None = None, alpha: float =
 
     def deal(b: pa.RecordBatch) -> pa.RecordBatch:
         w = Words(b.column("text"))
-        number, of = model.numbers(w.hash), w.of()
+        h, number, of = w.hash, model.numbers(w.hash), w.of()
+        rare = (number == 0) & (not model.closed)
         ids = b.column("doc_id")
         null = np.array(ids.is_null())
         keys = pa.compute.fill_null(ids, 0).to_numpy(zero_copy_only=False)
+        where, kinds, blocks = [], [], []  # partitions from `parts` on are for words outside the head
+
+        def pack(kind: int, part: np.ndarray, doc: np.ndarray, *columns: np.ndarray) -> None:
+            """One block for each partition: documents, their numbers of records, then the records column by column."""
+            order = np.lexsort((doc, part))
+            part, doc, columns = part[order], doc[order], [c[order] for c in columns]
+            cut = np.flatnonzero(np.diff(part)) + 1 if len(part) else np.zeros(0, np.int64)
+            bounds = [0, *cut.tolist(), len(part)] if len(part) else []
+            for a, z in zip(bounds[:-1], bounds[1:], strict=True):
+                first = np.flatnonzero(np.concatenate([[True], doc[a + 1 : z] != doc[a : z - 1]]))
+                some = doc[a:z][first]
+                where.append(int(part[a]))
+                kinds.append(kind)
+                header = np.int64(len(first)).tobytes() + keys[some].astype("<i8").tobytes() + null[some].tobytes() + np.diff(np.append(first, z - a)).astype("<u4").tobytes()
+                blocks.append(header + b"".join(c[a:z].tobytes() for c in columns))
+
         lead = np.flatnonzero(w.n > 0)
+        first = w.doc[lead]
+        known = ~rare[first]
         base = np.zeros(b.num_rows)
-        base[lead] = np.log(model.counts[number[w.doc[lead]]] / model.total)
+        base[lead[known]] = np.log(model.counts[number[first[known]]] / model.total)
         joined = np.flatnonzero(of[1:] == of[:-1])
-        key = (number[joined] << 16) | number[joined + 1]
-        part = (mix(key.astype(U)) % U(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        key, part, doc = key[order].astype("<u4"), part[order], of[joined][order]
-        cut = np.flatnonzero(np.diff(part)) + 1 if len(part) else np.zeros(0, np.int64)
-        bounds = [0, *cut.tolist(), len(part)] if len(part) else []
-        where, blocks = [], []
-        for a, z in zip(bounds[:-1], bounds[1:], strict=True):
-            head = np.concatenate([[True], doc[a + 1 : z] != doc[a : z - 1]])
-            first = np.flatnonzero(head)
-            some = doc[a:z][first]
-            where.append(int(part[a]))
-            blocks.append(np.int64(len(first)).tobytes() + keys[some].astype("<i8").tobytes() + null[some].tobytes() + np.diff(np.append(first, z - a)).astype("<u4").tobytes() + key[a:z].tobytes())
+        u, v = rare[joined], rare[joined + 1]
+        both = joined[~(u | v)]
+        key = (number[both] << 16) | number[both + 1]
+        pack(0, (mix(key.astype(U)) % U(parts)).astype(np.int64), of[both], key.astype("<u4"))
+        before, after, alone = joined[u], joined[v] + 1, first[~known]
+        at = np.concatenate([before, after, alone])
+        partner = np.concatenate([h[before + 1], h[after - 1], np.zeros(len(alone), U)])
+        role = np.repeat(np.array([NEXT, PREVIOUS, LEAD], np.uint8), [len(before), len(after), len(alone)])
+        pack(1, parts + (mix(h[at]) % U(parts)).astype(np.int64), of[at], h[at].astype("<u8"), partner.astype("<u8"), role)
         n = b.num_rows
         spread = (mix(keys.astype(U)) % U(parts)).astype(np.int64)
         columns = [
@@ -121,43 +144,86 @@ def lm_scores(docs: DataFrame, unigrams: Unigrams | None = None, alpha: float =
             pa.concat_arrays([ids.cast(pa.int64()), pa.nulls(len(where), pa.int64())]),
             pa.array(np.concatenate([w.n, np.zeros(len(where), np.int64)])),
             pa.array(np.concatenate([base, np.zeros(len(where))])),
+            pa.array([None] * n + kinds, pa.int32()),
             pa.array([None] * n + blocks, pa.binary()),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "n_words", "log_score", "block"])
+        return pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "n_words", "log_score", "kind", "block"])
+
+    def head_sums(who: np.ndarray, keys: np.ndarray, docs: int) -> np.ndarray:
+        """Bigrams of two words of the head."""
+        bigram, place, total = np.unique(keys, return_inverse=True, return_counts=True)
+        pairs, own = np.unique(who * len(bigram) + place, return_counts=True)
+        doc, place = pairs // len(bigram), pairs % len(bigram)
+        others = total[place] - own
+        u, v = (bigram[place] >> 16).astype(np.int64), (bigram[place] & 0xFFFF).astype(np.int64)
+        value = np.where(others > 0, np.log(np.maximum(others, 1) / model.counts[u]), np.log(alpha * model.counts[v] / model.total))
+        return np.bincount(doc, own * value, docs)
+
+    def rare_sums(who: np.ndarray, word: np.ndarray, partner: np.ndarray, role: np.ndarray, docs: int) -> np.ndarray:
+        """Bigrams of a word outside the head; every such word is here with all its records."""
+        word = np.unique(word, return_inverse=True)[1]
+        count = np.bincount(word[role != NEXT])
+        alone = role == LEAD
+        out = np.zeros(docs)
+        np.add.at(out, who[alone], np.log(count[word[alone]] / model.total))
+        for way in (NEXT, PREVIOUS):
+            some = np.flatnonzero(role == way)
+            if not len(some):
+                continue
+            some = some[np.lexsort((who[some], partner[some], word[some]))]
+            x, y, doc = word[some], partner[some], who[some]
+            pair = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+            run = np.flatnonzero(pair | np.concatenate([[True], doc[1:] != doc[:-1]]))
+            own = np.diff(np.append(run, len(some)))
+            of = np.cumsum(pair)[run] - 1
+            others = np.bincount(of, own).astype(np.int64)[of] - own
+            x, number, doc = x[run], model.numbers(y[run]), doc[run]
+            u, v = (count[x], model.counts[number]) if way == NEXT else (model.counts[number], count[x])
+            upper = others > 0
+            here = np.where(number > 0, True, upper == (way == NEXT))  # else the partner's partition adds it
+            value = np.log(np.where(upper, np.maximum(others, 1) / np.maximum(u, 1), alpha * np.maximum(v, 1) / model.total))
+            out += np.bincount(doc, np.where(here, own * value, 0.0), docs)
+        return out
 
     def count_and_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All blocks of the task's partitions: their counts, and with them each document's sum."""
-        ids, nulls, sizes, keys = [], [], [], []
+        ids, nulls, sizes, rare, keys, records = [], [], [], [], [], []
         for b in batches:
             alone = pa.compute.is_null(b.column("block"))
             done = b.filter(alone).select(["doc_id", "n_words", "log_score"])
             if done.num_rows:
                 yield done
-            for x in b.filter(pa.compute.invert(alone)).column("block").to_pylist():
+            some = b.filter(pa.compute.invert(alone))
+            for kind, x in zip(some.column("kind").to_pylist(), some.column("block").to_pylist(), strict=True):
                 n = int(np.frombuffer(x, "<i8", 1)[0])
                 ids.append(np.frombuffer(x, "<i8", n, 8))
                 nulls.append(np.frombuffer(x, bool, n, 8 + 8 * n))
                 sizes.append(np.frombuffer(x, "<u4", n, 8 + 9 * n))
-                keys.append(np.frombuffer(x, "<u4", -1, 8 + 13 * n))
-        if not keys:
+                rare.append(np.full(n, kind == 1))
+                at = 8 + 13 * n
+                if kind == 0:
+                    keys.append(np.frombuffer(x, "<u4", -1, at))
+                else:
+                    m = int(sizes[-1].sum())
+                    records.append((np.frombuffer(x, "<u8", m, at), np.frombuffer(x, "<u8", m, at + 8 * m), np.frombuffer(x, np.uint8, m, at + 16 * m)))
+        if not ids:
             return
-        ids, nulls, sizes, keys = (np.concatenate(v) for v in (ids, nulls, sizes, keys))
+        ids, nulls, sizes, rare = (np.concatenate(v) for v in (ids, nulls, sizes, rare))
         who = np.zeros(len(ids), np.int64)
         order = np.lexsort((ids, nulls))
         new = np.concatenate([[False], (ids[order][1:] != ids[order][:-1]) | (nulls[order][1:] != nulls[order][:-1])])
         who[order] = np.cumsum(new)
         one = order[np.concatenate([[True], new[1:]])]
-        bigram, place, total = np.unique(keys, return_inverse=True, return_counts=True)
-        pairs, own = np.unique(np.repeat(who, sizes) * len(bigram) + place, return_counts=True)
-        doc, place = pairs // len(bigram), pairs % len(bigram)
-        others = total[place] - own
-        u, v = (bigram[place] >> 16).astype(np.int64), (bigram[place] & 0xFFFF).astype(np.int64)
-        value = np.where(others > 0, np.log(np.maximum(others, 1) / model.counts[u]), np.log(alpha * model.counts[v] / model.total))
-        score = np.bincount(doc, own * value, len(one))
+        score = np.zeros(len(one))
+        if keys:
+            score += head_sums(np.repeat(who[~rare], sizes[~rare]), np.concatenate(keys), len(one))
+        del keys
+        if records:
+            score += rare_sums(np.repeat(who[rare], sizes[rare]), *(np.concatenate(c) for c in zip(*records, strict=True)), len(one))
         yield pa.RecordBatch.from_arrays([pa.array(ids[one], pa.int64(), mask=nulls[one]), pa.array(np.zeros(len(one), np.int64)), pa.array(score)], ["doc_id", "n_words", "log_score"])
 
-    dealt = rows.mapInArrow(arrow_map(deal), "part int, doc_id long, n_words long, log_score double, block binary")
-    partial = dealt.repartition(parts, "part").mapInArrow(count_and_join, "doc_id long, n_words long, log_score double")
+    dealt = rows.mapInArrow(arrow_map(deal), "part int, doc_id long, n_words long, log_score double, kind int, block binary")
+    partial = dealt.repartition(2 * parts, "part").mapInArrow(count_and_join, "doc_id long, n_words long, log_score double")
     return partial.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("log_score").alias("log_score"))
 
 

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -32,3 +33,32 @@ def test_against_brute_force(spark, odd_docs, no_docs):
         scored = lm_scoring.lm_scores(odd_docs, lm_scoring.fit_unigrams(odd_docs, vocabulary))
         assert {r.doc_id: (r.n_words, round(r.log_score, 6)) for r in scored.collect()} == brute(rows, vocabulary)
     assert lm_scoring.lm_scores(no_docs).count() == 0
+
+
+def test_every_word_is_kept(spark, odd_docs):
+    rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    for head in (0, 3, lm_scoring.HEAD):
+        scored = lm_scoring.lm_scores(odd_docs, lm_scoring.fit_unigrams(odd_docs, head=head))
+        assert {r.doc_id: (r.n_words, round(r.log_score, 6)) for r in scored.collect()} == brute(rows, math.inf)
+
+
+def test_more_words_than_the_head(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(40_000)]
+    texts = [f"only{k} " * rng.randint(1, 2) + " ".join(rng.choices(words, k=200) + rng.choices(words[:60], k=60)) for k in range(700)]
+    rows = list(enumerate([*texts, *(t.replace("w", "v") for t in texts), texts[0]]))
+    assert len({w for _, t in rows for w in t.split()}) > lm_scoring.HEAD
+    words = {i: t.split() for i, t in rows}
+    uni = Counter(x for w in words.values() for x in w)
+    total = sum(uni.values())
+    own = {i: Counter(zip(w, w[1:], strict=False)) for i, w in words.items()}
+    pairs = Counter(b for w in words.values() for b in zip(w, w[1:], strict=False))
+    want = {}
+    for i, w in words.items():
+        s = math.log(uni[w[0]] / total)
+        for (p, q), n in own[i].items():
+            rest = pairs[p, q] - n
+            s += n * (math.log(rest / uni[p]) if rest else math.log(lm_scoring.ALPHA * uni[q] / total))
+        want[i] = (len(w), round(s, 5))
+    got = lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.n_words, round(r.log_score, 5)) for r in got.collect()} == want
