@@ -1,7 +1,8 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, edit verification.
 
 Words are lower-cased (A-Z) and stripped of ASCII punctuation. For every item of n words, every window of n
-words of every document is a candidate. A count of shared word pairs drops the windows that cannot be within
+words of every document is a candidate, and so is what is left of a window at the document's end, down to n less
+the edit limit. A count of shared word pairs drops the windows that cannot be within
 the edit limit of any item (each edit spoils at most two of the n - 1 pairs, so this loses nothing). The rest
 go through the CGK random walk, which maps edit distance to Hamming distance: step j writes the current
 symbol and moves on or stays by a random bit of (j, symbol). Windows that agree with an item on a few sampled
@@ -188,13 +189,10 @@ def matches(texts: pa.Array, items: Items) -> tuple[np.ndarray, ...]:
         at = np.zeros(0, np.int64)
         if n == 1:
             at = np.flatnonzero(_among(_slots(h), np.unique(np.concatenate(items.own[1]))))
-        elif total >= n:  # of all stretches within the limit none is longer than n + limit words
-            last = np.minimum(np.arange(n - 1, total) + limit, total)
-            at = np.flatnonzero(sums[last] - sums[: total - n + 1] >= least)
-            at = at[doc_end[at] - at >= n]
-        if limit:  # a text a little shorter than an item is one window, filled up with a symbol of its own
-            few = np.flatnonzero((w.n < n) & (w.n >= n - limit))
-            at = np.concatenate([at, w.doc[few]])
+        elif total >= (short := max(1, n - limit)):  # of all stretches within the limit none is longer than n + limit words
+            last = np.minimum(np.arange(n - 1, total + limit) + limit, total)[: total - short + 1]
+            at = np.flatnonzero(sums[last] - sums[: total - short + 1] >= least)
+            at = at[doc_end[at] - at >= short]  # a window that the document's end cuts short is filled up with a symbol of its own
         if n > 1 and len(at):  # the same count for each item alone, a pair no more often than the item has it
             inside = at[:, None] + np.arange(n - 1 + limit)
             slots = np.where(inside + 1 < doc_end[at][:, None], grams[np.minimum(inside, len(grams) - 1)], -1) if len(grams) else np.full(inside.shape, -1)

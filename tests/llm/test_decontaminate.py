@@ -2,6 +2,7 @@ import random
 import re
 
 import pyarrow as pa
+import pytest
 
 from storyloom.llm import decontaminate as dc
 
@@ -48,6 +49,20 @@ def test_recall_against_brute_force():
     assert len(got) >= 0.97 * len(want)
 
 
+@pytest.mark.parametrize("n", [15, 25, 40, 59])
+def test_recall_of_deletions_at_the_document_end(n):
+    rng = random.Random(n)
+    say = lambda k: [f"v{rng.randrange(5000)}" for _ in range(k)]
+    items = [say(n) for _ in range(150)]
+    texts = []
+    for w in items:
+        gone = set(rng.sample(range(n), dc.edit_limit(n, 0.2)))
+        texts.append(" ".join([*say(40), *(x for k, x in enumerate(w) if k not in gone)]))
+    block = dc.prepare(list(range(150)), [" ".join(i) for i in items], 0.2)
+    d, i, _, _, _ = dc.matches(pa.array(texts), block)
+    assert sum(a == b for a, b in zip(d.tolist(), block.ids[i].tolist(), strict=True)) >= 0.97 * 150
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     base = odd_docs.where("doc_id = 1").first().text
     bench = spark.createDataFrame([(1, base), (2, None), (None, base), (3, ""), (1, base), (4, "one")], "item_id long, text string")
