@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,19 +28,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir). In local mode, where one machine is all there
+    is, a folder of our own stands in for it; a cluster without the setting is an error."""
     sc = spark.sparkContext
-    if set_dir := spark.conf.get("spark.checkpoint.dir", None):
+    if set_dir := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir():
         return set_dir
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="storyloom-checkpoints-"))
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="storyloom-checkpoints-"))
     return sc.getCheckpointDir()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage by way of the shared folder; survives the loss of any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_scratch: list[list[str]] = []
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -44,18 +47,35 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/storyloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = spark.read.parquet(path)
+    if _scratch:
+        _scratch[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Remove a saved table that nothing will read again."""
-    spark = df.sparkSession
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove saved tables that nothing will read again: what was made from them has itself been saved."""
+    for df in tables:
+        _remove(df.sparkSession, df.saved_at)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are saved inside go at the end; what is made from them must be written by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            _remove(spark, path)
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """doc_id as long and text as string (null stays null); columns of any other name are left behind."""
     kinds = dict(docs.dtypes)
@@ -83,6 +103,31 @@ def by_megabytes(batches: Iterator[pa.RecordBatch], column: str = "text", most:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def trim() -> None:
+    """Give memory that this Python worker no longer uses back to the system; Spark keeps workers for later tasks."""
+    pa.default_memory_pool().release_unused()
+    if (libc := _libc()) is not None:
+        libc.malloc_trim(0)
+
+
+@lru_cache(1)
+def _libc():
+    libc = ctypes.CDLL(None)
+    return libc if hasattr(libc, "malloc_trim") else None
+
+
+def trimmed(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A mapInArrow function that trims its worker when the task's last batch is done."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            trim()
+
+    return run
+
+
 def arrow_map(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str = "text", most: int = BATCH_BYTES):
     """A mapInArrow function that calls f on batches of about `most` bytes."""
 
@@ -91,11 +136,12 @@ def arrow_map(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str
             if (out := f(b)) is not None and out.num_rows:
                 yield out
 
-    return run
+    return trimmed(run)
 
 
 def release(spark: SparkSession) -> None:
-    """Ask the driver's JVM to collect garbage, upon which Spark removes the shuffle files that nothing refers to."""
+    """A hint, of which no result depends: when the driver's JVM collects garbage, Spark removes the shuffle files of
+    finished queries. Without it they stay until the heap fills, which a driver with little to do takes long for."""
     spark.sparkContext._jvm.System.gc()
 
 
@@ -132,9 +178,9 @@ def only_ids(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFra
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["block", "bits"])
 
-    marked = ids.select(name).mapInArrow(mark, "block int, bits binary").repartition(max(1, min(64, bits // FILTER_BLOCK)), "block")
+    marked = ids.select(name).mapInArrow(trimmed(mark), "block int, bits binary").repartition(max(1, min(64, bits // FILTER_BLOCK)), "block")
     table_ = np.zeros((bits // FILTER_BLOCK, FILTER_BLOCK // 8), np.uint8)
-    for r in marked.mapInArrow(join, "block int, bits binary").collect():  # at most bits / 8 bytes
+    for r in marked.mapInArrow(trimmed(join), "block int, bits binary").collect():  # at most bits / 8 bytes
         table_[r.block] |= np.frombuffer(r.bits, np.uint8)
     flat = table_.ravel()
 
@@ -147,4 +193,4 @@ def only_ids(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFra
             if ok.any():
                 yield b.filter(pa.array(ok))
 
-    return rows.mapInArrow(keep, rows.schema)
+    return rows.mapInArrow(trimmed(keep), rows.schema)
