@@ -2,12 +2,13 @@
 
 Words are lower-cased (A-Z) and stripped of ASCII punctuation. For every item of n words, every window of n
 words of every document is a candidate, and so is what is left of a window at the document's end, down to n less
-the edit limit. A count of shared word pairs drops the windows that cannot be within
-the edit limit of any item (each edit spoils at most two of the n - 1 pairs, so this loses nothing). The rest
-go through the CGK random walk, which maps edit distance to Hamming distance: step j writes the current
-symbol and moves on or stays by a random bit of (j, symbol). Windows that agree with an item on a few sampled
-places, in one of as many repetitions as the target recall takes, are verified by the exact edit distance of
-the item to the best stretch of the window and its surroundings.
+the edit limit. An index of the items' rarest word pairs drops the windows that cannot be within the edit limit
+of any item: each edit spoils at most two pairs, so of any 2 * limit + m pairs of an item a window within the
+limit holds m, and nothing is lost. What it costs follows the places where rare pairs occur, not the number of
+items. The rest go through the CGK random walk, which maps edit distance to Hamming distance: step j writes the
+current symbol and moves on or stays by a random bit of (j, symbol). Each repetition samples a few places of the
+walk; windows and items whose samples hash to one bucket, in one of as many repetitions as the target recall
+takes, are verified by the exact edit distance of the item to the best stretch of the window and its surroundings.
 
 The benchmark is the query set: it goes to the tasks in blocks of bounded size, each block over all rows.
 """
@@ -15,7 +16,7 @@ The benchmark is the query set: it goes to the tasks in blocks of bounded size,
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -29,22 +30,63 @@ from .words import PLAIN, U, Words, mix, ngram_hashes
 BLOCK_BYTES = 8 << 20  # of benchmark text in one block
 AGREEMENT, SAMPLED, RECALL = 0.35, 2, 0.99
 TABLES_PER_WALK = 3
+SHARED = 8  # pairs of the index that a window must hold beside those that edits may spoil
 MATCH_SCHEMA = "doc_id long, item_id long, distance int, item_words int, start_word int"
 
 
 @dataclass
 class Items:
-    """Benchmark items of one block, by their number of words."""
+    """Benchmark items of one block, by their number of words, the index of their pairs and their buckets."""
 
     ids: np.ndarray
     words: list[np.ndarray]
+    lengths: np.ndarray  # words of each item
     by_length: dict[int, np.ndarray]
-    lengths: list[int]
-    own: dict[int, list[np.ndarray]]  # sorted slots of the word pairs of each item of that length
-    keys: dict[int, np.ndarray]
+    own: dict[int, np.ndarray]  # for items of that length: sorted (place among them << 22 | slot) of their distinct pairs
+    own_size: np.ndarray  # distinct pairs of each item
+    pairs: PairIndex
+    singles: PairIndex  # items of one word, by that word
+    loose: np.ndarray  # items with so few distinct pairs that any window may be within the limit
+    bucket_keys: np.ndarray  # sorted hashes of (length, repetition, sampled symbols)
+    bucket_items: np.ndarray
     share: float
 
 
+@dataclass
+class PairIndex:
+    """Items by slot: those of slots[k] are items[start[k]:start[k + 1]], each of which needs need[item] such slots."""
+
+    slots: np.ndarray
+    start: np.ndarray
+    items: np.ndarray
+    need: np.ndarray
+    _flags: np.ndarray | None = field(default=None, repr=False)
+
+    def __getstate__(self):
+        return self.__dict__ | {"_flags": None}
+
+    def events(self, at: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, place) of every posting of the slots at the places `at`, in order of item, then place."""
+        if self._flags is None:
+            self._flags = np.zeros(1 << 22, bool)
+            self._flags[self.slots] = True
+        some = np.flatnonzero(self._flags[slots])
+        at, k = at[some], np.searchsorted(self.slots, slots[some])
+        size = self.start[k + 1] - self.start[k]
+        item = self.items[np.repeat(self.start[k] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        at = np.repeat(at, size)
+        order = np.lexsort((at, item))
+        return item[order], at[order]
+
+
+def _index(slots: list[np.ndarray], which: list[int], need: np.ndarray) -> PairIndex:
+    flat = np.concatenate([np.zeros(0, np.int64), *slots])
+    item = np.repeat(np.array(which, np.int64), [len(x) for x in slots])
+    order = np.lexsort((item, flat))
+    keys, start = np.unique(flat[order], return_index=True)
+    return PairIndex(keys, np.append(start, len(flat)), item[order], need)
+
+
 def edit_limit(n: int, share: float) -> int:
     return int(share * n + 1e-9)
 
@@ -63,22 +105,37 @@ def prepare(ids: list[int], texts: list[str], share: float) -> Items:
     words = [w.hash[w.doc[i] : w.doc[i + 1]] for i in range(len(ids))]
     lengths = np.array([len(x) for x in words], int)
     by_length = {int(n): np.flatnonzero(lengths == n) for n in np.unique(lengths) if n}
-    slots = {n: [np.unique(_slots(ngram_hashes(words[i], 2) if n > 1 else words[i])) for i in m] for n, m in by_length.items()}
-    keys = {n: item_keys(np.stack([words[i] for i in m]), n) for n, m in by_length.items()}
-    return Items(np.array(ids, np.int64), words, by_length, sorted(by_length), slots, keys, share)
-
-
-def _flags(items: Items) -> np.ndarray:
-    """One flag for each of 2**22 slots: some item has a word pair there (built once in each Python worker's task)."""
-    if not hasattr(items, "flags"):
-        items.flags = np.zeros(1 << 22, bool)
-        for slots in items.own.values():
-            items.flags[np.concatenate(slots)] = True
-    return items.flags
-
-
-def _among(slots: np.ndarray, members: np.ndarray) -> np.ndarray:
-    return members[np.minimum(np.searchsorted(members, slots), len(members) - 1)] == slots
+    distinct = [np.unique(_slots(ngram_hashes(x, 2))) if len(x) > 1 else np.zeros(0, np.int64) for x in words]
+    common, times = np.unique(np.concatenate([np.zeros(0, np.int64), *distinct]), return_counts=True)
+    rare, need, loose = [], np.zeros(len(ids), np.int64), []
+    for i, own in enumerate(distinct):
+        spoiled = 2 * edit_limit(lengths[i], share)
+        rare.append(own[np.lexsort((own, times[np.searchsorted(common, own)]))][: spoiled + SHARED])
+        need[i] = len(rare[i]) - spoiled
+        if lengths[i] > 1 and need[i] <= 0:
+            loose.append(i)
+            rare[i] = own[:0]
+    single = [i for i in range(len(ids)) if lengths[i] == 1]
+    own = {n: np.concatenate([(k << 22) | distinct[i] for k, i in enumerate(m)]) for n, m in by_length.items()}
+    found = [(bucket_keys(np.stack([words[i] for i in m]), np.full(len(m), n)), m) for n, m in by_length.items()]
+    keys = np.concatenate([np.zeros(0, U), *(k.ravel() for k, _ in found)])
+    members = np.concatenate([np.zeros(0, np.int64), *(np.repeat(m, k.shape[1]) for k, m in found)])
+    order = np.argsort(keys, kind="stable")
+    return Items(
+        np.array(ids, np.int64), words, lengths, by_length, own, np.array([len(x) for x in distinct], np.int64),
+        _index(rare, list(range(len(ids))), need), _index([_slots(words[i]) for i in single], single, np.ones(len(ids), np.int64)), np.array(loose, np.int64), keys[order], members[order], share,
+    )
+
+
+def _among(keys: np.ndarray, members: np.ndarray) -> np.ndarray:
+    return members[np.minimum(np.searchsorted(members, keys), len(members) - 1)] == keys if len(members) else np.zeros(keys.shape, bool)
+
+
+def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges low[k]..high[k] (none where high < low), and the k of each."""
+    size = np.maximum(high - low + 1, 0)
+    k = np.repeat(np.arange(len(low)), size)
+    return low[k] + np.arange(len(k)) - np.repeat(np.cumsum(size) - size, size), k
 
 
 @lru_cache(4096)
@@ -127,29 +184,29 @@ def lsh_keys(strings: np.ndarray, n: np.ndarray, places: np.ndarray, walks: int,
     return x
 
 
-def item_keys(strings: np.ndarray, n: int, recall: float = RECALL, sampled: int = SAMPLED) -> np.ndarray:
-    places = _places(n, recall, sampled)
-    return lsh_keys(strings, np.full(len(strings), n), np.tile(places, (len(strings), 1, 1)).reshape(len(strings), len(places), -1), len(places), sampled)
+def bucket_keys(strings: np.ndarray, n: np.ndarray, recall: float = RECALL, sampled: int = SAMPLED) -> np.ndarray:
+    """(rows, tables) hashes of (length, table, symbols at the sampled places); strings are padded to one width."""
+    if not len(strings):
+        return np.zeros((0, 0), U)
+    sizes, which = np.unique(n, return_inverse=True)
+    places = np.stack([_places(int(x), recall, sampled) for x in sizes])
+    return mix(lsh_keys(strings, n, places[which], places.shape[1], sampled) + n.astype(U)[:, None] * U(0xD1B54A32D192ED03))
 
 
-def lsh_pairs(windows: np.ndarray, window_class: np.ndarray, classes: list[tuple[int, np.ndarray]], recall: float = RECALL, sampled: int = SAMPLED, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (window, item of its class) that agree on all sampled places of their embeddings in some table.
-
-    windows: rows padded to one width; classes: for each class its number of words and its items' keys.
-    """
-    all_places = np.stack([_places(n, recall, sampled) for n, _ in classes])
-    walks = all_places.shape[1]
-    sizes = np.array([n for n, _ in classes])
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    for part in np.array_split(np.arange(len(windows)), 1 + len(windows) * walks // most):
-        c = window_class[part]
-        keys = lsh_keys(windows[part], sizes[c], all_places[c], walks, sampled)
-        for k in np.unique(c).tolist():
-            mine = np.flatnonzero(c == k)
-            met = (keys[mine][:, None, :] == classes[k][1][None, :, :]).any(2)
-            w, i = np.nonzero(met)
-            found.append((part[mine[w]], i))
-    return np.concatenate([w for w, _ in found]), np.concatenate([i for _, i in found])
+def lsh_pairs(windows: np.ndarray, n: np.ndarray, keys: np.ndarray, items: np.ndarray, recall: float = RECALL, sampled: int = SAMPLED, most: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs (window, item) that share a bucket. windows: rows padded to one width, of n[k] words; keys
+    (sorted) and items: the buckets of the items. The cost follows the windows and the matches."""
+    found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+    for part in np.array_split(np.arange(len(windows)), 1 + windows.size * -(-repetitions(recall, sampled=sampled) // TABLES_PER_WALK) // most):
+        mine = bucket_keys(windows[part], n[part], recall, sampled)
+        tables = mine.shape[1]
+        mine = mine.ravel()
+        low, high = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right") - 1
+        at, k = _spread(low, high)
+        if len(at):
+            found.append(np.unique(np.stack([part[k // tables], items[at]], 1), axis=0))
+    both = np.concatenate(found)
+    return both[:, 0], both[:, 1]
 
 
 def infix_distance(texts: np.ndarray, lengths: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,52 +225,72 @@ def infix_distance(texts: np.ndarray, lengths: np.ndarray, items: np.ndarray) ->
     return best, end
 
 
+def _candidates(w: Words, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (first word, item) of all windows that hold enough of the item's pairs to be within the limit."""
+    h, of = w.hash, w.of()
+    doc_start, doc_end = w.doc[:-1][of], w.doc[1:][of]
+    limits = (items.share * items.lengths + 1e-9).astype(np.int64)
+    starts, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    item, at = items.singles.events(np.arange(len(h)), _slots(h))
+    starts.append(at)
+    which.append(item)
+    if len(h) > 1:
+        inner = np.flatnonzero(of[1:] == of[:-1])
+        grams = _slots(ngram_hashes(h, 2))
+        item, at = items.pairs.events(inner, grams[inner])
+        need, reach = items.pairs.need[item], (items.lengths + limits - 2)[item]
+        last = np.arange(len(item)) + need - 1
+        ok = last < len(item)
+        last = np.minimum(last, len(item) - 1)
+        k = np.flatnonzero(ok & (item[last] == item) & (of[at[last]] == of[at]) & (at[last] - at <= reach)) if len(item) else np.zeros(0, np.int64)
+        low = np.maximum(at[last[k]] - reach[k], doc_start[at[k]])  # the places from which the event k is the first of enough
+        follows = np.flatnonzero((k > 0) & (item[k - 1] == item[k]))
+        low[follows] = np.maximum(low[follows], at[k[follows] - 1] + 1)
+        high = np.minimum(at[k], doc_end[at[k]] - np.maximum(1, (items.lengths - limits)[item[k]]))
+        start, of_k = _spread(low, high)
+        member = item[k][of_k]
+        for n, members in items.by_length.items():  # the same count over all pairs of the item, each once
+            mine = np.flatnonzero(items.lengths[member] == n)
+            place = np.searchsorted(members, member[mine])
+            for part in np.array_split(np.arange(len(mine)), 1 + len(mine) * n // 500_000):
+                inside = start[mine[part]][:, None] + np.arange(n - 1 + limits[members[0]])
+                slots = np.where(inside + 1 < doc_end[start[mine[part]]][:, None], grams[np.minimum(inside, len(grams) - 1)], -1)
+                slots.sort(axis=1)
+                once = slots >= 0
+                once[:, 1:] &= slots[:, 1:] != slots[:, :-1]
+                held = (_among((place[part][:, None] << 22) | np.maximum(slots, 0), items.own[n]) & once).sum(1)
+                enough = held >= items.own_size[members[place[part]]] - 2 * limits[members[0]]
+                starts.append(start[mine[part]][enough])
+                which.append(member[mine[part]][enough])
+    for i in items.loose.tolist():
+        some = np.flatnonzero(doc_end - np.arange(len(h)) >= max(1, items.lengths[i] - limits[i]))
+        starts.append(some)
+        which.append(np.full(len(some), i))
+    return np.concatenate(starts), np.concatenate(which)
+
+
 def matches(texts: pa.Array, items: Items) -> tuple[np.ndarray, ...]:
     """Rows (document, item, distance, item words, first word of the window) of a batch, one for each pair."""
     w = Words(texts, PLAIN)
     h, of = w.hash, w.of()
     total = len(h)
     out: list[tuple[np.ndarray, ...]] = []
-    if not total:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
-    pair = np.zeros(total, bool)
-    if total > 1:
-        pair[:-1] = _flags(items)[_slots(ngram_hashes(h, 2))] & (of[1:] == of[:-1])
-    sums = np.concatenate([np.zeros(1, np.int32), np.cumsum(pair, dtype=np.int32)])
-    doc_end = w.doc[1:][of]
-    grams = _slots(ngram_hashes(h, 2)) if total > 1 else np.zeros(0, np.int64)
-    begins: list[np.ndarray] = []
-    for n in items.lengths:
-        limit = edit_limit(n, items.share)
-        least = n - 1 - 2 * limit
-        at = np.zeros(0, np.int64)
-        if n == 1:
-            at = np.flatnonzero(_among(_slots(h), np.unique(np.concatenate(items.own[1]))))
-        elif total >= (short := max(1, n - limit)):  # of all stretches within the limit none is longer than n + limit words
-            last = np.minimum(np.arange(n - 1, total + limit) + limit, total)[: total - short + 1]
-            at = np.flatnonzero(sums[last] - sums[: total - short + 1] >= least)
-            at = at[doc_end[at] - at >= short]  # a window that the document's end cuts short is filled up with a symbol of its own
-        if n > 1 and len(at):  # the same count for each item alone, a pair no more often than the item has it
-            inside = at[:, None] + np.arange(n - 1 + limit)
-            slots = np.where(inside + 1 < doc_end[at][:, None], grams[np.minimum(inside, len(grams) - 1)], -1) if len(grams) else np.full(inside.shape, -1)
-            slots.sort(axis=1)
-            once = np.ones(slots.shape, bool)
-            once[:, 1:] = slots[:, 1:] != slots[:, :-1]
-            at = at[np.logical_or.reduce([(_among(slots, own) & once).sum(1) + n - 1 - len(own) >= least for own in items.own[n]])]
-        begins.append(at)
-    begins.append(np.zeros(0, np.int64))
-    part, window_class = np.concatenate(begins), np.repeat(np.arange(len(begins)), [len(x) for x in begins])
+    part, candidate = _candidates(w, items) if total else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     if len(part):
-        width = items.lengths[-1]
-        sizes = np.array(items.lengths)[window_class]
-        at = part[:, None] + np.arange(width)
-        windows = np.where(at < np.minimum(doc_end[part], part + sizes)[:, None], h[np.minimum(at, total - 1)], U(0))
-        wi, it = lsh_pairs(windows, window_class, [(n, items.keys[n]) for n in items.lengths])
-        for c in np.unique(window_class[wi]).tolist():
-            n = items.lengths[c]
-            limit, members = edit_limit(n, items.share), items.by_length[n]
-            mine = window_class[wi] == c
-            first, item = part[wi[mine]], it[mine]
+        doc_end = w.doc[1:][of]
+        both = np.unique(np.stack([items.lengths[candidate], part], 1), axis=0)
+        sizes, part = both[:, 0], both[:, 1]
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        for rows in np.array_split(np.arange(len(part)), 1 + len(part) * int(sizes.max()) // 1_000_000):
+            at = part[rows][:, None] + np.arange(int(sizes[rows].max()))
+            windows = np.where(at < np.minimum(doc_end[part[rows]], part[rows] + sizes[rows])[:, None], h[np.minimum(at, total - 1)], U(0))
+            wi, it = lsh_pairs(windows, sizes[rows], items.bucket_keys, items.bucket_items)
+            pairs.append((part[rows[wi]], it))
+        first_all, item_all = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        for n in np.unique(items.lengths[item_all]).tolist():
+            limit = edit_limit(n, items.share)
+            mine = items.lengths[item_all] == n
+            first, item = first_all[mine], item_all[mine]
             order = np.lexsort((first, item, of[first]))
             first, item = first[order], item[order]
             keep, anchor = np.zeros(len(first), bool), None
@@ -221,13 +298,17 @@ def matches(texts: pa.Array, items: Items) -> tuple[np.ndarray, ...]:
                 if anchor is None or item[k] != item[anchor] or of[first[k]] != of[first[anchor]] or first[k] - first[anchor] > limit:
                     keep[k], anchor = True, k
             first, item = first[keep], item[keep]
-            low = np.maximum(first - limit, w.doc[:-1][of[first]])
-            high = np.minimum(first + n + 2 * limit, doc_end[first])
-            around = low[:, None] + np.arange(int((high - low).max()))
-            text = np.where(around < high[:, None], h[np.minimum(around, total - 1)], U(0))
-            distance, _ = infix_distance(text, high - low, np.stack([items.words[m] for m in members])[item])
-            ok = distance <= limit
-            out.append((of[first[ok]], members[item[ok]], distance[ok], np.full(ok.sum(), n), (first - w.doc[:-1][of[first]])[ok]))
+            for rows in np.array_split(np.arange(len(first)), 1 + len(first) * n // 200_000):
+                if not len(rows):
+                    continue
+                f, i = first[rows], item[rows]
+                low = np.maximum(f - limit, w.doc[:-1][of[f]])
+                high = np.minimum(f + n + 2 * limit, doc_end[f])
+                around = low[:, None] + np.arange(int((high - low).max()))
+                text = np.where(around < high[:, None], h[np.minimum(around, total - 1)], U(0))
+                distance, _ = infix_distance(text, high - low, np.stack([items.words[m] for m in i]))
+                ok = distance <= limit
+                out.append((of[f[ok]], i[ok], distance[ok], np.full(ok.sum(), n), (f - w.doc[:-1][of[f]])[ok]))
     if not out:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     d, i, e, n, s = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -263,13 +344,14 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, share: float = 0.2) ->
             d, i, e, n, s = matches(b.column("text"), items)
             return pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(d)), pa.array(items.ids[i] if len(i) else i), pa.array(e, pa.int32()), pa.array(n, pa.int32()), pa.array(s, pa.int32())], ["doc_id", "item_id", "distance", "item_words", "start_word"])
 
-        part = rows.mapInArrow(arrow_map(one, most=3 << 20), MATCH_SCHEMA)
+        part = rows.mapInArrow(arrow_map(one, most=2 << 20), MATCH_SCHEMA)
         found = part if found is None else found.unionByName(part)
     return found
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.2) -> DataFrame:
-    """The rows of docs that match no item, all columns kept."""
+    """The rows of docs that match no item, all columns and rows of equal doc_id kept as they are. Null and empty
+    texts match nothing and stay, as do rows of null doc_id; an empty benchmark or table drops nothing."""
     for items in item_blocks(benchmark, share):
 
         def one(b: pa.RecordBatch, items: Items = items) -> pa.RecordBatch:
@@ -277,9 +359,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.2)
             keep[matches(b.column("text").cast(pa.string()), items)[0]] = False
             return b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(arrow_map(one, most=3 << 20), docs.schema)
+        docs = docs.mapInArrow(arrow_map(one, most=2 << 20), docs.schema)
     return docs
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All benchmark items looked for in every whole text of documents; see contaminations for odd rows."""
     return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -78,3 +78,28 @@ def test_blocks_of_the_benchmark_give_the_same(spark, odd_docs):
     bench = odd_docs.where("doc_id in (1, 7, 11)").selectExpr("doc_id as item_id", "substr(text, 1, 300) as text")
     blocks = list(dc.item_blocks(bench, 0.2, 400))
     assert len(blocks) > 1 and sorted(i for b in blocks for i in b.ids.tolist()) == [1, 7, 11]
+
+
+def test_unmatched_items_cost_next_to_nothing(spark):
+    """Time over random texts with 50 and with 3,200 items that stand in none of them; and what does stand is found."""
+    import time
+
+    rng = random.Random(9)
+    say = lambda n: " ".join(f"v{rng.randrange(400)}" for _ in range(n))
+    texts = pa.array([say(400) for _ in range(100)])
+    took = {}
+    for n in (50, 3200):
+        block = dc.prepare(list(range(n)), [say(rng.randint(20, 60)) for _ in range(n - 1)] + [" ".join(texts[7].as_py().split()[100:140])], 0.2)
+        began = time.process_time()
+        d, i, e, _, _ = dc.matches(texts, block)
+        took[n] = time.process_time() - began
+        assert (d.tolist(), i.tolist(), e.tolist()) == ([7], [n - 1], [0])
+    assert took[3200] < 5
+
+
+def test_items_of_one_word_over_and_over():
+    """Such an item has too few different pairs for the index; every window is a candidate."""
+    block = dc.prepare([1, 2], ["ha " * 30, "ha ho " * 12], 0.2)
+    texts = pa.array(["x " * 20 + "ha " * 27 + "y", "ha ho " * 11 + "z", "no", "ha " * 10, None, ""])
+    d, i, e, _, _ = dc.matches(texts, block)
+    assert sorted(zip(d.tolist(), block.ids[i].tolist(), e.tolist(), strict=True)) == [(0, 1, 3), (1, 2, 2)]
