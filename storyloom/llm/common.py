@@ -149,25 +149,26 @@ FILTER_BITS = 1 << 29  # at most 64 MB; beyond about 50 million ids it passes mo
 FILTER_BLOCK = 1 << 17
 
 
-def only_ids(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
-    """rows whose `column` may be among the one long column of ids: a Bloom filter of bounded size that drops most
-    other rows before they are shuffled. ids should be a saved table; null ids never pass."""
-    name = ids.columns[0]
-    bits = 1 << max(17, min(FILTER_BITS.bit_length() - 1, (16 * ids.count()).bit_length()))
+def _bloom_places(x: np.ndarray, bits: int) -> np.ndarray:
+    h = mix(x.astype(np.int64, copy=False).view(np.uint64) + np.uint64(11))
+    return np.stack([h & np.uint64(bits - 1), (h >> np.uint64(32)) & np.uint64(bits - 1), mix(h) & np.uint64(bits - 1)]).astype(np.int64)
 
-    def places(x: np.ndarray) -> np.ndarray:
-        h = mix(x.astype(np.int64).view(np.uint64) + np.uint64(11))
-        return np.stack([h & np.uint64(bits - 1), (h >> np.uint64(32)) & np.uint64(bits - 1), mix(h) & np.uint64(bits - 1)]).astype(np.int64)
+
+def bloom_filter(ids: DataFrame, column: str) -> np.ndarray:
+    """Bytes of a Bloom filter over a long column, of bounded size. ids should be a saved table; nulls don't count."""
+    bits = 1 << max(17, min(FILTER_BITS.bit_length() - 1, (16 * ids.count()).bit_length()))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for b in batches:
-            at = np.unique(places(b.column(0).drop_null().to_numpy(zero_copy_only=False)))
+            at = np.unique(_bloom_places(b.column(0).drop_null().to_numpy(zero_copy_only=False), bits))
             cut = np.flatnonzero(np.diff(at // FILTER_BLOCK)) + 1
             for part in np.split(at, cut) if len(at) else []:
-                held.setdefault(int(part[0] // FILTER_BLOCK), np.zeros(FILTER_BLOCK, bool))[part % FILTER_BLOCK] = True
+                block = held.setdefault(int(part[0] // FILTER_BLOCK), np.zeros(FILTER_BLOCK // 8, np.uint8))
+                part = part % FILTER_BLOCK
+                np.bitwise_or.at(block, part >> 3, (128 >> (part & 7)).astype(np.uint8))
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(x).tobytes() for x in held.values()], pa.binary())], ["block", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["block", "bits"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -178,18 +179,32 @@ def only_ids(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFra
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["block", "bits"])
 
-    marked = ids.select(name).mapInArrow(trimmed(mark), "block int, bits binary").repartition(max(1, min(64, bits // FILTER_BLOCK)), "block")
-    table_ = np.zeros((bits // FILTER_BLOCK, FILTER_BLOCK // 8), np.uint8)
-    for r in marked.mapInArrow(trimmed(join), "block int, bits binary").collect():  # at most bits / 8 bytes
-        table_[r.block] |= np.frombuffer(r.bits, np.uint8)
-    flat = table_.ravel()
+    marked = ids.select(column).mapInArrow(trimmed(mark), "block int, bits binary").repartition(max(1, min(64, bits // FILTER_BLOCK)), "block")
+    out = np.zeros((bits // FILTER_BLOCK, FILTER_BLOCK // 8), np.uint8)
+    found = marked.mapInArrow(trimmed(join), "block int, bits binary").toArrow()  # at most bits / 8 bytes
+    for k, x in zip(found.column("block").to_pylist(), found.column("bits").to_pylist(), strict=True):
+        out[k] |= np.frombuffer(x, np.uint8)
+    return out.ravel()
+
+
+def in_filter(filter_: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Mask of the values that may be in the filter; none that is in it is missed."""
+    ok = np.ones(len(x), bool)
+    for at in _bloom_places(x.view(np.int64), 8 * len(filter_)):
+        ok &= (filter_[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+    return ok
+
+
+def only_ids(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """rows whose `column` may be among the one long column of ids: a Bloom filter of bounded size that drops most
+    other rows before they are shuffled. ids should be a saved table; null ids never pass; an empty ids passes no
+    row; repeated rows and all columns stay as they are."""
+    held = bloom_filter(ids, ids.columns[0])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.column(column)
-            ok = ~np.array(x.is_null())
-            for at in places(pa.compute.fill_null(x, 0).to_numpy(zero_copy_only=False)):
-                ok &= (flat[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+            ok = ~np.array(x.is_null()) & in_filter(held, pa.compute.fill_null(x, 0).to_numpy(zero_copy_only=False))
             if ok.any():
                 yield b.filter(pa.array(ok))
 

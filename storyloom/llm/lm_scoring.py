@@ -1,233 +1,200 @@
-"""Stupid-backoff scores of documents, from bigram and unigram counts of the whole corpus.
+"""Stupid-backoff scores of documents, from bigram and unigram counts of the whole corpus, computed relationally.
 
-Every word of the corpus is in the model. The HEAD most frequent ones (words of one count all in or all out) have
-numbers that every task knows, so a bigram of two of them is 32 bits; any other word goes by its 64-bit hash.
-Bigrams are dealt by hash: a task packs what its documents send to one partition into blocks of (document, its
-bigrams), the partition's blocks together are both its count table and the exploded bigrams that are joined to
-it, and each document's partial sums are added up last. A document's own bigrams are no evidence for it:
+An n-gram goes by its 64-bit hash. The count tables (h, n) of the words and of the bigrams are DataFrames dealt by
+hash and saved in the shared folder; no word and no bigram is left out of a count. A document's bigrams are exploded, joined to the bigram counts and summed for each document:
 
     S(w | u) = (c(u w) - c_d(u w)) / c(u)   if c(u w) > c_d(u w)
                ALPHA * c(w) / N              otherwise, and c(w) / N for a first word
 
-A word outside the head has less than 1 / HEAD of all tokens, so all that it takes part in goes to one partition,
-where its count is the number of its records. A bigram of two such words goes to both: the first word's partition
-has c(u) for the upper line, the second's c(w) for the lower one, and either can tell which line holds.
+where a document's own bigrams c_d are no evidence for it. The lower line needs no bigram count, so each document
+starts with its sum over all its words, and a bigram that is found adds the difference of the two lines.
+
+Two tables of bounded size, the HEAD most frequent words and the HOT most frequent bigrams with their counts, go to
+every task. They are a combiner for the joins: what they answer is summed up before the shuffle, and no key that
+is left can be hot, for one of m more frequent n-grams has less than N / m of the rows. The words outside the head
+have a join of their own, to the word counts. A Bloom filter keeps most bigrams that occur only once, and so
+take the lower line, out of the shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, by_megabytes, id_and_text, saved, table
-from .words import U, Words, mix
+from .common import arrow_map, bloom_filter, by_megabytes, id_and_text, in_filter, release, saved, table, trimmed
+from .words import U, Words, mix, ngram_hashes
 
-ALPHA, HEAD = 0.4, (1 << 16) - 1
-LEAST_PARTITIONS = 64
-NEXT, PREVIOUS, LEAD = 0, 1, 2  # records of a word outside the head: with the word after it, before it, with none before it
+ALPHA = 0.4
+HEAD, HOT = 1 << 20, 1 << 18
+EXPLODED = "doc_id long, h long, n_words long, score double, word long, times long, own long, count_u long, count_v long, u long, v long"
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word and n over all documents, words unchanged."""
+def gram_counts(docs: DataFrame, order: int) -> DataFrame:
+    """h and n: the hash and the count of every n-gram of that order (1 or 2) over all whole texts."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_megabytes(batches):
             w = Words(b.column("text"))
-            _, first, n = np.unique(w.hash, return_index=True, return_counts=True)
-            data = w.buf.tobytes()
-            words = [data[s:e] for s, e in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["word", "n"])
+            h = w.hash if order == 1 else _bigrams(w)[0]
+            h, n = np.unique(h, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
+
+    return id_and_text(docs).select("text").mapInArrow(trimmed(explode), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
 
-    return id_and_text(docs).select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def _bigrams(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all pairs of neighbours in one text, and the place of the first word of each."""
+    of = w.of()
+    at = np.flatnonzero(of[1:] == of[:-1]) if len(of) > 1 else np.zeros(0, np.int64)
+    return (ngram_hashes(w.hash, 2)[at] if len(at) else np.zeros(0, U)), at
 
 
-class Unigrams:
-    """Counts of the head and of all words. Number 0: any other word; `closed` makes these one symbol, the unknown word."""
+@dataclass
+class Top:
+    """The most frequent n-grams: sorted hashes and their counts."""
 
-    def __init__(self, top: list[tuple[str, int]], total: int, closed: bool = False):
-        self.total, self.closed = total, closed
-        hashes = Words(pa.array([w for w, _ in top], pa.large_string())).hash if top else np.zeros(0, U)
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        counts = np.array([n for _, n in top], np.int64)
-        self.counts = np.concatenate([[total - counts.sum()], counts[order]]).astype(np.int64)
+    hashes: np.ndarray
+    counts: np.ndarray
 
-    def numbers(self, h: np.ndarray) -> np.ndarray:
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """Counts of the hashes; 0 for what is not among them."""
         if not len(self.hashes) or not len(h):
             return np.zeros(len(h), np.int64)
-        near = np.zeros(1 << 20, bool)
-        near[(self.hashes >> U(44)).astype(np.int64)] = True
-        out = np.zeros(len(h), np.int64)
-        some = np.flatnonzero(near[(h >> U(44)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.hashes, h[some]), len(self.hashes) - 1)
-        ok = self.hashes[at] == h[some]
-        out[some[ok]] = at[ok] + 1
-        return out
-
-
-def fit_unigrams(docs: DataFrame, vocabulary: int | None = None, head: int = HEAD) -> Unigrams:
-    """Count all words; only the head, the counts that occur and the total come to the driver. The head is every word
-    that occurs as often as the least count that at most `head` words reach. Where a model is to have a closed
-    vocabulary, `vocabulary` is its size, and all words beyond it are the unknown word."""
-    most = head if vocabulary is None else vocabulary
-    if most > HEAD:
-        raise ValueError(f"head and closed vocabulary have at most {HEAD} words; without a vocabulary every word is kept")
-    counts = saved(word_counts(docs))
-    least, words = None, 0
-    for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(most + 1).collect():
-        words += r.words
-        if words > most:
-            break
-        least = r.n
-    top = counts.where(F.col("n") >= least).collect() if least is not None else []
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return Unigrams([(r.word, r.n) for r in top], int(total), vocabulary is not None)
+        some, back = np.unique(h, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.hashes, some), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == some, self.counts[at], 0)[back]
+
 
+@dataclass
+class Bigrams:
+    """A fitted model: the count tables, what of them goes to every task, and the number of words."""
 
-def lm_scores(docs: DataFrame, unigrams: Unigrams | None = None, alpha: float = ALPHA, partitions: int | None = None) -> DataFrame:
+    words: DataFrame  # words outside the head
+    pairs: DataFrame  # bigrams beyond the hot ones
+    head: Top
+    hot: Top
+    filter: np.ndarray  # Bloom filter over the hashes of pairs
+    total: int
+
+
+def _top(counts: DataFrame, most: int) -> tuple[Top, DataFrame]:
+    """The n-grams that are as frequent as the least count that at most `most` of them reach, and all others."""
+    least, held = None, 0
+    for r in counts.groupBy("n").agg(F.count("*").alias("grams")).orderBy(F.desc("n")).limit(most + 1).toLocalIterator():
+        held += r.grams
+        if held > most:
+            break
+        least = r.n
+    if least is None:
+        return Top(np.zeros(0, U), np.zeros(0, np.int64)), counts
+    found = counts.where(F.col("n") >= least).toArrow()  # at most `most` rows of 16 bytes
+    h, n = found.column("h").to_numpy().view(U), found.column("n").to_numpy()
+    order = np.argsort(h)
+    return Top(h[order], n[order]), counts.where(F.col("n") < least)
+
+
+def fit(docs: DataFrame, head: int = HEAD, hot: int = HOT, for_others: bool = True) -> Bigrams:
+    """Count words and bigrams of all documents. head and hot bound what is sent to every task, not what is counted.
+    A model that is not for_others scores these documents alone, each without its own bigrams; it has no use for a
+    bigram that occurs once."""
+    spark = docs.sparkSession
+    words = saved(gram_counts(docs, 1))
+    release(spark)
+    pairs = gram_counts(docs, 2)
+    pairs = saved(pairs if for_others else pairs.where("n > 1"))
+    release(spark)
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    top, rare = _top(words, head)
+    often, rest = _top(pairs, hot)
+    return Bigrams(rare, rest, top, often, bloom_filter(rest, "h"), int(total))
+
+
+def lm_scores(docs: DataFrame, model: Bigrams | None = None, alpha: float = ALPHA) -> DataFrame:
     """doc_id, n_words and log_score, the sum of the natural logarithms of S over the words of the text.
 
-    Null and empty texts have no words and the score 0. Rows that share a doc_id are one document (their words
-    add up, no bigram spans two rows); null doc_id is an id like others; an empty table gives no rows; other
-    columns are left behind.
+    Without a model one is fitted to docs, and a row's own bigrams are no evidence for it. With a model of other
+    documents all its counts are, and a word that it does not know counts as one that occurs once, so that every
+    score is finite. Null and empty texts have no words and the score 0. Each row is scored by itself; rows that
+    share a doc_id (null is an id like others) are then added up. An empty table gives no rows; other columns are
+    left behind.
     """
-    model = unigrams or fit_unigrams(docs)
-    rows = id_and_text(docs)
-    parts = partitions or max(LEAST_PARTITIONS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-    def deal(b: pa.RecordBatch) -> pa.RecordBatch:
+    own = model is None
+    model = model or fit(docs, for_others=False)
+    base = float(np.log(max(model.total, 1)) - np.log(alpha))
+    head, hot, pairs_filter = model.head, model.hot, model.filter
+
+    def explode(b: pa.RecordBatch) -> pa.RecordBatch:
+        """A row for each document with its sum as far as the two bounded tables know it; one for each of its words
+        outside the head; one for each bigram that is still to be joined."""
         w = Words(b.column("text"))
-        h, number, of = w.hash, model.numbers(w.hash), w.of()
-        rare = (number == 0) & (not model.closed)
-        ids = b.column("doc_id")
-        null = np.array(ids.is_null())
-        keys = pa.compute.fill_null(ids, 0).to_numpy(zero_copy_only=False)
-        where, kinds, blocks = [], [], []  # partitions from `parts` on are for words outside the head
-
-        def pack(kind: int, part: np.ndarray, doc: np.ndarray, *columns: np.ndarray) -> None:
-            """One block for each partition: documents, their numbers of records, then the records column by column."""
-            order = np.lexsort((doc, part))
-            part, doc, columns = part[order], doc[order], [c[order] for c in columns]
-            cut = np.flatnonzero(np.diff(part)) + 1 if len(part) else np.zeros(0, np.int64)
-            bounds = [0, *cut.tolist(), len(part)] if len(part) else []
-            for a, z in zip(bounds[:-1], bounds[1:], strict=True):
-                first = np.flatnonzero(np.concatenate([[True], doc[a + 1 : z] != doc[a : z - 1]]))
-                some = doc[a:z][first]
-                where.append(int(part[a]))
-                kinds.append(kind)
-                header = np.int64(len(first)).tobytes() + keys[some].astype("<i8").tobytes() + null[some].tobytes() + np.diff(np.append(first, z - a)).astype("<u4").tobytes()
-                blocks.append(header + b"".join(c[a:z].tobytes() for c in columns))
-
-        lead = np.flatnonzero(w.n > 0)
-        first = w.doc[lead]
-        known = ~rare[first]
-        base = np.zeros(b.num_rows)
-        base[lead[known]] = np.log(model.counts[number[first[known]]] / model.total)
-        joined = np.flatnonzero(of[1:] == of[:-1])
-        u, v = rare[joined], rare[joined + 1]
-        both = joined[~(u | v)]
-        key = (number[both] << 16) | number[both + 1]
-        pack(0, (mix(key.astype(U)) % U(parts)).astype(np.int64), of[both], key.astype("<u4"))
-        before, after, alone = joined[u], joined[v] + 1, first[~known]
-        at = np.concatenate([before, after, alone])
-        partner = np.concatenate([h[before + 1], h[after - 1], np.zeros(len(alone), U)])
-        role = np.repeat(np.array([NEXT, PREVIOUS, LEAD], np.uint8), [len(before), len(after), len(alone)])
-        pack(1, parts + (mix(h[at]) % U(parts)).astype(np.int64), of[at], h[at].astype("<u8"), partner.astype("<u8"), role)
-        n = b.num_rows
-        spread = (mix(keys.astype(U)) % U(parts)).astype(np.int64)
+        of, docs_ = w.of(), b.num_rows
+        count = head.of(w.hash)
+        first, first_n = _counted(of, w.hash, np.flatnonzero(count == 0))
+        owed = [(of[first], w.hash[first], first_n)]
+        score = np.bincount(of, np.log(np.maximum(count, 1)) - base, docs_) - np.log(alpha) * (w.n > 0)
+        h, at = _bigrams(w)
+        one, n = _counted(of[at], h, np.arange(len(h)))
+        h, at, doc = h[one], at[one], of[at[one]]
+        total, cu, cv = hot.of(h), count[at], count[at + 1]
+        others = total - n if own else total
+        upper = np.flatnonzero(others > 0)
+        gain = n * (np.log(np.maximum(others, 1)) + base - np.log(np.maximum(cu, 1)) - np.log(np.maximum(cv, 1)))
+        score += np.bincount(doc[upper], gain[upper], docs_)
+        for place, known in ((at, cu), (at + 1, cv)):
+            k = upper[known[upper] == 0]
+            owed.append((doc[k], w.hash[place[k]], -n[k]))
+        ask = np.flatnonzero((total == 0) & in_filter(pairs_filter, h))
+        at, cu, cv = at[ask], cu[ask], cv[ask]
+        owing, word, times = (np.concatenate(x) for x in zip(*owed, strict=True))
+        rows = [docs_, len(word), len(ask)]
+        ids = b.column("doc_id").take(pa.array(np.concatenate([np.arange(docs_), owing, doc[ask]])))
+        nobody = mix(np.arange(docs_ + len(word), dtype=U) + w.hash[:1].sum(dtype=U))  # dealt evenly, joined to nothing
+
+        def column(part: int, x: np.ndarray, null: np.ndarray | bool = False) -> pa.Array:
+            """x for the rows of one kind, null for the others."""
+            out, none = np.zeros(sum(rows), x.dtype), np.ones(sum(rows), bool)
+            low = sum(rows[:part])
+            out[low : low + rows[part]], none[low : low + rows[part]] = x, null
+            return pa.array(out, mask=none)
+
         columns = [
-            pa.array(np.concatenate([spread, np.array(where, np.int64)]), pa.int32()),
-            pa.concat_arrays([ids.cast(pa.int64()), pa.nulls(len(where), pa.int64())]),
-            pa.array(np.concatenate([w.n, np.zeros(len(where), np.int64)])),
-            pa.array(np.concatenate([base, np.zeros(len(where))])),
-            pa.array([None] * n + kinds, pa.int32()),
-            pa.array([None] * n + blocks, pa.binary()),
-        ]
-        return pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "n_words", "log_score", "kind", "block"])
-
-    def head_sums(who: np.ndarray, keys: np.ndarray, docs: int) -> np.ndarray:
-        """Bigrams of two words of the head."""
-        bigram, place, total = np.unique(keys, return_inverse=True, return_counts=True)
-        pairs, own = np.unique(who * len(bigram) + place, return_counts=True)
-        doc, place = pairs // len(bigram), pairs % len(bigram)
-        others = total[place] - own
-        u, v = (bigram[place] >> 16).astype(np.int64), (bigram[place] & 0xFFFF).astype(np.int64)
-        value = np.where(others > 0, np.log(np.maximum(others, 1) / model.counts[u]), np.log(alpha * model.counts[v] / model.total))
-        return np.bincount(doc, own * value, docs)
-
-    def rare_sums(who: np.ndarray, word: np.ndarray, partner: np.ndarray, role: np.ndarray, docs: int) -> np.ndarray:
-        """Bigrams of a word outside the head; every such word is here with all its records."""
-        word = np.unique(word, return_inverse=True)[1]
-        count = np.bincount(word[role != NEXT])
-        alone = role == LEAD
-        out = np.zeros(docs)
-        np.add.at(out, who[alone], np.log(count[word[alone]] / model.total))
-        for way in (NEXT, PREVIOUS):
-            some = np.flatnonzero(role == way)
-            if not len(some):
-                continue
-            some = some[np.lexsort((who[some], partner[some], word[some]))]
-            x, y, doc = word[some], partner[some], who[some]
-            pair = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-            run = np.flatnonzero(pair | np.concatenate([[True], doc[1:] != doc[:-1]]))
-            own = np.diff(np.append(run, len(some)))
-            of = np.cumsum(pair)[run] - 1
-            others = np.bincount(of, own).astype(np.int64)[of] - own
-            x, number, doc = x[run], model.numbers(y[run]), doc[run]
-            u, v = (count[x], model.counts[number]) if way == NEXT else (model.counts[number], count[x])
-            upper = others > 0
-            here = np.where(number > 0, True, upper == (way == NEXT))  # else the partner's partition adds it
-            value = np.log(np.where(upper, np.maximum(others, 1) / np.maximum(u, 1), alpha * np.maximum(v, 1) / model.total))
-            out += np.bincount(doc, np.where(here, own * value, 0.0), docs)
-        return out
-
-    def count_and_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All blocks of the task's partitions: their counts, and with them each document's sum."""
-        ids, nulls, sizes, rare, keys, records = [], [], [], [], [], []
-        for b in batches:
-            alone = pa.compute.is_null(b.column("block"))
-            done = b.filter(alone).select(["doc_id", "n_words", "log_score"])
-            if done.num_rows:
-                yield done
-            some = b.filter(pa.compute.invert(alone))
-            for kind, x in zip(some.column("kind").to_pylist(), some.column("block").to_pylist(), strict=True):
-                n = int(np.frombuffer(x, "<i8", 1)[0])
-                ids.append(np.frombuffer(x, "<i8", n, 8))
-                nulls.append(np.frombuffer(x, bool, n, 8 + 8 * n))
-                sizes.append(np.frombuffer(x, "<u4", n, 8 + 9 * n))
-                rare.append(np.full(n, kind == 1))
-                at = 8 + 13 * n
-                if kind == 0:
-                    keys.append(np.frombuffer(x, "<u4", -1, at))
-                else:
-                    m = int(sizes[-1].sum())
-                    records.append((np.frombuffer(x, "<u8", m, at), np.frombuffer(x, "<u8", m, at + 8 * m), np.frombuffer(x, np.uint8, m, at + 16 * m)))
-        if not ids:
-            return
-        ids, nulls, sizes, rare = (np.concatenate(v) for v in (ids, nulls, sizes, rare))
-        who = np.zeros(len(ids), np.int64)
-        order = np.lexsort((ids, nulls))
-        new = np.concatenate([[False], (ids[order][1:] != ids[order][:-1]) | (nulls[order][1:] != nulls[order][:-1])])
-        who[order] = np.cumsum(new)
-        one = order[np.concatenate([[True], new[1:]])]
-        score = np.zeros(len(one))
-        if keys:
-            score += head_sums(np.repeat(who[~rare], sizes[~rare]), np.concatenate(keys), len(one))
-        del keys
-        if records:
-            score += rare_sums(np.repeat(who[rare], sizes[rare]), *(np.concatenate(c) for c in zip(*records, strict=True)), len(one))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[one], pa.int64(), mask=nulls[one]), pa.array(np.zeros(len(one), np.int64)), pa.array(score)], ["doc_id", "n_words", "log_score"])
-
-    dealt = rows.mapInArrow(arrow_map(deal), "part int, doc_id long, n_words long, log_score double, kind int, block binary")
-    partial = dealt.repartition(2 * parts, "part").mapInArrow(count_and_join, "doc_id long, n_words long, log_score double")
-    return partial.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("log_score").alias("log_score"))
+            ids, pa.array(np.concatenate([nobody, h[ask]]).view(np.int64)), column(0, w.n.astype(np.int64)), column(0, score), column(1, word.view(np.int64)), column(1, times.astype(np.int64)),
+            column(2, n[ask].astype(np.int64)), column(2, cu, cu == 0), column(2, cv, cv == 0), column(2, w.hash[at].view(np.int64), cu > 0), column(2, w.hash[at + 1].view(np.int64), cv > 0),
+        ]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in EXPLODED.split(", ")])
+
+    grams = id_and_text(docs).mapInArrow(arrow_map(explode), EXPLODED)
+    joined = grams.join(model.pairs.withColumnRenamed("n", "total").hint("shuffle_hash"), "h", "left")
+    others = F.col("total") - F.coalesce("own", F.lit(0)) if own else F.col("total")
+    log = lambda c: F.coalesce(F.log(c), F.lit(0.0))  # noqa: E731  null: the word is outside the head
+    gain = F.col("own") * (F.log(others) + base - log("count_u") - log("count_v"))
+    joined = joined.where(F.col("own").isNull() | (others > 0)).withColumn("score", F.coalesce("score", gain))
+    owed = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("word"), (-F.col("own")).alias("times"), F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("double").alias("score")))
+    terms = joined.select("doc_id", F.explode(F.array_compact(F.array(F.struct("word", "times", "n_words", "score"), owed("u"), owed("v")))).alias("t")).select("doc_id", "t.*")
+    terms = terms.groupBy("doc_id", "word").agg(F.sum("times").alias("times"), F.sum("n_words").alias("n_words"), F.sum("score").alias("score"))
+    terms = terms.withColumn("h", F.coalesce("word", F.xxhash64("doc_id", F.lit(1))))  # so that sums of no word are dealt evenly; what they meet counts nothing
+    known = terms.join(model.words, "h", "left")
+    value = F.coalesce("score", F.lit(0.0)) + F.when(F.col("word").isNotNull(), F.col("times") * log("n")).otherwise(F.lit(0.0))
+    return known.groupBy("doc_id").agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n_words"), F.sum(value).alias("log_score"))
+
+
+def _counted(doc: np.ndarray, h: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each distinct pair (document, hash) at the places `some`: one of its places, and how often it stands there."""
+    order = some[np.lexsort((h[some], doc[some]))]
+    d, x = doc[order], h[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (d[1:] != d[:-1]) | (x[1:] != x[:-1])
+    first = np.flatnonzero(new)
+    return order[first], np.diff(np.append(first, len(order)))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of documents, scored by the bigrams of all the others; see lm_scores for odd rows."""
     scored = lm_scores(table(spark, sf_dir, "documents"))
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(F.lit(0.0))
     return scored.select("doc_id", "n_words", F.round("log_score", 5).alias("log_score"), F.round(mean, 6).alias("mean_log_score"))
@@ -235,11 +202,8 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-t AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM w),
-a AS (SELECT x, count(*) AS n FROM t GROUP BY x),
-u AS (SELECT x, n FROM a WHERE n >= (SELECT min(n) FROM (SELECT n, sum(count(*)) OVER (ORDER BY n DESC) AS c FROM a GROUP BY n) WHERE c <= 65535)),
-z AS (SELECT (SELECT count(*) FROM t) AS total),
-k AS (SELECT t.doc_id, t.i, CASE WHEN u.x IS NULL THEN '' ELSE u.x END AS x FROM t LEFT JOIN u ON t.x = u.x),
+k AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM w),
+z AS (SELECT (SELECT count(*) FROM k) AS total),
 c AS (SELECT x, count(*) AS n FROM k GROUP BY x),
 b AS (SELECT a.doc_id, a.x AS p, k.x AS q, count(*) AS own FROM k a JOIN k ON a.doc_id = k.doc_id AND k.i = a.i + 1 GROUP BY ALL),
 g AS (SELECT *, sum(own) OVER (PARTITION BY p, q) AS n FROM b),

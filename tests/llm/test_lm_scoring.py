@@ -6,59 +6,62 @@ from collections import Counter
 from storyloom.llm import lm_scoring
 
 
-def brute(rows, vocabulary):
-    words = {}
-    for i, t in rows:
-        words.setdefault(i, []).append(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
-    uni = Counter(x for v in words.values() for w in v for x in w)
-    known = {w for w, n in uni.items() if sum(m >= n for m in uni.values()) <= vocabulary}
-    words = {i: [[x if x in known else "" for x in w] for w in v] for i, v in words.items()}
-    uni = Counter(x for v in words.values() for w in v for x in w)
-    total = sum(uni.values())
-    own = {i: Counter(b for w in v for b in zip(w, w[1:], strict=False)) for i, v in words.items()}
-    all_ = sum(own.values(), Counter())
+def words_of(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def brute(rows, fitted=None):
+    """Scores of the rows by the counts of `fitted`, or else of the rows themselves without each row's own bigrams."""
+    corpus = [words_of(t) for _, t in (fitted if fitted is not None else rows)]
+    uni = Counter(x for w in corpus for x in w)
+    total = max(1, sum(uni.values()))
+    pairs = Counter(b for w in corpus for b in zip(w, w[1:], strict=False))
+    seen = lambda x: max(1, uni[x])
     out = {}
-    for i, v in words.items():
-        s = sum(math.log(uni[w[0]] / total) for w in v if w)
-        for (p, q), n in own[i].items():
-            rest = all_[p, q] - n
-            s += n * (math.log(rest / uni[p]) if rest else math.log(lm_scoring.ALPHA * uni[q] / total))
-        out[i] = (sum(map(len, v)), round(s, 6))
-    return out
+    for i, t in rows:
+        w = words_of(t)
+        own = Counter(zip(w, w[1:], strict=False))
+        s = math.log(seen(w[0]) / total) if w else 0.0
+        for (p, q), n in own.items():
+            rest = pairs[p, q] - (n if fitted is None else 0)
+            s += n * (math.log(rest / seen(p)) if rest else math.log(lm_scoring.ALPHA * seen(q) / total))
+        n_words, score = out.get(i, (0, 0.0))
+        out[i] = (n_words + len(w), score + s)
+    return {i: (n, round(s, 5)) for i, (n, s) in out.items()}
 
 
-def test_against_brute_force(spark, odd_docs, no_docs):
-    rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
-    for vocabulary in (3, 65_535):
-        scored = lm_scoring.lm_scores(odd_docs, lm_scoring.fit_unigrams(odd_docs, vocabulary))
-        assert {r.doc_id: (r.n_words, round(r.log_score, 6)) for r in scored.collect()} == brute(rows, vocabulary)
-    assert lm_scoring.lm_scores(no_docs).count() == 0
+def scored(df, model=None):
+    return {r.doc_id: (r.n_words, round(r.log_score, 5)) for r in lm_scoring.lm_scores(df, model).collect()}
 
 
-def test_every_word_is_kept(spark, odd_docs):
-    rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
-    for head in (0, 3, lm_scoring.HEAD):
-        scored = lm_scoring.lm_scores(odd_docs, lm_scoring.fit_unigrams(odd_docs, head=head))
-        assert {r.doc_id: (r.n_words, round(r.log_score, 6)) for r in scored.collect()} == brute(rows, math.inf)
+def close(got, want):
+    return got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-4 for k in got)
 
 
-def test_more_words_than_the_head(spark):
+def test_against_brute_force(spark, odd_docs, no_docs):
+    assert close(scored(odd_docs), brute([(r.doc_id, r.text) for r in odd_docs.collect()]))
+    assert scored(no_docs) == {}
+
+
+def test_bounded_tables_change_nothing(spark, odd_docs, monkeypatch):
+    """The same scores whether all n-grams, a few of them or none are sent to every task."""
     rng = random.Random(8)
-    words = [f"w{k}" for k in range(40_000)]
-    texts = [f"only{k} " * rng.randint(1, 2) + " ".join(rng.choices(words, k=200) + rng.choices(words[:60], k=60)) for k in range(700)]
-    rows = list(enumerate([*texts, *(t.replace("w", "v") for t in texts), texts[0]]))
-    assert len({w for _, t in rows for w in t.split()}) > lm_scoring.HEAD
-    words = {i: t.split() for i, t in rows}
-    uni = Counter(x for w in words.values() for x in w)
-    total = sum(uni.values())
-    own = {i: Counter(zip(w, w[1:], strict=False)) for i, w in words.items()}
-    pairs = Counter(b for w in words.values() for b in zip(w, w[1:], strict=False))
-    want = {}
-    for i, w in words.items():
-        s = math.log(uni[w[0]] / total)
-        for (p, q), n in own[i].items():
-            rest = pairs[p, q] - n
-            s += n * (math.log(rest / uni[p]) if rest else math.log(lm_scoring.ALPHA * uni[q] / total))
-        want[i] = (len(w), round(s, 5))
-    got = lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {r.doc_id: (r.n_words, round(r.log_score, 5)) for r in got.collect()} == want
+    words = [f"w{k}" for k in range(300)] + [f"only{k}" for k in range(2000)]
+    weights = [1 / (k + 1) for k in range(len(words))]
+    texts = [" ".join(rng.choices(words, weights, k=rng.randint(0, 80))) for _ in range(150)]
+    rows = list(enumerate([*texts, texts[3], texts[3], "alone", "w0 " * 500]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute(rows)
+    for head, hot in ((1 << 20, 1 << 18), (40, 10), (0, 0), (0, 1 << 18), (1 << 20, 0)):
+        monkeypatch.setattr(lm_scoring.fit, "__defaults__", (head, hot, True))
+        assert close(scored(df), want), (head, hot)
+
+
+def test_a_model_of_other_documents(spark, odd_docs, no_docs):
+    other = [(1, "alpha beta gamma alpha beta"), (2, "of the one"), (3, None)]
+    rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    for fitted in (other, []):
+        model = lm_scoring.fit(spark.createDataFrame(fitted, "doc_id long, text string"))
+        got = scored(odd_docs, model)
+        assert all(math.isfinite(s) for _, s in got.values())
+        assert close(got, brute(rows, fitted))
