@@ -156,7 +156,7 @@ def _bloom_places(x: np.ndarray, bits: int) -> np.ndarray:
 
 def bloom_filter(ids: DataFrame, column: str) -> np.ndarray:
     """Bytes of a Bloom filter over a long column, of bounded size. ids should be a saved table; nulls don't count."""
-    bits = 1 << max(17, min(FILTER_BITS.bit_length() - 1, (16 * ids.count()).bit_length()))
+    bits = 1 << max(17, min(FILTER_BITS.bit_length() - 1, (10 * ids.count()).bit_length()))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}

@@ -11,14 +11,13 @@ starts with its sum over all its words, and a bigram that is found adds the diff
 
 Two tables of bounded size, the HEAD most frequent words and the HOT most frequent bigrams with their counts, go to
 every task. They are a combiner for the joins: what they answer is summed up before the shuffle, and no key that
-is left can be hot, for one of m more frequent n-grams has less than N / m of the rows. The words outside the head
-have a join of their own, to the word counts. A Bloom filter keeps most bigrams that occur only once, and so
-take the lower line, out of the shuffle.
+is left can be hot, for an n-gram less frequent than m others has less than N / m of the rows. The words outside the
+head have a join of their own, to the word counts. A Bloom filter keeps most bigrams that stand in one text only,
+and so take the lower line, out of the shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,25 +25,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bloom_filter, by_megabytes, id_and_text, in_filter, release, saved, table, trimmed
+from .common import arrow_map, bloom_filter, id_and_text, in_filter, release, saved, table
 from .words import U, Words, mix, ngram_hashes
 
 ALPHA = 0.4
-HEAD, HOT = 1 << 20, 1 << 18
+HEAD, HOT = 1 << 20, 1 << 20  # 16 MB each
 EXPLODED = "doc_id long, h long, n_words long, score double, word long, times long, own long, count_u long, count_v long, u long, v long"
 
 
 def gram_counts(docs: DataFrame, order: int) -> DataFrame:
-    """h and n: the hash and the count of every n-gram of that order (1 or 2) over all whole texts."""
+    """h, n and texts: the hash and the count of every n-gram of that order (1 or 2) over all whole texts, and whether
+    it stands in one text (1) or in more (2 or above). Null and empty texts have none; an empty table gives no rows.
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_megabytes(batches):
-            w = Words(b.column("text"))
-            h = w.hash if order == 1 else _bigrams(w)[0]
-            h, n = np.unique(h, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
+    Each batch sends an n-gram once, so a frequent one is as many rows as there are batches."""
 
-    return id_and_text(docs).select("text").mapInArrow(trimmed(explode), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    def explode(b: pa.RecordBatch) -> pa.RecordBatch:
+        w = Words(b.column("text"))
+        h, at = (w.hash, np.arange(len(w.hash))) if order == 1 else _bigrams(w)
+        by_hash = np.argsort(h, kind="stable")
+        h, of = h[by_hash], w.of()[at[by_hash]]
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]]))
+        n = np.diff(np.append(first, len(h)))
+        more = of[first] != of[first + n - 1]
+        return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(n, pa.int64()), pa.array(1 + more, pa.int64())], ["h", "n", "texts"])
+
+    rows = id_and_text(docs).select("text").mapInArrow(arrow_map(explode), "h long, n long, texts long")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "h").groupBy("h").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
 
 
 def _bigrams(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -101,12 +108,11 @@ def _top(counts: DataFrame, most: int) -> tuple[Top, DataFrame]:
 def fit(docs: DataFrame, head: int = HEAD, hot: int = HOT, for_others: bool = True) -> Bigrams:
     """Count words and bigrams of all documents. head and hot bound what is sent to every task, not what is counted.
     A model that is not for_others scores these documents alone, each without its own bigrams; it has no use for a
-    bigram that occurs once."""
+    bigram that stands in one text."""
     spark = docs.sparkSession
-    words = saved(gram_counts(docs, 1))
+    words = saved(gram_counts(docs, 1).select("h", "n"))
     release(spark)
-    pairs = gram_counts(docs, 2)
-    pairs = saved(pairs if for_others else pairs.where("n > 1"))
+    pairs = saved(gram_counts(docs, 2).where("true" if for_others else "texts > 1").select("h", "n"))
     release(spark)
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     top, rare = _top(words, head)
@@ -174,8 +180,10 @@ def lm_scores(docs: DataFrame, model: Bigrams | None = None, alpha: float = ALPH
     log = lambda c: F.coalesce(F.log(c), F.lit(0.0))  # noqa: E731  null: the word is outside the head
     gain = F.col("own") * (F.log(others) + base - log("count_u") - log("count_v"))
     joined = joined.where(F.col("own").isNull() | (others > 0)).withColumn("score", F.coalesce("score", gain))
-    owed = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("word"), (-F.col("own")).alias("times"), F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("double").alias("score")))
-    terms = joined.select("doc_id", F.explode(F.array_compact(F.array(F.struct("word", "times", "n_words", "score"), owed("u"), owed("v")))).alias("t")).select("doc_id", "t.*")
+    owed = lambda c: F.struct(F.col(c).alias("word"), (-F.col("own")).alias("times"), F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("double").alias("score"))
+    first, no_u, no_v = F.struct("word", "times", "n_words", "score"), F.col("u").isNull(), F.col("v").isNull()
+    lists = F.when(no_u & no_v, F.array(first)).when(no_v, F.array(first, owed("u"))).when(no_u, F.array(first, owed("v"))).otherwise(F.array(first, owed("u"), owed("v")))
+    terms = joined.select("doc_id", F.explode(lists).alias("t")).select("doc_id", "t.*")
     terms = terms.groupBy("doc_id", "word").agg(F.sum("times").alias("times"), F.sum("n_words").alias("n_words"), F.sum("score").alias("score"))
     terms = terms.withColumn("h", F.coalesce("word", F.xxhash64("doc_id", F.lit(1))))  # so that sums of no word are dealt evenly; what they meet counts nothing
     known = terms.join(model.words, "h", "left")
