@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -142,6 +143,7 @@ def arrow_map(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str
 def release(spark: SparkSession) -> None:
     """A hint, of which no result depends: when the driver's JVM collects garbage, Spark removes the shuffle files of
     finished queries. Without it they stay until the heap fills, which a driver with little to do takes long for."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -26,32 +26,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, bloom_filter, id_and_text, in_filter, release, saved, table
-from .words import U, Words, mix, ngram_hashes
+from .words import P, U, Words, mix, ngram_hashes
 
 ALPHA = 0.4
 HEAD, HOT = 1 << 20, 1 << 20  # 16 MB each
-EXPLODED = "doc_id long, h long, n_words long, score double, word long, times long, own long, count_u long, count_v long, u long, v long"
+SLOT_BITS = 20
+EXPLODED = "doc_id long, h long, own long, count_u long, count_v long, rare struct<u:long,v:long>, known struct<n_words:long,score:double,word:long,times:long>"
 
 
-def gram_counts(docs: DataFrame, order: int) -> DataFrame:
-    """h, n and texts: the hash and the count of every n-gram of that order (1 or 2) over all whole texts, and whether
-    it stands in one text (1) or in more (2 or above). Null and empty texts have none; an empty table gives no rows.
-
-    Each batch sends an n-gram once, so a frequent one is as many rows as there are batches."""
+def gram_counts(docs: DataFrame, orders: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """order, h, n and texts: the hash and the count of every n-gram of these orders (1, 2) over all whole texts, and
+    whether it stands in one text (1) or in more (2 or above). Null and empty texts have none; an empty table gives
+    no rows. Each batch sends an n-gram once, so a frequent one is as many rows as there are batches."""
 
     def explode(b: pa.RecordBatch) -> pa.RecordBatch:
         w = Words(b.column("text"))
-        h, at = (w.hash, np.arange(len(w.hash))) if order == 1 else _bigrams(w)
-        by_hash = np.argsort(h, kind="stable")
-        h, of = h[by_hash], w.of()[at[by_hash]]
-        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]]))
-        n = np.diff(np.append(first, len(h)))
-        more = of[first] != of[first + n - 1]
-        return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(n, pa.int64()), pa.array(1 + more, pa.int64())], ["h", "n", "texts"])
-
-    rows = id_and_text(docs).select("text").mapInArrow(arrow_map(explode), "h long, n long, texts long")
+        columns = []
+        for order in orders:
+            h, at = (w.hash, np.arange(len(w.hash))) if order == 1 else _bigrams(w)
+            by_hash = np.argsort(h)
+            h, of = h[by_hash], w.of()[at[by_hash]]
+            first = _first(h)
+            more = np.maximum.reduceat(of, first) > np.minimum.reduceat(of, first) if len(first) else first
+            columns.append((np.full(len(first), order, np.int8), h[first].view(np.int64), np.diff(np.append(first, len(h))), 1 + more))
+        order, h, n, texts = (np.concatenate(c) for c in zip(*columns, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(order, pa.int8()), pa.array(h), pa.array(n, pa.int64()), pa.array(texts, pa.int64())], ["order", "h", "n", "texts"])
+
+    rows = id_and_text(docs).select("text").mapInArrow(arrow_map(explode), "order byte, h long, n long, texts long")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "h").groupBy("h").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
+    return rows.repartition(parts, "h").groupBy("order", "h").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
+
+
+def _first(x: np.ndarray) -> np.ndarray:
+    """Where a new value begins in an array in which equal values stand together."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]]))
 
 
 def _bigrams(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -61,20 +69,35 @@ def _bigrams(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return (ngram_hashes(w.hash, 2)[at] if len(at) else np.zeros(0, U)), at
 
 
-@dataclass
+def _counted(doc: np.ndarray, h: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each distinct pair (document, hash) at the places `some`: one of its places, and how often it stands there."""
+    key = mix(h[some] + (doc[some].astype(U) + U(1)) * P)
+    order = np.argsort(key)
+    first = _first(key[order])
+    return some[order[first]], np.diff(np.append(first, len(order)))
+
+
 class Top:
-    """The most frequent n-grams: sorted hashes and their counts."""
+    """The most frequent n-grams: sorted hashes, their counts, and where the hashes of each SLOT_BITS first bits begin."""
 
-    hashes: np.ndarray
-    counts: np.ndarray
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.counts = hashes[order], counts[order]
+        self.slots = np.searchsorted(self.hashes >> U(64 - SLOT_BITS), np.arange((1 << SLOT_BITS) + 1, dtype=U)).astype(np.int32)
 
     def of(self, h: np.ndarray) -> np.ndarray:
         """Counts of the hashes; 0 for what is not among them."""
-        if not len(self.hashes) or not len(h):
-            return np.zeros(len(h), np.int64)
-        some, back = np.unique(h, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.hashes, some), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == some, self.counts[at], 0)[back]
+        out = np.zeros(len(h), np.int64)
+        slot = (h >> U(64 - SLOT_BITS)).astype(np.int64)
+        at, end = self.slots[slot], self.slots[slot + 1]
+        live = np.flatnonzero(at < end)
+        while len(live):
+            here = at[live]
+            hit = self.hashes[here] == h[live]
+            out[live[hit]] = self.counts[here[hit]]
+            at[live] += 1
+            live = live[~hit & (here + 1 < end[live])]
+        return out
 
 
 @dataclass
@@ -100,20 +123,17 @@ def _top(counts: DataFrame, most: int) -> tuple[Top, DataFrame]:
     if least is None:
         return Top(np.zeros(0, U), np.zeros(0, np.int64)), counts
     found = counts.where(F.col("n") >= least).toArrow()  # at most `most` rows of 16 bytes
-    h, n = found.column("h").to_numpy().view(U), found.column("n").to_numpy()
-    order = np.argsort(h)
-    return Top(h[order], n[order]), counts.where(F.col("n") < least)
+    return Top(found.column("h").to_numpy().view(U), found.column("n").to_numpy()), counts.where(F.col("n") < least)
 
 
 def fit(docs: DataFrame, head: int = HEAD, hot: int = HOT, for_others: bool = True) -> Bigrams:
     """Count words and bigrams of all documents. head and hot bound what is sent to every task, not what is counted.
     A model that is not for_others scores these documents alone, each without its own bigrams; it has no use for a
     bigram that stands in one text."""
-    spark = docs.sparkSession
-    words = saved(gram_counts(docs, 1).select("h", "n"))
-    release(spark)
-    pairs = saved(gram_counts(docs, 2).where("true" if for_others else "texts > 1").select("h", "n"))
-    release(spark)
+    counts = gram_counts(docs)
+    counts = saved((counts if for_others else counts.where("order = 1 or texts > 1")).select("order", "h", "n"))
+    release(docs.sparkSession)
+    words, pairs = (counts.where(F.col("order") == k).select("h", "n") for k in (1, 2))
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     top, rare = _top(words, head)
     often, rest = _top(pairs, hot)
@@ -168,39 +188,35 @@ def lm_scores(docs: DataFrame, model: Bigrams | None = None, alpha: float = ALPH
             out[low : low + rows[part]], none[low : low + rows[part]] = x, null
             return pa.array(out, mask=none)
 
-        columns = [
-            ids, pa.array(np.concatenate([nobody, h[ask]]).view(np.int64)), column(0, w.n.astype(np.int64)), column(0, score), column(1, word.view(np.int64)), column(1, times.astype(np.int64)),
-            column(2, n[ask].astype(np.int64)), column(2, cu, cu == 0), column(2, cv, cv == 0), column(2, w.hash[at].view(np.int64), cu > 0), column(2, w.hash[at + 1].view(np.int64), cv > 0),
-        ]
-        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in EXPLODED.split(", ")])
+        kind = np.repeat([0, 1, 2], rows)
+        no_rare = np.ones(len(kind), bool)
+        no_rare[kind == 2] = (cu > 0) & (cv > 0)
+        rare = pa.StructArray.from_arrays([column(2, w.hash[at].view(np.int64), cu > 0), column(2, w.hash[at + 1].view(np.int64), cv > 0)], ["u", "v"], mask=pa.array(no_rare))
+        known = [column(0, w.n.astype(np.int64)), column(0, score), column(1, word.view(np.int64)), column(1, times.astype(np.int64))]
+        known = pa.StructArray.from_arrays(known, ["n_words", "score", "word", "times"], mask=pa.array(kind == 2))
+        asked = [column(2, x.astype(np.int64)) for x in (n[ask], cu, cv)]
+        return pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate([nobody, h[ask]]).view(np.int64)), *asked, rare, known], ["doc_id", "h", "own", "count_u", "count_v", "rare", "known"])
 
     grams = id_and_text(docs).mapInArrow(arrow_map(explode), EXPLODED)
     joined = grams.join(model.pairs.withColumnRenamed("n", "total").hint("shuffle_hash"), "h", "left")
-    others = F.col("total") - F.coalesce("own", F.lit(0)) if own else F.col("total")
-    log = lambda c: F.coalesce(F.log(c), F.lit(0.0))  # noqa: E731  null: the word is outside the head
+    others = F.col("total") - F.col("own") if own else F.col("total")
+    log = lambda c: F.log(F.greatest(F.col(c), F.lit(1)))  # noqa: E731  0: the word is outside the head
     gain = F.col("own") * (F.log(others) + base - log("count_u") - log("count_v"))
-    joined = joined.where(F.col("own").isNull() | (others > 0)).withColumn("score", F.coalesce("score", gain))
-    owed = lambda c: F.struct(F.col(c).alias("word"), (-F.col("own")).alias("times"), F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("double").alias("score"))
-    first, no_u, no_v = F.struct("word", "times", "n_words", "score"), F.col("u").isNull(), F.col("v").isNull()
-    lists = F.when(no_u & no_v, F.array(first)).when(no_v, F.array(first, owed("u"))).when(no_u, F.array(first, owed("v"))).otherwise(F.array(first, owed("u"), owed("v")))
+    term = lambda word, times, n_words, score: F.struct(word.alias("word"), times.alias("times"), n_words.alias("n_words"), score.alias("score"))
+    none, nil = F.lit(None).cast("long"), F.lit(None).cast("double")
+    owed = lambda c: term(F.col(f"rare.{c}"), -F.col("own"), none, nil)
+    sums = F.when(F.col("own").isNull(), term(F.col("known.word"), F.col("known.times"), F.col("known.n_words"), F.col("known.score"))).otherwise(term(none, none, none, gain))
+    no_u, no_v = F.col("rare.u").isNull(), F.col("rare.v").isNull()
+    lists = F.when(no_u & no_v, F.array(sums)).when(no_v, F.array(sums, owed("u"))).when(no_u, F.array(sums, owed("v"))).otherwise(F.array(sums, owed("u"), owed("v")))
+    joined = joined.where(F.col("own").isNull() | (others > 0))
     terms = joined.select("doc_id", F.explode(lists).alias("t")).select("doc_id", "t.*")
     terms = terms.groupBy("doc_id", "word").agg(F.sum("times").alias("times"), F.sum("n_words").alias("n_words"), F.sum("score").alias("score"))
     terms = terms.withColumn("h", F.coalesce("word", F.xxhash64("doc_id", F.lit(1))))  # so that sums of no word are dealt evenly; what they meet counts nothing
     known = terms.join(model.words, "h", "left")
-    value = F.coalesce("score", F.lit(0.0)) + F.when(F.col("word").isNotNull(), F.col("times") * log("n")).otherwise(F.lit(0.0))
+    value = F.coalesce("score", F.lit(0.0)) + F.when(F.col("word").isNotNull(), F.col("times") * F.coalesce(F.log("n"), F.lit(0.0))).otherwise(F.lit(0.0))
     return known.groupBy("doc_id").agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n_words"), F.sum(value).alias("log_score"))
 
 
-def _counted(doc: np.ndarray, h: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each distinct pair (document, hash) at the places `some`: one of its places, and how often it stands there."""
-    order = some[np.lexsort((h[some], doc[some]))]
-    d, x = doc[order], h[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (d[1:] != d[:-1]) | (x[1:] != x[:-1])
-    first = np.flatnonzero(new)
-    return order[first], np.diff(np.append(first, len(order)))
-
-
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of documents, scored by the bigrams of all the others; see lm_scores for odd rows."""
     scored = lm_scores(table(spark, sf_dir, "documents"))
