@@ -142,7 +142,9 @@ def arrow_map(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str
 
 def release(spark: SparkSession) -> None:
     """A hint, of which no result depends: when the driver's JVM collects garbage, Spark removes the shuffle files of
-    finished queries. Without it they stay until the heap fills, which a driver with little to do takes long for."""
+    finished queries. Without it they stay until the heap fills, which a driver with little to do takes long for.
+    Spark holds on to the latest query, so another one, of a single row, comes first."""
+    spark.range(1).count()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
