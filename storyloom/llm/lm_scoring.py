@@ -34,27 +34,24 @@ SLOT_BITS = 20
 EXPLODED = "doc_id long, h long, own long, count_u long, count_v long, rare struct<u:long,v:long>, known struct<n_words:long,score:double,word:long,times:long>"
 
 
-def gram_counts(docs: DataFrame, orders: tuple[int, ...] = (1, 2)) -> DataFrame:
-    """order, h, n and texts: the hash and the count of every n-gram of these orders (1, 2) over all whole texts, and
-    whether it stands in one text (1) or in more (2 or above). Null and empty texts have none; an empty table gives
-    no rows. Each batch sends an n-gram once, so a frequent one is as many rows as there are batches."""
+def gram_counts(docs: DataFrame, order: int) -> DataFrame:
+    """h, n and texts: the hash and the count of every n-gram of that order (1 or 2) over all whole texts, and whether
+    it stands in one text (1) or in more (2 or above). Null and empty texts have none; an empty table gives no rows.
+    Each batch sends an n-gram once, so a frequent one is as many rows as there are batches."""
 
     def explode(b: pa.RecordBatch) -> pa.RecordBatch:
         w = Words(b.column("text"))
-        columns = []
-        for order in orders:
-            h, at = (w.hash, np.arange(len(w.hash))) if order == 1 else _bigrams(w)
-            by_hash = np.argsort(h)
-            h, of = h[by_hash], w.of()[at[by_hash]]
-            first = _first(h)
-            more = np.maximum.reduceat(of, first) > np.minimum.reduceat(of, first) if len(first) else first
-            columns.append((np.full(len(first), order, np.int8), h[first].view(np.int64), np.diff(np.append(first, len(h))), 1 + more))
-        order, h, n, texts = (np.concatenate(c) for c in zip(*columns, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(order, pa.int8()), pa.array(h), pa.array(n, pa.int64()), pa.array(texts, pa.int64())], ["order", "h", "n", "texts"])
-
-    rows = id_and_text(docs).select("text").mapInArrow(arrow_map(explode), "order byte, h long, n long, texts long")
+        h, at = (w.hash, np.arange(len(w.hash))) if order == 1 else _bigrams(w)
+        by_hash = np.argsort(h)
+        h, of = h[by_hash], w.of()[at[by_hash]]
+        first = _first(h)
+        more = np.maximum.reduceat(of, first) > np.minimum.reduceat(of, first) if len(first) else first
+        columns = [h[first].view(np.int64), np.diff(np.append(first, len(h))), 1 + more]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["h", "n", "texts"])
+
+    rows = id_and_text(docs).select("text").mapInArrow(arrow_map(explode), "h long, n long, texts long")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "h").groupBy("order", "h").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
+    return rows.repartition(parts, "h").groupBy("h").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
 
 
 def _first(x: np.ndarray) -> np.ndarray:
@@ -130,10 +127,10 @@ def fit(docs: DataFrame, head: int = HEAD, hot: int = HOT, for_others: bool = Tr
     """Count words and bigrams of all documents. head and hot bound what is sent to every task, not what is counted.
     A model that is not for_others scores these documents alone, each without its own bigrams; it has no use for a
     bigram that stands in one text."""
-    counts = gram_counts(docs)
-    counts = saved((counts if for_others else counts.where("order = 1 or texts > 1")).select("order", "h", "n"))
+    words = saved(gram_counts(docs, 1).select("h", "n"))
+    release(docs.sparkSession)
+    pairs = saved(gram_counts(docs, 2).where("true" if for_others else "texts > 1").select("h", "n"))
     release(docs.sparkSession)
-    words, pairs = (counts.where(F.col("order") == k).select("h", "n") for k in (1, 2))
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     top, rare = _top(words, head)
     often, rest = _top(pairs, hot)
