@@ -208,6 +208,8 @@ def lm_scores(docs: DataFrame, model: Bigrams | None = None, alpha: float = ALPH
     joined = joined.where(F.col("own").isNull() | (others > 0))
     terms = joined.select("doc_id", F.explode(lists).alias("t")).select("doc_id", "t.*")
     terms = terms.groupBy("doc_id", "word").agg(F.sum("times").alias("times"), F.sum("n_words").alias("n_words"), F.sum("score").alias("score"))
+    terms = saved(terms)  # the shuffle of the bigrams may go before the words are joined
+    release(docs.sparkSession)
     terms = terms.withColumn("h", F.coalesce("word", F.xxhash64("doc_id", F.lit(1))))  # so that sums of no word are dealt evenly; what they meet counts nothing
     known = terms.join(model.words, "h", "left")
     value = F.coalesce("score", F.lit(0.0)) + F.when(F.col("word").isNotNull(), F.col("times") * F.coalesce(F.log("n"), F.lit(0.0))).otherwise(F.lit(0.0))
