@@ -5,13 +5,18 @@ WINDOW words has one anchor, its rightmost least GRAM-gram by hash, and equal wi
 equal places; so windows whose anchor occurs once in the whole table are unique and go no further (about one
 anchor for seven words is counted to find that out).
 
-The suffixes that stay are grouped by a prefix of variable length: the words up to the end of the anchor, or
-all WINDOW words where an anchor is so frequent that its group would not fit. Neighbouring suffixes with one
-anchor travel together as a segment of text. A task reads its groups in order, packs whole groups into chunks
-of bounded size and builds the suffix structure of a chunk by prefix doubling (ranks of 1, 2, 4, 8, 16 words);
-suffixes that agree on WINDOW words hang below one internal node of that depth or more, and all but the
-earliest of them are repeats. Equal segments of one batch meet before the shuffle, where the earliest alone is
-sent on, so a group of copies is no larger than the number of batches that hold it.
+The suffixes that stay are split by a prefix of variable length: their leading words up to the end of the anchor,
+GRAM to WINDOW of them. A group holds the prefixes that end with one anchor; neighbouring suffixes with one
+anchor travel together as a segment of text, whose size is bounded. A task reads its groups in order, packs
+whole groups into chunks of bounded size and, below each prefix, sorts the suffixes (ranks by prefix doubling) and
+takes the common lengths of neighbours in that order: the suffix array and LCP array of that prefix's tree. The
+internal nodes of depth WINDOW or more are its repeats; all leaves but the earliest of such a node go.
+
+Where an anchor occurs more than HEAVY times its group would not fit, and the prefix is lengthened to the whole
+window. Such a prefix is itself a node of depth WINDOW, and its subtree has nothing to split: the earliest leaf is
+a minimum with partial sums, and a join that Spark may split marks the others. Equal segments of one batch meet
+before the shuffle, where the earliest alone is sent on, so a group of copies is no larger than the number of
+batches that hold it.
 """
 
 from __future__ import annotations
@@ -23,16 +28,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import arrow_map, id_and_text, release, saved, table
+from .common import arrow_map, id_and_text, release, saved, table, trimmed
 from .words import U, Words, mix, ngram_hashes, starts_with_room
 
 WINDOW, GRAM = 20, 8
-HEAVY = 20_000  # occurrences of an anchor from which on the prefix is the whole window
-CHUNK_BYTES = 2 << 20
+HEAVY = 2_000  # occurrences of an anchor from which on the prefix is the whole window
+CHUNK_BYTES = 1 << 20
+SEGMENT_BYTES = 1 << 10  # a longer segment has words of more than DIGESTED bytes, which are sent as digests
+DIGESTED = 20
 SPAN = "doc_id long, start int, windows int"
 SEGMENT = StructType().add("prefix", "long").add("doc_id", "long").add("start", "integer").add("windows", "integer").add("content", "binary")
+LEAVES, TREES, KNOWN = 0, 1, 2  # what a sent row is: a window that is its own prefix, a segment for the trees, a run found already
 
 
 def anchors(w: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -106,8 +114,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
             first = first + np.where(long, nth, 0)
             last = np.where(long, first, last)
             h = np.where(long, ngram_hashes(w.hash, window)[np.minimum(first, len(w.hash) - window)], h)
-        data = w.buf.tobytes()
-        contents = [data[s:e] for s, e in zip(w.start[first].tolist(), w.end[last + window - 1].tolist(), strict=True)]
+        contents = _contents(w, first, last + window)
         ids = b.column("doc_id").to_numpy(zero_copy_only=False)[of[first]] if len(first) else np.zeros(0, np.int64)
         place = (first - w.doc[of[first]]).astype(np.int64) if len(first) else first
         order = np.lexsort((place, ids))
@@ -126,12 +133,34 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
         head = np.flatnonzero(~joined)
         windows = np.add.reduceat(windows, head) if len(head) else windows
         prefix = np.where(settled, mix(ids.astype(U) + U(1)), h).view(np.int64)[head]
-        content = pa.array([None if settled[k] else contents[kept[k]] for k in head.tolist()], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(prefix), pa.array(ids[head]), pa.array(place[head], pa.int32()), pa.array(windows, pa.int32()), content], SEGMENT.fieldNames())
-
-    sent = rows.join(of_doc, "doc_id").mapInArrow(arrow_map(segments), SEGMENT)
-    grouped = sent.repartition("prefix").sortWithinPartitions("prefix")
-    return grouped.mapInArrow(lambda batches: _trees(batches, window), SPAN)
+        bare = settled | long[kept]  # a window that is its own prefix needs no text
+        kind = np.where(settled, KNOWN, np.where(long[kept], LEAVES, TREES))[head]
+        content = pa.array([None if bare[k] else contents[kept[k]] for k in head.tolist()], pa.binary())
+        columns = [pa.array(prefix), pa.array(ids[head]), pa.array(place[head], pa.int32()), pa.array(windows, pa.int32()), content, pa.array(kind, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, [*SEGMENT.fieldNames(), "kind"])
+
+    sent = rows.join(of_doc, "doc_id").mapInArrow(arrow_map(segments), StructType([*SEGMENT.fields, StructField("kind", IntegerType())]))
+    sent = saved(sent)
+    release(docs.sparkSession)
+    known = sent.where(F.col("kind") == KNOWN).select("doc_id", "start", "windows")
+    leaves = sent.where(F.col("kind") == LEAVES).select("prefix", "doc_id", "start")
+    earliest = saved(leaves.groupBy("prefix").agg(F.min(F.struct("doc_id", "start")).alias("earliest")))
+    later = leaves.join(earliest, "prefix").where((F.col("doc_id") != F.col("earliest.doc_id")) | (F.col("start") != F.col("earliest.start")))
+    segments_ = sent.where(F.col("kind") == TREES).select(*SEGMENT.fieldNames())
+    trees = segments_.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(trimmed(lambda batches: _trees(batches, window)), SPAN)
+    return known.unionByName(later.select("doc_id", "start", F.lit(1).alias("windows"))).unionByName(trees)
+
+
+def _contents(w: Words, first: np.ndarray, end: np.ndarray) -> list[bytes]:
+    """The text of the words first[k]..end[k] - 1; where that is more than SEGMENT_BYTES, its long words by digests."""
+    data, out = w.buf.tobytes(), []
+    for a, z, i, j in zip(w.start[first].tolist(), w.end[end - 1].tolist(), first.tolist(), end.tolist(), strict=True):
+        if z - a <= SEGMENT_BYTES:
+            out.append(data[a:z])
+        else:
+            words = (data[s:e] for s, e in zip(w.start[i:j].tolist(), w.end[i:j].tolist(), strict=True))
+            out.append(b" ".join(x if len(x) <= DIGESTED else b"\x01" + hashlib.blake2b(x, digest_size=8).hexdigest().encode() for x in words))
+    return out
 
 
 def _spans(ids: np.ndarray, start: np.ndarray, windows: np.ndarray) -> pa.RecordBatch:
@@ -139,50 +168,45 @@ def _spans(ids: np.ndarray, start: np.ndarray, windows: np.ndarray) -> pa.Record
 
 
 def _trees(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Pass settled segments on; put whole prefix groups together to chunks and find each chunk's repeats."""
+    """Put whole groups (rows of one prefix, which come in order) together to chunks and find each chunk's repeats."""
     held: list[pa.RecordBatch] = []
-    size = 0
+    size, last = 0, None
     for b in batches:
-        settled = pa.compute.is_null(b.column("content"))
-        done = b.filter(settled)
-        if done.num_rows:
-            yield _spans(*(done.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "start", "windows")))
-        b = b.filter(pa.compute.invert(settled))
-        if not b.num_rows:
-            continue
-        held.append(b)
-        size += b.column("content").nbytes
-        if size >= CHUNK_BYTES:
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            prefix = whole.column("prefix").to_numpy()
-            cut = int(np.searchsorted(prefix, prefix[-1], "left"))  # the last group may go on
-            if cut:
-                yield from _repeats(whole.slice(0, cut), window)
-                rest = whole.slice(cut)
-                held, size = [pa.Table.from_batches([rest]).combine_chunks().to_batches()[0]], sum(len(x) for x in rest.column("content").to_pylist())
+        prefix = b.column("prefix").to_numpy()
+        upto = np.concatenate([[0], np.cumsum(pa.compute.binary_length(b.column("content")).to_numpy(), dtype=np.int64)])
+        begins = np.flatnonzero(np.concatenate([[last != prefix[0]], prefix[1:] != prefix[:-1]]))
+        low = 0
+        for cut in begins.tolist():  # before a group begins, all groups that came are whole
+            if size + upto[cut] - upto[low] >= CHUNK_BYTES:
+                yield from _repeats(pa.Table.from_batches([*held, b.slice(low, cut - low)]).combine_chunks().to_batches()[0], window)
+                held, size, low = [], 0, cut
+        held.append(b.slice(low))
+        size, last = size + int(upto[-1] - upto[low]), prefix[-1]
     if held:
         yield from _repeats(pa.Table.from_batches(held).combine_chunks().to_batches()[0], window)
 
 
 def _repeats(b: pa.RecordBatch, window: int) -> Iterator[pa.RecordBatch]:
-    prefix = b.column("prefix").to_numpy()
-    same = np.zeros(len(prefix) + 1, bool)
-    same[1:-1] = prefix[1:] == prefix[:-1]
-    b = b.filter(pa.array(same[1:] | same[:-1]))  # a group of one holds no repeat
+    """Spans of the leaves, but for the earliest, of the nodes of depth `window` or more in a chunk's trees."""
+    group = b.column("prefix").to_numpy()
+    same = np.zeros(len(group) + 1, bool)
+    same[1:-1] = group[1:] == group[:-1]
+    b = b.filter(pa.array(same[1:] | same[:-1]))  # a group of one segment holds no repeat
     if not b.num_rows:
         return
     w = Words(b.column("content"))
     ids, place, windows = (b.column(c).to_numpy() for c in ("doc_id", "start", "windows"))
-    rank = suffix_ranks(w.hash, w.doc, window)
     row = np.repeat(np.arange(len(windows)), windows)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-    node = rank[w.doc[row] + nth]
+    suffix = w.doc[row] + nth
+    order, lcp = suffix_array(w.hash, suffix, window)
     doc, at = ids[row], place[row] + nth
-    order = np.lexsort((at, doc, node))
-    head = np.concatenate([[True], node[order][1:] != node[order][:-1]])
-    of = order[np.flatnonzero(head)][np.cumsum(head) - 1]  # the earliest suffix below the same node
+    head = np.flatnonzero(np.concatenate([[True], lcp[1:] < window]))  # from here on below another node
+    node = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(order))))
+    by_age = order[np.lexsort((at[order], doc[order], node))]
+    of = by_age[head][node]  # the earliest leaf below the same node
     repeat = np.zeros(len(row), bool)
-    repeat[order] = (doc[order] != doc[of]) | (at[order] != at[of])
+    repeat[by_age] = (doc[by_age] != doc[of]) | (at[by_age] != at[of])
     hit = np.flatnonzero(repeat)
     if len(hit):
         begin = np.concatenate([[True], (np.diff(hit) != 1) | (np.diff(row[hit]) != 0)])
@@ -191,9 +215,22 @@ def _repeats(b: pa.RecordBatch, window: int) -> Iterator[pa.RecordBatch]:
         yield _spans(doc[first], at[first], count)
 
 
-def suffix_ranks(words: np.ndarray, doc: np.ndarray, depth: int) -> np.ndarray:
-    """For each word place a number that two places share if their next `depth` words are the same: prefix
-    doubling, the ranks of 2k words from those of k. Places with less room get ranks of no meaning."""
+def suffix_array(words: np.ndarray, suffixes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes that begin at these places by their first `depth` words, all of which they have, and
+    how many words (depth at most) each shares with the one before it; the first shares none."""
+    order = np.argsort(suffix_ranks(words, depth)[suffixes], kind="stable")
+    lcp = np.zeros(len(order), np.int64)
+    here, before = suffixes[order[1:]], suffixes[order[:-1]]
+    live = np.arange(1, len(order))
+    for k in range(depth):
+        live = live[words[here[live - 1] + k] == words[before[live - 1] + k]]
+        lcp[live] = k + 1
+    return order, lcp
+
+
+def suffix_ranks(words: np.ndarray, depth: int) -> np.ndarray:
+    """For each word place its rank by the next `depth` words: prefix doubling, the ranks of 2k words from those of k.
+    Places with less room get ranks of no meaning."""
     _, rank = np.unique(words, return_inverse=True)
     rank = rank.astype(np.int64)
     parts, size, left = [], 1, depth
@@ -232,14 +269,17 @@ def _covered(w: Words, lists: pa.ListArray, window: int) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
-def _with_spans(docs: DataFrame, keyed: DataFrame, window: int, gram: int) -> DataFrame:
-    spans = repeated_spans(keyed, window, gram).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
-    rest = docs.where("doc_id is null").withColumn("spans", F.lit(None).cast("array<struct<start:int,windows:int>>"))
+def _with_spans(docs: DataFrame, name: str, window: int, gram: int) -> DataFrame:
+    """docs and, in a column of that name, the spans of each document's repeated windows."""
+    spans = repeated_spans(docs, window, gram).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias(name))
+    rest = docs.where("doc_id is null").withColumn(name, F.lit(None).cast("array<struct<start:int,windows:int>>"))
     return docs.where("doc_id is not null").join(spans, "doc_id", "left").unionByName(rest)
 
 
 def kept_digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 (kept words joined by one space) of every row."""
+    """doc_id, n_words, n_removed and kept_sha256 (kept words joined by one space) of every row. Null and empty texts
+    have no words; a null doc_id keeps all its words; repeated rows lose what their one document loses; an empty
+    table gives no rows; other columns are left behind."""
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         w = Words(b.column("text"))
@@ -257,18 +297,20 @@ def kept_digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
         return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(w.n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     rows = id_and_text(docs)
-    return _with_spans(rows, rows, window, gram).select("doc_id", "text", "spans").mapInArrow(arrow_map(one), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_spans(rows, "spans", window, gram).select("doc_id", "text", "spans").mapInArrow(arrow_map(one), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """docs with the repeated words, and the white space after each, cut out of text; all rows and columns stay.
-    Null texts stay null; n_chars, where there is such a column, is counted anew for texts that change."""
+    """docs with the repeated words, and the white space after each, cut out of text; all rows and columns, of whatever
+    names, stay. Null texts stay null, texts of null doc_id stay whole; n_chars, where there is such a column, is
+    counted anew for texts that change; an empty table stays empty."""
     names = docs.columns
+    spans = next(n for n in ("spans", *(f"spans_{k}" for k in range(len(names) + 1))) if n not in names)
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         texts = b.column("text").cast(pa.string())
         w = Words(texts)
-        gone = _covered(w, b.column("spans"), window)
+        gone = _covered(w, b.column(spans), window)
         hit = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(gone)])[w.doc]))
         columns = {n: b.column(n) for n in names}
         out, data = texts.to_pylist(), w.buf.tobytes()
@@ -285,10 +327,11 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
             columns["n_chars"] = pa.array(counts, b.column("n_chars").type)
         return pa.RecordBatch.from_arrays([columns[n] for n in names], names)
 
-    return _with_spans(docs.drop("spans") if "spans" in names else docs, docs, window, gram).mapInArrow(arrow_map(one), docs.schema)
+    return _with_spans(docs, spans, window, gram).mapInArrow(arrow_map(one), docs.schema)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every whole text of documents without the words of repeated windows; see kept_digests."""
     return kept_digests(table(spark, sf_dir, "documents"))
 
 

@@ -64,3 +64,32 @@ def test_cut_texts_keep_rows_and_columns(spark, odd_docs):
     want = {(i, h) for i, _, _, h in brute([(r.doc_id, r.text) for r in odd_docs.collect()], 20)}
     got = {(i, hashlib.sha256(" ".join(re.findall(r"[^\x20\x09-\x0D]+", t or "")).encode()).hexdigest()) for i, t in rows}
     assert got == want
+
+
+def test_suffix_arrays_and_common_lengths():
+    import numpy as np
+
+    rng = random.Random(6)
+    words = np.array([rng.randrange(3) for _ in range(300)], np.uint64)
+    suffixes = np.array(rng.sample(range(290), 120))
+    order, lcp = substrings.suffix_array(words, suffixes, 10)
+    strings = [tuple(words[s : s + 10].tolist()) for s in suffixes[order]]
+    assert strings == sorted(strings)
+    for k in range(1, len(strings)):
+        assert lcp[k] == next((i for i, (x, y) in enumerate(zip(strings[k - 1], strings[k], strict=True)) if x != y), 10)
+
+
+def test_groups_of_any_size_and_long_words(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", 300)
+    monkeypatch.setattr(substrings, "SEGMENT_BYTES", 80)
+    rng = random.Random(14)
+    long = ["x" * 5000, "x" * 4999 + "y", "z" * 21]
+    core = [rng.choice([*long, "a", "b"]) for _ in range(14)]
+    rows = [(i, " ".join([*(rng.choice("abc") for _ in range(7)), *core[: rng.randint(9, 14)], *(rng.choice("abc") for _ in range(5))])) for i in range(40)]
+    check(spark, rows, 8, 3)
+
+
+def test_a_column_called_spans_stays(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    df = spark.createDataFrame([(1, text, 7, 3), (2, "a " + text + " b", 8, None), (None, text, None, 1)], "doc_id long, text string, spans int, n_chars int")
+    assert sorted((tuple(r) for r in substrings.without_repeats(df).collect()), key=repr) == sorted([(1, text, 7, 3), (2, "a b", 8, 3), (None, text, None, 1)], key=repr)
