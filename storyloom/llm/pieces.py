@@ -3,8 +3,9 @@
 A text becomes ``' ' + text`` with every space written as U+2581; no piece has that mark anywhere but in
 front, so the lattice falls apart at the marks and each segment (mark and word) can be searched by itself.
 Forward Viterbi scores are the exact heuristics of a backward A* search, which so yields segmentations in
-order of score. The best path and the loss of the second best of all distinct segments of a batch are found
-in lock step; A* runs only on the few segments of a document that can be part of its N best.
+order of score. No place of the lattice is left more than N times, so the search is linear in the segment. The
+best path and the loss of the second best of all distinct segments of a batch are found in lock step by the
+same forward scores; A* runs only on the few segments of a document that can be part of its N best.
 
 Scores are the model's; a character without a piece costs UNKNOWN below the least score and becomes the byte
 pieces of its UTF-8 form, as does U+2581 itself, so decoding gives back every text.
@@ -14,6 +15,8 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import arrow_map, id_and_text, table
+from .common import arrow_map, id_and_text, table, trimmed
 from .words import U
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-N_BEST, UNKNOWN, LONG = 4, 10.0, 40
+N_BEST, UNKNOWN = 4, 10.0
+LONG, CELLS = 40, 1 << 17  # segments beyond LONG are searched by themselves; places of a group in lock step
+BATCH = 3 << 20
 NEVER = -1e8  # pieces at or below this score are not for use
 
 
@@ -114,29 +119,85 @@ def edges_into(v: Vocabulary, s: str, end: int):
             yield start, tuple(v.byte_ids[b] for b in part.encode()), v.unknown
 
 
-def forward(v: Vocabulary, s: str) -> np.ndarray:
-    """Best score of each prefix of s."""
-    best = np.full(len(s) + 1, -np.inf)
-    best[0] = 0
+@dataclass
+class Lattice:
+    """The edges of one segment, in order of their ends, then starts: those into place e are first[e]..first[e + 1] - 1."""
+
+    first: array
+    start: array
+    piece: array  # -1: a character by the bytes of its UTF-8 form
+    score: array
+
+
+def lattice(v: Vocabulary, s: str) -> Lattice:
+    out = Lattice(array("q", [0]), array("i"), array("i"), array("d"))
+    pieces, longest = v.pieces, v.longest
+    out.first.append(0)  # no edge into 0
     for end in range(1, len(s) + 1):
-        best[end] = max(best[start] + score for start, _, score in edges_into(v, s, end))
-    return best
+        for start in range(max(0, end - longest), end):
+            found = pieces.get(s[start:end])
+            if found and MARK not in (s[1:end] if start == 0 else s[start:end]):
+                out.start.append(start)
+                out.piece.append(found[0])
+                out.score.append(found[1])
+            elif start == end - 1:
+                out.start.append(start)
+                out.piece.append(-1)
+                out.score.append(v.unknown)
+        out.first.append(len(out.start))
+    return out
+
+
+def _ids(v: Vocabulary, s: str, edges: list[tuple[int, int, int]]) -> tuple[int, ...]:
+    """Ids of a path's edges (start, end, piece)."""
+    return tuple(i for start, end, p in edges for i in ((p,) if p >= 0 else (v.byte_ids[b] for b in s[start:end].encode())))
+
+
+def forward(g: Lattice) -> tuple[array, array]:
+    """Best score of each prefix, and the edge that reaches it (the longest of equals)."""
+    size = len(g.first) - 2
+    best, back = array("d", [0.0]) + array("d", [-math.inf]) * size, array("q", [-1]) * (size + 1)
+    for end in range(1, size + 1):
+        for e in range(g.first[end], g.first[end + 1]):
+            if (total := best[g.start[e]] + g.score[e]) > best[end]:
+                best[end], back[end] = total, e
+    return best, back
 
 
 def segment_nbest(v: Vocabulary, s: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
     """The n best segmentations of one segment (a mark and what follows) in order of score: backward A* with the
-    forward scores as heuristics. Equal scores: the path found first, longest last piece first."""
-    best = forward(v, s)
-    agenda: list[tuple[float, int, int, float, tuple[int, ...]]] = [(-best[-1], 0, len(s), 0.0, ())]
-    out, tick = [], 0
+    forward scores as heuristics. Equal scores: depth first from the end, the longest last piece first.
+
+    A state is a place with a back-pointer to the state and the edge that it came by. Of the paths from a place to
+    the end only the n best can be part of an answer, so a place is left n times at most."""
+    g = lattice(v, s)
+    best, _ = forward(g)
+    size = len(s)
+    state_parent, state_edge, state_end = array("q", [-1]), array("q", [-1]), array("q", [size])
+    agenda: list[tuple[float, int, int, float, int]] = [(-best[size], 0, size, 0.0, 0)]
+    left = array("q", [0]) * (size + 1)
+    out: list[tuple[float, tuple[int, ...]]] = []
+    tick = 0
     while agenda and len(out) < n:
-        _, _, at, done, ids = heapq.heappop(agenda)
+        _, _, at, done, state = heapq.heappop(agenda)
         if at == 0:
-            out.append((done, ids))
+            edges = []
+            while state_parent[state] >= 0:
+                e, state = state_edge[state], state_parent[state]
+                edges.append((g.start[e], state_end[state], g.piece[e]))
+            out.append((done, _ids(v, s, edges)))
+            continue
+        if left[at] == n:
             continue
-        for start, more, score in edges_into(v, s, at):
-            tick += 1
-            heapq.heappush(agenda, (-(best[start] + score + done), tick, start, score + done, more + ids))
+        left[at] += 1
+        for e in range(g.first[at + 1] - 1, g.first[at] - 1, -1):  # the latest of equals comes first: the longest
+            start = g.start[e]
+            tick -= 1
+            state_parent.append(state)
+            state_edge.append(e)
+            state_end.append(start)
+            score = g.score[e] + done
+            heapq.heappush(agenda, (-(best[start] + score), tick, start, score, len(state_parent) - 1))
     return out
 
 
@@ -187,30 +248,29 @@ def best_segments(v: Vocabulary, segments: list[str]) -> tuple[np.ndarray, np.nd
             for k in group.tolist():
                 ids[k], score[k], loss[k] = _best_alone(v, segments[k])
         elif size:
-            _best_group(v, [segments[k] for k in group.tolist()], group, ids, score, loss)
+            for part in np.array_split(group, 1 + len(group) * size // CELLS):
+                _best_group(v, [segments[k] for k in part.tolist()], part, ids, score, loss)
     counts = np.fromiter((len(x) for x in ids), np.int64, n)
     return np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate([[0], np.cumsum(counts)]), score, loss
 
 
 def _best_alone(v: Vocabulary, s: str) -> tuple[np.ndarray, float, float]:
-    """One long segment: forward and backward scores in plain Python."""
-    into = [list(edges_into(v, s, e)) for e in range(len(s) + 1)]
-    alpha, back = [0.0] + [-np.inf] * len(s), [None] * (len(s) + 1)
-    for e in range(1, len(s) + 1):
-        for edge in into[e]:
-            if alpha[edge[0]] + edge[2] > alpha[e]:
-                alpha[e], back[e] = alpha[edge[0]] + edge[2], edge
-    beta = [-np.inf] * len(s) + [0.0]
-    for e in range(len(s), 0, -1):
-        for start, _, sc in into[e]:
-            beta[start] = max(beta[start], beta[e] + sc)
-    path, at, used = [], len(s), set()
-    while at:
-        path.append(back[at][1])
-        used.add((back[at][0], at))
-        at = back[at][0]
-    other = max((alpha[a] + sc + beta[e] for e in range(1, len(s) + 1) for a, _, sc in into[e] if (a, e) not in used), default=-np.inf)
-    return np.array([i for p in reversed(path) for i in p], np.int32), alpha[-1], alpha[-1] - other
+    """One segment by itself: ids of the best path, its score, and the loss of the second best."""
+    g = lattice(v, s)
+    alpha, back = forward(g)
+    beta = array("d", [-math.inf]) * len(s) + array("d", [0.0])
+    other, on, path = -math.inf, len(s), []
+    for end in range(len(s), 0, -1):
+        for e in range(g.first[end], g.first[end + 1]):
+            start, gain = g.start[e], beta[end] + g.score[e]
+            if gain > beta[start]:
+                beta[start] = gain
+            if end != on or e != back[end]:
+                other = max(other, alpha[start] + gain)
+        if end == on:
+            path.append((g.start[back[end]], end, g.piece[back[end]]))
+            on = g.start[back[end]]
+    return np.array(_ids(v, s, path[::-1]), np.int32), alpha[-1], alpha[-1] - other
 
 
 def _best_group(v: Vocabulary, segments: list[str], group: np.ndarray, ids: list, score: np.ndarray, loss: np.ndarray) -> None:
@@ -221,7 +281,7 @@ def _best_group(v: Vocabulary, segments: list[str], group: np.ndarray, ids: list
     single = np.array(v.byte_ids, np.int32)
     alpha = np.full((size + 1, rows), -np.inf)
     alpha[0] = 0
-    back, piece = np.zeros((size + 1, rows), np.int64), np.zeros((size + 1, rows), np.int32)
+    back, piece = np.zeros((size + 1, rows), np.int32), np.zeros((size + 1, rows), np.int32)
     edges: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # start, end, rows that have it, scores
 
     def reach(start: int, end: int, some: np.ndarray, gain: np.ndarray, which: np.ndarray) -> None:
@@ -345,8 +405,9 @@ def encode_batch(v: Vocabulary, texts: list[str | None], n: int = N_BEST) -> Enc
 
 def encode_texts(docs: DataFrame, model: str = MODEL, n: int = N_BEST) -> DataFrame:
     """doc_id, ids (array<int>, the best segmentation), score, nbest_scores and second_ids_sha256 (of the second
-    best as little-endian 32-bit ids; null where there is none). Null text is empty, null doc_id and repeated
-    rows stay, ties of score go to the longest last piece, other columns are left behind."""
+    best as little-endian 32-bit ids; null where there is none). Null text is empty and has no ids; null doc_id and
+    repeated rows stay; of equal scores the longest last piece comes first; a text of one unbroken run of characters,
+    however long, takes time in proportion; an empty table gives no rows; other columns are left behind."""
     v = load_vocabulary(model)
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -364,7 +425,7 @@ def encode_texts(docs: DataFrame, model: str = MODEL, n: int = N_BEST) -> DataFr
         ids = pa.ListArray.from_arrays(pa.array(e.starts.astype(np.int32)), pa.array(e.ids, pa.int32()))
         return pa.RecordBatch.from_arrays([b.column("doc_id"), ids, pa.array(e.score), pa.array(e.nbest, pa.list_(pa.float64())), pa.array(second, pa.string())], ["doc_id", "ids", "score", "nbest_scores", "second_ids_sha256"])
 
-    return id_and_text(docs).mapInArrow(arrow_map(one, most=6 << 20), "doc_id long, ids array<int>, score double, nbest_scores array<double>, second_ids_sha256 string")
+    return id_and_text(docs).mapInArrow(arrow_map(one, most=BATCH), "doc_id long, ids array<int>, score double, nbest_scores array<double>, second_ids_sha256 string")
 
 
 def _id_lists(b: pa.RecordBatch) -> Iterator[np.ndarray | None]:
@@ -376,7 +437,8 @@ def _id_lists(b: pa.RecordBatch) -> Iterator[np.ndarray | None]:
 
 
 def decode_texts(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """Adds text, decoded from ids; null ids give null. A column text of the input is replaced."""
+    """Adds text, decoded from ids; null ids give null, no ids the empty text. A column text of the input is replaced;
+    rows, repeated ones too, and other columns stay."""
     v = load_vocabulary(model)
     encoded = encoded.drop("text")
 
@@ -387,7 +449,7 @@ def decode_texts(encoded: DataFrame, model: str = MODEL) -> DataFrame:
                 texts = pa.array([None if x is None else decode_ids(v, x) for x in _id_lists(p)], pa.string())
                 yield pa.RecordBatch.from_arrays([*p.columns, texts], [*p.schema.names, "text"])
 
-    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("text", StringType())]))
+    return encoded.mapInArrow(trimmed(run), StructType([*encoded.schema.fields, StructField("text", StringType())]))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -405,4 +467,4 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_pieces", "score", "nbest_scores", "ids_sha256", "second_ids_sha256", "decoded_sha256"])
 
     schema = "doc_id long, n_pieces long, score double, nbest_scores array<double>, ids_sha256 string, second_ids_sha256 string, decoded_sha256 string"
-    return encode_texts(table(spark, sf_dir, "documents")).mapInArrow(run, schema)
+    return encode_texts(table(spark, sf_dir, "documents")).mapInArrow(trimmed(run), schema)

@@ -36,6 +36,35 @@ def test_nbest_of_a_segment(v, s):
         assert best[1][0] == (want[0][0] - want[1][0] if len(want) > 1 else float("inf"))
 
 
+@pytest.mark.parametrize("s", ["▁aaaaaaaaaa", "▁abababab", "▁  ", "▁ééé", "▁thethe"])
+def test_places_left_n_times_lose_nothing(v, s):
+    want = brute(v, s)
+    for n in (1, 2, 5, 40):
+        got = pieces.segment_nbest(v, s, n)
+        assert [x[0] for x in got] == [x[0] for x in want[:n]] and len({x[1] for x in got}) == len(got)
+        assert got == pieces.segment_nbest(v, s, n)
+        assert got == pieces.segment_nbest(v, s, 40)[:n]
+
+
+@pytest.mark.parametrize("kind", ["equal", "random", "letters", "no pieces"])
+def test_long_unbroken_texts(v, kind):
+    """A hundred thousand characters without a space, in time in proportion."""
+    import random
+    import time
+
+    rng = random.Random(2)
+    draw = {"equal": lambda: "a", "random": lambda: chr(rng.randrange(33, 0x2000)), "letters": lambda: rng.choice("abcdefgh"), "no pieces": lambda: chr(0x10000 + rng.randrange(5000))}[kind]
+    text = "".join(draw() for _ in range(100_000))
+    took = {}
+    for size in (25_000, 100_000):
+        began = time.process_time()
+        e = pieces.encode_batch(v, [text[:size]], 4)
+        took[size] = time.process_time() - began
+        assert pieces.decode_ids(v, e.ids) == text[:size]
+        assert e.nbest[0] == sorted(e.nbest[0], reverse=True) and e.nbest[0][0] == e.score[0]
+    assert took[100_000] < 20 and took[100_000] < 8 * max(took[25_000], 0.2)
+
+
 TEXTS = ["hello world of the thing", " a  b", None, "", "x", "▁x ▁▁ <0x0A> </s>", "naïve café 😀\n\tz", "the the the", "y" * 90 + " z", " "]
 
 
