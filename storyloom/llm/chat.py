@@ -40,45 +40,76 @@ def unescaped(c: Column) -> Column:
     return F.regexp_replace(c, r"([<\[])\\|\\(\\)", "$1$2")
 
 
+PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
+
+
+def text_part(text: Column) -> Column:
+    """A typed part of text alone."""
+    none = lambda kind: F.lit(None).cast(kind)
+    return F.struct(
+        F.lit("text").alias("type"), text.alias("text"), none("string").alias("ref"), none("int").alias("width"),
+        none("int").alias("height"), none("double").alias("seconds"), none("int").alias("pages"),
+    )
+
+
+def _is_media(p: Column) -> Column:
+    return F.coalesce(p["type"], F.lit("")) != "text"
+
+
+def _kind(p: Column) -> Column:
+    return F.when(p["type"].isin("image", "audio"), p["type"]).otherwise(F.lit("document"))
+
+
+def _tokens(p: Column, costs: PartCosts) -> Column:
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    image = F.ceil(zero(p["width"]) / costs.patch) * F.ceil(zero(p["height"]) / costs.patch)
+    audio = F.ceil(zero(p["seconds"]) * costs.audio_per_second)
+    return F.when(p["type"] == "image", image).when(p["type"] == "audio", audio).otherwise(zero(p["pages"]) * costs.per_page).cast("long")
+
+
 def flatten_parts(turns: DataFrame, costs: PartCosts = PartCosts()) -> DataFrame:
     """Visit `parts` of each turn in order and flatten them into `content`.
 
-    parts: array<struct<type, text, ref, width, height, seconds, pages>>. Text parts are escaped; the n-th
-    image, audio or document part of a conversation (from 0) becomes ``<|type:n|>``. Adds content,
-    attachments (array of ordinal, type, ref, tokens) and expanded_tokens. Null parts are no parts; null
-    text is empty; parts of an unknown type count as documents of no pages; null measures count as 0.
-    Columns content, attachments and expanded_tokens of the input are replaced.
+    turns: conv_id, turn, role and parts, array<PART>. Text parts are escaped; the n-th image, audio or document part
+    of a conversation (from 0) becomes ``<|type:n|>``. Adds place (of the turn in its conversation, from 1, by
+    turn, ties by role, then parts), content, attachments (array of ordinal, type, ref, tokens) and expanded_tokens;
+    such columns of the input are replaced, others stay. Null parts are no parts, and a null among them, as any
+    of an unknown type, is a document of no pages; null text is empty; null role counts as an empty one; null
+    measures count as 0; repeated rows are repeated turns; an empty table gives no rows.
     """
-    parts = F.coalesce("parts", F.expr("cast(array() as array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>)"))
-    is_media = lambda p: F.coalesce(p["type"], F.lit("")) != "text"
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    tokens = lambda p: F.when(p["type"] == "image", F.ceil(zero(p["width"]) / costs.patch) * F.ceil(zero(p["height"]) / costs.patch)).when(p["type"] == "audio", F.ceil(zero(p["seconds"]) * costs.audio_per_second)).otherwise(zero(p["pages"]) * costs.per_page).cast("long")
-    kind = lambda p: F.when(p["type"].isin("image", "audio"), p["type"]).otherwise(F.lit("document"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role").rowsBetween(Window.unboundedPreceding, -1)
-    out = turns.withColumn("_media", F.filter(parts, is_media))
-    out = out.withColumn("_first", zero(F.sum(F.size("_media")).over(order)))
-    out = out.withColumn("attachments", F.transform("_media", lambda p, i: F.struct((F.col("_first") + i).alias("ordinal"), kind(p).alias("type"), p["ref"].alias("ref"), tokens(p).alias("tokens"))))
-    earlier = lambda i: F.size(F.filter(F.slice(parts, 1, i), is_media))
-    shown = F.transform(parts, lambda p, i: F.when(is_media(p), F.concat(F.lit("<|"), kind(p), F.lit(":"), (F.col("_first") + earlier(i)).cast("string"), F.lit("|>"))).otherwise(escaped(F.coalesce(p["text"], F.lit("")))))
+    added = ("place", "content", "attachments", "expanded_tokens")
+    parts = F.coalesce("parts", F.expr(f"cast(array() as array<{PART}>)"))
+    in_order = Window.partitionBy("row.conv_id").orderBy("row.turn", F.coalesce("row.role", F.lit("")), "parts")
+    rows = turns.select(F.struct(*turns.columns).alias("row"), parts.alias("parts")).withColumn("media", F.filter("parts", _is_media))
+    before = F.coalesce(F.sum(F.size("media")).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.select("*", F.row_number().over(in_order).alias("place"), before.alias("first"))
+    found = F.transform("media", lambda p, i: F.struct((F.col("first") + i).alias("ordinal"), _kind(p).alias("type"), p["ref"].alias("ref"), _tokens(p, costs).alias("tokens")))
+
+    def shown(p: Column, i: Column) -> Column:
+        ordinal = F.col("first") + F.size(F.filter(F.slice("parts", 1, i), _is_media))
+        return F.when(_is_media(p), F.concat(F.lit("<|"), _kind(p), F.lit(":"), ordinal.cast("string"), F.lit("|>"))).otherwise(escaped(F.coalesce(p["text"], F.lit(""))))
+
+    rows = rows.select("row", "place", F.array_join(F.transform("parts", shown), "").alias("content"), found.alias("attachments"))
     total = F.aggregate("attachments", F.lit(0).cast("long"), lambda n, a: n + a["tokens"])
-    return out.withColumn("content", F.array_join(shown, "")).withColumn("expanded_tokens", total).drop("_media", "_first")
+    return rows.select(*(F.col(f"row.`{c}`") for c in turns.columns if c not in added), "place", "content", "attachments", total.alias("expanded_tokens"))
 
 
 def format_chat(turns: DataFrame, template: ChatTemplate = ChatTemplate()) -> DataFrame:
     """One row for each conv_id: formatted, n_turns, loss_spans (start and length in code points of formatted),
     attachments (array<struct<ordinal, type, ref, tokens>>) and expanded_tokens.
 
-    turns: conv_id, turn, role and either text or, from flatten_parts, content with attachments. Turns stand
-    by turn, ties by role, then text; repeated rows are repeated turns. Null role or text is empty, null
-    conv_id is a conversation of its own, an empty table gives no rows, other columns are left behind.
+    turns: conv_id, turn, role and either text or, from flatten_parts, content with place and attachments. Turns stand
+    in their place, or else by turn, ties by role, then text; repeated rows are repeated turns. Null role or text
+    is empty, null conv_id is a conversation of its own, an empty table gives no rows, other columns are left behind.
     """
-    parts = {"content", "attachments"} <= set(turns.columns)
+    parts = {"place", "content", "attachments"} <= set(turns.columns)
     content = F.coalesce("content", F.lit("")) if parts else escaped(F.coalesce("text", F.lit("")))
     media = F.col("attachments") if parts else F.expr("cast(array() as array<struct<ordinal:bigint,type:string,ref:string,tokens:bigint>>)")
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), content.alias("content"), media.alias("media"))
+    keys = [F.col("place")] if parts else [F.col("turn"), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))]
+    rows = turns.select("conv_id", F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys))).alias("at"), F.coalesce("role", F.lit("")).alias("role"), content.alias("content"), media.alias("media"))
     head = F.concat(F.lit(template.open), escaped(F.col("role")), F.lit(template.message))
     rows = rows.select("*", head.alias("head")).select("*", F.concat("head", "content", F.lit(template.close)).alias("piece"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "content").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.select("*", F.coalesce(F.sum(F.length("piece").cast("long")).over(order), F.lit(0)).alias("before"))
     span = F.when(F.col("role").isin(*template.learned_roles), F.struct((F.col("before") + F.length("head")).alias("start"), F.length("content").cast("long").alias("length")))
     turns_of = F.sort_array(F.collect_list(F.struct("before", "piece", span.alias("span"), "media")))
@@ -114,9 +145,12 @@ def under_loss(formatted: Column, spans: Column) -> Column:
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the planted one, each turn as typed parts (the table holds text alone), flattened,
+    formatted, and read back from the output."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     planted = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
-    chats = format_chat(turns.unionByName(planted))
+    typed = turns.unionByName(planted).select("conv_id", "turn", "role", F.array(text_part(F.col("text"))).alias("parts"))
+    chats = format_chat(flatten_parts(typed))
     back = chats.select("*", parsed_turns(F.col("formatted")).alias("back"), under_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     said = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
@@ -126,6 +160,8 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"),
+        "expanded_tokens",
     )
 
 
@@ -137,9 +173,10 @@ WITH t AS (
   SELECT *, replace(replace(replace(text, '\', '\\'), '<', '<\'), '[', '[\') AS content, replace(replace(replace(role, '\', '\\'), '<', '<\'), '[', '[\') AS r FROM t
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, content)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, content) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(length('<|start|>' || r || '<|message|>' || content || '<|end|>'))::BIGINT AS formatted_chars
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<|start|>' || r || '<|message|>' || content || '<|end|>'))::BIGINT AS formatted_chars,
+  0::BIGINT AS n_attachments, 0::BIGINT AS expanded_tokens
 FROM e GROUP BY conv_id
 """

@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, by_megabytes, id_and_text, only_ids, release, saved, table
+from .common import arrow_map, by_megabytes, discard, id_and_text, only_ids, release, saved, table, trimmed
 from .components import connected_components
 from .words import LOWER, U, Words, mix, ngram_hashes, starts_with_room
 
-COUNTERS, BLOCKS = 1 << 19, 64
+LEAST_COUNTERS, MOST_COUNTERS, GRAMS_A_COUNTER, BLOCKS = 1 << 19, 1 << 22, 64, 64
 CLASSES = 256  # hash classes whose sizes bound an overlap
 RANKS = 1 << 12  # steps of the log count in the order
 POSITION, SIZE = 25, 26  # bits of a packed place
@@ -45,18 +45,24 @@ def sets_of(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([grams[full], whole]), np.concatenate([of[full], short])
 
 
-def _cells(h: np.ndarray) -> np.ndarray:
-    return (h >> U(45)).astype(np.int64)
+def _cells(h: np.ndarray, counters: int) -> np.ndarray:
+    return (h >> U(65 - counters.bit_length())).astype(np.int64)
 
 
-def count_sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """Ranks (log counts in RANKS steps) of COUNTERS counters of n-gram hashes over all documents: 1 MB for any
-    input. The counters never under-count."""
+def counters_for(grams: int) -> int:
+    """A counter for about GRAMS_A_COUNTER n-grams, 8 MB of ranks at most. With many n-grams to a counter only those
+    far more frequent than the rest of their counter stand out, and these are the ones to keep out of prefixes."""
+    return min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << (grams // GRAMS_A_COUNTER).bit_length()))
+
+
+def count_sketch(docs: DataFrame, n: int, counters: int = LEAST_COUNTERS) -> np.ndarray:
+    """Ranks (log counts in RANKS steps) of the counters of n-gram hashes over all documents. The counters never
+    under-count."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros(counters, np.int64)
         for b in by_megabytes(batches):
-            total += np.bincount(_cells(sets_of(b.column("text"), n)[0]), minlength=COUNTERS)
+            total += np.bincount(_cells(sets_of(b.column("text"), n)[0], counters), minlength=counters)
         blocks = total.reshape(BLOCKS, -1)
         if total.any():
             small = [x.astype("<u2") if x.max() < 1 << 16 else x.astype("<i8") for x in blocks]
@@ -66,20 +72,20 @@ def count_sketch(docs: DataFrame, n: int) -> np.ndarray:
         held: dict[int, np.ndarray] = {}
         for b in batches:
             for i, x in zip(b.column("block").to_pylist(), b.column("sums").to_pylist(), strict=True):
-                x = np.frombuffer(x, "<u2" if len(x) == COUNTERS // BLOCKS * 2 else "<i8").astype(np.int64)
+                x = np.frombuffer(x, "<u2" if len(x) == counters // BLOCKS * 2 else "<i8").astype(np.int64)
                 held[i] = held[i] + x if i in held else x
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.minimum(np.log2(1.0 + x) * 64, RANKS - 1).astype("<u2").tobytes() for x in held.values()], pa.binary())], ["block", "sums"])
 
-    out = np.zeros((BLOCKS, COUNTERS // BLOCKS), np.uint16)
-    for r in docs.select("text").mapInArrow(gather, "block int, sums binary").repartition(BLOCKS, "block").mapInArrow(add, "block int, sums binary").collect():  # a fixed 64 blocks
+    out = np.zeros((BLOCKS, counters // BLOCKS), np.uint16)
+    for r in docs.select("text").mapInArrow(trimmed(gather), "block int, sums binary").repartition(BLOCKS, "block").mapInArrow(trimmed(add), "block int, sums binary").collect():  # a fixed 64 blocks
         out[r.block] = np.frombuffer(r.sums, "<u2")
     return out.ravel()
 
 
 def _distinct(h: np.ndarray, of: np.ndarray, docs: int, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes of each text in order of (rank, hash), and where each text begins; the ranks too."""
-    r = rank[_cells(h)] if rank is not None else np.zeros(len(h), np.uint16)
+    r = rank[_cells(h, len(rank))] if rank is not None else np.zeros(len(h), np.uint16)
     order = None
     if docs <= 1 << 12:  # text, rank and the first bits of the hash in one number
         key = (of.astype(U) << U(52)) | (r.astype(U) << U(40)) | (h >> U(24)) if rank is not None else (of.astype(U) << U(52)) | (h >> U(12))
@@ -137,7 +143,8 @@ def prefix_rows(docs: DataFrame, n: int, percent: int, rank: np.ndarray) -> Data
         position = np.arange(len(doc)) - np.repeat(np.cumsum(take) - take, take)
         at = start[doc] + position
         depth = (_sums(r.astype(np.int64), start) // np.maximum(size, 1))
-        place = (depth[doc] << (SIZE + POSITION)) | (size[doc] << POSITION) | position
+        most = (1 << POSITION) - 1, (1 << SIZE) - 1  # beyond these the filters pass more, never less
+        place = (depth[doc] << (SIZE + POSITION)) | (np.minimum(size[doc], most[1]) << POSITION) | np.minimum(position, most[0])
         return pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(ids[doc]), pa.array(place)], ["h", "doc_id", "place"])
 
     return docs.mapInArrow(arrow_map(one), "h long, doc_id long, place long")
@@ -152,16 +159,17 @@ def _may_match(p: str, q: str, percent: int) -> F.Column:
     at = lambda x: F.col(x).bitwiseAND(F.lit((1 << POSITION) - 1))
     n, m = _size(p), _size(q)
     overlap = F.ceil(percent * (n + m) / (100 + percent) - 1e-9)
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(n - at(p), m - at(q)) >= overlap)
+    too_large = F.greatest(n, m) == (1 << SIZE) - 1  # the true size is not known here
+    return too_large | (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(n - at(p), m - at(q)) >= overlap)
 
 
 def verified_links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
     """Of the candidate pairs (a, b), those whose sets differ and are similar enough: the suffix filter on the set
     table first, then the exact overlap of the sets of the whole texts, once for each pair."""
     pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    side = lambda x: only_ids(sets, pairs.select(x)).select(F.col("doc_id").alias(x), F.col("size").alias(f"size_{x}"), F.col("f1").alias(f"f1_{x}"), F.col("bins").alias(f"bins_{x}"))
+    side = lambda x: only_ids(sets, pairs.select(x)).select(F.col("doc_id").alias(x), F.col("size").alias(f"size_{x}"), F.struct("size", "f1", "f2").alias(f"set_{x}"), F.col("bins").alias(f"bins_{x}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b")
-    rows = rows.where(F.col("f1_a") != F.col("f1_b"))
+    rows = rows.where(F.col("set_a") != F.col("set_b"))
 
     def suffix_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in batches:
@@ -170,7 +178,7 @@ def verified_links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, p
             bound = np.where((x == 255) | (y == 255), np.minimum(n, m)[:, None], np.minimum(x, y)).sum(1)
             yield p.select(["a", "b"]).filter(pa.array((100 + percent) * bound >= percent * (n + m)))
 
-    rows = saved(rows.mapInArrow(suffix_filter, "a long, b long"))
+    rows = saved(rows.mapInArrow(trimmed(suffix_filter), "a long, b long"))
     text = lambda x: only_ids(docs, rows.select(x)).select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     rows = rows.join(text("a"), "a").join(text("b"), "b")
 
@@ -204,15 +212,18 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     least = filled.groupBy("size", "f1", "f2").agg(F.min("doc_id").alias("b"), F.count("*").alias("copies")).where("copies > 1")
     least = saved(least)
     equal = saved(filled.select("size", "f1", "f2", F.col("doc_id").alias("a")).join(least, ["size", "f1", "f2"]).where("a <> b").select("a", "b"))
-    places = prefix_rows(known, n, percent, count_sketch(rows, n))
+    grams = filled.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    places = prefix_rows(known, n, percent, count_sketch(rows, n, counters_for(grams)))
     # Sums are saved before they are joined: Spark splits a join's hot keys only where both sides come straight from a shuffle.
     often = saved(places.groupBy("h").agg(F.count("*").alias("members")).where("members > 1").select("h"))
     release(docs.sparkSession)
     shared = saved(places.join(often, "h", "left_semi"))
+    discard(least, often)
     release(docs.sparkSession)
     pivots = saved(shared.groupBy("h").agg(F.max("place").alias("pivot_place"), F.max_by("doc_id", "place").alias("pivot")))
     star = shared.join(pivots, "h").where((F.col("doc_id") != F.col("pivot")) & _may_match("place", "pivot_place", percent)).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
     links = saved(equal.unionByName(verified_links(star, known, filled, n, percent)))
+    discard(equal, pivots)
     release(docs.sparkSession)
     rest = saved(_still_open(shared, links).select("h", "doc_id", "place", "component"))
     other = rest.select("h", F.col("doc_id").alias("b"), F.col("place").alias("place_b"), F.col("component").alias("component_b"))
@@ -231,12 +242,15 @@ def _still_open(shared: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents that are not the least of their group; all columns kept, null doc_id stays."""
+    """docs without the documents that are not the least of their group; all columns kept. Rows of null doc_id, and
+    null or empty texts, are alone in their groups and stay; rows that repeat the least doc_id stay too; an empty
+    table stays empty."""
     groups = similar_groups(docs, n, percent)
     return docs.join(groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all documents by their 4-word shingles at a similarity of 0.85; see similar_groups for odd rows."""
     return similar_groups(table(spark, sf_dir, "documents"), 4, 85).select("doc_id", "n_shingles", "component_id")
 
 

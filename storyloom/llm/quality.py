@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, by_megabytes, id_and_text, table
+from .common import arrow_map, by_megabytes, id_and_text, table, trimmed
 from .words import U, Words, mix
 
 WORD_ROWS, SHAPE_ROWS, WIDTH, NONZERO, REACH = 1 << 13, 1 << 10, 64, 4, 2
@@ -90,9 +90,9 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["block", "sums"])
 
-    parts = id_and_text(docs).select("text").mapInArrow(gather, "block int, sums binary")
+    parts = id_and_text(docs).select("text").mapInArrow(trimmed(gather), "block int, sums binary")
     out = np.zeros((ROWS // BLOCK_ROWS, BLOCK_ROWS * WIDTH))
-    for r in parts.repartition(ROWS // BLOCK_ROWS, "block").mapInArrow(add, "block int, sums binary").collect():  # a fixed 36 blocks
+    for r in parts.repartition(ROWS // BLOCK_ROWS, "block").mapInArrow(trimmed(add), "block int, sums binary").collect():  # a fixed 36 blocks
         out[r.block] += np.frombuffer(r.sums, "<i8")
     out = out.reshape(ROWS, WIDTH)
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
@@ -198,7 +198,9 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose score reaches the threshold, all columns kept, in one pass."""
+    """The rows of docs whose score reaches the threshold, all columns kept, in one pass. Null texts are scored as
+    empty ones; null doc_id and repeated rows are judged by their texts like all others; without labels every score
+    is 0.5; an empty table stays empty."""
     model = fit_quality(docs, labels)
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -208,6 +210,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every whole text of documents by a model of their words and of the labels that are not held out."""
     docs = table(spark, sf_dir, "documents")
     scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

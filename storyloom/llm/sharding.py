@@ -20,7 +20,8 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .common import id_and_text, saved, table
 
-RANGES, DRAWS, ROUNDS = 512, 32, 4
+LEAST_RANGES, MOST_RANGES, ROWS_A_RANGE = 512, 16_384, 250_000
+DRAWS, ROUNDS = 32, 4
 
 
 def _sort_key() -> F.Column:
@@ -44,18 +45,26 @@ def _in_ranges(rows: DataFrame, splitters: list[bytes]) -> DataFrame:
     return rows.mapInArrow(place, StructType([*rows.schema.fields, StructField("range", IntegerType())]))
 
 
-def byte_shards(docs: DataFrame, shards: int = 8, ranges: int = RANGES) -> DataFrame:
+def byte_shards(docs: DataFrame, shards: int = 8, ranges: int | None = None) -> DataFrame:
     """Place every row into one of `shards` shards of near equal bytes.
 
     Returns doc_id, size (UTF-8 bytes of the text plus 1; null counts as no text), text_crc32, shard and
     slot (from 0, gapless, in key order). Null doc_id sorts first; repeated rows stand side by side, each
     with a slot of its own; an empty table gives an empty result; other columns are left behind.
-    The driver sees about ranges * DRAWS sampled keys and one total for each range.
+    The number of ranges follows the rows. The driver sees about ranges * DRAWS sampled keys and one total for
+    each range, half a million keys at most.
     """
-    text = F.coalesce("text", F.lit(""))
-    rows = id_and_text(docs).select(F.col("doc_id").alias("id"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), text.alias("text"))
-    rows = saved(rows.select(F.col("id").alias("doc_id"), (F.octet_length("text") + 1).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), _sort_key().alias("k")))
+    return _placed(id_and_text(docs), [], shards, ranges)
+
+
+def _placed(docs: DataFrame, kept: list[F.Column], shards: int, ranges: int | None) -> DataFrame:
+    """What byte_shards returns, and the columns `kept` of each row."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), text.alias("text"), *kept)
+    carried = rows.columns[3:]
+    rows = saved(rows.select(F.col("id").alias("doc_id"), (F.octet_length("text") + 1).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), _sort_key().alias("k"), *carried))
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    ranges = ranges or min(MOST_RANGES, max(LEAST_RANGES, count // ROWS_A_RANGE))
     splitters = _spread(_drawn(rows, total, ranges * DRAWS, 1), ranges)
     for again in range(ROUNDS + 1):
         placed = _in_ranges(rows, splitters)
@@ -82,9 +91,9 @@ def byte_shards(docs: DataFrame, shards: int = 8, ranges: int = RANGES) -> DataF
     ranked = placed.select("*", upto.alias("upto"), F.row_number().over(in_order).alias("nth")).join(F.broadcast(bases), "range")  # one row a range: at most a few thousand
     middle = F.col("bytes_before") + F.col("upto") - F.col("size") / 2
     at = F.least(F.lit(shards - 1), F.floor(middle * shards / F.lit(float(max(total, 1)))).cast("int"))
-    ranked = saved(ranked.select("doc_id", "size", "text_crc32", at.alias("shard"), (F.col("rows_before") + F.col("nth") - 1).alias("position")))
+    ranked = saved(ranked.select("doc_id", "size", "text_crc32", at.alias("shard"), (F.col("rows_before") + F.col("nth") - 1).alias("position"), *carried))
     firsts = ranked.groupBy("shard").agg(F.min("position").alias("first"))
-    return ranked.join(F.broadcast(firsts), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("position") - F.col("first")).alias("slot"))
+    return ranked.join(F.broadcast(firsts), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("position") - F.col("first")).alias("slot"), *carried)
 
 
 def _spread(keys: list[bytes], parts: int) -> list[bytes]:
@@ -93,13 +102,18 @@ def _spread(keys: list[bytes], parts: int) -> list[bytes]:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8) -> DataFrame:
-    """Write the documents as one folder for each shard, with their slots; returns what byte_shards says."""
-    placed = byte_shards(docs, shards)
-    docs.drop("shard", "slot").join(placed.select("doc_id", "shard", "slot"), "doc_id").write.partitionBy("shard").parquet(path)
-    return placed
+    """Write every row as it is, with its slot, to one folder for each shard; returns what byte_shards says.
+
+    Rows are carried along, not looked up by doc_id, so null and repeated doc_ids are written like all others.
+    Columns shard and slot of the input are replaced; an empty table writes no folder."""
+    names = [c for c in docs.columns if c not in ("shard", "slot")]
+    placed = _placed(docs, [F.struct(*names).alias("row")], shards, None)
+    placed.select(*(F.col(f"row.`{c}`") for c in names), "shard", "slot").write.partitionBy("shard").parquet(path)
+    return placed.drop("row")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 8 shards by the law of bytes; see byte_shards for odd rows."""
     placed = byte_shards(table(spark, sf_dir, "documents"), 8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 

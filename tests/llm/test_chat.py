@@ -28,3 +28,19 @@ def test_typed_parts(spark):
     assert out[1].formatted == "<|start|>user<|message|>see <\\|image:0|> <|image:0|><|end|><|start|>assistant<|message|><|audio:1|><|document:2|><|document:3|><|end|>"
     assert [tuple(a) for a in out[1].attachments] == [(0, "image", "a.png", 4), (1, "audio", "b.wav", 38), (2, "document", "c.pdf", 1024), (3, "document", None, 0)]
     assert out[1].expanded_tokens == 4 + 38 + 1024 and out[2].attachments == [] and out[2].expanded_tokens == 0
+
+
+def test_order_of_ties_is_the_order_of_the_output(spark):
+    """Turns of one number and role, rows that repeat, and columns called like those that are added."""
+    kind = f"array<{chat.PART}>"
+    image = lambda ref: ("image", None, ref, 14, 14, None, None)
+    rows = [(1, 0, "user", [image(f"{k}.png"), None], k, "x") for k in (3, 1, 2, 1)] + [(1, 0, None, None, 9, None), (1, 0, "", [("text", "t", None, None, None, None, None)], 9, None)]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {kind}, place int, content string").repartition(3)
+    flat = chat.flatten_parts(df)
+    assert flat.columns == ["conv_id", "turn", "role", "parts", "place", "content", "attachments", "expanded_tokens"]
+    out = chat.format_chat(flat).first()
+    assert [a.ordinal for a in out.attachments] == list(range(8))
+    assert [a.ref for a in out.attachments] == ["1.png", None, "1.png", None, "2.png", None, "3.png", None]
+    shown = [p for p in out.formatted.replace("<|end|>", "").split("<|start|>") if p]
+    assert shown == ["<|message|>", "<|message|>t", *(f"user<|message|><|image:{k}|><|document:{k + 1}|>" for k in (0, 2, 4, 6))]
+    assert out.expanded_tokens == 4 and chat.flatten_parts(df.limit(0)).count() == 0

@@ -34,7 +34,12 @@ def test_hot_group_is_cut(spark):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
 
 
-def test_written_shards(spark, odd_docs, tmp_path):
-    docs = odd_docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    sharding.write_shards(docs, str(tmp_path / "out"), 3)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
+def test_written_shards(spark, odd_docs, no_docs, tmp_path):
+    """Every row is written once: null ids, repeated rows, and columns that are called like ours."""
+    docs = odd_docs.selectExpr("doc_id", "text", "extra as size", "h as position", "extra as slot", "'x' as k")
+    said = sharding.write_shards(docs, str(tmp_path / "out"), 3)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    key = lambda r: repr((r.doc_id, r.text, r.size, r.position, r.k))
+    assert sorted(map(key, back.collect())) == sorted(map(key, docs.collect()))
+    assert sorted((r.doc_id or 0, r.shard, r.slot) for r in back.collect()) == sorted((r.doc_id or 0, r.shard, r.slot) for r in said.collect())
+    assert sharding.write_shards(no_docs, str(tmp_path / "none"), 3).count() == 0
