@@ -40,6 +40,7 @@ class JudgeConfig:
     snippet: int = 480
     scene_prompt: int = 2400
     shortlist: int = 12
+    shortlist_chars: int = 4000
     threshold: float = 0.25
     prior_unmentioned: float = 0.55
     similarity_cut: float = 0.36

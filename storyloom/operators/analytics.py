@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.functions.numbers import clamped, greedy_spans
+from storyloom.functions.numbers import clamped, clipped, greedy_spans
 from storyloom.functions.text import escaped_html, escaped_xml, pastel, truncated
 
+from .segment import sentences
+from .spans import sentence_of
+
 
 def top_motifs(findings: DataFrame, names: DataFrame, n: int = 20) -> DataFrame:
     """Motifs in most scenes, then with most findings, then by name."""
@@ -110,3 +113,25 @@ def support_report(scenes: DataFrame, supports: DataFrame, sanity: DataFrame, fi
 def group_of(motif_groups: DataFrame) -> DataFrame:
     """One group name for each motif: the least."""
     return motif_groups.groupBy("motif_id").agg(F.min("group_name").alias("group_name"))
+
+
+def finding_rows(findings: DataFrame, scenes: DataFrame, chapters: DataFrame, works: DataFrame, names: DataFrame) -> DataFrame:
+    """Findings as they are exported: id, work_id, scene_idx, chapter_idx (null where there is no such scene or chapter),
+    trope, level, confidence, created_at, model, evidence_start, evidence_end (inside the text, the right way round),
+    excerpt, evidence_sentence and rationale.
+
+    scenes: scene_id, chapter_id, idx; chapters: chapter_id, idx; works: work_id, text; names: motif_id, name. Findings
+    of a work or motif that is not there are left out."""
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    rows = findings.join(names.select("motif_id", F.col("name").alias("trope")), "motif_id").join(works.select("work_id", "text"), "work_id")
+    rows = rows.join(scenes.select("scene_id", "chapter_id", F.col("idx").alias("scene_idx")), "scene_id", "left")
+    rows = rows.join(chapters.select("chapter_id", F.col("idx").alias("chapter_idx")), "chapter_id", "left")
+    a, b = clipped(F.coalesce("start", F.lit(0)), F.coalesce("end", F.lit(0)), F.length("text"))
+    rows = rows.withColumn("evidence_start", a.cast("int")).withColumn("evidence_end", b.cast("int"))
+    rows = rows.withColumn("_s", sentence_of(sentences(F.col("text")), F.col("evidence_start"), F.col("evidence_end")))
+    cut = lambda x, y: F.col("text").substr(x + 1, y - x)
+    sentence = F.regexp_replace(F.replace(cut(F.col("_s.start"), F.col("_s.end")), F.lit("\n"), F.lit(" ")), r"(?U)^\s+|\s+$", "")
+    return rows.select(
+        F.col("finding_id").alias("id"), "work_id", "scene_idx", "chapter_idx", "trope", empty("level").alias("level"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+        "created_at", empty("model").alias("model"), "evidence_start", "evidence_end", cut(F.col("evidence_start"), F.col("evidence_end")).alias("excerpt"), sentence.alias("evidence_sentence"), empty("rationale").alias("rationale"),
+    )

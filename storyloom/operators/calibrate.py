@@ -69,14 +69,23 @@ def choose(swept: DataFrame, objective: str = "f1@precision", min_precision: flo
     return swept.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def edges(bins: int) -> list[float]:
+    """Lower edges of equal-width bins as multiples of the width; most are a little off k / bins."""
+    return [i * (1.0 / bins) for i in range(bins)]
+
+
 def reliability(points: DataFrame, bins: int = 10) -> DataFrame:
     """bin, low, high, n, mean_confidence, accept_rate of equal-width bins (the last one closed); empty bins are 0,
-    confidences outside 0..1 are left out."""
+    confidences outside 0..1 are left out. A confidence is compared with the edges as they are, so that 0.3, which
+    is less than 3 * 0.1, lies in bin 2."""
+    low = edges(bins)
     grid = points.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    inside = points.where("confidence between 0 and 1").withColumn("bin", F.least(F.lit(bins - 1), F.floor(F.col("confidence") * bins)).cast("int"))
+    reached = F.size(F.filter(F.array(*map(F.lit, low)), lambda e: F.col("confidence") >= e)) - 1
+    inside = points.where("confidence between 0 and 1").withColumn("bin", reached)
     some = inside.groupBy("bin").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence"), F.avg("y").alias("accept_rate"))
     rows = grid.join(some, "bin", "left").na.fill(0, ["n"]).na.fill(0.0, ["mean_confidence", "accept_rate"])
-    return rows.select("bin", (F.col("bin") / bins).alias("low"), ((F.col("bin") + 1) / bins).alias("high"), "n", "mean_confidence", "accept_rate")
+    at = lambda i: F.get(F.array(*map(F.lit, [*low, 1.0])), i)
+    return rows.select("bin", at(F.col("bin")).alias("low"), at(F.col("bin") + 1).alias("high"), "n", "mean_confidence", "accept_rate")
 
 
 def reliability_present(points: DataFrame, bins: int = 10) -> DataFrame:
@@ -90,29 +99,58 @@ def calibration_error(binned: DataFrame) -> DataFrame:
     return binned.agg(F.coalesce(F.sum(F.col("n") * F.abs(F.col("accept_rate") - F.col("mean_confidence"))) / total, F.lit(0.0)).alias("ece"), total.alias("n"))
 
 
-def motif_thresholds(points: DataFrame, config: CalibrationConfig = CalibrationConfig()) -> DataFrame:
-    """motif_id, threshold, samples, positives, negatives: for motifs with enough samples of both kinds, the
-    threshold of best f1 among those precise enough (0.5 if none is); equal f1: the lowest.
-
-    points: motif_id, confidence (adjusted), weight (null or not above 0: 1), y. Thresholds are the values that
-    occur, at three places, and a grid; counts come from one running sum a motif."""
-    rows = points.withColumn("s", F.round("confidence", 3))
-    groups = rows.groupBy("motif_id").agg(F.count("*").alias("samples"), F.sum("y").alias("positives")).withColumn("negatives", F.col("samples") - F.col("positives")).where(F.col("samples") >= config.min_samples)
-    grid = groups.select("motif_id", F.explode(F.array(*(F.lit(round(t, 3)) for t in thresholds(config.step, False)))).alias("t"))
-    marks = rows.select("motif_id", F.col("s").alias("t")).join(groups.select("motif_id"), "motif_id", "left_semi").unionByName(grid).distinct()
-    events = marks.select("motif_id", "t", F.lit(1).alias("mark"), F.lit(0).alias("p"), F.lit(0).alias("n")).unionByName(rows.select("motif_id", F.col("s").alias("t"), F.lit(0).alias("mark"), F.col("y").alias("p"), (1 - F.col("y")).alias("n")))
+def _swept_by_motif(points: DataFrame, marks: DataFrame) -> DataFrame:
+    """motif_id, t, tp, fp of the points (motif_id, confidence, y) at or above each mark (motif_id, t): one running sum
+    a motif over the marks and the points as they are, not their product."""
+    events = marks.select("motif_id", "t", F.lit(1).alias("mark"), F.lit(0).alias("p"), F.lit(0).alias("n"))
+    events = events.unionByName(points.select("motif_id", F.col("confidence").alias("t"), F.lit(0).alias("mark"), F.col("y").alias("p"), (1 - F.col("y")).alias("n")))
     events = events.groupBy("motif_id", "t").agg(F.max("mark").alias("mark"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     above = Window.partitionBy("motif_id").orderBy(F.desc("t"))
-    swept = events.withColumn("tp", F.sum("p").over(above)).withColumn("fp", F.sum("n").over(above)).where("mark = 1").join(groups, "motif_id")
+    return events.withColumn("tp", F.sum("p").over(above)).withColumn("fp", F.sum("n").over(above)).where("mark = 1")
+
+
+def _sampled(points: DataFrame, least: int) -> DataFrame:
+    groups = points.groupBy("motif_id").agg(F.count("*").alias("samples"), F.sum("y").alias("positives"))
+    return groups.withColumn("negatives", F.col("samples") - F.col("positives")).where(F.col("samples") >= least)
+
+
+def _scored(swept: DataFrame, groups: DataFrame) -> DataFrame:
     precision, recall = N.ratio(F.col("tp"), F.col("tp") + F.col("fp")), N.ratio(F.col("tp"), F.col("positives"))
-    swept = swept.withColumn("precision", precision).withColumn("recall", recall).withColumn("f1", F.round(N.f1(precision, recall), 9))
+    swept = swept.join(groups, "motif_id").withColumn("precision", precision).withColumn("recall", recall)
+    return swept.withColumn("f1", F.round(N.f1(F.col("precision"), F.col("recall")), 9))
+
+
+def motif_thresholds(points: DataFrame, config: CalibrationConfig = CalibrationConfig()) -> DataFrame:
+    """motif_id, threshold, samples, positives, negatives: for motifs with enough samples, the threshold of best f1
+    among those precise enough (0.5 if none is); equal f1: the lowest.
+
+    points: motif_id, confidence, y. Thresholds are the confidences that occur, rounded to three places, and the
+    multiples of the step; the confidences that are compared with them are not rounded."""
+    groups = _sampled(points, config.min_samples)
+    grid = F.explode(F.array(*(F.lit(k * config.step) for k in range(int(1 / config.step) + 1))))
+    marks = points.select("motif_id", F.round("confidence", 3).alias("t")).join(groups.select("motif_id"), "motif_id", "left_semi")
+    marks = marks.unionByName(groups.select("motif_id", grid.alias("t"))).distinct()
+    swept = _scored(_swept_by_motif(points, marks), groups)
     best = Window.partitionBy("motif_id").orderBy(F.desc("f1"), "t")
     ok = swept.where((F.col("precision") >= config.min_precision) & (F.col("f1") > 0)).withColumn("_n", F.row_number().over(best)).where("_n = 1")
     return groups.join(ok.select("motif_id", F.col("t").alias("threshold")), "motif_id", "left").select("motif_id", F.coalesce("threshold", F.lit(0.5)).alias("threshold"), "samples", "positives", "negatives")
 
 
-def raw_confidence(adjusted: F.Column, weight: F.Column) -> F.Column:
-    return N.clamped(adjusted / F.when(weight > 0, weight).otherwise(F.lit(1.0)))
+def reviewed_points(findings: DataFrame, latest: DataFrame) -> DataFrame:
+    """motif_id (the corrected one, if any), confidence (0 if null) and y of the findings that were accepted or
+    rejected. latest: finding_id, decision, corrected_motif_id."""
+    rows = latest.where("decision in ('accept', 'reject')").join(findings.select("finding_id", "motif_id", "confidence"), "finding_id")
+    return rows.select(F.coalesce("corrected_motif_id", "motif_id").alias("motif_id"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), (F.col("decision") == "accept").cast("int").alias("y"))
+
+
+def review_thresholds(points: DataFrame, least: int = 6) -> DataFrame:
+    """motif_id, threshold, tp, fp, fn, precision, recall, f1, n: for motifs with `least` points, the score that occurs
+    and has the best f1 as a threshold; equal f1: the lowest. No precision is asked for."""
+    groups = _sampled(points, least)
+    marks = points.select("motif_id", F.col("confidence").alias("t")).join(groups.select("motif_id"), "motif_id", "left_semi").distinct()
+    best = Window.partitionBy("motif_id").orderBy(F.desc("f1"), "t")
+    rows = _scored(_swept_by_motif(points, marks), groups).withColumn("_n", F.row_number().over(best)).where("_n = 1")
+    return rows.select("motif_id", F.col("t").alias("threshold"), "tp", "fp", (F.col("positives") - F.col("tp")).alias("fn"), "precision", "recall", "f1", F.col("samples").alias("n"))
 
 
 def stamped(findings: DataFrame, version: str, threshold: float, work: str | None = None, since: str | None = None, only_unstamped: bool = True) -> DataFrame:

@@ -6,12 +6,13 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.config import ChunkConfig
 from storyloom.functions.text import MARK, pieces
 
+#: What a heading and a scene rule look like.
 HEADING = r"(?i)^(?:chapter|ch\.|book|part)\s+([ivxlcdm]+|\d+|[a-z]+)\b"
 RULE = r"^(?:\*{3,}|-{3,}|—{2,}|·{3,}|\*\s\*\s\*|#\s#\s#)\s*$"
 STRIP = r"^\s+|\s+$"
@@ -46,16 +47,22 @@ def chapters(works: DataFrame, key: str = "work_id", text: str = "text") -> Data
 def scenes(chapter_rows: DataFrame, key: str = "work_id") -> DataFrame:
     """key, chapter, idx (from 0 in each chapter), char_start, char_end, heading, text.
 
-    A scene starts at a rule line or at the second of two blank lines; spans of white space only are dropped."""
+    A scene starts at a rule line or at the second of two blank lines; spans of white space only are dropped, but a
+    chapter of white space only is one scene."""
     parts = pieces(F.col("text"), "\n", f"\n{MARK}")
-    anchors = F.filter(F.transform("_l", lambda p, i: F.when((i == 0) | _stripped(p["piece"]).rlike(RULE) | ((_stripped(p["piece"]) == "") & (i > 0) & (_stripped(F.get(F.col("_l"), i - 1)["piece"]) == "")), F.struct(p["start"].alias("start"), _stripped(p["piece"]).alias("line")))), lambda a: a.isNotNull())
+    line = lambda p: _stripped(p["piece"])
+    starts = lambda p, i: (i == 0) | line(p).rlike(RULE) | ((line(p) == "") & (i > 0) & (line(F.get(F.col("_l"), i - 1)) == ""))
+    anchors = F.filter(F.transform("_l", lambda p, i: F.when(starts(p, i), F.struct(p["start"].alias("start"), line(p).alias("line")))), lambda a: a.isNotNull())
     rows = chapter_rows.select(key, F.col("idx").alias("chapter"), F.col("char_start").alias("_base"), "text", parts.alias("_l")).withColumn("_a", anchors)
-    rows = rows.select("*", F.posexplode("_a").alias("_n", "_s"))
-    end = F.coalesce(F.get(F.col("_a"), F.col("_n") + 1)["start"], F.length("text"))
-    rows = rows.select("*", F.col("text").substr(F.col("_s.start") + 1, end - F.col("_s.start")).alias("_body"), end.alias("_end")).where(_stripped(F.col("_body")) != "")
-    order = Window.partitionBy(key, "chapter").orderBy("_n")
-    heading = F.when(F.col("_s.line").rlike(RULE), F.col("_s.line"))
-    return rows.select(key, "chapter", (F.row_number().over(order) - 1).alias("idx"), (F.col("_base") + F.col("_s.start")).alias("char_start"), (F.col("_base") + F.col("_end")).alias("char_end"), heading.alias("heading"), F.col("_body").alias("text"))
+    n = F.length("text")
+    end = lambda i: F.coalesce(F.get(F.col("_a"), i + 1)["start"], n)
+    spans = F.transform("_a", lambda a, i: F.struct(a["start"].alias("start"), end(i).alias("end"), F.when(a["line"].rlike(RULE), a["line"]).alias("heading")))
+    cut = lambda s: F.col("text").substr(s["start"] + 1, s["end"] - s["start"])
+    full = F.filter(spans, lambda s: _stripped(cut(s)) != "")
+    whole = F.array(F.struct(F.lit(0).alias("start"), n.alias("end"), F.lit(None).cast("string").alias("heading")))
+    rows = rows.withColumn("_s", full).withColumn("_s", F.when(F.size("_s") > 0, F.col("_s")).otherwise(whole))
+    rows = rows.select(key, "chapter", "_base", "text", F.posexplode("_s").alias("idx", "_s"))
+    return rows.select(key, "chapter", "idx", (F.col("_base") + F.col("_s.start")).alias("char_start"), (F.col("_base") + F.col("_s.end")).alias("char_end"), F.col("_s.heading").alias("heading"), cut(F.col("_s")).alias("text"))
 
 
 SENTENCE_END = {"A": r"([.!?]+(?:\s+|$)|\n{2,})", "B": r"([.!?]+(?:\s+|$)|\n{2,})", "C": r"((?:[.!?]|—)+\s+)", "D": r"([.!?]\"?\s)"}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from storyloom.config import VerifierConfig
 from storyloom.functions import numbers as N
-from storyloom.functions.text import DASHES, META_CUES, NEGATION, STRONG_NEGATION, WORD, matches
+from storyloom.functions.text import ANTI_EDGE, DASHES, META_CUES, NEGATION, STRONG_NEGATION, WORD, matches
 
 from .gazetteer import alias_pattern
 from .segment import sentences
@@ -68,25 +68,30 @@ def adopted_edits(scored: DataFrame, gain: float = 0.05, reviewer: str = "verifi
 
 def candidate_windows(sents: Column, start: Column, end: Column, n: Column, config: VerifierConfig = VerifierConfig()) -> Column:
     """Distinct array<struct<start, end>> in a text of n characters: the span itself, and from the sentence that meets
-    it up to `sentences` more to one side; what is too long is cut to `most_chars` around the span's middle."""
+    it up to `sentences` more to one side; what is too long, the span too, becomes the `most_chars` around the
+    span's middle."""
     steps = range(-config.sentences, config.sentences + 1)
 
     def windows(v: Column) -> Column:
         """v: one struct that holds the sentences and what is computed from them, so that each is computed once."""
+        from_ = F.greatest(F.lit(0), F.least(v["middle"] - config.most_chars // 2, v["n"] - config.most_chars))
+
+        def fit(a: Column, b: Column) -> Column:
+            long = b - a > config.most_chars
+            return F.struct(F.when(long, from_).otherwise(a).cast("int").alias("start"), F.when(long, F.least(v["n"], from_ + config.most_chars)).otherwise(b).cast("int").alias("end"))
 
         def run(k: int) -> Column:
             here = F.get(v["s"], v["at"])
             there = F.get(v["s"], F.greatest(F.lit(0), F.least(F.size(v["s"]) - 1, v["at"] + k)))
-            a, b = F.least(here["start"], there["start"]), F.greatest(here["end"], there["end"])
-            from_ = F.greatest(F.lit(0), F.least(v["middle"] - config.most_chars // 2, v["n"] - config.most_chars))
-            long = b - a > config.most_chars
-            return F.struct(F.when(long, from_).otherwise(a).cast("int").alias("start"), F.when(long, F.least(v["n"], from_ + config.most_chars)).otherwise(b).cast("int").alias("end"))
+            return fit(F.least(here["start"], there["start"]), F.greatest(here["end"], there["end"]))
 
-        return F.array(*map(run, steps))
+        return F.array(fit(v["start"], v["end"]), *map(run, steps))
 
-    held = F.transform(F.array(sents), lambda s: F.struct(s.alias("s"), first_overlapping(s, start, end).alias("at"), F.floor((start + end) / 2).cast("int").alias("middle"), n.alias("n")))
-    own = F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end")))
-    return F.array_distinct(F.concat(own, F.flatten(F.transform(held, windows))))
+    held = F.transform(
+        F.array(sents),
+        lambda s: F.struct(s.alias("s"), first_overlapping(s, start, end).alias("at"), F.floor((start + end) / 2).cast("int").alias("middle"), n.alias("n"), start.cast("int").alias("start"), end.cast("int").alias("end")),
+    )
+    return F.array_distinct(F.flatten(F.transform(held, windows)))
 
 
 def verified(scored: DataFrame, config: VerifierConfig = VerifierConfig()) -> DataFrame:
@@ -104,36 +109,58 @@ def verified(scored: DataFrame, config: VerifierConfig = VerifierConfig()) -> Da
     return out.select("finding_id", pick("start").alias("start"), pick("end").alias("end"), b.alias("verifier_score"), flag.alias("verifier_flag"), adopt.alias("adopted"))
 
 
-def cue_flags(rows: DataFrame, alias: str | None = None, config: VerifierConfig = VerifierConfig()) -> DataFrame:
+def cue_flags(rows: DataFrame, aliases: str | None = None, config: VerifierConfig = VerifierConfig()) -> DataFrame:
     """Adds neg, meta, anti, verifier_flag and verified_confidence from the window around [start, end) of text.
 
-    With a column `alias`, `not` within 16 characters of a hit of it counts as negation, and only `anti` right before
-    one as an anti form."""
+    With a column `aliases` (array of a motif's normalized name and aliases), `not` within 16 characters of a hit of
+    any of them counts as negation, and only `anti` right before one as an anti form."""
     w = config.window
     low = F.greatest(F.lit(0), F.col("start") - w)
-    window = F.col("text").substr(low + 1, F.least(F.length("text"), F.col("end") + w) - low)
+    window = F.col("text").substr(low + 1, F.greatest(F.lit(0), F.least(F.length("text"), F.col("end") + w) - low))
     neg, meta = window.rlike(STRONG_NEGATION), window.rlike(META_CUES)
-    anti = window.rlike(rf"(?iu)(?<!{WORD})anti(?:[{DASHES}]|\s)+")
-    if alias:
-        body = F.regexp_replace(alias_pattern(F.col(alias)), r"^\(\?iu\)", "")
-        near = F.concat(F.lit(r"(?iu)(?s)(\bnot\b.{0,13}"), body, F.lit("|"), body, F.lit(r".{0,13}\bnot\b)"))
-        neg = neg | F.regexp(window, near)
-        anti = F.regexp(window, F.concat(F.lit(rf"(?iu)(?<!{WORD})anti(?:[{DASHES}]\s*|\s+)"), body))
+    anti = window.rlike(ANTI_EDGE)
+    if aliases:
+        body = lambda a: F.regexp_replace(alias_pattern(a), r"^\(\?iuU\)", "")
+        near = lambda a: F.concat(F.lit(r"(?iuU)(?s)(\bnot\b.{0,13}"), body(a), F.lit("|"), body(a), F.lit(r".{0,13}\bnot\b)"))
+        before = lambda a: F.concat(F.lit(rf"(?iuU)(?<!{WORD})anti(?:[{DASHES}]\s*|\s+)"), body(a))
+        said = lambda word: F.contains(F.lower(window), F.lit(word))
+        neg = neg | (said("not") & F.exists(aliases, lambda a: F.regexp(window, near(a))))
+        anti = said("anti") & F.exists(aliases, lambda a: F.regexp(window, before(a)))
     rows = rows.withColumn("neg", neg).withColumn("meta", meta).withColumn("anti", anti)
     flag = F.when(F.col("neg") & F.col("anti"), "negation_anti").when(F.col("neg"), "negation_cue").when(F.col("anti"), "anti_alias").when(F.col("meta"), "meta_cue")
     factor = F.when(F.col("neg"), config.negation_factor).otherwise(1.0) * F.when(F.col("meta"), config.meta_factor).otherwise(1.0) * F.when(F.col("anti"), config.anti_factor).otherwise(1.0)
     return rows.withColumn("verifier_flag", flag).withColumn("verified_confidence", N.clamped(F.col("confidence") * factor))
 
 
-def matched_one_to_one(predicted: DataFrame, truth: DataFrame, by: list[str], least: float = 0.3) -> DataFrame:
+MODES = ("downweight", "flag", "delete")
+
+
+def applied_flags(flagged: DataFrame, mode: str = "downweight") -> DataFrame:
+    """What a verifier run leaves of findings that cue_flags has seen: downweight puts the verified confidence in place
+    of the old one, flag leaves it as it was, delete drops the findings with a flag."""
+    match mode:
+        case "downweight":
+            return flagged.withColumn("confidence", F.col("verified_confidence"))
+        case "flag":
+            return flagged
+        case "delete":
+            return flagged.where("verifier_flag is null")
+        case _:
+            raise ValueError(f"unknown mode {mode}; one of {', '.join(MODES)}")
+
+
+def matched_one_to_one(predicted: DataFrame, truth: DataFrame, by: list[str], least: float = 0.3, cell: int = 1024) -> DataFrame:
     """Greedy one-to-one matches of spans within each group `by`: truths in order of start take the free prediction
     of greatest overlap. Returns by, truth_id, predicted_id, iou.
 
-    Pairs are found by a join of overlapping spans; only the pairs of one group come together in Python, where the
-    choice is sequential."""
+    Pairs are found by a join of overlapping spans (on the group and on cells of `cell` code points); only the pairs of
+    one group come together in Python, where the choice is sequential."""
     t = truth.select(*by, "truth_id", F.col("start").alias("_ts"), F.col("end").alias("_te"))
     p = predicted.select(*by, "predicted_id", F.col("start").alias("_ps"), F.col("end").alias("_pe"))
-    pairs = t.join(p, by).withColumn("iou", N.iou(F.col("_ps"), F.col("_pe"), F.col("_ts"), F.col("_te"))).where(F.col("iou") >= least)
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.greatest(F.col(a), F.col(b)) / cell)))
+    met = t.withColumn("_cell", cells("_ts", "_te")).join(p.withColumn("_cell", cells("_ps", "_pe")), [*by, "_cell"]).drop("_cell")
+    met = met.where((F.col("_ps") < F.col("_te")) & (F.col("_ts") < F.col("_pe"))).distinct()
+    pairs = met.withColumn("iou", N.iou(F.col("_ps"), F.col("_pe"), F.col("_ts"), F.col("_te"))).where(F.col("iou") >= least)
     pairs = pairs.select(*by, "truth_id", "predicted_id", "_ts", F.col("iou").cast("double").alias("iou"))
 
     def choose(rows):
@@ -157,7 +184,3 @@ def match_report(matches: DataFrame, predicted: DataFrame, truth: DataFrame, by:
     out = out.select(*by, "tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("t") - F.col("tp")).alias("fn"))
     precision, recall = N.ratio(F.col("tp"), F.col("tp") + F.col("fp")), N.ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     return out.select("*", precision.alias("precision"), recall.alias("recall"), N.f1(precision, recall).alias("f1"))
-
-
-def latest_rank(order: str, *partition: str) -> Column:
-    return F.rank().over(Window.partitionBy(*partition).orderBy(F.desc(order)))

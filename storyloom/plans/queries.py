@@ -1,8 +1,9 @@
 """One query for each operator group over the driver's tables, with its SQL.
 
 Roles of the tables: documents are chunks, conversations make works with chapters and scenes, benchmark items
-make a catalog, embeddings are vectors (ids under 20: queries; label: scene), events are findings and log
-entries (user_id: scene, event_type: motif, value: confidence), labels are decisions.
+make a catalog, embeddings are vectors (ids divisible by 100: queries; label: scene), events are findings and log
+entries (user_id: scene, event_type: motif, value: confidence), labels are decisions. Every query reads whole
+tables and whole texts.
 """
 
 from __future__ import annotations
@@ -54,22 +55,22 @@ def findings(spark, d):
     return e.select(F.col("event_id").alias("finding_id"), (F.col("user_id") % 10).alias("work_id"), F.col("user_id").alias("scene_id"), F.col("event_type").alias("motif_id"), F.least(F.col("value") / 500, F.lit(1.0)).alias("confidence"), F.col("ts").alias("created_at"), ((F.col("event_id") * 7) % 900).alias("start"), ((F.col("event_id") * 7) % 900 + 10 + F.col("event_id") % 90).alias("end"))
 
 
-LOG_SQL = "log AS (SELECT event_id AS id, event_id % 400 AS finding_id, CASE event_id % 3 WHEN 0 THEN 'accept' WHEN 1 THEN 'reject' ELSE 'edit' END AS decision, date_trunc('day', ts) AS created_at FROM events WHERE event_id % 5 < 2)"
+LOG_SQL = "log AS (SELECT event_id AS id, event_id // 2 AS finding_id, CASE event_id % 3 WHEN 0 THEN 'accept' WHEN 1 THEN 'reject' ELSE 'edit' END AS decision, date_trunc('day', ts) AS created_at FROM events)"
 
 
 def log(spark, d):
-    e = table(spark, d, "events").where("event_id % 5 < 2")
+    e = table(spark, d, "events")
     decision = F.when(F.col("event_id") % 3 == 0, "accept").when(F.col("event_id") % 3 == 1, "reject").otherwise("edit")
-    return e.select(F.col("event_id").alias("id"), (F.col("event_id") % 400).alias("finding_id"), decision.alias("decision"), F.date_trunc("day", "ts").alias("created_at"))
+    return e.select(F.col("event_id").alias("id"), F.expr("event_id div 2").alias("finding_id"), decision.alias("decision"), F.date_trunc("day", "ts").alias("created_at"))
 
 
 LATEST_SQL = LOG_SQL + ", latest AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY created_at DESC, id DESC) = 1)"
-MOTIFS_SQL = "motifs AS (SELECT item_id AS motif_id, array_to_string(string_split(lower(text), ' ')[1:3], ' ') AS name, string_split(lower(text), ' ')[4:6] AS aliases, substr(text, 1, 60) AS summary FROM benchmark)"
+MOTIFS_SQL = "motifs AS (SELECT item_id AS motif_id, array_to_string(string_split(lower(text), ' ')[1:3], ' ') AS name, string_split(lower(text), ' ')[4:6] AS aliases, text AS summary FROM benchmark)"
 
 
 def motifs(spark, d):
     w = F.split(F.lower("text"), " ")
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("motif_id"), F.array_join(F.slice(w, 1, 3), " ").alias("name"), F.slice(w, 4, 3).alias("aliases"), F.substring("text", 1, 60).alias("summary"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("motif_id"), F.array_join(F.slice(w, 1, 3), " ").alias("name"), F.slice(w, 4, 3).alias("aliases"), F.col("text").alias("summary"))
 
 
 def documents(spark, d):
@@ -106,7 +107,8 @@ def _(spark, d):
 SCENES_SQL = CHAPTERS_SQL + r""", sl AS (SELECT c.work_id, c.idx AS chapter, c.char_start, c.char_end, c.text, l.pos, trim(l.content) AS content, row_number() OVER (PARTITION BY c.work_id, c.idx ORDER BY l.line) AS n, trim(lag(l.content) OVER (PARTITION BY c.work_id, c.idx ORDER BY l.line)) AS before FROM chapters c JOIN lines l ON c.work_id = l.work_id AND l.pos >= c.char_start AND l.pos < c.char_end),
 anchors AS (SELECT *, regexp_matches(content, '^(?:\*{3,}|-{3,}|—{2,}|·{3,}|\*\s\*\s\*|#\s#\s#)\s*$') AS rule FROM sl WHERE n = 1 OR regexp_matches(content, '^(?:\*{3,}|-{3,}|—{2,}|·{3,}|\*\s\*\s\*|#\s#\s#)\s*$') OR (content = '' AND before = '')),
 cut AS (SELECT *, coalesce(lead(pos) OVER (PARTITION BY work_id, chapter ORDER BY pos), char_end) AS stop FROM anchors),
-scenes AS (SELECT work_id, chapter, row_number() OVER (PARTITION BY work_id, chapter ORDER BY pos) - 1 AS idx, pos AS char_start, stop AS char_end, CASE WHEN rule THEN content END AS heading, substr(text, pos + 1, stop - pos) AS text FROM cut WHERE trim(replace(substr(text, pos + 1, stop - pos), chr(10), ' ')) <> '')"""
+full_scenes AS (SELECT work_id, chapter, row_number() OVER (PARTITION BY work_id, chapter ORDER BY pos) - 1 AS idx, pos AS char_start, stop AS char_end, CASE WHEN rule THEN content END AS heading, substr(text, pos + 1, stop - pos) AS text FROM cut WHERE trim(replace(substr(text, pos + 1, stop - pos), chr(10), ' ')) <> ''),
+scenes AS (SELECT * FROM full_scenes UNION ALL SELECT work_id, idx, 0, char_start, char_end, NULL, substr(text, char_start + 1, char_end - char_start) FROM chapters c WHERE NOT EXISTS (SELECT 1 FROM full_scenes f WHERE f.work_id = c.work_id AND f.chapter = c.idx))"""
 
 
 @query("scene_spans", f"WITH {SCENES_SQL} SELECT work_id, chapter::INTEGER AS chapter, idx::INTEGER AS idx, char_start::INTEGER AS char_start, char_end::INTEGER AS char_end, heading, sha256(text) AS text_sha FROM scenes")
@@ -180,15 +182,15 @@ def _(spark, d):
 # ---------------------------------------------------------------- catalog and strings
 
 
-@query("alias_split", "SELECT item_id, list_filter(list_transform(string_split(translate(substr(text, 1, 80), ' .', '|;'), '|'), lambda x: trim(replace(x, ';', ''))), lambda x: x <> '') AS parts FROM (SELECT item_id, replace(text, '.', '') AS text FROM benchmark)")
+@query("alias_split", "SELECT item_id, list_filter(list_transform(string_split(translate(text, ' .', '|;'), '|'), lambda x: trim(replace(x, ';', ''))), lambda x: x <> '') AS parts FROM (SELECT item_id, replace(text, '.', '') AS text FROM benchmark)")
 def _(spark, d):
-    c = F.translate(F.substring(F.replace(F.col("text"), F.lit("."), F.lit("")), 1, 80), " ", "|")
+    c = F.translate(F.replace(F.col("text"), F.lit("."), F.lit("")), " ", "|")
     return table(spark, d, "benchmark").select("item_id", T.split_list(c).alias("parts"))
 
 
-@query("alias_normalize", r"""SELECT item_id, trim(regexp_replace(regexp_replace(lower(trim(a)), '\s+', ' ', 'g'), '^[,.;:!?"''()\[\]{}]+|[,.;:!?"''()\[\]{}]+$', '', 'g')) AS alias FROM (SELECT item_id, '  "' || substr(text, 1, 30) || '!)  ' AS a FROM benchmark)""")
+@query("alias_normalize", r"""SELECT item_id, trim(regexp_replace(regexp_replace(lower(trim(a)), '\s+', ' ', 'g'), '^[,.;:!?"''()\[\]{}]+|[,.;:!?"''()\[\]{}]+$', '', 'g')) AS alias FROM (SELECT item_id, '  "' || text || '!)  ' AS a FROM benchmark)""")
 def _(spark, d):
-    a = F.concat(F.lit('  "'), F.substring("text", 1, 30), F.lit("!)  "))
+    a = F.concat(F.lit('  "'), "text", F.lit("!)  "))
     return table(spark, d, "benchmark").select("item_id", T.normalize_alias(a).alias("alias"))
 
 
@@ -201,10 +203,10 @@ def _(spark, d):
 ALIAS_SQL = r"trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(strip_accents(a), '[^\x00-\x7f]', '', 'g'))), '\s+', ' ', 'g'), '^[,.;:!?\"''()\[\]{}]+|[,.;:!?\"''()\[\]{}]+$', '', 'g'))".replace('\\"', '"')
 
 
-@query("alias_clean", f"WITH {MOTIFS_SQL}, c AS (SELECT motif_id, name, list_transform(aliases || aliases || [name], lambda a: {ALIAS_SQL}) AS l, list_transform([name], lambda a: {ALIAS_SQL})[1] AS n FROM motifs) SELECT motif_id, name, len(list_distinct(list_filter(l, lambda x: length(x) >= 2 AND x <> n)))::INTEGER AS kept FROM c")
+@query("alias_clean", f"WITH {MOTIFS_SQL}, c AS (SELECT motif_id, name, list_transform(aliases || aliases || [name], lambda a: {ALIAS_SQL}) AS l, list_transform([name], lambda a: {ALIAS_SQL})[1] AS n FROM motifs) SELECT motif_id, name, array_to_string(list_sort(list_distinct(list_filter(l, lambda x: length(x) >= 2 AND x <> n))), '|') AS kept FROM c")
 def _(spark, d):
     m = motifs(spark, d)
-    return catalog.cleaned_aliases(m.withColumn("aliases", F.concat("aliases", "aliases", F.array("name")))).select("motif_id", "name", F.size("clean").alias("kept"))
+    return catalog.cleaned_aliases(m.withColumn("aliases", F.concat("aliases", "aliases", F.array("name")))).select("motif_id", "name", F.array_join(F.sort_array("clean"), "|").alias("kept"))
 
 
 @query("motif_texts", f"WITH {MOTIFS_SQL} SELECT motif_id, name || '  — ' || trim(summary) || '  Aliases: ' || array_to_string(list_filter(aliases, lambda a: length(a) <= 40), ', ') AS entry, name || '. ' || trim(summary) AS query_text FROM motifs")
@@ -233,9 +235,9 @@ def _(spark, d):
     return e.select("event_id", T.extract_json(said, "k int")["k"].alias("k"))
 
 
-@query("excerpts", r"SELECT doc_id, regexp_replace(regexp_replace('…' || substr(text, 81, least(length(text), 150) - 80) || CASE WHEN 150 < length(text) THEN '…' ELSE '' END, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') AS cut FROM documents WHERE length(text) > 130")
+@query("excerpts", r"SELECT doc_id, regexp_replace(regexp_replace('…' || substr(text, 81, greatest(0, least(length(text), 150) - 80)) || CASE WHEN 150 < length(text) THEN '…' ELSE '' END, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') AS cut FROM documents")
 def _(spark, d):
-    return documents(spark, d).where("length(text) > 130").select("doc_id", T.excerpt(F.col("text"), F.lit(100), F.lit(130), 20, 20).alias("cut"))
+    return documents(spark, d).select("doc_id", T.excerpt(F.col("text"), F.lit(100), F.lit(130), 20, 20).alias("cut"))
 
 
 @query("edit_expressions", "SELECT event_id, (CASE WHEN event_id % 2 = 0 THEN event_id ELSE 100 + event_id END)::INTEGER AS a, (CASE WHEN event_id % 2 = 0 THEN event_id + 5 ELSE 200 - event_id END)::INTEGER AS b FROM events")
@@ -286,7 +288,10 @@ def _(spark, d):
 
 @query("gazetteer_seeds")
 def _(spark, d):
-    return gazetteer.seeded(gazetteer.unblocked(_hits(spark, d)), GazetteerConfig(most_per_motif=20)).drop("text")
+    """Documents as chunks of their source's work, one after another."""
+    found = gazetteer.unblocked(_hits(spark, d)).drop("text")
+    places = documents(spark, d).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("work_id"), (F.col("doc_id") * 1_000_000).alias("char_start"))
+    return gazetteer.seeded(found.join(places, "chunk_id"), GazetteerConfig())
 
 
 @query("top_candidates", f"WITH {HITS_SQL} SELECT motif_id, sum(n)::BIGINT AS hits, count(DISTINCT doc_id)::BIGINT AS docs FROM hits GROUP BY motif_id ORDER BY hits DESC, docs DESC, motif_id LIMIT 15")
@@ -322,12 +327,12 @@ def _(spark, d):
 # ---------------------------------------------------------------- vectors
 
 COS = "round(list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(i.embedding::DOUBLE[], i.embedding::DOUBLE[]))), 6)"
-KNN_SQL = f"knn AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, i.label AS scene_id, {COS} AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, i.vec_id) AS rank FROM embeddings q, embeddings i WHERE q.vec_id < 20)"
+KNN_SQL = f"knn AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, i.label AS scene_id, {COS} AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, i.vec_id) AS rank FROM embeddings q, embeddings i WHERE q.vec_id % 100 = 0)"
 
 
 def _vectors(spark, d):
     e = table(spark, d, "embeddings")
-    return e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("item_id"), "embedding", F.col("label").alias("scene_id"))
+    return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("item_id"), "embedding", F.col("label").alias("scene_id"))
 
 
 @query("knn_topk", f"WITH {KNN_SQL} SELECT query_id, item_id, similarity, rank::INTEGER AS rank FROM knn WHERE rank <= 8")
@@ -343,10 +348,10 @@ def _(spark, d):
     return vectors.capped_by_scene(found, there, 2).select("query_id", "item_id", "scene_id", "similarity", "scene_rank")
 
 
-@query("knn_same_work", f"SELECT label, query_id, item_id, similarity, rank::INTEGER AS rank FROM (SELECT q.label, q.vec_id AS query_id, i.vec_id AS item_id, {COS} AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, i.vec_id) AS rank FROM embeddings q JOIN embeddings i ON q.label = i.label WHERE q.vec_id < 20) WHERE rank <= 4")
+@query("knn_same_work", f"SELECT label, query_id, item_id, similarity, rank::INTEGER AS rank FROM (SELECT q.label, q.vec_id AS query_id, i.vec_id AS item_id, {COS} AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, i.vec_id) AS rank FROM embeddings q JOIN embeddings i ON q.label = i.label WHERE q.vec_id % 100 = 0) WHERE rank <= 4")
 def _(spark, d):
     e = table(spark, d, "embeddings")
-    return vectors.nearest_within(e.where("vec_id < 20").select("label", F.col("vec_id").alias("query_id"), "embedding"), e.select("label", F.col("vec_id").alias("item_id"), "embedding"), "label", 4)
+    return vectors.nearest_within(e.where("vec_id % 100 = 0").select("label", F.col("vec_id").alias("query_id"), "embedding"), e.select("label", F.col("vec_id").alias("item_id"), "embedding"), "label", 4)
 
 
 @query("mean_topk_similarity", f"WITH {KNN_SQL} SELECT query_id, round(avg(similarity), 6) AS mean_similarity, count(*)::BIGINT AS n FROM knn WHERE rank <= 3 GROUP BY query_id")
@@ -451,9 +456,9 @@ def _(spark, d):
     return _gated(spark, d).select("finding_id", F.round("confidence", 6).alias("confidence"), "weight", "threshold_used")
 
 
-@query("rationale_notes", f"WITH {GATE_SQL} SELECT finding_id, CASE WHEN weight <> 1 THEN 'said [prior=0.55, ' ELSE 'said' END AS start FROM g WHERE adj >= threshold_used")
+@query("rationale_notes", f"WITH {GATE_SQL} SELECT finding_id, CASE WHEN weight <> 1 THEN 'said [prior=0.55, raw=' || round(confidence::DECIMAL(18, 9), 2)::DECIMAL(9, 2) || ', adj=' || round(adj::DECIMAL(18, 9), 2)::DECIMAL(9, 2) || ']' ELSE 'said' END AS rationale FROM g WHERE adj >= threshold_used")
 def _(spark, d):
-    return _gated(spark, d).select("finding_id", F.when(F.length("rationale") > 4, F.substring("rationale", 1, 18)).otherwise(F.col("rationale")).alias("start"))
+    return _gated(spark, d).select("finding_id", "rationale")
 
 
 @query("judge_findings", f"WITH {FINDINGS_SQL}, j AS (SELECT *, greatest(0, least(s, 800)) AS a, greatest(0, least(e, 800)) AS b FROM findings WHERE confidence >= 0.25), n AS (SELECT work_id, motif_id, least(a, b)::INTEGER AS evidence_start, greatest(a, b)::INTEGER AS evidence_end, max(confidence) AS confidence FROM j GROUP BY ALL) SELECT work_id, motif_id, evidence_start, evidence_end, round(confidence, 6) AS confidence FROM n")
@@ -470,13 +475,26 @@ def _(spark, d):
 
 @query("judge_prompts")
 def _(spark, d):
-    c = motifs(spark, d).where("motif_id < 5").select(F.lit(0).cast("long").alias("scene_id"), F.col("motif_id").cast("string"))
+    """Documents as scenes, the motifs that are named in them as candidates, and each scene and the one before it as support."""
+    c = _hits(spark, d).select(F.col("chunk_id").alias("scene_id"), F.col("motif_id").cast("string").alias("motif_id")).distinct()
     texts = documents(spark, d).select(F.col("doc_id").alias("scene_id"), "text")
     defs = motifs(spark, d).select(F.col("motif_id").cast("string"), "name", "summary")
-    supports = texts.where("scene_id < 3").select(F.lit(0).cast("long").alias("scene_id"), (F.col("scene_id") + 1).cast("int").alias("rank"), "text")
+    supports = texts.select("scene_id", F.lit(1).alias("rank"), "text").unionByName(texts.select((F.col("scene_id") + 1).alias("scene_id"), F.lit(2).alias("rank"), "text"))
     return judge.prompts(c, texts, defs, supports, c.withColumn("weight", F.lit(0.55)))
 
 
+@query("catalog_shortlist", f"SELECT scene_id, motif_id, similarity, rank::INTEGER AS rank FROM (SELECT i.vec_id AS scene_id, q.vec_id AS motif_id, {COS} AS similarity, row_number() OVER (PARTITION BY i.vec_id ORDER BY {COS} DESC, q.vec_id) AS rank FROM embeddings q, embeddings i WHERE q.vec_id % 100 = 0) WHERE rank <= 12")
+def _(spark, d):
+    e = table(spark, d, "embeddings")
+    return vectors.shortlist(e.select(F.col("vec_id").alias("scene_id"), "embedding"), e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("motif_id"), "embedding"), JudgeConfig().shortlist)
+
+
+@query("knn_by_work", f"SELECT query_id, work_id, item_id, similarity, rank::INTEGER AS rank FROM (SELECT q.vec_id AS query_id, i.label AS work_id, i.vec_id AS item_id, {COS} AS similarity, row_number() OVER (PARTITION BY q.vec_id, i.label ORDER BY {COS} DESC, i.vec_id) AS rank FROM embeddings q, embeddings i WHERE q.vec_id % 100 = 0) WHERE rank <= 8")
+def _(spark, d):
+    q, i = _vectors(spark, d)
+    return vectors.nearest(q, i.withColumnRenamed("scene_id", "work_id"), 8, by="work_id")
+
+
 # ---------------------------------------------------------------- writes
 
 
@@ -543,10 +561,10 @@ def _(spark, d):
     return documents(spark, d).select("doc_id", s["start"].alias("s_start"), s["end"].alias("s_end"))
 
 
-@query("span_snap", r"""WITH p AS (SELECT doc_id, length(text) AS n, string_split(regexp_replace(text, '([.!?]"?\s)', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS p FROM documents), q AS (SELECT doc_id, n, unnest(p) AS s, unnest(range(len(p))) AS i FROM p), c AS (SELECT doc_id, n, i, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i) AS c, length(s) AS l FROM q), b AS (SELECT doc_id, n, coalesce(max(c) FILTER (i % 2 = 1 AND c <= 150), 0) AS lo, coalesce(min(c) FILTER (i % 2 = 1 AND c - l >= 200), n) AS hi, least(280, n) AS size FROM c GROUP BY doc_id, n) SELECT doc_id, (CASE WHEN hi - lo > size THEN greatest(0, least(175 - size // 2, n - size)) ELSE lo END)::INTEGER AS s_start, (CASE WHEN hi - lo > size THEN greatest(0, least(175 - size // 2, n - size)) + size ELSE hi END)::INTEGER AS s_end FROM b WHERE n > 220""")
+@query("span_snap", r"""WITH p AS (SELECT doc_id, length(text) AS n, string_split(regexp_replace(text, '([.!?]"?\s)', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS p FROM documents), q AS (SELECT doc_id, n, unnest(p) AS s, unnest(range(len(p))) AS i FROM p), c AS (SELECT doc_id, n, i, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i) AS c, length(s) AS l FROM q), b AS (SELECT doc_id, n, coalesce(max(c) FILTER (i % 2 = 1 AND c <= least(150, n)), 0) AS lo, coalesce(min(c) FILTER (i % 2 = 1 AND c - l >= least(200, n)), n) AS hi, least(280, n) AS size FROM c GROUP BY doc_id, n) SELECT doc_id, (CASE WHEN hi - lo > size THEN greatest(0, least((least(150, n) + least(200, n)) // 2 - size // 2, n - size)) ELSE lo END)::INTEGER AS s_start, (CASE WHEN hi - lo > size THEN greatest(0, least((least(150, n) + least(200, n)) // 2 - size // 2, n - size)) + size ELSE hi END)::INTEGER AS s_end FROM b""")
 def _(spark, d):
     s = spans.snapped(F.col("text"), F.lit(150), F.lit(200))
-    return documents(spark, d).where("length(text) > 220").select("doc_id", s["start"].alias("s_start"), s["end"].alias("s_end"))
+    return documents(spark, d).select("doc_id", s["start"].alias("s_start"), s["end"].alias("s_end"))
 
 
 @query("candidate_windows")
@@ -563,7 +581,7 @@ def _(spark, d):
     return spans.verified(rows).drop("start", "end")
 
 
-FLAG_SQL = r"""WITH t AS (SELECT doc_id, substr(text, greatest(0, 60 - 40) + 1, least(length(text), 90 + 40) - 20) AS w FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN substr(text, 1, 40) || ' never ' || substr(text, 41) WHEN 1 THEN substr(text, 1, 40) || ' a parody of anti-of ' || substr(text, 41) WHEN 2 THEN substr(text, 1, 40) || ' cliché ' || substr(text, 41) ELSE text END AS text FROM documents WHERE length(text) > 100)), f AS (SELECT doc_id, regexp_matches(w, '(?i)(^|[^\p{L}\p{N}_])(no|never|without|lack(?:ing)?(?:\s+of)?|absence(?:\s+of)?|free\s+of)($|[^\p{L}\p{N}_])') AS neg, regexp_matches(w, '(?i)(^|[^\p{L}\p{N}_])(parody|satire|meta|lampshad\p{L}*|deconstruct\p{L}*|clich(?:e|é)s?)($|[^\p{L}\p{N}_])') AS meta, regexp_matches(w, '(?i)(^|[^\p{L}\p{N}_])anti(?:[-‐-―]|\s)+') AS "anti" FROM t) SELECT doc_id, neg, meta, "anti", CASE WHEN neg AND "anti" THEN 'negation_anti' WHEN neg THEN 'negation_cue' WHEN "anti" THEN 'anti_alias' WHEN meta THEN 'meta_cue' END AS verifier_flag, round(0.8 * CASE WHEN neg THEN 0.6 ELSE 1 END * CASE WHEN meta THEN 0.75 ELSE 1 END * CASE WHEN "anti" THEN 0.5 ELSE 1 END, 6)::DOUBLE AS verified_confidence FROM f"""
+FLAG_SQL = r"""WITH t AS (SELECT doc_id, substr(text, greatest(0, 60 - 40) + 1, greatest(0, least(length(text), 90 + 40) - 20)) AS w FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN substr(text, 1, 40) || ' never ' || substr(text, 41) WHEN 1 THEN substr(text, 1, 40) || ' a parody of anti-of ' || substr(text, 41) WHEN 2 THEN substr(text, 1, 40) || ' cliché ' || substr(text, 41) ELSE text END AS text FROM documents)), f AS (SELECT doc_id, regexp_matches(w, '(?i)(^|[^\p{L}\p{N}_])(no|never|without|lack(?:ing)?(?:\s+of)?|absence(?:\s+of)?|free\s+of)($|[^\p{L}\p{N}_])') AS neg, regexp_matches(w, '(?i)(^|[^\p{L}\p{N}_])(parody|satire|meta|lampshad\p{L}*|deconstruct\p{L}*|clich(?:e|é)s?)($|[^\p{L}\p{N}_])') AS meta, regexp_matches(w, '(?i)(^|[^\p{L}\p{N}_])anti(?:[-‐-―]|\s)+') AS "anti" FROM t) SELECT doc_id, neg, meta, "anti", CASE WHEN neg AND "anti" THEN 'negation_anti' WHEN neg THEN 'negation_cue' WHEN "anti" THEN 'anti_alias' WHEN meta THEN 'meta_cue' END AS verifier_flag, round(0.8 * CASE WHEN neg THEN 0.6 ELSE 1 END * CASE WHEN meta THEN 0.75 ELSE 1 END * CASE WHEN "anti" THEN 0.5 ELSE 1 END, 6)::DOUBLE AS verified_confidence FROM f"""
 
 
 @query("cue_flags", FLAG_SQL)
@@ -572,15 +590,14 @@ def _(spark, d):
     put = lambda s: F.concat(F.substring(t, 1, 40), F.lit(s), t.substr(F.lit(41), F.length(t)))
     k = F.col("doc_id") % 4
     text = F.when(k == 0, put(" never ")).when(k == 1, put(" a parody of anti-of ")).when(k == 2, put(" cliché ")).otherwise(t)
-    rows = documents(spark, d).where("length(text) > 100").select("doc_id", text.alias("text"), F.lit(60).alias("start"), F.lit(90).alias("end"), F.lit(0.8).alias("confidence"))
+    rows = documents(spark, d).select("doc_id", text.alias("text"), F.lit(60).alias("start"), F.lit(90).alias("end"), F.lit(0.8).alias("confidence"))
     out = spans.cue_flags(rows)
     return out.select("doc_id", "neg", "meta", "anti", "verifier_flag", F.round("verified_confidence", 6).alias("verified_confidence"))
 
 
 @query("negation_words", r"SELECT doc_id, regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])(no|not|never|without|hardly|rarely|seldom|none)($|[^\p{L}\p{N}_])') AS negated FROM documents")
 def _(spark, d):
-    pattern = T.NEGATION.replace("(?iu)", "(?iuU)")
-    return documents(spark, d).select("doc_id", F.col("text").rlike(pattern).alias("negated"))
+    return documents(spark, d).select("doc_id", F.col("text").rlike(T.NEGATION).alias("negated"))
 
 
 @query("span_overlap", f"WITH {FINDINGS_SQL} SELECT finding_id, round(CASE WHEN least(e, 500) > greatest(s, 300) THEN (least(e, 500) - greatest(s, 300)) / (greatest(e, 500) - least(s, 300)) ELSE 0 END, 6)::DOUBLE AS overlap FROM findings")
@@ -596,9 +613,10 @@ def _(spark, d):
 
 @query("one_to_one_matches")
 def _(spark, d):
+    """The findings of even number are the truth, all others the predictions."""
     f = findings(spark, d)
-    truth = f.where("finding_id % 20 = 0").select("scene_id", "motif_id", F.col("finding_id").alias("truth_id"), "start", "end")
-    predicted = f.where("finding_id % 20 = 1").select("scene_id", "motif_id", F.col("finding_id").alias("predicted_id"), "start", "end")
+    truth = f.where("finding_id % 2 = 0").select("scene_id", "motif_id", F.col("finding_id").alias("truth_id"), "start", "end")
+    predicted = f.where("finding_id % 2 = 1").select("scene_id", "motif_id", F.col("finding_id").alias("predicted_id"), "start", "end")
     return spans.matched_one_to_one(predicted, truth, ["scene_id", "motif_id"], 0.1)
 
 
@@ -661,11 +679,11 @@ def _(spark, d):
 
 # ---------------------------------------------------------------- calibration
 
-POINTS_SQL = FINDINGS_SQL + ", points AS (SELECT motif_id, confidence, CASE WHEN (finding_id * 37) % 100 < confidence * 100 THEN 1 ELSE 0 END AS y FROM findings WHERE finding_id % 2 = 0)"
+POINTS_SQL = FINDINGS_SQL + ", points AS (SELECT motif_id, confidence, CASE WHEN (finding_id * 37) % 100 < confidence * 100 THEN 1 ELSE 0 END AS y FROM findings)"
 
 
 def points(spark, d):
-    f = findings(spark, d).where("finding_id % 2 = 0")
+    f = findings(spark, d)
     return f.select("motif_id", "confidence", F.when((F.col("finding_id") * 37) % 100 < F.col("confidence") * 100, 1).otherwise(0).alias("y"))
 
 
@@ -692,15 +710,17 @@ def _(spark, d):
     return calibrate.choose(s, "f1").select("threshold", "tp")
 
 
-BINS_SQL = POINTS_SQL + ", b AS (SELECT least(9, floor(confidence * 10))::INTEGER AS bin, count(*) AS n, avg(confidence) AS c, avg(y) AS a FROM points WHERE confidence BETWEEN 0 AND 1 GROUP BY 1)"
+EDGES = "[" + ", ".join(f"{e!r}::DOUBLE" for e in [*calibrate.edges(10), 1.0]) + "]"
+BINS_SQL = POINTS_SQL + f", b AS (SELECT (len(list_filter({EDGES}[1:10], lambda e: confidence >= e)) - 1)::INTEGER AS bin, count(*) AS n, avg(confidence) AS c, avg(y) AS a FROM points WHERE confidence BETWEEN 0 AND 1 GROUP BY 1)"
+PRESENT_SQL = POINTS_SQL + ", b AS (SELECT least(9, floor(greatest(0, least(1, confidence)) * 10))::INTEGER AS bin, count(*) AS n, avg(y) AS a FROM points GROUP BY 1)"
 
 
-@query("reliability_bins", f"WITH {BINS_SQL} SELECT k::INTEGER AS bin, (k / 10)::DOUBLE AS low, ((k + 1) / 10)::DOUBLE AS high, coalesce(n, 0)::BIGINT AS n, round(coalesce(c, 0), 6) AS mean_confidence, round(coalesce(a, 0), 6) AS accept_rate FROM (SELECT unnest(range(10)) AS k) LEFT JOIN b ON k = bin")
+@query("reliability_bins", f"WITH {BINS_SQL} SELECT k::INTEGER AS bin, {EDGES}[k + 1] AS low, {EDGES}[k + 2] AS high, coalesce(n, 0)::BIGINT AS n, round(coalesce(c, 0), 6) AS mean_confidence, round(coalesce(a, 0), 6) AS accept_rate FROM (SELECT unnest(range(10)) AS k) LEFT JOIN b ON k = bin")
 def _(spark, d):
     return calibrate.reliability(points(spark, d)).withColumn("mean_confidence", F.round("mean_confidence", 6)).withColumn("accept_rate", F.round("accept_rate", 6))
 
 
-@query("reliability_present", f"WITH {BINS_SQL} SELECT bin, ((bin + 0.5) / 10)::DOUBLE AS middle, n::BIGINT AS n, round(a, 6) AS accept_rate FROM b")
+@query("reliability_present", f"WITH {PRESENT_SQL} SELECT bin, ((bin + 0.5) / 10)::DOUBLE AS middle, n::BIGINT AS n, round(a, 6) AS accept_rate FROM b")
 def _(spark, d):
     return calibrate.reliability_present(points(spark, d)).withColumn("accept_rate", F.round("accept_rate", 6)).withColumn("bin", F.col("bin").cast("int"))
 
@@ -710,11 +730,21 @@ def _(spark, d):
     return calibrate.calibration_error(calibrate.reliability(points(spark, d))).withColumn("ece", F.round("ece", 6))
 
 
-@query("motif_thresholds", f"WITH {POINTS_SQL}, g AS (SELECT motif_id, count(*) AS samples, sum(y) AS pos FROM points GROUP BY 1 HAVING count(*) >= 8), p AS (SELECT motif_id, round(confidence, 3) AS s, y FROM points), t AS (SELECT motif_id, s AS t FROM p UNION SELECT motif_id, round(k / 100, 3) FROM g, (SELECT unnest(range(101)) AS k)), c AS (SELECT t.motif_id, t.t, count(*) FILTER (s >= t AND y = 1) AS tp, count(*) FILTER (s >= t) AS hit FROM t JOIN p USING (motif_id) GROUP BY ALL), m AS (SELECT c.*, pos, CASE WHEN hit > 0 THEN tp / hit ELSE 0 END AS pr, CASE WHEN pos > 0 THEN tp / pos ELSE 0 END AS re FROM c JOIN g USING (motif_id)), b AS (SELECT motif_id, t FROM m WHERE pr >= 0.6 AND tp > 0 QUALIFY row_number() OVER (PARTITION BY motif_id ORDER BY round(2 * pr * re / (pr + re), 9) DESC, t) = 1) SELECT motif_id, coalesce(t, 0.5)::DOUBLE AS threshold, samples::BIGINT AS samples, pos::BIGINT AS positives, (samples - pos)::BIGINT AS negatives FROM g LEFT JOIN b USING (motif_id)")
+@query("motif_thresholds", f"WITH {POINTS_SQL}, g AS (SELECT motif_id, count(*) AS samples, sum(y) AS pos FROM points GROUP BY 1 HAVING count(*) >= 8), p AS (SELECT motif_id, confidence AS s, y FROM points), t AS (SELECT motif_id, round(s, 3) AS t FROM p UNION SELECT motif_id, k * 0.01::DOUBLE FROM g, (SELECT unnest(range(101)) AS k)), c AS (SELECT t.motif_id, t.t, count(*) FILTER (s >= t AND y = 1) AS tp, count(*) FILTER (s >= t) AS hit FROM t JOIN p USING (motif_id) GROUP BY ALL), m AS (SELECT c.*, pos, CASE WHEN hit > 0 THEN tp / hit ELSE 0 END AS pr, CASE WHEN pos > 0 THEN tp / pos ELSE 0 END AS re FROM c JOIN g USING (motif_id)), b AS (SELECT motif_id, t FROM m WHERE pr >= 0.6 AND tp > 0 QUALIFY row_number() OVER (PARTITION BY motif_id ORDER BY round(2 * pr * re / (pr + re), 9) DESC, t) = 1) SELECT motif_id, coalesce(t, 0.5)::DOUBLE AS threshold, samples::BIGINT AS samples, pos::BIGINT AS positives, (samples - pos)::BIGINT AS negatives FROM g LEFT JOIN b USING (motif_id)")
 def _(spark, d):
     return calibrate.motif_thresholds(points(spark, d), CalibrationConfig(min_precision=0.6))
 
 
+REVIEW_SQL = LATEST_SQL + ", " + FINDINGS_SQL + ", points AS (SELECT CASE WHEN id % 4 = 0 THEN 'corrected' ELSE motif_id END AS motif_id, confidence AS s, CASE decision WHEN 'accept' THEN 1 ELSE 0 END AS y FROM latest JOIN findings USING (finding_id) WHERE decision IN ('accept', 'reject'))"
+
+
+@query("review_thresholds", f"WITH {REVIEW_SQL}, g AS (SELECT motif_id, count(*) AS samples, sum(y) AS pos FROM points GROUP BY 1 HAVING count(*) >= 6), c AS (SELECT t.motif_id, t.s AS t, count(*) FILTER (p.s >= t.s AND y = 1) AS tp, count(*) FILTER (p.s >= t.s AND y = 0) AS fp FROM (SELECT DISTINCT motif_id, s FROM points) t JOIN points p USING (motif_id) GROUP BY ALL), m AS (SELECT c.*, pos, samples, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS pr, CASE WHEN pos > 0 THEN tp / pos ELSE 0 END AS re FROM c JOIN g USING (motif_id)), f AS (SELECT *, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 9) AS f1 FROM m) SELECT motif_id, t AS threshold, tp::BIGINT AS tp, fp::BIGINT AS fp, (pos - tp)::BIGINT AS fn, round(f1, 6)::DOUBLE AS f1, samples::BIGINT AS n FROM f QUALIFY row_number() OVER (PARTITION BY motif_id ORDER BY f1 DESC, t) = 1")
+def _(spark, d):
+    """Decisions of ids divisible by 4 also correct the motif."""
+    latest = review.latest_decisions(log(spark, d)).withColumn("corrected_motif_id", F.when(F.col("id") % 4 == 0, "corrected"))
+    return calibrate.review_thresholds(calibrate.reviewed_points(findings(spark, d), latest)).select("motif_id", "threshold", "tp", "fp", "fn", F.round("f1", 6).alias("f1"), "n")
+
+
 # ---------------------------------------------------------------- analytics
 
 
@@ -735,11 +765,11 @@ def _(spark, d):
     return h.select("scene_id", *(F.round(c, 6).alias(c) for c in ("click", "view", "none")))
 
 
-PAIRS_SQL = FINDINGS_SQL + ", sm AS (SELECT DISTINCT scene_id, motif_id FROM findings WHERE confidence >= 0.25 AND finding_id % 10 = 0)"
+PAIRS_SQL = FINDINGS_SQL + ", sm AS (SELECT DISTINCT scene_id, motif_id FROM findings WHERE confidence >= 0.25)"
 
 
 def _pairs(spark, d):
-    return analytics.scene_motifs(findings(spark, d).where("finding_id % 10 = 0"))
+    return analytics.scene_motifs(findings(spark, d))
 
 
 EDGES_SQL = PAIRS_SQL + ", edges AS (SELECT a.motif_id AS src, b.motif_id AS dst, count(*) AS weight FROM sm a JOIN sm b ON a.scene_id = b.scene_id AND a.motif_id < b.motif_id GROUP BY ALL)"
@@ -778,10 +808,10 @@ def _(spark, d):
 
 
 def _shown(spark, d):
-    return analytics.non_overlapping(findings(spark, d).where("finding_id % 4 = 0"), "scene_id")
+    return analytics.non_overlapping(findings(spark, d), "scene_id")
 
 
-GREEDY_SQL = FINDINGS_SQL + ", o AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY s, e, motif_id, finding_id) AS n FROM findings WHERE finding_id % 4 = 0), g(scene_id, n, last, kept, motif_id, finding_id) AS (SELECT scene_id, n, e, true, motif_id, finding_id FROM o WHERE n = 1 UNION ALL SELECT o.scene_id, o.n, CASE WHEN o.s >= g.last THEN o.e ELSE g.last END, o.s >= g.last, o.motif_id, o.finding_id FROM g JOIN o ON o.scene_id = g.scene_id AND o.n = g.n + 1)"
+GREEDY_SQL = FINDINGS_SQL + ", o AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY s, e, motif_id, finding_id) AS n FROM findings), g(scene_id, n, last, kept, motif_id, finding_id) AS (SELECT scene_id, n, e, true, motif_id, finding_id FROM o WHERE n = 1 UNION ALL SELECT o.scene_id, o.n, CASE WHEN o.s >= g.last THEN o.e ELSE g.last END, o.s >= g.last, o.motif_id, o.finding_id FROM g JOIN o ON o.scene_id = g.scene_id AND o.n = g.n + 1)"
 
 
 @query("non_overlapping_spans", f"WITH RECURSIVE {GREEDY_SQL} SELECT scene_id, finding_id FROM g WHERE kept")
@@ -808,6 +838,35 @@ def _(spark, d):
     return analytics.support_report(f.select("scene_id").distinct(), s, y, f, 0.5)
 
 
+EXPORT_SQL = SCENES_SQL + r""", fs AS (SELECT event_id AS id, user_id % 10 AS work_id, event_id % 20 AS chapter, event_id % 4 AS scene, upper(event_type) AS trope, least(value / 500, 1) AS confidence, (event_id * 7) % 900 AS s, (event_id * 7) % 900 + 10 + event_id % 90 AS e FROM events),
+fw AS (SELECT fs.*, w.text, length(w.text) AS n FROM fs JOIN works w USING (work_id)),
+fc AS (SELECT *, least(least(s, n), least(e, n)) AS a, greatest(least(s, n), least(e, n)) AS b FROM fw),
+wp AS (SELECT work_id, length(text) AS n, string_split(regexp_replace(text, '([.!?]+(?:\s+|$)|\n{2,})', '\1' || chr(1), 'g'), chr(1)) AS p FROM works),
+wq AS (SELECT work_id, unnest(p) AS s, unnest(range(len(p))) AS i FROM wp), wo AS (SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY work_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos0 FROM wq),
+ws AS (SELECT work_id, i, (pos0 + length(s) - length(regexp_replace(s, '^\s+', '')))::INTEGER AS x, (pos0 + length(regexp_replace(s, '\s+$', '')))::INTEGER AS y FROM wo WHERE regexp_replace(s, '\s+', '', 'g') <> ''),
+fr AS (SELECT fc.*, x, y, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN x <= (a + b) // 2 AND (a + b) // 2 < y THEN 0 ELSE 1 END, CASE WHEN x <= (a + b) // 2 AND (a + b) // 2 < y THEN 0 ELSE abs((x + y) // 2 - (a + b) // 2) END, i) AS nth FROM fc JOIN ws USING (work_id))
+SELECT id, f.work_id, c.scene_idx, c.chapter_idx, trope, round(confidence, 6) AS confidence, a::INTEGER AS evidence_start, b::INTEGER AS evidence_end, sha256(substr(text, a + 1, b - a)) AS excerpt_sha, sha256(trim(regexp_replace(replace(substr(text, x + 1, y - x), chr(10), ' '), '^\s+|\s+$', '', 'g'))) AS sentence_sha
+FROM fr f LEFT JOIN (SELECT s.work_id, s.chapter, s.idx, s.idx::INTEGER AS scene_idx, CASE WHEN s.chapter % 3 <> 2 THEN s.chapter::INTEGER END AS chapter_idx FROM scenes s) c ON f.work_id = c.work_id AND f.chapter = c.chapter AND f.scene = c.idx WHERE nth = 1"""
+
+
+@query("finding_export", f"WITH {EXPORT_SQL}")
+def _(spark, d):
+    """Findings in the works made of conversations; some name a scene that is not there, some scenes no chapter."""
+    e = findings(spark, d).join(table(spark, d, "events").select(F.col("event_id").alias("finding_id")), "finding_id")
+    key = lambda w, c, s: F.concat_ws("-", *(F.col(x).cast("string") if isinstance(x, str) else x.cast("string") for x in (w, c, s)))
+    f = e.withColumn("scene_id", key("work_id", F.col("finding_id") % 20, F.col("finding_id") % 4)).withColumn("level", F.lit("scene")).withColumn("model", F.lit(None).cast("string")).withColumn("rationale", F.lit("said"))
+    w = works(spark, d)
+    c = segment.chapters(w)
+    s = segment.scenes(c)
+    chapter = F.concat_ws("-", F.col("work_id").cast("string"), F.col("chapter").cast("string"))
+    s = s.select(key("work_id", "chapter", "idx").alias("scene_id"), chapter.alias("chapter_id"), "idx")
+    c = c.where("idx % 3 <> 2").select(F.concat_ws("-", F.col("work_id").cast("string"), F.col("idx").cast("string")).alias("chapter_id"), "idx")
+    names = f.select("motif_id").distinct().withColumn("name", F.upper("motif_id"))
+    out = analytics.finding_rows(f, s, c, w, names)
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return out.select("id", "work_id", "scene_idx", "chapter_idx", "trope", F.round("confidence", 6).alias("confidence"), "evidence_start", "evidence_end", sha("excerpt").alias("excerpt_sha"), sha("evidence_sentence").alias("sentence_sha"))
+
+
 @query("group_names", "SELECT c_nationkey AS motif_id, min(c_mktsegment) AS group_name FROM customer GROUP BY 1")
 def _(spark, d):
     return analytics.group_of(table(spark, d, "customer").select(F.col("c_nationkey").alias("motif_id"), F.col("c_mktsegment").alias("group_name")))
@@ -825,10 +884,10 @@ def _(spark, d):
     return tables.in_listed_order(lists, "c_custkey", "ids", n, "id", "n_name").select("c_custkey", F.array_join("values", "|").alias("names"))
 
 
-@query("sentence_snap", r"""WITH p AS (SELECT doc_id, length(text) AS n, string_split(regexp_replace(text, '((?:[.!?]|—)+\s+)', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents), q AS (SELECT doc_id, n, unnest(p) AS s, unnest(range(len(p))) AS i FROM p), c AS (SELECT doc_id, n, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM q) SELECT doc_id, coalesce(max(c) FILTER (c <= 60), 0)::INTEGER AS s_start, coalesce(min(c) FILTER (c >= 90), n)::INTEGER AS s_end FROM c WHERE n > 100 GROUP BY doc_id, n""")
+@query("sentence_snap", r"""WITH p AS (SELECT doc_id, length(text) AS n, string_split(regexp_replace(text, '((?:[.!?]|—)+\s+)', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents), q AS (SELECT doc_id, n, unnest(p) AS s, unnest(range(len(p))) AS i FROM p), c AS (SELECT doc_id, n, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM q) SELECT doc_id, coalesce(max(c) FILTER (c <= 60), 0)::INTEGER AS s_start, coalesce(min(c) FILTER (c >= 90), n)::INTEGER AS s_end FROM c GROUP BY doc_id, n""")
 def _(spark, d):
     s = spans.snapped_to_sentences(F.col("text"), F.lit(60), F.lit(90))
-    return documents(spark, d).where("length(text) > 100").select("doc_id", s["start"].alias("s_start"), s["end"].alias("s_end"))
+    return documents(spark, d).select("doc_id", s["start"].alias("s_start"), s["end"].alias("s_end"))
 
 
 @query("logistic_fits")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from storyloom.config import CalibrationConfig, ChunkConfig, GazetteerConfig, JudgeConfig, SemanticConfig, VerifierConfig
 from storyloom.functions import numbers as N
-from storyloom.functions.text import motif_query, motif_text, normalize_text
+from storyloom.functions.text import motif_query, motif_text, normalize_alias, normalize_text
 from storyloom.operators import calibrate, catalog, gazetteer, judge, review, segment, spans, tables, vectors
 from storyloom.sources import files, providers
 
@@ -112,21 +112,35 @@ class Workspace:
         aliases = gazetteer.admitted_aliases(m, files.read_stop_words(self.spark, stop), config)
         anti = m.select("motif_id", F.explode("anti_aliases").alias("phrase"))
         chunks = self.table("chunk").select("chunk_id", "scene_id", "work_id", "char_start", "text")
-        hits = gazetteer.seeded(gazetteer.unblocked(gazetteer.hits(chunks, aliases), anti, config), config).drop("text")
-        rows = hits.join(chunks.drop("text"), "chunk_id").select("work_id", "scene_id", "chunk_id", "motif_id", "surface", "alias", (F.col("start") + F.col("char_start")).alias("start"), (F.col("end") + F.col("char_start")).alias("end"), F.lit("dictionary").alias("source"), F.lit(1.0).alias("score"))
+        hits = gazetteer.unblocked(gazetteer.hits(chunks, aliases), anti, config).drop("text").join(chunks.drop("text"), "chunk_id")
+        rows = gazetteer.seeded(hits, config).select("work_id", "scene_id", "chunk_id", "motif_id", "surface", "alias", (F.col("start") + F.col("char_start")).alias("start"), (F.col("end") + F.col("char_start")).alias("end"), F.lit("dictionary").alias("source"), F.lit(1.0).alias("score"))
         return self._add("candidate", rows, ["work_id", "motif_id", "start", "end"], ["chunk_id", "alias"])
 
     def seed_semantic(self, config: SemanticConfig = SemanticConfig()) -> DataFrame:
         v = self.table("vector").withColumn("item_id", _number("chunk_id"))
         q = self.table("motif_vector").withColumn("query_id", _number("motif_id"))
-        found = vectors.nearest(q.select("query_id", "embedding"), v.select("item_id", "embedding"), config.top_n, config.least_similarity)
-        found = found.join(v.select("item_id", "chunk_id", "scene_id", "work_id"), "item_id").join(q.select("query_id", "motif_id"), "query_id")
+        found = vectors.nearest(q.select("query_id", "embedding"), v.select("item_id", "embedding", "work_id"), config.top_n, config.least_similarity, by="work_id")
+        found = found.join(v.select("item_id", "chunk_id", "scene_id"), "item_id").join(q.select("query_id", "motif_id"), "query_id")
         found = vectors.capped_by_scene(found, None, config.most_per_scene).join(self.table("chunk").select("chunk_id", "char_start", "char_end"), "chunk_id")
         rows = found.select("work_id", "scene_id", "chunk_id", "motif_id", F.lit(None).cast("string").alias("surface"), F.lit(None).cast("string").alias("alias"), F.col("char_start").alias("start"), F.col("char_end").alias("end"), F.lit("semantic").alias("source"), F.col("similarity").alias("score"))
         return self._add("candidate", rows, ["work_id", "motif_id", "start", "end"], [F.desc("score"), "chunk_id"])
 
     # ------------------------------------------------------------ judging
 
+    def shortlist_catalog(self, config: JudgeConfig = JudgeConfig()) -> DataFrame:
+        """The candidates that judging looks at, of every scene: the seeds; where there are none, motifs an alias of which
+        stands in the scene; and the motifs of the catalog that are nearest to the scene."""
+        scenes, m = self.table("scene"), self.table("motif")
+        seeds = judge.candidate_union(self.table("candidate"))
+        unseeded = scenes.join(seeds.select("scene_id").distinct(), "scene_id", "left_anti").select(F.col("scene_id").alias("chunk_id"), "text")
+        named = gazetteer.hits(unseeded, gazetteer.admitted_aliases(m, files.read_stop_words(self.spark, None))).select(F.col("chunk_id").alias("scene_id"), "motif_id")
+        sv = providers.embedded(scenes.select("scene_id", F.substring("text", 1, config.shortlist_chars).alias("text")), "text", self.embedder)
+        near = vectors.shortlist(sv, self.table("motif_vector"), config.shortlist)
+        return self.put("scene_candidate", judge.candidate_union(seeds, named, near))
+
+    def _candidates(self) -> DataFrame:
+        return self.table("scene_candidate") if self.has("scene_candidate") else judge.candidate_union(self.table("candidate"))
+
     def select_support(self, picks: DataFrame | None = None, config: JudgeConfig = JudgeConfig()) -> tuple[DataFrame, DataFrame]:
         """Supports of every scene among its work's chunks, and each candidate's sanity weight."""
         scenes = self.table("scene")
@@ -135,17 +149,20 @@ class Workspace:
         near = vectors.nearest_within(sv.select("work_id", _number("scene_id").alias("query_id"), "embedding"), v.select("work_id", "item_id", "embedding"), "work_id", config.top_k)
         hits = near.join(scenes.select("scene_id", _number("scene_id").alias("query_id")), "query_id").join(v.select("item_id", "chunk_id"), "item_id").select("scene_id", "chunk_id", "similarity", "rank")
         support = self.put("support_selection", judge.support(hits, picks, config.keep))
-        c = judge.candidate_union(self.table("candidate"))
-        quoted = support.join(self.table("chunk").select("chunk_id", "text"), "chunk_id").groupBy("scene_id").agg(F.sort_array(F.collect_list("text")).alias("more"))
+        c = self._candidates()
+        ranked = F.sort_array(F.collect_list(F.struct("rank", "text")))
+        quoted = support.join(self.table("chunk").select("chunk_id", "text"), "chunk_id").groupBy("scene_id").agg(ranked.alias("r")).select("scene_id", F.col("r.text").alias("more"))
         texts = scenes.join(quoted, "scene_id", "left").select("scene_id", F.concat(F.array("text"), F.coalesce("more", F.array().cast("array<string>"))).alias("texts"))
         phrases = self.table("motif").select("motif_id", F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))).alias("phrases"))
         mv = self.table("motif_vector").withColumnRenamed("embedding", "m")
-        sims = c.join(sv.select("scene_id", "embedding"), "scene_id").join(mv, "motif_id").select("scene_id", "motif_id", N.cosine(F.col("embedding"), F.col("m")).alias("sem_sim"))
+        joined = providers.embedded(quoted.select("scene_id", F.array_join("more", " ").alias("text")), "text", self.embedder).where("embedding is not null").select("scene_id", F.col("embedding").alias("quoted"))
+        sims = c.join(sv.select("scene_id", "embedding"), "scene_id").join(joined, "scene_id").join(mv, "motif_id")
+        sims = sims.select("scene_id", "motif_id", F.greatest(N.cosine(F.col("embedding"), F.col("m")), N.cosine(F.col("quoted"), F.col("m"))).alias("sem_sim"))
         return support, self.put("motif_sanity", judge.sanity(c, texts, phrases, sims, config))
 
     def prompts(self, config: JudgeConfig = JudgeConfig()) -> DataFrame:
         quoted = self.table("support_selection").join(self.table("chunk").select("chunk_id", "text"), "chunk_id").select("scene_id", "rank", "text")
-        return judge.prompts(judge.candidate_union(self.table("candidate")), self.table("scene").select("scene_id", "text"), self.table("motif").select("motif_id", "name", "summary"), quoted, self.table("motif_sanity"), config)
+        return judge.prompts(self._candidates(), self.table("scene").select("scene_id", "text"), self.table("motif").select("motif_id", "name", "summary"), quoted, self.table("motif_sanity"), config)
 
     def judge(self, answers: DataFrame, run_id: str, config: JudgeConfig = JudgeConfig()) -> DataFrame:
         """Findings from answers (scene_id, motif_id, confidence, rationale, start, end), candidates only."""
@@ -153,14 +170,14 @@ class Workspace:
         kinds = "work_id string, scene_id string, motif_id string, level string, confidence double, rationale string, evidence_start int, evidence_end int, threshold_used double, run_id string"
         old = self.table("finding").select(names) if self.has("finding") else self.spark.createDataFrame([], kinds)
         limits = self.table("motif_threshold") if self.has("motif_threshold") else None
-        out = judge.judge(old, answers, judge.candidate_union(self.table("candidate")), self.table("motif_sanity"), limits, self.table("scene"), self.table("work"), run_id, config)
+        out = judge.judge(old, answers, self._candidates(), self.table("motif_sanity"), limits, self.table("scene"), self.table("work"), run_id, config)
         stamp = judge.run_stamp(self.spark, run_id, config)
         self.put("run", tables.insert_or_replace(self.table("run"), stamp, ["id"], ["id"]) if self.has("run") else stamp)
         return self.put("finding", out.withColumn("finding_id", _id("work_id", "motif_id", "evidence_start", "evidence_end")))
 
     def verify(self, config: VerifierConfig = VerifierConfig()) -> DataFrame:
         """Better spans and similarity flags, then cue flags; returns findings with both."""
-        f = self.table("finding").join(self.table("scene").select("scene_id", F.col("char_start").alias("base"), "text"), "scene_id").join(self.table("motif").select("motif_id", "name", "summary"), "motif_id")
+        f = self.table("finding").join(self.table("scene").select("scene_id", F.col("char_start").alias("base"), "text"), "scene_id").join(self.table("motif").select("motif_id", "name", "summary", "aliases"), "motif_id")
         a, b = N.clipped(F.col("evidence_start") - F.col("base"), F.col("evidence_end") - F.col("base"), F.length("text"))
         f = f.withColumn("s", a).withColumn("e", b).withColumn("sents", segment.sentences(F.col("text")))
         c = f.select("*", F.posexplode(spans.candidate_windows(F.col("sents"), F.col("s"), F.col("e"), F.length("text"), config)).alias("k", "w"))
@@ -172,7 +189,7 @@ class Workspace:
         scored = c.select("finding_id", "start", "end", "is_original", F.col("span").alias("text"), F.coalesce(N.cosine(F.col("span_v"), F.col("motif_v")), F.lit(0.0)).alias("motif_similarity"), F.coalesce(N.cosine(F.col("span_v"), F.col("scene_v")), F.lit(0.0)).alias("scene_similarity"))
         best = spans.verified(scored, config).withColumnRenamed("start", "ns").withColumnRenamed("end", "ne")
         out = f.drop("sents").join(best, "finding_id").withColumnRenamed("verifier_flag", "similarity_flag")
-        out = spans.cue_flags(out.withColumn("start", F.col("ns")).withColumn("end", F.col("ne")).withColumn("alias", F.lower("name")), "alias", config)
+        out = spans.cue_flags(out.withColumn("start", F.col("ns")).withColumn("end", F.col("ne")).withColumn("_said", F.filter(F.array_distinct(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), normalize_alias)), lambda a: a != "")), "_said", config)
         return out.select("finding_id", "work_id", "scene_id", "motif_id", (F.col("ns") + F.col("base")).alias("start"), (F.col("ne") + F.col("base")).alias("end"), "confidence", "verifier_score", "similarity_flag", F.col("verifier_flag").alias("cue_flag"), "verified_confidence", "adopted")
 
     # ------------------------------------------------------------ review and calibration

@@ -71,7 +71,7 @@ def test_latest_ties(spark):
 
 def test_flags(spark):
     rows = spark.createDataFrame([(1, "a never seen anti-x thing here", 2, 8, 1.0, "x"), (5, "an anti-war x", 2, 8, 1.0, "x"), (2, "it is not quite the hero yet", 20, 24, 1.0, "hero"), (3, "plain", 0, 5, 1.0, "hero"), (4, "such a CLICHÉ here", 0, 4, 1.0, "z")], "id int, text string, start int, end int, confidence double, alias string")
-    got = {r.id: (r.verifier_flag, round(r.verified_confidence, 3)) for r in spans.cue_flags(rows, "alias").collect()}
+    got = {r.id: (r.verifier_flag, round(r.verified_confidence, 3)) for r in spans.cue_flags(rows.withColumn("aliases", F.array(F.lit("zzz"), "alias")), "aliases").collect()}
     assert got == {1: ("negation_anti", 0.3), 2: ("negation_cue", 0.6), 3: (None, 1.0), 4: ("meta_cue", 0.75), 5: (None, 1.0)}
 
 
@@ -79,10 +79,91 @@ def test_calibration_edges(spark):
     p = spark.createDataFrame([(1.0, 1), (0.0, 0), (0.5, 1), (1.5, 1)], "confidence double, y int")
     assert [r.n for r in calibrate.reliability(p).orderBy("bin").collect()] == [1, 0, 0, 0, 0, 1, 0, 0, 0, 1]
     assert len(calibrate.thresholds()) == 101 and any(t != k / 100 for k, t in enumerate(calibrate.thresholds()))
+    edge = spark.createDataFrame([(c, 1) for c in (0.3, 0.6, 0.7, 0.1, 0.9)], "confidence double, y int")
+    assert {r.bin for r in calibrate.reliability(edge).where("n > 0").collect()} == {2, 5, 6, 1, 9}
     few = spark.createDataFrame([("m", 0.5, 1)] * 3, "motif_id string, confidence double, y int")
     assert calibrate.motif_thresholds(few).count() == 0
 
 
+def best_by_loop(points, marks, least_precision):
+    best, score = 0.5, -1.0
+    for t in sorted(marks):
+        tp = sum(y for c, y in points if c >= t)
+        hit = sum(c >= t for c, _ in points)
+        p, r = (tp / hit if hit else 0.0), tp / max(1, sum(y for _, y in points))
+        f = round(2 * p * r / (p + r), 9) if p + r else 0.0
+        if p >= least_precision and f > score:
+            best, score = t, f
+    return best
+
+
+def test_thresholds_compare_confidences_as_they_are(spark):
+    import random
+
+    rng = random.Random(3)
+    groups = {"edge": [(0.6236, 1)] * 4 + [(0.2, 0)] * 8}
+    for k in range(5):
+        groups[f"m{k}"] = [(round(rng.random(), rng.choice([2, 4, 6])), int(rng.random() < 0.5)) for _ in range(rng.randint(8, 40))]
+    df = spark.createDataFrame([(m, c, y) for m, ps in groups.items() for c, y in ps], "motif_id string, confidence double, y int")
+    got = {r.motif_id: r.threshold for r in calibrate.motif_thresholds(df, CalibrationConfig(min_precision=0.6)).collect()}
+    grid = [k * 0.01 for k in range(101)]
+    for m, ps in groups.items():
+        assert got[m] == pytest.approx(best_by_loop(ps, {round(c, 3) for c, _ in ps} | set(grid), 0.6)), m
+    assert got["edge"] < 0.6236
+    got = {r.motif_id: r.threshold for r in calibrate.review_thresholds(df).collect()}
+    assert got == {m: pytest.approx(best_by_loop(ps, {c for c, _ in ps}, 0.0)) for m, ps in groups.items()}
+
+
+def test_seeds_are_capped_in_each_work_in_order(spark):
+    rows = [(w, f"{9 - c}-{w}", 1, "x", 0, s, s + 1, 100 * c) for w in "ab" for c in range(4) for s in range(3)] + [("a", "dup", 1, "x", 0, 100, 101, 0)]
+    found = spark.createDataFrame(rows, "work_id string, chunk_id string, motif_id int, alias string, nth int, start int, end int, char_start int")
+    kept = gazetteer.seeded(found, GazetteerConfig(most_per_motif=5)).collect()
+    places = {w: sorted(r.char_start + r.start for r in kept if r.work_id == w) for w in "ab"}
+    assert places == {"a": [0, 1, 2, 100, 101], "b": [0, 1, 2, 100, 101]}
+
+
+def test_scan_and_join_find_the_same(spark):
+    texts = ["heroes éhero superhero Hero", "😀 the anti-hero", "Fake‐out and fake out", "fools’ gold fool's gold", None, "", "naïve İstanbul"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id int, text string")
+    motifs = spark.createDataFrame([(1, "hero", ["fake-out", "fool's gold", "naïve"])], "motif_id int, name string, aliases array<string>")
+    for variant in (1, 2, 3):
+        one, two = (gazetteer.hits(chunks, gazetteer.admitted_aliases(motifs), variant, most) for most in (1 << 20, 0))
+        assert one.columns == two.columns and sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+    assert gazetteer.hits(chunks, gazetteer.admitted_aliases(motifs.limit(0))).count() == 0
+
+
+def test_nearest_with_odd_vectors(spark):
+    v = [(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [0.0, 1.0]), (5, [1.0, None]), (6, [1.0, 0.0]), (7, [0.0, 0.0])]
+    e = spark.createDataFrame(v, "item_id long, embedding array<double>")
+    q = e.withColumnRenamed("item_id", "query_id")
+    got = {(r.query_id, r["rank"]): r.item_id for r in vectors.nearest(q, e, 2).collect()}
+    assert got == {(1, 1): 1, (1, 2): 6, (4, 1): 4, (4, 2): 1, (6, 1): 1, (6, 2): 6, (7, 1): 1, (7, 2): 4}
+    by = e.withColumn("work", F.col("item_id") % 2)
+    assert {(r.query_id, r.work): r.item_id for r in vectors.nearest(q.where("query_id = 1"), by, 1, by="work").collect()} == {(1, 0): 6, (1, 1): 1}
+    lists = vectors.shortlist(e.withColumnRenamed("item_id", "scene_id"), q.where("query_id in (1, 4, 6)").withColumnRenamed("query_id", "motif_id"), 2)
+    assert {(r.scene_id, r["rank"]): r.motif_id for r in lists.collect()} == {(1, 1): 1, (1, 2): 6, (4, 1): 4, (4, 2): 1, (6, 1): 1, (6, 2): 6, (7, 1): 1, (7, 2): 4}
+    assert vectors.nearest(q.limit(0), e, 2).count() == 0 and vectors.shortlist(e.withColumnRenamed("item_id", "scene_id"), q.limit(0).withColumnRenamed("query_id", "motif_id"), 2).count() == 0
+
+
+def test_long_spans_and_blank_chapters(spark):
+    from storyloom.operators import segment
+
+    df = spark.createDataFrame([(1, "a. " * 300, 20, 420), (2, "One two. Three four. Five.", 4, 7)], "id int, text string, s int, e int")
+    got = {r.id: [(w.start, w.end) for w in r.w] for r in df.select("id", spans.candidate_windows(segment.sentences(F.col("text")), F.col("s"), F.col("e"), F.length("text")).alias("w")).collect()}
+    assert got[1][0] == (80, 360) and all(b - a <= 280 for a, b in got[1]) and got[2][0] == (4, 7)
+    works = spark.createDataFrame([(1, ""), (2, " \n "), (3, "Chapter 1\nx\nChapter 2\n***\n \n")], "work_id int, text string")
+    found = sorted((r.work_id, r.chapter, r.idx, r.char_start, r.char_end, r.heading) for r in segment.scenes(segment.chapters(works)).collect())
+    assert found == [(1, 0, 0, 0, 0, None), (2, 0, 0, 0, 3, None), (3, 0, 0, 0, 12, None), (3, 1, 0, 12, 22, None), (3, 1, 1, 22, 28, "***")]
+
+
+def test_verifier_modes(spark):
+    rows = spark.createDataFrame([(1, 0.8, 0.4, "negation_cue"), (2, 0.9, 0.9, None)], "id int, confidence double, verified_confidence double, verifier_flag string")
+    left = {m: sorted((r.id, r.confidence) for r in spans.applied_flags(rows, m).collect()) for m in spans.MODES}
+    assert left == {"downweight": [(1, 0.4), (2, 0.9)], "flag": [(1, 0.8), (2, 0.9)], "delete": [(2, 0.9)]}
+    with pytest.raises(ValueError):
+        spans.applied_flags(rows, "other")
+
+
 def test_one_to_one(spark):
     t = spark.createDataFrame([(1, "a", 0, 10), (1, "b", 5, 15)], "scene_id int, truth_id string, start int, end int")
     p = spark.createDataFrame([(1, "x", 0, 12), (1, "y", 30, 40)], "scene_id int, predicted_id string, start int, end int")
