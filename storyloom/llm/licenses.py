@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, table
@@ -28,6 +28,7 @@ UNKNOWN, NONE = "unknown", "none"
 STOP = frozenset(COMMON) | frozenset("x s d t r http https www com org 0 1 2 3 4 5 v its such other any if no may must shall should been used so than then there these those do does".split())
 VARIANTS, PIECES, PROSE = 14, 14, 1500
 CONFIDENT, CONTAINED, INSIDE, LEAST_SHARED = 0.5, 0.75, 0.9, 8
+BREAK = r"\n(?: *\n)*"  # blank lines belong to the break
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -149,9 +150,19 @@ def _judged(rows: DataFrame, model: LicenseModel, notices: DataFrame) -> DataFra
     return rows.withColumn("confirmed", confirmed).withColumn("predicted", F.element_at(names, F.col("class") + 1))
 
 
+def _words(line: str) -> Column:
+    """Words of a-z and 0-9 in lower case; one empty word where there is none."""
+    return F.split(F.trim(F.regexp_replace(F.translate(line, UPPER, LOWER), "[^a-z0-9]+", " ")), " ")
+
+
+def _pairs(words: str) -> Column:
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
 def scan_licenses(docs: DataFrame, model: LicenseModel | None = None) -> DataFrame:
-    """One row for each paragraph of licence language: doc_id, paragraph (number of its first line, from 0), lines (of
-    licence language in it), family (`unknown` if none is likely enough or its texts don't confirm it), predicted
+    """One row for each paragraph of licence language: doc_id, paragraph (number of its first line, from 0; blank
+    lines don't count), lines (of licence language in it), family (`unknown` if none is likely enough or its texts don't confirm it), predicted
     (the likeliest class, confirmed or not), probability (of that class), template (number of the nearest text
     of that family), contained (the share of its n-grams that the paragraph holds) and confirmed.
 
@@ -165,19 +176,18 @@ def scan_licenses(docs: DataFrame, model: LicenseModel | None = None) -> DataFra
     weights = _table(spark, [f"('{g}', array({', '.join(map(number, v))}))" for g, v in model.weights], "gram, v")
     own = _table(spark, [f"({t}, {model.classes.index(f)}, {n}, array({', '.join(repr(g) for g in grams)}))" for t, f, n, grams in model.templates], "template, class, size, own")
     notices = own.groupBy("class").agg(F.collect_list(F.struct("template", "size", "own")).alias("notices"))
-    stop = lambda w: w.isin(*sorted(STOP))
-    lines = id_and_text(docs).select("doc_id", F.xxhash64("text").alias("copy"), F.split("text", "\n").alias("lines"))
-    numbered = F.transform("lines", lambda x, i: F.struct(i.alias("line"), x.alias("text")))
-    lines = lines.select("doc_id", "copy", F.posexplode(F.filter(numbered, lambda x: F.trim(x["text"]) != "")).alias("place", "x"))
-    lines = lines.select("doc_id", "copy", "place", F.col("x.line").alias("line"), F.filter(F.split(F.translate("x.text", UPPER, LOWER), "[^a-z0-9]+"), lambda x: x != "").alias("words"))
-    after = F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0)))
-    pairs = F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), after, lambda a, b: F.when(~(stop(a) & stop(b)), F.concat(a, F.lit(" "), b)))
-    grams = F.array_distinct(F.concat(F.filter("words", lambda w: ~stop(w)), F.filter(pairs, lambda p: p.isNotNull())))
-    grams = lines.select("doc_id", "copy", "place", "line", grams.alias("grams")).select("doc_id", "copy", "place", "line", F.size("grams").alias("n_own"), F.explode("grams").alias("gram"))
-    met = grams.join(F.broadcast(weights), "gram")  # rows fixed by the texts
     keys = ["doc_id", "copy"]
-    met = met.groupBy(*keys, "place", "line").agg(F.collect_set(F.struct("gram", "v")).alias("met"), F.first("n_own").alias("n_own"))
-    like = _judged(met, model, notices).where("p_none < 0.5").select(*keys, "place", "line", "met", "n_own", F.when((F.col("probability") >= CONFIDENT) & (F.col("best.contained") >= CONTAINED), F.col("class")).alias("sure"))
+    lines = id_and_text(docs).select("doc_id", F.xxhash64("text").alias("copy"), F.posexplode(F.split("text", BREAK)).alias("place", "line"))
+    grams = lines.select("*", _words("line").alias("words")).select(*keys, "place", "line", F.explode(F.concat("words", _pairs("words"))).alias("gram"))
+    met = grams.join(F.broadcast(weights), "gram")  # rows fixed by the texts
+    met = met.groupBy(*keys, "place").agg(F.collect_set(F.struct("gram", "v")).alias("met"), F.first("line").alias("line"))
+    like = _judged(met.withColumn("n_own", F.lit(None).cast("int")), model, notices).where("p_none < 0.5")
+    sure = F.when((F.col("probability") >= CONFIDENT) & (F.col("best.contained") >= CONTAINED), F.col("class"))
+    like = like.select(*keys, "place", "met", sure.alias("sure"), _words("line").alias("words"))
+    stop = lambda w: w.isin(*sorted(STOP))
+    own_words = F.array_distinct(F.filter("words", lambda w: ~stop(w) & (w != "")))
+    own_pairs = F.array_distinct(F.filter(_pairs("words"), lambda p: ~(stop(F.substring_index(p, " ", 1)) & stop(F.substring_index(p, " ", -1)))))
+    like = like.withColumn("n_own", F.size(own_words) + F.size(own_pairs)).drop("words")
     in_order = Window.partitionBy(*keys).orderBy("place")
     gap = F.coalesce((F.col("place") - F.lag("place").over(in_order) > 1).cast("int"), F.lit(0))
     like = like.withColumn("gap", gap).withColumn("run", F.sum("gap").over(in_order))
@@ -185,7 +195,7 @@ def scan_licenses(docs: DataFrame, model: LicenseModel | None = None) -> DataFra
     so_far = F.last("sure", ignorenulls=True).over(in_run.rowsBetween(Window.unboundedPreceding, -1))
     like = like.withColumn("other", F.coalesce((F.col("sure") != so_far).cast("int"), F.lit(0))).withColumn("part", F.sum("other").over(in_run))
     whole = like.groupBy(*keys, "run", "part").agg(
-        F.min("line").alias("paragraph"), F.count("*").cast("int").alias("lines"), F.sum("n_own").alias("n_own"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("met")))).alias("met")
+        F.min("place").alias("paragraph"), F.count("*").cast("int").alias("lines"), F.sum("n_own").alias("n_own"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("met")))).alias("met")
     )
     judged = _judged(whole, model, notices)
     family = F.when(F.col("confirmed"), F.col("predicted")).otherwise(F.lit(UNKNOWN))
@@ -218,19 +228,19 @@ def oracle_sql() -> str:
 
     return rf"""
 WITH weights(gram, v) AS (VALUES {weights}), notices(template, class, own) AS (VALUES {notices}), stop AS (SELECT [{stop}] AS stop),
-split AS (SELECT doc_id, list_filter(list_zip(range(len(string_split(text, chr(10)))), string_split(text, chr(10))), lambda x: trim(x[2], ' ') <> '') AS l FROM documents),
-lines AS (SELECT doc_id, unnest(range(len(l))) AS place, unnest(list_transform(l, lambda x: x[1])) AS line, unnest(list_transform(l, lambda x: x[2])) AS text FROM split),
-w AS (SELECT doc_id, place, line, list_filter(regexp_split_to_array(translate(text, '{UPPER}', '{LOWER}'), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM lines),
-a AS (SELECT doc_id, place, line, list_distinct(list_concat(list_filter(w, lambda x: NOT list_contains(stop, x)),
+split AS (SELECT doc_id, regexp_split_to_array(text, '{BREAK}') AS l FROM documents),
+lines AS (SELECT doc_id, unnest(range(len(l))) AS place, unnest(l) AS text FROM split),
+w AS (SELECT doc_id, place, list_filter(regexp_split_to_array(translate(text, '{UPPER}', '{LOWER}'), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM lines),
+a AS (SELECT doc_id, place, list_distinct(list_concat(list_filter(w, lambda x: NOT list_contains(stop, x)),
   list_transform(list_filter(range(1, len(w)), lambda i: NOT (list_contains(stop, w[i]) AND list_contains(stop, w[i + 1]))), lambda i: w[i] || ' ' || w[i + 1]))) AS grams FROM w, stop),
-e AS (SELECT doc_id, place, line, len(grams) AS n_own, unnest(grams) AS gram FROM a),
-s AS (SELECT doc_id, place, line, any_value(n_own) AS n_own, list(struct_pack(gram := gram, v := v)) AS met FROM e JOIN weights USING (gram) GROUP BY ALL),
+e AS (SELECT doc_id, place, len(grams) AS n_own, unnest(grams) AS gram FROM a),
+s AS (SELECT doc_id, place, any_value(n_own) AS n_own, list(struct_pack(gram := gram, v := v)) AS met FROM e JOIN weights USING (gram) GROUP BY ALL),
 {judged("s", "judged_line", "doc_id, place")},
-l AS (SELECT doc_id, place, line, met, n_own, CASE WHEN probability >= {CONFIDENT} AND best.contained >= {CONTAINED} THEN class END AS sure FROM judged_line WHERE p_none < 0.5),
+l AS (SELECT doc_id, place, met, n_own, CASE WHEN probability >= {CONFIDENT} AND best.contained >= {CONTAINED} THEN class END AS sure FROM judged_line WHERE p_none < 0.5),
 r AS (SELECT *, sum(gap) OVER (PARTITION BY doc_id ORDER BY place) AS run FROM (SELECT *, coalesce(place - lag(place) OVER (PARTITION BY doc_id ORDER BY place) > 1, false)::INTEGER AS gap FROM l)),
 o AS (SELECT *, coalesce(sure <> last_value(sure IGNORE NULLS) OVER (PARTITION BY doc_id, run ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)::INTEGER AS other FROM r),
 p AS (SELECT *, sum(other) OVER (PARTITION BY doc_id, run ORDER BY place) AS part FROM o),
-b AS (SELECT doc_id, run, part, min(line) AS paragraph, count(*) AS lines, sum(n_own) AS n_own, list_distinct(flatten(list(met))) AS met FROM p GROUP BY doc_id, run, part),
+b AS (SELECT doc_id, run, part, min(place) AS paragraph, count(*) AS lines, sum(n_own) AS n_own, list_distinct(flatten(list(met))) AS met FROM p GROUP BY doc_id, run, part),
 {judged("b", "judged_block", "doc_id, run, part")}
 SELECT doc_id, paragraph::INTEGER AS paragraph, lines::INTEGER AS lines, CASE WHEN confirmed THEN [{names}][class + 1] ELSE '{UNKNOWN}' END AS family, [{names}][class + 1] AS predicted,
   round(probability, 5) AS probability, (-best.template)::INTEGER AS template, round(best.contained, 5) AS contained, confirmed FROM judged_block WHERE class <> {k - 1}

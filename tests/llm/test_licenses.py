@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 
@@ -20,15 +21,14 @@ def judge(met, n_own, m):
 def brute(rows, m):
     out, weights = [], dict(m.weights)
     for i, t in dict.fromkeys(rows):
-        lines = [(k, line) for k, line in enumerate((t or "").split("\n")) if line.strip(" ")]
         like = []
-        for place, (k, line) in enumerate(lines):
+        for place, line in enumerate(re.split(r"\n(?: *\n)*", t or "")):
             grams = licenses.grams_of(line)
             met = {g for g in grams if g in weights}
             if met:
                 c, p, none, near, _ = judge(met, len(grams), m)
                 if none < 0.5:
-                    like.append((place, k, met, len(grams), c if p >= licenses.CONFIDENT and near is not None and near[0] >= licenses.CONTAINED else None))
+                    like.append((place, place, met, len(grams), c if p >= licenses.CONFIDENT and near is not None and near[0] >= licenses.CONTAINED else None))
         parts, last = [], None
         for place, k, met, n, sure in like:
             if not parts or place != last + 1:
