@@ -3,6 +3,9 @@
 All frames hold BLOCK samples. Frames of a whole Arrow batch are coded in lock step: one numpy operation
 handles the i-th sample of every frame. Frames are found by their sync code, CRC-8 and running number, and
 each must have the right CRC-16; each stream must have the MD5 that its STREAMINFO names.
+
+The decoder reads streams of this shape: 8-bit mono, blocks of 192 samples, constant, verbatim, fixed or linear
+subframes without wasted bits, one partition of Rice codes with 4-bit parameters. Anything else is a FlacError.
 """
 
 from __future__ import annotations
@@ -57,20 +60,29 @@ def crc(buf: np.ndarray, start: np.ndarray, length: np.ndarray, bits: int) -> np
     return out
 
 
+#: From which number on the code of a frame number takes a byte more, and the first byte's mark.
+NUMBER_STEPS, NUMBER_LEADS = (0x80, 0x800, 0x10000, 0x200000, 0x4000000), (0x00, 0xC0, 0xE0, 0xF0, 0xF8, 0xFC)
+
+
 def _number_bytes(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Frame numbers in FLAC's UTF-8 like code: (frames, 4) bytes and their count; up to 2**21 frames."""
-    if len(n) and n.max() >= 1 << 21:
-        raise FlacError("a stream of more than 2**21 frames")
-    size = 1 + (n >= 0x80) + (n >= 0x800) + (n >= 0x10000)
-    out = np.zeros((len(n), 4), np.uint8)
-    for k in (1, 2, 3, 4):
+    """Frame numbers in FLAC's UTF-8 like code: (frames, 6) bytes and their count; 31 bits, as the format has it."""
+    if len(n) and n.max() >= 1 << 31:
+        raise FlacError("a stream of more than 2**31 frames")
+    size = 1 + sum((n >= step).astype(np.int64) for step in NUMBER_STEPS)
+    out = np.zeros((len(n), 6), np.uint8)
+    for k in range(1, 7):
         m = size == k
         for j in range(k):
             v = n[m] >> (6 * (k - 1 - j))
-            out[m, j] = v if k == 1 else (v | (0, 0, 0xC0, 0xE0, 0xF0)[k] if j == 0 else (v & 0x3F) | 0x80)
+            out[m, j] = v | NUMBER_LEADS[k - 1] if j == 0 else (v & 0x3F) | 0x80
     return out, size
 
 
+def _number_size(lead: np.ndarray) -> np.ndarray:
+    """Bytes of the code that begins with this byte."""
+    return 1 + sum((lead >= mark).astype(np.int64) for mark in NUMBER_LEADS[1:])
+
+
 def _residuals(x: np.ndarray, coefs: np.ndarray, shift: int) -> np.ndarray:
     """x: (frames, BLOCK); coefs: (frames, order); the residual of the samples after the warm-up."""
     order = coefs.shape[1]
@@ -166,7 +178,7 @@ def encode_frames(x: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.nda
             _put(bits, stop[m].ravel() + 1, u[m].ravel(), int(width))
     out = np.packbits(bits)
     at = start[:-1]
-    for j in range(4):
+    for j in range(num.shape[1]):
         out[at + j] = HEAD[j]
         m = num_size > j
         out[at[m] + 4 + j] = num[m, j]
@@ -232,9 +244,9 @@ def _frame_starts(data: np.ndarray, begin: np.ndarray, end: np.ndarray, frames:
     ok = (of >= 0) & (at < end[np.maximum(of, 0)]) & (at + 10 < len(data))
     at, of = at[ok], of[ok]
     lead = data[at + 4].astype(np.int64)
-    size = 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
-    value = np.where(size == 1, lead, lead & (0xFF >> (size + 1)))
-    for j in (1, 2, 3):
+    size = _number_size(lead)
+    value = np.where(size == 1, lead, lead & (0xFF >> (size + 1))).astype(np.int64)
+    for j in range(1, 6):
         value = np.where(size > j, (value << 6) | (data[at + 4 + j] & 0x3F), value)
     ok = crc(data, at, 4 + size, 8) == data[at + 4 + size]
     at, of, value = at[ok], of[ok], value[ok]
@@ -280,7 +292,7 @@ def decode(streams: list[bytes]) -> list[bytes]:
 def decode_frames(data: np.ndarray, start: np.ndarray) -> np.ndarray:
     """The samples of the frames that begin at `start` (16 bytes must follow the last); (frames, BLOCK)."""
     lead = data[start + 4]
-    header = 6 + (lead >= 0xC0).astype(np.int64) + (lead >= 0xE0) + (lead >= 0xF0)
+    header = 5 + _number_size(lead)
     kinds = data[start + header - 0] >> 1
     first = (start + header + 1) * 8
     wide = np.zeros(len(data) - 8, U64)
@@ -416,7 +428,7 @@ def pcm_blocks(media: DataFrame, samples: int = BLOCK * SEEK_EVERY) -> DataFrame
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """What op2 reports, from the stored streams alone."""
+    """What op2 reports, from the stored streams alone; a row for each row, equal streams equal values."""
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         stored = b.column("media").to_pylist()
@@ -433,4 +445,5 @@ def digests(media: DataFrame) -> DataFrame:
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of documents as a FLAC stream, and what the stored streams give back; see encode_texts."""
     return digests(encode_texts(table(spark, sf_dir, "documents")))

@@ -30,3 +30,18 @@ def test_no_labels_and_no_rows(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in quality.score_quality(odd_docs, quality.fit_quality(odd_docs, none)).collect()} == {0.5}
     assert quality.score_quality(no_docs, quality.fit_quality(no_docs, none)).count() == 0
+
+
+def test_held_out_labels_of_the_driver(spark):
+    """Labels of the fold that is not learned from: area under the curve, accuracy against the base rate, calibration."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    scored = quality.op6_quality_classifier(spark, sf).where("held_out").join(labels, "doc_id").select("score", "predicted", "quality").collect()
+    good, bad = [r.score for r in scored if r.quality == 1], [r.score for r in scored if r.quality == 0]
+    assert len(good) > 20 and len(bad) > 5
+    area = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
+    right = sum(r.predicted == r.quality for r in scored) / len(scored)
+    base = max(len(good), len(bad)) / len(scored)
+    assert area > 0.95 and right > max(0.9, base)
+    assert abs(sum(r.score for r in scored) / len(scored) - len(good) / len(scored)) < 0.1
+    assert quality.score_quality(docs, quality.fit_quality(docs, labels)).count() == docs.count()

@@ -39,3 +39,38 @@ def test_pipeline_stages(spark, sf_dir):
     assert {r.doc_id for r in clean.collect()} == groups - found
     back = {r.doc_id: r.text for r in pieces.decode_texts(encoded).collect()}
     assert back == {r.doc_id: r.text for r in clean.collect()}
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, spans int, score double, h long, component_id long, prefix string, place int, kind int"
+
+
+def odd_rows():
+    base = " ".join(f"Word{k % 37} of the {k % 11} and more." for k in range(60))
+    tail = (1, 0.5, 2, 3, "p", 4, 5)
+    rows = [(1, base, "en", "a", len(base), *tail), (2, base, None, None, None, *[None] * 7), (2, base, None, None, None, *[None] * 7), (None, base, "en", "a", 3, *tail)]
+    rows += [(3, None, None, None, None, *tail), (4, "", "en", "a", 0, *tail), (5, " \t\n", "en", "a", 3, *tail), (6, "one", "en", None, 3, *tail), (7, base * 40, "de", "b", None, *tail), (None, None, None, None, None, *[None] * 7)]
+    return rows
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_stages_on_odd_rows(spark, sf_dir, number):
+    """Nulls in every column, empty and long texts, repeated rows, ties, columns that are called like ours; no rows."""
+    name, stage = corpus_pipeline.STAGES[number]
+    docs = spark.createDataFrame(odd_rows(), ODD)
+    out = stage(spark, docs, sf_dir)
+    rows = out.collect()
+    if number < 4:
+        assert out.columns == docs.columns
+        assert all(r.spans in (1, None) and r.prefix in ("p", None) for r in rows)
+    ids = sorted(r.doc_id or 0 for r in rows)
+    match name:
+        case "quality_classifier":
+            assert set(ids) <= {0, 1, 2, 3, 4, 5, 6, 7}
+        case "ngram_jaccard_join":  # 2 is a copy of 1, 7 says nothing else; rows without an id stay
+            assert ids == [0, 0, 1, 3, 4, 5, 6]
+        case _:
+            assert ids == [0, 0, 1, 2, 2, 3, 4, 5, 6, 7]
+    if name == "substring_dedup":
+        assert {r.text for r in rows if r.doc_id == 2} == {""} and [r.text for r in rows if r.doc_id == 1] == [odd_rows()[0][1]]
+    none = stage(spark, docs.limit(0), sf_dir)
+    assert none.columns == out.columns and none.count() == 0
