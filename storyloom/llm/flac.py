@@ -178,8 +178,9 @@ def encode_frames(x: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.nda
             _put(bits, stop[m].ravel() + 1, u[m].ravel(), int(width))
     out = np.packbits(bits)
     at = start[:-1]
-    for j in range(num.shape[1]):
+    for j in range(4):
         out[at + j] = HEAD[j]
+    for j in range(num.shape[1]):
         m = num_size > j
         out[at[m] + 4 + j] = num[m, j]
     out[at + head_size - 1] = crc(out, at, head_size - 1, 8)
