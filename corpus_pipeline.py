@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from storyloom.llm import decontaminate, jaccard, pieces, quality, substrings
-from storyloom.llm.common import shared_dir, table
+from storyloom.llm.common import discard, saved, scratch, table
 
 #: None: the scores of the trained network cannot be put in SQL; tests/llm/test_queries.py holds every stage against its operator.
 ORACLE_SQL = None
@@ -48,12 +46,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to `documents`, with a table in the shared folder between one and the next."""
-    docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs.write.parquet(f"{folder}/{k}-{name}")
-            docs = spark.read.parquet(f"{folder}/{k}-{name}")
-    return docs
+    """Apply the stages to `documents`, with a table in the shared folder between one and the next. What a stage saved
+    on its way goes when its table is written, and a stage's table when the next one's is; the last is returned."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        with scratch(spark):
+            written = saved(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        docs = before = written
+    return STAGES[-1][1](spark, docs, sf_dir)

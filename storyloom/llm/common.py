@@ -43,12 +43,13 @@ def shared_dir(spark: SparkSession) -> str:
 _scratch: list[list[str]] = []
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Write to a fresh table in the shared folder and read it again: cheaper than checkpoint() for wide rows."""
+def saved(df: DataFrame, keep_as: str | None = None) -> DataFrame:
+    """Write to a fresh table in the shared folder and read it again: cheaper than checkpoint() for wide rows. A table
+    with a name in keep_as outlives scratch()."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/storyloom-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/storyloom-{keep_as or 'table'}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _scratch:
+    if _scratch and not keep_as:
         _scratch[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
@@ -57,7 +58,7 @@ def saved(df: DataFrame) -> DataFrame:
 
 def _remove(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)  # one that has gone already is no error
 
 
 def discard(*tables: DataFrame) -> None:

@@ -74,3 +74,19 @@ def test_stages_on_odd_rows(spark, sf_dir, number):
         assert {r.text for r in rows if r.doc_id == 2} == {""} and [r.text for r in rows if r.doc_id == 1] == [odd_rows()[0][1]]
     none = stage(spark, docs.limit(0), sf_dir)
     assert none.columns == out.columns and none.count() == 0
+
+
+def test_the_whole_pipeline_leaves_one_table(spark, sf_dir):
+    """run() gives what the stages give one after the other, and of all tables on its way the last one stays."""
+    import glob
+
+    from storyloom.llm.common import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    there = set(glob.glob(f"{folder}/storyloom-*"))
+    got = {(r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    assert [p.split("storyloom-")[-1].rsplit("-", 1)[0] for p in set(glob.glob(f"{folder}/storyloom-*")) - there] == ["benchmark_decontamination"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+    assert got == {(r.doc_id, tuple(r.ids)) for r in docs.collect()}
