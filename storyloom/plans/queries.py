@@ -473,14 +473,19 @@ def _(spark, d):
     return out.select("work_id", "motif_id", "evidence_start", "evidence_end", F.round("confidence", 6).alias("confidence"))
 
 
-@query("judge_prompts")
+PROMPT_SQL = HITS_SQL + r""", q AS (SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS t FROM documents), cut AS (SELECT doc_id, CASE WHEN length(t) > 480 THEN substr(t, 1, 479) || '…' ELSE t END AS t FROM q),
+defs AS (SELECT doc_id, string_agg('- ' || motif_id || ' | ' || name || ' | PRIOR=0.55 | ' || summary, chr(10) ORDER BY '- ' || motif_id || ' | ' || name) AS x FROM (SELECT DISTINCT doc_id, motif_id FROM hits) JOIN motifs USING (motif_id) GROUP BY doc_id)"""
+
+
+@query("judge_prompts", f"WITH {PROMPT_SQL} SELECT d.doc_id AS scene_id, sha256(concat_ws(chr(10) || chr(10), 'SCENE', substr(d.text, 1, 2400), 'SUPPORT', '[1] ' || a.t || coalesce(chr(10) || '[2] ' || b.t, ''), 'MOTIFS', defs.x)) AS prompt_sha FROM defs JOIN documents d USING (doc_id) JOIN cut a USING (doc_id) LEFT JOIN cut b ON b.doc_id = d.doc_id - 1")
 def _(spark, d):
     """Documents as scenes, the motifs that are named in them as candidates, and each scene and the one before it as support."""
     c = _hits(spark, d).select(F.col("chunk_id").alias("scene_id"), F.col("motif_id").cast("string").alias("motif_id")).distinct()
     texts = documents(spark, d).select(F.col("doc_id").alias("scene_id"), "text")
     defs = motifs(spark, d).select(F.col("motif_id").cast("string"), "name", "summary")
     supports = texts.select("scene_id", F.lit(1).alias("rank"), "text").unionByName(texts.select((F.col("scene_id") + 1).alias("scene_id"), F.lit(2).alias("rank"), "text"))
-    return judge.prompts(c, texts, defs, supports, c.withColumn("weight", F.lit(0.55)))
+    prompts = judge.prompts(c, texts, defs, supports, c.withColumn("weight", F.lit(0.55)))
+    return prompts.select("scene_id", F.sha2(F.col("prompt").cast("binary"), 256).alias("prompt_sha"))
 
 
 @query("catalog_shortlist", f"SELECT scene_id, motif_id, similarity, rank::INTEGER AS rank FROM (SELECT i.vec_id AS scene_id, q.vec_id AS motif_id, {COS} AS similarity, row_number() OVER (PARTITION BY i.vec_id ORDER BY {COS} DESC, q.vec_id) AS rank FROM embeddings q, embeddings i WHERE q.vec_id % 100 = 0) WHERE rank <= 12")
@@ -567,7 +572,13 @@ def _(spark, d):
     return documents(spark, d).select("doc_id", s["start"].alias("s_start"), s["end"].alias("s_end"))
 
 
-@query("candidate_windows")
+WINDOWS_SQL = SENT_LIST_SQL + """, c AS (SELECT doc_id, length(text) AS n, coalesce(min(i) FILTER (NOT (y <= 50 OR x >= 90)), 0) AS idx, max(i) AS most FROM sents GROUP BY doc_id, text),
+k AS (SELECT *, greatest(0, least(most, idx + unnest(range(-2, 3)))) AS other FROM c),
+ab AS (SELECT k.doc_id, k.n, least(h.x, o.x) AS a, greatest(h.y, o.y) AS b FROM k JOIN sents h ON h.doc_id = k.doc_id AND h.i = k.idx JOIN sents o ON o.doc_id = k.doc_id AND o.i = k.other UNION ALL SELECT doc_id, n, 50, 90 FROM c),
+z AS (SELECT *, greatest(0, least(70 - 140, n - 280)) AS start FROM ab)"""
+
+
+@query("candidate_windows", f"WITH {WINDOWS_SQL} SELECT DISTINCT doc_id, (CASE WHEN b - a > 280 THEN start ELSE a END)::INTEGER AS s_start, (CASE WHEN b - a > 280 THEN least(n, start + 280) ELSE b END)::INTEGER AS s_end FROM z")
 def _(spark, d):
     w = spans.candidate_windows(segment.sentences(F.col("text")), F.lit(50), F.lit(90), F.length("text"))
     rows = documents(spark, d).select("doc_id", F.explode(w).alias("w"))
@@ -824,13 +835,31 @@ def _(spark, d):
     return analytics.legend(_shown(spark, d)).drop("colour")
 
 
-@query("highlighted_html")
+def _html(x: str) -> str:
+    for code, name in ((38, "&amp;"), (60, "&lt;"), (62, "&gt;"), (34, "&quot;"), (39, "&#x27;")):
+        x = f"replace({x}, chr({code}), '{name}')"
+    return x
+
+
+HTML_SQL = GREEDY_SQL + f""", k AS (SELECT g.scene_id, o.s, o.e, o.motif_id, lag(o.e, 1, 0) OVER (PARTITION BY g.scene_id ORDER BY o.s, o.e) AS before FROM g JOIN o ON o.scene_id = g.scene_id AND o.n = g.n WHERE kept),
+m AS (SELECT d.doc_id, k.s, k.e, {_html("substr(text, least(before, length(text)) + 1, greatest(0, least(k.s, length(text)) - least(before, length(text))))")} || '<mark data-motif="' || motif_id || '">' || {_html("substr(text, least(k.s, length(text)) + 1, greatest(0, least(k.e, length(text)) - least(k.s, length(text))))")} || '</mark>' AS piece FROM documents d JOIN k ON d.doc_id = k.scene_id),
+j AS (SELECT doc_id, string_agg(piece, '' ORDER BY s, e) AS marked, max(e) AS last FROM m GROUP BY doc_id)"""
+
+
+@query("highlighted_html", f"WITH RECURSIVE {HTML_SQL} SELECT d.doc_id AS scene_id, sha256(coalesce(marked, '') || {_html("substr(text, least(coalesce(last, 0), length(text)) + 1)")}) AS html_sha FROM documents d LEFT JOIN j USING (doc_id)")
 def _(spark, d):
     texts = documents(spark, d).select(F.col("doc_id").alias("scene_id"), "text")
-    return analytics.highlighted(texts, _shown(spark, d), "scene_id")
+    pages = analytics.highlighted(texts, _shown(spark, d), "scene_id")
+    return pages.select("scene_id", F.sha2(F.col("html").cast("binary"), 256).alias("html_sha"))
+
+
+REPORT_SQL = FINDINGS_SQL + ", " + HITS_BY_SCENE + """, su AS (SELECT scene_id, string_agg(rank || '. ' || chunk_id, chr(10) ORDER BY rank) AS x FROM h WHERE rank <= 3 GROUP BY scene_id),
+y AS (SELECT scene_id, string_agg(motif_id || ' lex=1 sem=0.50 weight=1.00', chr(10) ORDER BY motif_id) AS x FROM (SELECT DISTINCT scene_id, motif_id FROM findings) GROUP BY scene_id),
+l AS (SELECT scene_id, confidence, s, '- ' || CASE WHEN confidence >= 0.5 THEN '**' || motif_id || '**' ELSE motif_id END || ' ' || round(confidence::DECIMAL(18, 9), 2)::DECIMAL(9, 2) || ' said' AS line FROM findings),
+f AS (SELECT scene_id, string_agg(line, chr(10) ORDER BY confidence DESC, s, line) AS x FROM l GROUP BY scene_id)"""
 
 
-@query("support_reports")
+@query("support_reports", f"WITH {REPORT_SQL} SELECT f.scene_id, concat_ws(chr(10), 'Support', su.x, 'Sanity', y.x, 'Findings', f.x) AS report FROM f JOIN su USING (scene_id) JOIN y USING (scene_id)")
 def _(spark, d):
     f = findings(spark, d).withColumn("rationale", F.lit("said"))
     s = _scene_hits(spark, d, 3).select("scene_id", "rank", F.col("chunk_id").cast("string").alias("text"))
