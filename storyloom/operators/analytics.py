@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions.numbers import clamped, clipped, greedy_spans
@@ -58,11 +58,18 @@ def strongest(edges: DataFrame, nodes: DataFrame, top: int = 20, least: int = 1)
     return rows.crossJoin(F.broadcast(ends)).select("src", "dst", "weight", alpha.alias("alpha"))  # one row
 
 
-def graphml_lines(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """part (0 node, 1 edge), key, line."""
-    n = nodes.select(F.lit(0).alias("part"), F.col("motif_id").alias("key"), F.concat(F.lit('<node id="'), escaped_xml(F.col("motif_id")), F.lit('"><data key="count">'), F.col("scenes").cast("string"), F.lit("</data></node>")).alias("line"))
-    e = edges.select(F.lit(1).alias("part"), F.concat_ws("|", "src", "dst").alias("key"), F.concat(F.lit('<edge source="'), escaped_xml(F.col("src")), F.lit('" target="'), escaped_xml(F.col("dst")), F.lit('"><data key="weight">'), F.col("weight").cast("string"), F.lit("</data></edge>")).alias("line"))
-    return n.unionByName(e)
+def graphml_lines(edges: DataFrame, nodes: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """part (0 node, 1 edge), number (their order: by count or weight, then ids), line. Nodes have a label (the name of
+    names, motif_id and name, or the id) and a count, edges an id and a weight. The catalog bounds the graph."""
+    named = nodes.join(names.select("motif_id", "name"), "motif_id", "left") if names is not None else nodes.withColumn("name", F.lit(None).cast("string"))
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    label = escaped_xml(F.coalesce("name", F.col("motif_id")))
+    node = text('<node id="', escaped_xml(F.col("motif_id")), '"><data key="d0">', label, '</data><data key="d1">', F.col("scenes").cast("string"), "</data></node>")
+    n = named.select(F.lit(0).alias("part"), (F.row_number().over(Window.orderBy(F.desc("scenes"), "motif_id")) - 1).alias("number"), node.alias("line"))
+    number = F.row_number().over(Window.orderBy(F.desc("weight"), "src", "dst")) - 1
+    e = edges.select(F.lit(1).alias("part"), number.alias("number"), "src", "dst", "weight")
+    edge = text('<edge id="e', F.col("number").cast("string"), '" source="', escaped_xml(F.col("src")), '" target="', escaped_xml(F.col("dst")), '"><data key="d2">', F.col("weight").cast("string"), "</data></edge>")
+    return n.unionByName(e.select("part", "number", edge.alias("line")))
 
 
 def markdown_cell(c: Column) -> Column:
@@ -135,3 +142,69 @@ def finding_rows(findings: DataFrame, scenes: DataFrame, chapters: DataFrame, wo
         F.col("finding_id").alias("id"), "work_id", "scene_idx", "chapter_idx", "trope", empty("level").alias("level"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
         "created_at", empty("model").alias("model"), "evidence_start", "evidence_end", cut(F.col("evidence_start"), F.col("evidence_end")).alias("excerpt"), sentence.alias("evidence_sentence"), empty("rationale").alias("rationale"),
     )
+
+
+def tooltip(name: Column, group: Column, confidence: Column, rationale: Column) -> Column:
+    """Name, group, confidence and the beginning of the rationale, as far as there are any."""
+    said = F.replace(F.substring(rationale, 1, 240), F.lit("\n"), F.lit(" "))
+    return F.concat_ws(" | ", name, F.concat(F.lit("["), group, F.lit("]")), F.format_string("conf=%.2f", F.coalesce(confidence, F.lit(0.0))), F.nullif(said, F.lit("")))
+
+
+def _stitched(text: Column, spans: Column, opened) -> Column:
+    """The escaped text with a mark around each span (array<struct<start, end, ...>> in order, none overlapping);
+    opened(span) is the mark's opening tag."""
+    n = F.length(text)
+    cut = lambda a, b: escaped_html(text.substr(F.least(a, n) + 1, F.greatest(F.lit(0), F.least(b, n) - F.least(a, n))))
+    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"])
+    marked = F.transform(spans, lambda x, i: F.concat(cut(before(i), x["start"]), opened(x), cut(x["start"], x["end"]), F.lit("</mark>")))
+    return F.concat(F.array_join(marked, ""), cut(F.coalesce(F.get(spans, F.size(spans) - 1)["end"], F.lit(0)), n))
+
+
+def report_pages(works: DataFrame, findings: DataFrame) -> DataFrame:
+    """work_id, title, legend, html: one page a work, the text with a mark for each finding that starts at or after the end
+    of the one before, and a legend of the motifs shown, the most frequent first, then by name.
+
+    works: work_id, title, text; findings: work_id, finding_id, start, end, name, group_name, url, confidence,
+    rationale (group, url and rationale may be null). Colours go by the group where there is one. Spans are cut to the
+    text; empty ones and those beyond it are left out. A work without findings has its text and says so."""
+    rows = findings.join(works.select("work_id", F.length("text").alias("_n")), "work_id")
+    inside = lambda c: F.greatest(F.lit(0), F.least(F.col(c), F.col("_n"))).cast("int")
+    rows = rows.where((F.col("end") > F.col("start")) & (F.col("start") < F.col("_n")))
+    tip = tooltip(F.col("name"), F.col("group_name"), F.col("confidence"), F.col("rationale"))
+    key = F.coalesce("group_name", "name")
+    span = F.struct(inside("start").alias("start"), inside("end").alias("end"), "name", F.col("finding_id"), tip.alias("tip"), pastel(key).alias("colour"), pastel(key, "0.55").alias("swatch"), "group_name", "url")
+    kept = rows.groupBy("work_id").agg(greedy_spans(F.collect_list(span)).alias("s"))
+    shown = kept.select("work_id", F.explode("s").alias("s")).groupBy("work_id", F.col("s.name").alias("name"))
+    shown = shown.agg(F.count("*").alias("n"), F.first("s.swatch").alias("swatch"), F.first("s.group_name").alias("group"), F.first("s.url").alias("url"))
+    link = F.when(F.col("url") != "", F.concat(F.lit('<a href="'), escaped_html(F.col("url")), F.lit('" target="_blank" rel="noopener noreferrer">'), escaped_html(F.col("name")), F.lit("</a>"))).otherwise(escaped_html(F.col("name")))
+    group = F.coalesce(F.concat(F.lit(" <small>["), escaped_html(F.col("group")), F.lit("]</small>")), F.lit(""))
+    item = F.concat(F.lit('<li><span style="background:'), F.col("swatch"), F.lit('"></span>'), F.coalesce(link, escaped_html(F.col("name"))), group, F.lit(" <small>×"), F.col("n").cast("string"), F.lit("</small></li>"))
+    legends = shown.groupBy("work_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), F.lower("name").alias("l"), item.alias("item")))).alias("i"))
+    legends = legends.select("work_id", F.concat(F.lit("<ul>"), F.array_join("i.item", ""), F.lit("</ul>")).alias("legend"))
+    out = works.select("work_id", "title", "text").join(kept, "work_id", "left").join(legends, "work_id", "left")
+    opened = lambda x: F.concat(F.lit('<mark title="'), escaped_html(x["tip"]), F.lit('" style="background:'), x["colour"], F.lit('">'))
+    html = F.when(F.size("s") > 0, _stitched(F.col("text"), F.col("s"), opened)).otherwise(escaped_html(F.col("text")))
+    return out.select("work_id", "title", F.coalesce("legend", F.lit("<ul><li><small>No findings</small></li></ul>")).alias("legend"), F.coalesce(html, F.lit("")).alias("html"))
+
+
+def highlight_pages(works: DataFrame, scenes: DataFrame, findings: DataFrame) -> DataFrame:
+    """work_id, title, jumps, html: a list of all findings that leads to their marks, and the scenes with the marks.
+
+    works: work_id, title; scenes: work_id, scene_id, idx, char_start, char_end, text; findings: work_id, scene_id,
+    finding_id, start, end (in the work), name. Marks carry the finding's id; a finding whose span starts inside the
+    one before it in its scene is in the list but has no mark of its own."""
+    listed = findings.join(scenes.select("scene_id", "idx"), "scene_id", "left")
+    place = F.format_string(" <small>(scene %s, %d–%d)</small></li>", F.coalesce(F.col("idx").cast("string"), F.lit("?")), "start", "end")
+    jump = F.concat(F.lit('<li><a href="#" data-jump="'), escaped_html(F.col("finding_id").cast("string")), F.lit('">'), escaped_html(F.col("name")), F.lit("</a>"), place)
+    jumps = listed.groupBy("work_id").agg(F.sort_array(F.collect_list(F.struct("scene_id", "start", "end", jump.alias("j")))).alias("x")).select("work_id", F.concat(F.lit("<ol>"), F.array_join("x.j", ""), F.lit("</ol>")).alias("jumps"))
+    inner = findings.join(scenes.select("scene_id", "char_start"), "scene_id")
+    relative = lambda c: F.greatest(F.lit(0), F.col(c) - F.col("char_start")).cast("int")
+    span = F.struct(relative("start").alias("start"), relative("end").alias("end"), F.col("finding_id").cast("string").alias("id"), "name")
+    kept = inner.where(relative("end") > relative("start")).groupBy("scene_id").agg(greedy_spans(F.collect_list(span)).alias("s"))
+    opened = lambda x: F.concat(F.lit('<mark data-span-id="'), escaped_html(x["id"]), F.lit('" title="'), escaped_html(x["name"]), F.lit('">'))
+    rows = scenes.join(kept, "scene_id", "left")
+    body = F.when(F.size("s") > 0, _stitched(F.col("text"), F.col("s"), opened)).otherwise(escaped_html(F.col("text")))
+    scene = F.concat(F.format_string("<h3>Scene %d <small>[%d–%d]</small></h3><pre>", "idx", "char_start", "char_end"), body, F.lit("</pre>"))
+    pages = rows.groupBy("work_id").agg(F.sort_array(F.collect_list(F.struct("char_start", "idx", scene.alias("h")))).alias("x")).select("work_id", F.array_join("x.h", "").alias("html"))
+    out = works.select("work_id", "title").join(jumps, "work_id", "left").join(pages, "work_id", "left")
+    return out.select("work_id", "title", F.coalesce("jumps", F.lit("<ol></ol>")).alias("jumps"), F.coalesce("html", F.lit("")).alias("html"))

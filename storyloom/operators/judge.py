@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from storyloom.config import JudgeConfig, params
 from storyloom.functions import numbers as N
-from storyloom.functions.text import mentioned, truncated
+from storyloom.functions.text import extract_json, mentioned, truncated
 
 from .tables import insert_or_replace
 
@@ -98,6 +98,31 @@ def prompts(candidates: DataFrame, scene_texts: DataFrame, definitions: DataFram
     return out.select("scene_id", F.concat_ws("\n\n", F.lit("SCENE"), F.substring("text", 1, config.scene_prompt), F.lit("SUPPORT"), F.coalesce("quotes", F.lit("")), F.lit("MOTIFS"), "defs").alias("prompt"))
 
 
+def rerank_items(hits: DataFrame, chunks: DataFrame, config: JudgeConfig = JudgeConfig()) -> DataFrame:
+    """scene_id, items: what a reranker sees of each scene's hits (scene_id, chunk_id, similarity, rank) in their order, as
+    JSON: id, knn (clamped, three places), len and a snippet."""
+    rows = hits.join(chunks.select("chunk_id", "text"), "chunk_id")
+    text = F.coalesce("text", F.lit(""))
+    item = F.struct(F.col("chunk_id").alias("id"), F.round(N.clamped(F.col("similarity")), 3).alias("knn"), F.length(text).alias("len"), truncated(F.trim(text), config.snippet).alias("snippet"))
+    listed = rows.groupBy("scene_id").agg(F.sort_array(F.collect_list(F.struct("rank", item.alias("item")))).alias("x"))
+    return listed.select("scene_id", F.to_json("x.item").alias("items"))
+
+
+def parsed_picks(answers: DataFrame) -> DataFrame:
+    """scene_id, support_ids, notes from a reranker's answers (scene_id, answer); what can't be read picks nothing."""
+    said = extract_json(F.col("answer"), "support_ids array<string>, notes string")
+    return answers.select("scene_id", said.alias("a")).select("scene_id", F.coalesce("a.support_ids", F.array().cast("array<string>")).alias("support_ids"), F.trim(F.coalesce("a.notes", F.lit(""))).alias("notes"))
+
+
+def parsed_findings(answers: DataFrame) -> DataFrame:
+    """Judged items (scene_id, motif_id, confidence, rationale, start, end) from a judge's answers (scene_id, answer): a
+    JSON array of objects, bare, fenced or somewhere in the text; what can't be read holds no item."""
+    said = extract_json(F.col("answer"), "array<struct<trope_id:string,confidence:double,evidence_char_span:array<int>,rationale:string>>")
+    rows = answers.select("scene_id", F.explode(said).alias("x")).where("x.trope_id is not null")
+    at = lambda k: F.get("x.evidence_char_span", F.lit(k))
+    return rows.select("scene_id", F.col("x.trope_id").alias("motif_id"), F.coalesce("x.confidence", F.lit(0.0)).alias("confidence"), F.col("x.rationale").alias("rationale"), at(0).alias("start"), at(1).alias("end"))
+
+
 def run_stamp(spark, run_id: str, *configs) -> DataFrame:
     """The one row that records a run's knobs."""
     said = json.dumps(params(*configs), sort_keys=True).replace("\\", "\\\\").replace("'", "\\'")

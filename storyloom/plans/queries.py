@@ -807,10 +807,15 @@ def _(spark, d):
     return analytics.scene_motifs(findings(spark, d), 0.25, review.latest_decisions(log(spark, d)))
 
 
-@query("graphml", f"""WITH {EDGES_SQL} SELECT 0 AS part, motif_id AS key, '<node id="' || motif_id || '"><data key="count">' || count(*) || '</data></node>' AS line FROM sm GROUP BY motif_id UNION ALL SELECT 1, src || '|' || dst, '<edge source="' || src || '" target="' || dst || '"><data key="weight">' || weight || '</data></edge>' FROM edges""")
+GRAPHML_SQL = EDGES_SQL + """, n AS (SELECT motif_id, count(*) AS scenes FROM sm GROUP BY motif_id) SELECT 0 AS part, (row_number() OVER (ORDER BY scenes DESC, motif_id) - 1)::INTEGER AS number, '<node id="' || motif_id || '"><data key="d0">' || upper(motif_id) || '</data><data key="d1">' || scenes || '</data></node>' AS line FROM n
+UNION ALL SELECT 1, number::INTEGER, '<edge id="e' || number || '" source="' || src || '" target="' || dst || '"><data key="d2">' || weight || '</data></edge>' FROM (SELECT *, row_number() OVER (ORDER BY weight DESC, src, dst) - 1 AS number FROM edges)"""
+
+
+@query("graphml", f"WITH {GRAPHML_SQL}")
 def _(spark, d):
     p = _pairs(spark, d)
-    return analytics.graphml_lines(analytics.cooccurrence(p), analytics.node_counts(p))
+    names = p.select("motif_id").distinct().withColumn("name", F.upper("motif_id"))
+    return analytics.graphml_lines(analytics.cooccurrence(p), analytics.node_counts(p), names)
 
 
 @query("markdown_rows", r"""SELECT doc_id, '| ' || doc_id || ' | ' || replace(replace(replace(replace(replace(replace(CASE WHEN length(t) > 200 THEN substr(t, 1, 199) || '…' ELSE t END, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;'), '|', '\|') || ' |' AS line FROM (SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS t FROM documents)""")

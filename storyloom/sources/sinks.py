@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 from pathlib import Path
 
@@ -12,7 +13,7 @@ from storyloom.operators import analytics
 
 #: The columns of the export, in order.
 FINDING_COLUMNS = ["id", "work_id", "scene_idx", "chapter_idx", "trope", "level", "confidence", "created_at", "model", "evidence_start", "evidence_end", "excerpt", "evidence_sentence", "rationale"]
-GRAPHML_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="count" for="node" attr.name="count" attr.type="int"/><key id="weight" for="edge" attr.name="weight" attr.type="int"/><graph edgedefault="undirected">'
+GRAPHML_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="d0" for="node" attr.name="label" attr.type="string"/><key id="d1" for="node" attr.name="count" attr.type="int"/><key id="d2" for="edge" attr.name="weight" attr.type="int"/><graph id="G" edgedefault="undirected">'
 
 
 def write_table(df: DataFrame, path: str, partition: str | None = None) -> None:
@@ -38,9 +39,9 @@ def write_markdown(findings: DataFrame, columns: list[str], path: str, limit: in
     write_lines(head + [r.line for r in rows.select("line").toLocalIterator()], path)
 
 
-def write_graphml(edges: DataFrame, nodes: DataFrame, path: str) -> None:
+def write_graphml(edges: DataFrame, nodes: DataFrame, path: str, names: DataFrame | None = None) -> None:
     """The catalog bounds the graph; its lines stream through the driver."""
-    rows = analytics.graphml_lines(edges, nodes).orderBy("part", "key")
+    rows = analytics.graphml_lines(edges, nodes, names).orderBy("part", "number")
     write_lines([GRAPHML_HEAD, *(r.line for r in rows.toLocalIterator()), "</graph></graphml>"], path)
 
 
@@ -60,6 +61,19 @@ def write_calibration(swept: DataFrame, binned: DataFrame, best: DataFrame, path
     Path(path).write_text(json.dumps(out, indent=1), encoding="utf-8")
 
 
+def write_calibration_csv(swept: DataFrame, binned: DataFrame, meta: dict, path: str) -> None:
+    """Meta lines, the sweep and the bins in one file, with a blank line between them."""
+    names = ["threshold", "n", "tp", "fp", "tn", "fn", "precision", "recall", "f1", "accuracy", "pred_pos", "pred_neg", "pos_rate"]
+    rows = []
+    for r in swept.orderBy("i").collect():  # one row a threshold
+        n, hit = r.tp + r.fp + r.tn + r.fn, r.tp + r.fp
+        more = {"n": n, "pred_pos": hit, "pred_neg": n - hit, "pos_rate": r.positive_rate}
+        rows.append([more[c] if c in more else r[c] for c in names])
+    bins = [[round(r.low, 4), round(r.high, 4), r.n, round(r.mean_confidence, 6), round(r.accept_rate, 6)] for r in binned.orderBy("bin").collect()]
+    with Path(path).open("w", newline="", encoding="utf-8") as f:
+        csv.writer(f).writerows([["# meta"], *meta.items(), [], names, *rows, [], ["# reliability_bins"], ["bin_lo", "bin_hi", "count", "mean_conf", "emp_accept"], *bins])
+
+
 def write_thresholds(thresholds: DataFrame, path: str) -> None:
     """One row a motif, as CSV or as JSON by the name's ending (the catalog bounds them)."""
     rows = [r.asDict() for r in thresholds.orderBy("motif_id").collect()]

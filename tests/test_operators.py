@@ -210,7 +210,8 @@ def test_files_and_sinks(spark, tmp_path):
     sinks.write_graphml(e, n, str(tmp_path / "g.xml"))
     import xml.etree.ElementTree as ET
 
-    assert len(ET.parse(tmp_path / "g.xml").getroot()[2]) == 3
+    graph = ET.parse(tmp_path / "g.xml").getroot()[3]
+    assert len(graph) == 3 and [x.get("id") for x in graph] == ["a", "b&", "e0"] and [x.text for x in graph[0]] == ["a", "3"]
     f = spark.createDataFrame([(1, "a|b", 0.5)], "finding_id int, motif string, confidence double")
     sinks.write_markdown(f, ["finding_id", "motif"], str(tmp_path / "f.md"))
     assert (tmp_path / "f.md").read_text().splitlines()[2] == "| 1 | a\\|b |"
@@ -231,3 +232,45 @@ def test_streamed_ingest(spark, tmp_path):
         ingest_stream(spark, src, out, ck).awaitTermination()
     assert sorted(r.title for r in spark.read.parquet(f"{out}/chapter").collect()) == ["Chapter 1", "Chapter 2"]
     assert spark.read.parquet(f"{out}/chunk").count() == 2
+
+
+def test_reports(spark, tmp_path):
+    works = spark.createDataFrame([("w", "A & B", "see the <sword> there"), ("v", "Empty", "")], "work_id string, title string, text string")
+    found = [("w", 1, 8, 15, "Sword", "Things", "http://x", 0.5, "why\nso"), ("w", 2, 10, 20, "Late", None, None, 0.9, None), ("w", 3, 16, 99, "There", None, None, 0.25, ""), ("w", 4, 50, 60, "Beyond", None, None, 1.0, None), ("w", 5, 0, 3, "Sword", "Things", "http://x", 1.0, None)]
+    f = spark.createDataFrame(found, "work_id string, finding_id int, start int, end int, name string, group_name string, url string, confidence double, rationale string")
+    pages = {r.work_id: r for r in analytics.report_pages(works, f).collect()}
+    assert pages["v"].html == "" and "No findings" in pages["v"].legend
+    html = pages["w"].html
+    assert html.count("<mark") == 3 and '&lt;sword&gt;</mark>' in html and 'title="Sword | [Things] | conf=0.50 | why so"' in html and 'title="There | conf=0.25"' in html
+    assert html.endswith(">there</mark>") and "Late" not in html
+    legend = pages["w"].legend
+    assert legend.index("Sword") < legend.index("There") and "×2" in legend and '<a href="http://x"' in legend and "[Things]" in legend
+    scenes = spark.createDataFrame([("w", "s1", 0, 0, 10, "see the <s"), ("w", "s2", 1, 10, 21, "word> there")], "work_id string, scene_id string, idx int, char_start int, char_end int, text string")
+    g = f.withColumn("scene_id", F.when(F.col("finding_id") == 5, "s1").when(F.col("finding_id") == 4, "gone").otherwise("s2"))
+    page = {r.work_id: r for r in analytics.highlight_pages(works, scenes, g).collect()}["w"]
+    assert page.jumps.count("<li>") == 5 and 'data-jump="5"' in page.jumps and "(scene ?, 50–60)" in page.jumps
+    assert '<mark data-span-id="5" title="Sword">see</mark>' in page.html and page.html.index("Scene 0") < page.html.index("Scene 1")
+
+
+def test_answers_are_parsed(spark):
+    rows = [(1, '```json\n[{"trope_id": "m", "confidence": 0.7, "evidence_char_span": [3, 9], "rationale": "r"}, {"confidence": 1}]\n```'), (2, "nothing"), (3, 'So: [{"trope_id": "n"}] ok'), (4, None)]
+    got = judge.parsed_findings(spark.createDataFrame(rows, "scene_id int, answer string")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, "m", 0.7, "r", 3, 9), (3, "n", 0.0, None, None, None)]
+    rows = [(1, 'Sure {"support_ids": ["b", "a"], "notes": " near "}'), (2, "no")]
+    assert sorted(tuple(r) for r in judge.parsed_picks(spark.createDataFrame(rows, "scene_id int, answer string")).collect()) == [(1, ["b", "a"], "near"), (2, [], "")]
+    hits = spark.createDataFrame([(1, "a", 0.12345, 2), (1, "b", 1.5, 1)], "scene_id int, chunk_id string, similarity double, rank int")
+    chunks = spark.createDataFrame([("a", " x" * 400), ("b", None)], "chunk_id string, text string")
+    import json
+
+    items = json.loads(judge.rerank_items(hits, chunks).first()["items"])
+    assert [(x["id"], x["knn"], x["len"], len(x["snippet"])) for x in items] == [("b", 1.0, 0, 0), ("a", 0.123, 800, 480)]
+
+
+def test_calibration_csv(spark, tmp_path):
+    import csv
+
+    p = spark.createDataFrame([(0.3, 1), (0.8, 0), (0.9, 1)], "confidence double, y int")
+    sinks.write_calibration_csv(calibrate.sweep(p), calibrate.reliability(p), {"best": 0.5}, str(tmp_path / "c.csv"))
+    rows = list(csv.reader((tmp_path / "c.csv").open()))
+    assert rows[0] == ["# meta"] and rows[1] == ["best", "0.5"] and rows[3][0] == "threshold" and len(rows) == 4 + 101 + 3 + 10
+    assert sum(int(r[2]) for r in rows[-10:]) == 3
