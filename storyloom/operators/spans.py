@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import deque
+from collections.abc import Iterator
+from itertools import repeat
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DecimalType, DoubleType, StructField, StructType
 
 from storyloom.config import VerifierConfig
 from storyloom.functions import numbers as N
@@ -153,28 +160,87 @@ def matched_one_to_one(predicted: DataFrame, truth: DataFrame, by: list[str], le
     """Greedy one-to-one matches of spans within each group `by`: truths in order of start take the free prediction
     of greatest overlap. Returns by, truth_id, predicted_id, iou.
 
-    Pairs are found by a join of overlapping spans (on the group and on cells of `cell` code points); only the pairs of
-    one group come together in Python, where the choice is sequential."""
-    t = truth.select(*by, "truth_id", F.col("start").alias("_ts"), F.col("end").alias("_te"))
-    p = predicted.select(*by, "predicted_id", F.col("start").alias("_ps"), F.col("end").alias("_pe"))
-    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.greatest(F.col(a), F.col(b)) / cell)))
-    met = t.withColumn("_cell", cells("_ts", "_te")).join(p.withColumn("_cell", cells("_ps", "_pe")), [*by, "_cell"]).drop("_cell")
-    met = met.where((F.col("_ps") < F.col("_te")) & (F.col("_ts") < F.col("_pe"))).distinct()
-    pairs = met.withColumn("iou", N.iou(F.col("_ps"), F.col("_pe"), F.col("_ts"), F.col("_te"))).where(F.col("iou") >= least)
-    pairs = pairs.select(*by, "truth_id", "predicted_id", "_ts", F.col("iou").cast("double").alias("iou"))
-
-    def choose(rows):
-        used, out = set(), []
-        rows = rows.sort_values(["_ts", "truth_id", "iou", "predicted_id"], ascending=[True, True, False, True])
-        for _, group in rows.groupby(["_ts", "truth_id"], sort=False):
-            for r in group.itertuples():
-                if r.predicted_id not in used:
-                    used.add(r.predicted_id)
-                    out.append(r.Index)
-                    break
-        return rows.loc[out]
-
-    return pairs.groupBy(*by).applyInPandas(choose, pairs.schema).drop("_ts")
+    No pairs are made: the spans of a group come in order of start, and a sweep in Python keeps those that may still
+    meet a later one, equal spans as one entry. Shuffle and memory follow the spans, not their pairs. Rows without an id,
+    a group or a place are left out; `cell` (from when pairs were joined on cells) changes nothing."""
+    t = truth.select(*by, F.lit(0).alias("_kind"), "truth_id", F.lit(None).cast(predicted.schema["predicted_id"].dataType).alias("predicted_id"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    p = predicted.select(*by, F.lit(1).alias("_kind"), F.lit(None).cast(truth.schema["truth_id"].dataType).alias("truth_id"), "predicted_id", F.col("start").alias("_s"), F.col("end").alias("_e"))
+    rows = t.unionByName(p)
+    rows = rows.select(*(F.col(c).cast("double") if c in ("_s", "_e") and isinstance(f.dataType, DecimalType) else F.col(c) for c, f in zip(rows.columns, rows.schema.fields, strict=True)))
+    held = F.when(F.col("_kind") == 0, F.col("truth_id").isNotNull()).otherwise(F.col("predicted_id").isNotNull())
+    for c in (*by, "_s", "_e"):
+        held = held & F.col(c).isNotNull()
+    schema = StructType([*(rows.schema[c] for c in (*by, "truth_id", "predicted_id")), StructField("iou", DoubleType())])
+    rows = rows.where(held).repartition(*by).sortWithinPartitions(*by, "_s", "_kind", "truth_id", "_e", "predicted_id")
+    return rows.mapInArrow(_sweep(by, least, schema), schema)
+
+
+def _sweep(by: list[str], least: float, schema: StructType):
+    """A mapInArrow function over the spans of whole groups, in order of start, truths first."""
+
+    def taken(start, ends: list, free: dict, used: set):
+        """(-iou, id) of the free prediction that overlaps most, the least id among equals; spans that end before any
+        later truth starts go."""
+        best, gone = None, []
+        for span, ids in free.items():
+            s, e = span
+            if e <= start:
+                gone.append(span)
+                continue
+            for end in ends:
+                if s < end:
+                    both, union = min(end, e) - max(start, s), max(end, e) - min(start, s)
+                    iou = both / union if both > 0 and union > 0 else 0.0
+                    if iou < least or (best is not None and -iou > best[0]):
+                        continue
+                    while ids and ids[0] in used:
+                        ids.popleft()
+                    if not ids:
+                        gone.append(span)
+                        break
+                    if best is None or (-iou, ids[0]) < best:
+                        best = (-iou, ids[0])
+        for span in gone:
+            del free[span]
+        return best
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [to_arrow_type(f.dataType) for f in schema.fields]
+        key, waiting, free, used, out = None, deque(), {}, set(), []
+
+        def settle(upto=None) -> None:
+            """Match the truths that no span from `upto` on can meet."""
+            while waiting and (upto is None or (waiting[0][0] < upto and max(waiting[0][2]) <= upto)):
+                start, name, ends = waiting.popleft()
+                if best := taken(start, ends, free, used):
+                    used.add(best[1])
+                    out.append((*key, name, best[1], -best[0]))
+
+        def made() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [()] * len(types)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], schema.names)
+
+        for b in batches:
+            keys = zip(*(b.column(c).to_pylist() for c in by), strict=True) if by else repeat((), b.num_rows)
+            for here, *row in zip(keys, *(b.column(c).to_pylist() for c in ("_kind", "truth_id", "predicted_id", "_s", "_e")), strict=True):
+                kind, name, found, start, end = row
+                if here != key:
+                    settle()
+                    key, free, used = here, {}, set()
+                elif waiting:
+                    settle(start)
+                if kind:
+                    free.setdefault((start, end), deque()).append(found)
+                elif waiting and waiting[-1][:2] == (start, name):
+                    waiting[-1][2].append(end)
+                else:
+                    waiting.append((start, name, [end]))
+            yield made()
+        settle()
+        yield made()
+
+    return run
 
 
 def match_report(matches: DataFrame, predicted: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
