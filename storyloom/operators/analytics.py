@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from storyloom.functions.numbers import clamped, clipped, greedy_spans
 from storyloom.functions.text import escaped_html, escaped_xml, pastel, truncated
 
-from .segment import sentences
-from .spans import sentence_of
+from .spans import sentence_zones
+
+ZONE_CELL = 256  # code points: few sentences begin in one
 
 
 def top_motifs(findings: DataFrame, names: DataFrame, n: int = 20) -> DataFrame:
@@ -130,17 +131,25 @@ def finding_rows(findings: DataFrame, scenes: DataFrame, chapters: DataFrame, wo
     scenes: scene_id, chapter_id, idx; chapters: chapter_id, idx; works: work_id, text; names: motif_id, name. Findings
     of a work or motif that is not there are left out."""
     empty = lambda c: F.coalesce(c, F.lit(""))
-    rows = findings.join(names.select("motif_id", F.col("name").alias("trope")), "motif_id").join(works.select("work_id", "text"), "work_id")
-    rows = rows.join(scenes.select("scene_id", "chapter_id", F.col("idx").alias("scene_idx")), "scene_id", "left")
-    rows = rows.join(chapters.select("chapter_id", F.col("idx").alias("chapter_idx")), "chapter_id", "left")
-    a, b = clipped(F.coalesce("start", F.lit(0)), F.coalesce("end", F.lit(0)), F.length("text"))
-    rows = rows.withColumn("evidence_start", a.cast("int")).withColumn("evidence_end", b.cast("int"))
-    rows = rows.withColumn("_s", sentence_of(sentences(F.col("text")), F.col("evidence_start"), F.col("evidence_end")))
+    whole = works.select("work_id", "text")
+    placed = findings.withColumn("_from", F.coalesce("start", F.lit(0))).withColumn("_to", F.coalesce("end", F.lit(0)))
+    a, b = clipped(F.col("_from"), F.col("_to"), F.length("text"))
     cut = lambda x, y: F.col("text").substr(x + 1, y - x)
-    sentence = F.regexp_replace(F.replace(cut(F.col("_s.start"), F.col("_s.end")), F.lit("\n"), F.lit(" ")), r"(?U)^\s+|\s+$", "")
+    # Excerpt and sentence depend on the work and the span alone: each span once, its sentence by number of a zone.
+    spots = placed.select("work_id", "_from", "_to").distinct().join(whole, "work_id")
+    spots = spots.select("work_id", "_from", "_to", a.cast("int").alias("evidence_start"), b.cast("int").alias("evidence_end"), cut(a.cast("int"), b.cast("int")).alias("excerpt"))
+    spots = spots.withColumn("_middle", F.floor((F.col("evidence_start") + F.col("evidence_end")) / 2)).withColumn("_cell", F.floor(F.col("_middle") / ZONE_CELL))
+    zones = sentence_zones(whole, "work_id", ZONE_CELL).withColumnsRenamed({"work_id": "_work", "_cell": "_zone"})
+    here = (F.col("work_id") == F.col("_work")) & (F.col("_cell") == F.col("_zone")) & (F.col("_middle") >= F.col("zone_start")) & (F.col("_middle") < F.col("zone_end"))
+    spots = spots.join(zones, here, "left")
+    sentence = F.regexp_replace(F.replace(F.col("sentence"), F.lit("\n"), F.lit(" ")), r"(?U)^\s+|\s+$", "")
+    spots = spots.select("work_id", "_from", "_to", "evidence_start", "evidence_end", "excerpt", sentence.alias("evidence_sentence"))
+    rows = placed.join(names.select("motif_id", F.col("name").alias("trope")), "motif_id").join(spots, ["work_id", "_from", "_to"])
+    inside = scenes.select("scene_id", "chapter_id", F.col("idx").alias("scene_idx")).join(chapters.select("chapter_id", F.col("idx").alias("chapter_idx")), "chapter_id", "left")
+    rows = rows.join(inside.drop("chapter_id"), "scene_id", "left")
     return rows.select(
         F.col("finding_id").alias("id"), "work_id", "scene_idx", "chapter_idx", "trope", empty("level").alias("level"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
-        "created_at", empty("model").alias("model"), "evidence_start", "evidence_end", cut(F.col("evidence_start"), F.col("evidence_end")).alias("excerpt"), sentence.alias("evidence_sentence"), empty("rationale").alias("rationale"),
+        "created_at", empty("model").alias("model"), "evidence_start", "evidence_end", "excerpt", "evidence_sentence", empty("rationale").alias("rationale"),
     )
 
 

@@ -44,6 +44,23 @@ def sentence_of(sents: Column, start: Column, end: Column) -> Column:
     return F.struct(best["start"].alias("start"), best["end"].alias("end"))
 
 
+def sentence_zones(works: DataFrame, by: str, cell: int) -> DataFrame:
+    """by, zone_start, zone_end, sentence and _cell: for each sentence of a text the middles whose sentence_of it is, once
+    for each cell of `cell` code points that this zone touches.
+
+    Sentences stand in order and apart, so their centres ascend: between two of them the nearer centre is that of one of
+    the two, and the zones of a text cover [0, length] without overlap. Join on by and floor(middle / cell)."""
+    s, n = F.col("_s"), F.length("text")
+    centre = lambda x: F.floor((x["start"] + x["end"]) / 2)
+    half = lambda x, y: F.floor((centre(x) + centre(y)) / 2) + 1
+    bound = lambda x, y: F.greatest(x["end"].cast("long"), F.least(half(x, y), y["start"].cast("long")))
+    start = lambda x, i: F.when(i == 0, F.lit(0).cast("long")).otherwise(bound(F.get(s, i - 1), x))
+    end = lambda x, i: F.when(i == F.size(s) - 1, F.greatest(n, x["end"]).cast("long") + 1).otherwise(bound(x, F.get(s, i + 1)))
+    zones = F.transform(s, lambda x, i: F.struct(start(x, i).alias("zone_start"), end(x, i).alias("zone_end"), F.col("text").substr(x["start"] + 1, x["end"] - x["start"]).alias("sentence")))
+    rows = works.where("text is not null").select(by, "text", sentences(F.col("text")).alias("_s")).select(by, F.explode(zones).alias("_z")).select(by, "_z.*").where("zone_end > zone_start")
+    return rows.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("zone_start") / cell), F.floor((F.col("zone_end") - 1) / cell))))
+
+
 def snapped(text: Column, start: Column, end: Column, most: int = 280) -> Column:
     """struct<start, end>: out to the end of the last boundary before the start and of the first one that begins at or
     after the end; if that is longer than `most`, a window of `most` around the middle of the span."""

@@ -886,10 +886,10 @@ FROM fr f LEFT JOIN (SELECT s.work_id, s.chapter, s.idx, s.idx::INTEGER AS scene
 @query("finding_export", f"WITH {EXPORT_SQL}")
 def _(spark, d):
     """Findings in the works made of conversations; some name a scene that is not there, some scenes no chapter."""
-    e = findings(spark, d).join(table(spark, d, "events").select(F.col("event_id").alias("finding_id")), "finding_id")
+    e = findings(spark, d)
     key = lambda w, c, s: F.concat_ws("-", *(F.col(x).cast("string") if isinstance(x, str) else x.cast("string") for x in (w, c, s)))
     f = e.withColumn("scene_id", key("work_id", F.col("finding_id") % 20, F.col("finding_id") % 4)).withColumn("level", F.lit("scene")).withColumn("model", F.lit(None).cast("string")).withColumn("rationale", F.lit("said"))
-    w = works(spark, d)
+    w = works(spark, d).join(f.select("work_id").distinct(), "work_id", "left_semi")  # no other work can stand in a row
     c = segment.chapters(w)
     s = segment.scenes(c)
     chapter = F.concat_ws("-", F.col("work_id").cast("string"), F.col("chapter").cast("string"))
