@@ -59,6 +59,61 @@ def _matched(marked: pa.Array) -> pa.Array:
     return _cut(marked, True)
 
 
+SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
+SPACE = " \t\n\x0b\f\r"  # what \s stands for
+SLICE = 8 << 20
+
+
+def by_bytes(a: pa.Array, most: int = SLICE) -> list[pa.Array]:
+    """A column of texts in slices of bounded bytes (one text at least)."""
+    upto = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(a), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts, at = [], 0
+    while at < len(a):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right")))
+        cuts.append(a.slice(at, to - at))
+        at = to
+    return cuts
+
+
+def _trimmed_spans(marked: pa.Array, trim: bool, tail: bool) -> pa.Array:
+    """The places of the parts between marks; trim: without white space around them and without those of nothing else;
+    tail: a part that ends with the text keeps it at its end. Texts do not go back to the JVM."""
+    parts = pa.compute.split_pattern(marked, MARK)
+    size = pa.compute.fill_null(pa.compute.list_value_length(parts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = parts.flatten()
+    length = lambda x: pa.compute.utf8_length(x).to_numpy(zero_copy_only=False).astype(np.int64)
+    n = length(flat)
+    upto = np.concatenate([[0], np.cumsum(n)])
+    first = np.cumsum(size) - size
+    row = np.repeat(np.arange(len(size)), size)
+    start = upto[:-1] - upto[first[row]]
+    end, kept = start + n, n > 0
+    if trim:
+        left = length(pa.compute.utf8_ltrim(flat, SPACE))
+        right = length(pa.compute.utf8_rtrim(flat, SPACE))
+        kept = left > 0
+        whole = upto[first + size][row] - upto[first[row]]
+        end = np.where(tail & (end == whole), end, start + right)
+        start = start + n - left
+    values = pa.StructArray.from_arrays([pa.array(start[kept], pa.int32()), pa.array(end[kept], pa.int32())], ["start", "end"])
+    size = np.bincount(row[kept], minlength=len(size))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), values, mask=marked.is_null())
+
+
+def _spans_udf(trim: bool, tail: bool):
+    @F.arrow_udf(SPANS)
+    def spans(marked: pa.Array) -> pa.Array:
+        done = [_trimmed_spans(x, trim, tail) for x in by_bytes(marked)]
+        return pa.concat_arrays(done) if done else _trimmed_spans(marked, trim, tail)
+
+    return spans
+
+
+def piece_spans(c: Column, pattern: str | Column, replacement: str, trim: bool = False, tail: bool = False) -> Column:
+    """array<struct<start, end>> of the pieces that are not empty; see pieces and _trimmed_spans."""
+    return _spans_udf(trim, tail)(_marked(c, pattern, replacement))
+
+
 def _marked(c: Column, pattern: str | Column, replacement: str) -> Column:
     clean = F.translate(c, MARK, " ")
     return F.regexp_replace(clean, F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(replacement))

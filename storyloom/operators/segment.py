@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.config import ChunkConfig
-from storyloom.functions.text import MARK, pieces
+from storyloom.functions.text import MARK, piece_spans, pieces
 
 #: What a heading and a scene rule look like.
 HEADING = r"(?i)^(?:chapter|ch\.|book|part)\s+([ivxlcdm]+|\d+|[a-z]+)\b"
@@ -71,15 +71,10 @@ SENTENCE_END = {"A": r"([.!?]+(?:\s+|$)|\n{2,})", "B": r"([.!?]+(?:\s+|$)|\n{2,}
 def sentences(c: Column, variant: str = "A") -> Column:
     """array<struct<start, end>>. A: trimmed pieces that are not empty, the whole text if there is none; B: the
     same, but the last piece keeps its white space at the end; C, D: untrimmed pieces between cuts."""
-    parts = pieces(c, SENTENCE_END[variant], f"$1{MARK}")
+    ends = piece_spans(c, SENTENCE_END[variant], f"$1{MARK}", trim=variant in "AB", tail=variant == "B")
     if variant in "CD":
-        return F.transform(F.filter(parts, lambda p: F.length(p["piece"]) > 0), lambda p: F.struct(p["start"].alias("start"), (p["start"] + F.length(p["piece"])).alias("end")))
-    lead = lambda p: F.length(p["piece"]) - F.length(F.regexp_replace(p["piece"], r"^\s+", ""))
-    last = lambda p: p["start"] + F.length(F.regexp_replace(p["piece"], r"\s+$", ""))
-    full = F.filter(parts, lambda p: _stripped(p["piece"]) != "")
-    n = F.length(c)
-    ends = F.transform(full, lambda p: F.struct((p["start"] + lead(p)).alias("start"), (F.when(p["start"] + F.length(p["piece"]) == n, n).otherwise(last(p)) if variant == "B" else last(p)).alias("end")))
-    return F.when(F.size(ends) > 0, ends).otherwise(F.array(F.struct(F.lit(0).alias("start"), n.alias("end"))))
+        return ends
+    return F.when(F.size(ends) > 0, ends).otherwise(F.array(F.struct(F.lit(0).alias("start"), F.length(c).alias("end"))))
 
 
 TOKEN = re.compile(r"\w+|[^\w\s]")

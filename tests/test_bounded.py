@@ -115,3 +115,31 @@ def test_export_splits_a_text_once(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     at = lambda word: min(len(x) - len(x.lstrip(" :+-|")) for x in plan.splitlines() if word in x)
     assert at("ArrowEvalPython") > at("Aggregate")  # below the join with the distinct spans, on the works' side
+
+
+def test_sentences_send_no_text_back(spark):
+    """Variants by plain loops over odd texts; what comes back from Python is places, not pieces."""
+    import re
+
+    texts = ["", None, " \t ", "One. Two!   Three ", "\n\n\nA.  \n\n B? ", "é😀. b! — c.\" d", "no end", "..! ? ", "x. " * 500]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    for variant in "ABCD":
+        out = rows.select("k", segment.sentences(F.col("text"), variant).alias("s"))
+        assert "piece" not in out._jdf.queryExecution().optimizedPlan().toString()
+        for r in out.collect():
+            t, want, at = texts[r.k], [], 0
+            for m in [*re.finditer(segment.SENTENCE_END[variant], t or "", re.A), None]:
+                to = m.end() if m else len(t or "")
+                piece = (t or "")[at:to]
+                kept = piece.strip(" \t\n\x0b\f\r")
+                if variant in "CD":
+                    want += [(at, to)] * (to > at)
+                elif kept:
+                    a = at + piece.index(kept[0])
+                    want.append((a, to if variant == "B" and to == len(t) else a + len(kept)))
+                at = to
+            if variant in "AB":
+                want = want or [(0, None if t is None else len(t))]
+            elif t is None:
+                want = None
+            assert (None if r.s is None else [tuple(x) for x in r.s]) == want, (variant, t)
