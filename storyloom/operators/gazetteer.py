@@ -44,10 +44,11 @@ def admitted_aliases(motifs: DataFrame, stop: DataFrame | None = None, config: G
 
 
 CATALOG_BYTES = 32 << 20
+OUT_BYTES = 4 << 20  # hits of a batch that a task holds at once, with their texts
 
 
-def hits(chunks: DataFrame, aliases: DataFrame, variant: int = 2, most_bytes: int = CATALOG_BYTES) -> DataFrame:
-    """chunk_id, motif_id, alias, nth, start, end (in the chunk), surface, text.
+def hits(chunks: DataFrame, aliases: DataFrame, variant: int = 2, most_bytes: int = CATALOG_BYTES, with_text: bool = True) -> DataFrame:
+    """chunk_id, motif_id, alias, nth, start, end (in the chunk), surface, text (of the chunk; not without with_text).
 
     A chunk is tried with an alias only if it holds the alias's longest word (or that word's plural where the
     pattern allows one), then if it holds all its words. A catalog whose patterns take at most most_bytes goes to every
@@ -58,9 +59,10 @@ def hits(chunks: DataFrame, aliases: DataFrame, variant: int = 2, most_bytes: in
     keyed = aliases.where(F.size(listed) > 0).select("motif_id", "alias", "nth", listed.alias("needs"), alias_pattern(F.col("alias"), variant).alias("pattern"), F.array_distinct(forms).alias("words"))
     size = keyed.agg(F.sum(F.octet_length("alias") * 3 + F.octet_length("pattern") + 64)).first()[0] or 0
     if size > most_bytes:
-        return _joined_hits(chunks, keyed)
+        found = _joined_hits(chunks, keyed)
+        return found if with_text else found.drop("text")
     schema = StructType([
-        chunks.schema["chunk_id"], aliases.schema["motif_id"], *StructType.fromDDL("alias string, nth int, start int, end int, surface string, text string").fields,
+        chunks.schema["chunk_id"], aliases.schema["motif_id"], *StructType.fromDDL("alias string, nth int, start int, end int, surface string" + ", text string" * with_text).fields,
     ])
     return chunks.select("chunk_id", "text").mapInArrow(_scan([tuple(r) for r in keyed.collect()], schema), schema)
 
@@ -79,9 +81,16 @@ def _scan(catalog: list[tuple], schema: StructType):
                 by_word.setdefault(w, []).append(k)
         patterns: dict[int, object] = {}
         word = re.compile(r"\w+")
+        types = [to_arrow_type(f.dataType) for f in schema.fields[1:]]
+        with_text = "text" in schema.names
+
+        def made(b: pa.RecordBatch, at: list, out: list) -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [()] * len(types)
+            return pa.RecordBatch.from_arrays([b.column("chunk_id").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], schema.names)
+
         for b in batches:
-            at, out = [], []
-            for r, text in enumerate(b.column("text").to_pylist()):
+            at, out, size = [], [], 0
+            for r, text in enumerate(x.as_py() for x in b.column("text")):
                 if not text:
                     continue
                 low = text.lower()
@@ -93,11 +102,12 @@ def _scan(catalog: list[tuple], schema: StructType):
                         patterns[k] = regex.compile(pattern.removeprefix(FLAGS), regex.IGNORECASE)
                     for m in patterns[k].finditer(text):
                         at.append(r)
-                        out.append((motif, alias, nth, m.start(), m.end(), m.group(), text))
-            columns = list(zip(*out, strict=True)) or [()] * 7
-            types = [f.type for f in pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields[1:]])]
-            made = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("chunk_id").take(pa.array(at, pa.int64())), *made], schema.names)
+                        out.append((motif, alias, nth, m.start(), m.end(), m.group(), *([text] if with_text else [])))
+                        size += 256 + (len(text) if with_text else 0)
+                        if size > OUT_BYTES:
+                            yield made(b, at, out)
+                            at, out, size = [], [], 0
+            yield made(b, at, out)
 
     return run
 

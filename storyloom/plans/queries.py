@@ -271,9 +271,9 @@ cand AS MATERIALIZED (SELECT * FROM c JOIN p ON len(list_filter(words, lambda w:
 hits AS (SELECT doc_id, motif_id, alias, nth, len(regexp_extract_all(t, pattern)) AS n FROM cand WHERE regexp_matches(t, pattern))"""
 
 
-def _hits(spark, d):
+def _hits(spark, d, with_text=False):
     docs = documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "text")
-    return gazetteer.hits(docs, gazetteer.admitted_aliases(motifs(spark, d)))
+    return gazetteer.hits(docs, gazetteer.admitted_aliases(motifs(spark, d)), with_text=with_text)
 
 
 @query("gazetteer_hits", f"WITH {HITS_SQL} SELECT doc_id, motif_id, alias, n::BIGINT AS hits FROM hits")
@@ -283,13 +283,13 @@ def _(spark, d):
 
 @query("gazetteer_spans")
 def _(spark, d):
-    return _hits(spark, d).drop("text")
+    return _hits(spark, d)
 
 
 @query("gazetteer_seeds")
 def _(spark, d):
     """Documents as chunks of their source's work, one after another."""
-    found = gazetteer.unblocked(_hits(spark, d)).drop("text")
+    found = gazetteer.unblocked(_hits(spark, d, with_text=True)).drop("text")
     places = documents(spark, d).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("work_id"), (F.col("doc_id") * 1_000_000).alias("char_start"))
     return gazetteer.seeded(found.join(places, "chunk_id"), GazetteerConfig())
 

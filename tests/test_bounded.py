@@ -8,7 +8,7 @@ import pyarrow as pa
 
 from pyspark.sql import functions as F
 
-from storyloom.operators import analytics, segment, spans, vectors
+from storyloom.operators import analytics, gazetteer, segment, spans, vectors
 
 
 def test_matches_make_no_pairs(spark):
@@ -143,3 +143,21 @@ def test_sentences_send_no_text_back(spark):
             elif t is None:
                 want = None
             assert (None if r.s is None else [tuple(x) for x in r.s]) == want, (variant, t)
+
+
+def test_hits_leave_in_small_batches(spark, monkeypatch):
+    """A long text with thousands of hits is not copied thousands of times at once."""
+    from pyspark.sql.types import StructType
+
+    text = "hero " * 3000
+    schema = StructType.fromDDL("chunk_id long, motif_id int, alias string, nth int, start int, end int, surface string, text string")
+    run = gazetteer._scan([(1, "hero", 0, ["hero"], gazetteer.FLAGS + "hero", ["hero"])], schema)
+    b = pa.RecordBatch.from_arrays([pa.array([7, 8, 9]), pa.array([text, None, text + "x"])], ["chunk_id", "text"])
+    out = list(run(iter([b])))
+    assert max(x.nbytes for x in out) < 16 << 20
+    assert [(r["chunk_id"], r["start"]) for x in out for r in x.to_pylist()] == [(c, 5 * k) for c in (7, 9) for k in range(3000)]
+    chunks = spark.createDataFrame([(1, "a hero"), (2, "x")], "chunk_id int, text string")
+    motifs = spark.createDataFrame([(1, "hero", ["champion"])], "motif_id int, name string, aliases array<string>")
+    for most in (0, 1 << 20):
+        found = gazetteer.hits(chunks, gazetteer.admitted_aliases(motifs), most_bytes=most, with_text=False)
+        assert "text" not in found.columns and [(r.chunk_id, r.start, r.surface) for r in found.collect()] == [(1, 2, "hero")]
