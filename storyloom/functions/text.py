@@ -49,14 +49,19 @@ def _cut(marked: pa.Array, matches: bool) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), values, mask=marked.is_null())
 
 
+def _sliced_cut(marked: pa.Array, matches: bool) -> pa.Array:
+    done = [_cut(x, matches) for x in by_bytes(marked)]
+    return done[0] if len(done) == 1 else pa.concat_arrays(done) if done else _cut(marked, matches)
+
+
 @F.arrow_udf(PIECES)
 def _parts(marked: pa.Array) -> pa.Array:
-    return _cut(marked, False)
+    return _sliced_cut(marked, False)
 
 
 @F.arrow_udf(PIECES)
 def _matched(marked: pa.Array) -> pa.Array:
-    return _cut(marked, True)
+    return _sliced_cut(marked, True)
 
 
 SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))

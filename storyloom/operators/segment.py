@@ -78,6 +78,7 @@ def sentences(c: Column, variant: str = "A") -> Column:
 
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
+OUT_BYTES = 4 << 20  # chunks of a batch that a task holds at once
 CHUNK = "idx int, char_start int, char_end int, token_start int, token_end int, text string"
 
 
@@ -104,10 +105,16 @@ def chunks(scene_rows: DataFrame, keys: list[str], config: ChunkConfig = ChunkCo
     scene), text and sha256. The only step of segmentation in Python, for its recurrence: Arrow batches, no shuffle."""
     rows = scene_rows.select(*keys, F.col("char_start").alias("_base"), "text")
 
+    def made(b: pa.RecordBatch, at: list, out: list) -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) or [()] * 6
+        parts = [pa.array(c, t) for c, t in zip(cols, (pa.int32(),) * 5 + (pa.string(),), strict=True)]
+        kept = b.select(keys).take(pa.array(at, pa.int64()))
+        return pa.RecordBatch.from_arrays([*kept.columns, *parts], [*keys, "idx", "char_start", "char_end", "token_start", "token_end", "text"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, out = [], []
-            for r, (base, text) in enumerate(zip(b.column("_base").to_pylist(), b.column("text").to_pylist(), strict=True)):
+            at, out, size = [], [], 0
+            for r, (base, text) in enumerate(zip(b.column("_base").to_pylist(), (x.as_py() for x in b.column("text")), strict=True)):
                 if not text:
                     continue
                 ends = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
@@ -115,10 +122,11 @@ def chunks(scene_rows: DataFrame, keys: list[str], config: ChunkConfig = ChunkCo
                     at.append(r)
                     a, z = ends[i][0], ends[j - 1][1]
                     out.append((k, base + a, base + z, i, j, text[a:z]))
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            made = [pa.array(c, t) for c, t in zip(cols, (pa.int32(),) * 5 + (pa.string(),), strict=True)]
-            kept = b.select(keys).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns, *made], [*keys, "idx", "char_start", "char_end", "token_start", "token_end", "text"])
+                    size += 256 + z - a
+                    if size > OUT_BYTES:
+                        yield made(b, at, out)
+                        at, out, size = [], [], 0
+            yield made(b, at, out)
 
     from pyspark.sql.types import StructType
 

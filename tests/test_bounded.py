@@ -161,3 +161,23 @@ def test_hits_leave_in_small_batches(spark, monkeypatch):
     for most in (0, 1 << 20):
         found = gazetteer.hits(chunks, gazetteer.admitted_aliases(motifs), most_bytes=most, with_text=False)
         assert "text" not in found.columns and [(r.chunk_id, r.start, r.surface) for r in found.collect()] == [(1, 2, "hero")]
+
+
+def test_chunks_leave_in_small_batches(spark, monkeypatch):
+    """A batch of many scenes: chunks go on as they are made; texts are cut in slices of bounded bytes."""
+    from storyloom.functions import text as T
+
+    runs = []
+    scenes = spark.createDataFrame([(1, 0, "x")], "k long, char_start int, text string")
+    take = type(scenes).mapInArrow
+    monkeypatch.setattr(type(scenes), "mapInArrow", lambda self, f, schema: runs.append(f) or take(self, f, schema))
+    segment.chunks(scenes, ["k"])
+    words = "word and. " * 6000
+    b = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([3] * 300, pa.int32()), pa.array([words] * 300)], ["k", "_base", "text"])
+    out = list(runs[0](iter([b])))
+    assert max(x.nbytes for x in out) < 6 << 20 and len(out) > 3
+    spans_ = segment.chunk_spans(words)
+    assert [(r["k"], r["token_start"], r["token_end"]) for x in out for r in x.select(["k", "token_start", "token_end"]).to_pylist()] == [(k, i, j) for k in range(300) for i, j in spans_]
+    marked = pa.array([f"a{T.MARK}bc", None, "", "d" * 50, f"é{T.MARK}"] * 4)
+    whole = T._cut(marked, False).to_pylist()
+    assert len(T.by_bytes(marked, 20)) > 4 and pa.concat_arrays([T._cut(x, False) for x in T.by_bytes(marked, 20)]).to_pylist() == whole
